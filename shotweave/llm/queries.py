@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, tokens
+from . import chat, exact, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_token_counts)}
-ORACLE_SQL = {"op3_exact_dedup": exact.SQL}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.in_order(chat.with_probe(_table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.rendered(turns))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_token_counts, op10_chat_format)}
+ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op10_chat_format": chat.SQL}
