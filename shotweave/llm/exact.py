@@ -29,7 +29,8 @@ def exact_groups(docs: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
     docs = columns(docs, "doc_id", "text").withColumn("norm", norm)
     digest = docs.select("doc_id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     digest = stored(digest, "exact-digests")
-    groups = digest.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    # Written, so that both sides of the join are plain exchanges, whose hot partitions Spark splits.
+    groups = stored(digest.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "exact-groups")
     rows = digest.join(groups, "h")
 
     members = rows.where("n > 1").select("doc_id", "h", "keep_id", "n").distinct()
