@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, tokens
+from . import chat, exact, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.rendered(turns))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_token_counts, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op7_token_counts, op10_chat_format)}
 ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op10_chat_format": chat.SQL}
