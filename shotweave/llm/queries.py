@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, quality, tokens
+from . import chat, exact, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.rendered(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op7_token_counts, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op7_token_counts, op10_chat_format)}
 ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op10_chat_format": chat.SQL}
