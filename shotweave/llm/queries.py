@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, quality, simhash, substring, tokens
+from . import chat, decontam, exact, quality, simhash, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.without_repeats(_table(spark, sf_dir, "documents")))
 
@@ -38,5 +42,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.rendered(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op6_substring_dedup, op7_token_counts, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op4_decontaminate, op6_substring_dedup, op7_token_counts, op10_chat_format)}
 ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op6_substring_dedup": substring.SQL, "op10_chat_format": chat.SQL}
