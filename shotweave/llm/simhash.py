@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, stored, text_or_empty
+from .common import chunks, columns, mix, stored, text_buffers, text_or_empty, word_hashes
+from .packed import CHUNK
+from .substring import window_hashes
 
 WORDS, RADIUS = 3, 2
 #: Fingerprints of one band value that are compared in one group; more are split in tiles that meet in pairs.
@@ -92,10 +94,11 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int) -> np.ndarray:
+def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, agrees: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Join fingerprints that are within the radius. ``sides``: for each group, its fingerprints and a side for
     each: 0 and 1 are compared only across, where there are both; else all with all. Returns for every
-    fingerprint, groups laid end to end, the first one that it is joined with (itself where there's none)."""
+    fingerprint, groups laid end to end, the first one that it is joined with (itself where there's none).
+    ``agrees(i, others)``: which of the others within the radius of i are joined, if not all."""
     base, q_blocks, t_blocks, same, blocks, sizes, at = 0, [], [], [], [], [], []
     for prints, side in sides:
         parts = [np.flatnonzero(side == s) for s in (0, 1)] if side.any() and not side.all() else [np.arange(len(prints))]
@@ -133,12 +136,14 @@ def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int) -> np.ndarra
             masks = np.uint64(0) - (planes[q] >> np.uint64(k) & np.uint64(1))
             found = near_lanes(planes[t], masks, radius) & valid
             for i in np.flatnonzero(found):
-                a = _find(parent, int(at_[q[i], k]))
-                word = int(found[i])
-                while word:
-                    lane = (word & -word).bit_length() - 1
-                    word &= word - 1
-                    b = _find(parent, int(at_[t[i], lane]))
+                own = int(at_[q[i], k])
+                a = _find(parent, own)
+                others = at_[t[i], np.unpackbits(found[i : i + 1].view(np.uint8), bitorder="little").astype(bool)]
+                others = [x for x in others.tolist() if _find(parent, x) != a]
+                if agrees and others:
+                    others = np.array(others)[agrees(own, np.array(others))].tolist()
+                for x in others:
+                    b = _find(parent, x)
                     a, b = min(a, b), max(a, b)
                     parent[b] = a
     return np.array([_find(parent, i) for i in range(base)])
@@ -153,41 +158,45 @@ def band_keys(radius: int = RADIUS) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), block[i].alias("x"), block[j].alias("y")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect what fingerprints within the radius connect. ``prints`` has distinct print long,
-    node long. Bands are counted first; those of one fingerprint go, those of many are split in tiles, every two
-    tiles meet in a group of their own. Within a group, links are reduced to one for each fingerprint."""
-    keyed = prints.select("node", "print", F.explode(band_keys(radius)).alias("k")).select("node", "print", "k.*")
+def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = None, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect what fingerprints within the radius connect. ``keyed``: band int, x long, y long
+    (a key), node long, print long, sketch binary; each node once for a key. Keys are counted first; those of one
+    fingerprint go, those of many are split in tiles, every two tiles meet in a group of their own. Within a group,
+    links are reduced to one for each fingerprint. With a ``similarity``, the sketches must agree that well too."""
     many = keyed.groupBy("band", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = keyed.join(many, ["band", "x", "y"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("band", "x", "y", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "print")
+    rows = rows.select("band", "x", "y", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "print", "sketch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def compare(part: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+        def agrees(i: int, others: np.ndarray) -> np.ndarray:
+            return sketch_similarity(sketches[i], sketches[others]) >= similarity
 
-        def compare(part: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero((part[1:, :5] != part[:-1, :5]).any(axis=1)) + 1
-            groups = np.split(part, cuts)
-            root = linked([(g[:, 7].view(np.uint64), g[:, 5]) for g in groups], radius)
-            found = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(part[found, 6]), pa.array(part[root[found], 6])], ["a", "b"])
+        cuts = np.flatnonzero((part[1:, :5] != part[:-1, :5]).any(axis=1)) + 1
+        groups = np.split(part, cuts)
+        root = linked([(g[:, 7].view(np.uint64), g[:, 5]) for g in groups], radius, agrees if similarity else None)
+        found = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(part[found, 6]), pa.array(part[root[found], 6])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns]))
-            part = np.concatenate(held)
+            part = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns[:8]])
+            sketches = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(len(part), -1)
+            if rest:
+                part, sketches = np.concatenate([rest[0], part]), np.concatenate([rest[1], sketches])
             last = np.flatnonzero((part[:, :5] != part[-1, :5]).any(axis=1))
             whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            held = [part[whole:]]
+            rest = part[whole:], sketches[whole:]
             if whole:
-                yield compare(part[:whole])
-        if held and len(held[0]):
-            yield compare(held[0])
+                yield compare(part[:whole], sketches[:whole])
+        if rest:
+            yield compare(*rest)
 
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["band", "x", "y", "t", "u"]
     return rows.repartition(n, *group).sortWithinPartitions(*group, "side", "node").mapInArrow(run, "a long, b long")
 
@@ -225,13 +234,93 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     rows = stored(fingerprints(docs), "fingerprints")
     prints = stored(rows.groupBy("print").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    roots = components(links(prints.where("node IS NOT NULL").select("node", "print"), radius))
+    keyed = prints.where("node IS NOT NULL").select("node", "print", F.explode(band_keys(radius)).alias("k"))
+    roots = components(links(keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch")), radius))
     classes = prints.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     classes = stored(classes, "classes")  # written, so that the join below has plain exchanges, whose hot partitions Spark splits
     return rows.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- classes of similar texts ----------------------------------------------------------------------
+SHINGLE, SIMILARITY = 5, 0.8
+#: Least hashes by which texts meet: two texts with the similarity miss each other with probability 0.2 ** MEETINGS.
+MEETINGS, BINS, SKETCH_RADIUS = 10, 128, 18
+
+
+def sketched(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
+    """node long, print long (SimHash of word shingles, A-Z in lower case), least array<long> (minimum of the
+    shingles under each of MEETINGS hashes) and sketch binary (a byte of the least shingle hash in each of BINS
+    ranges, 0 for none). A text of fewer words is one shingle. ``docs``: node long, text string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = mix(np.arange(1, MEETINGS + 1, dtype=np.uint64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in chunks(offsets, CHUNK):
+                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                part = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
+                hashes, n, n_of_words = window_hashes(part, at, n_words)
+                short = np.flatnonzero(n == 0)
+                if len(short):
+                    words, _ = word_hashes(part, at)
+                    ends = np.cumsum(n_of_words)
+                    alone = np.array([mix(words[e - k : e] * _PLACES[:k]).sum(dtype=np.uint64) for k, e in zip(n_of_words[short], ends[short])], np.uint64)
+                    hashes, n = np.insert(hashes, np.cumsum(n)[short] - n[short], alone), np.maximum(n, 1)
+                begins = np.cumsum(n) - n
+                least = np.column_stack([np.minimum.reduceat(mix(hashes ^ s), begins) for s in seeds])
+                doc = np.repeat(np.arange(b - a), n)
+                order = np.lexsort((hashes, doc))
+                h, d = hashes[order], doc[order]
+                bins = (h >> np.uint64(57)).astype(np.int64)
+                first = np.concatenate([[True], (d[1:] != d[:-1]) | (bins[1:] != bins[:-1])])
+                sketch = np.zeros((b - a, BINS), np.uint8)
+                sketch[d[first], bins[first]] = h[first].astype(np.int64) % 255 + 1
+                prints = np.array([majority(hashes[i : i + k]) for i, k in zip(begins, n)], np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * MEETINGS), pa.array(least.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(prints.view(np.int64)), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "print", "least", "sketch"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, print long, least array<bigint>, sketch binary")
+
+
+_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        part = np.ascontiguousarray(hashes[at : at + AT_ONCE]).view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def sketch_similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of shingle sets as their sketches tell it."""
+    used = (others | one) != 0
+    return ((others == one) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+
+
+def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Classes of texts linked, directly or through others, by a Jaccard similarity of word shingles of
+    ``similarity`` or more: doc_id, component_id (smallest doc_id reachable). One row for each distinct doc_id.
+
+    Texts meet in a group where any of their least hashes are equal; there, bit-sliced comparison of SimHash
+    fingerprints (SKETCH_RADIUS) leaves the likely ones, and sketches judge them. Both are estimates: at 128 bins the
+    similarity's standard error is about 0.035, so links just above the threshold may be missed and links just below
+    it be made. Null texts count as empty; empty texts are similar to each other. Null ids have no row. Rows that
+    repeat a doc_id are one node, linked by any of their texts.
+    """
+    rows = columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
+    sketches = stored(sketched(rows, n_words), "sketches")
+    keyed = sketches.select("node", "print", "sketch", F.posexplode("least").alias("band", "x")).select("band", "x", F.lit(0).cast("long").alias("y"), "node", "print", "sketch")
+    roots = components(links(keyed, SKETCH_RADIUS, similarity))
+    return sketches.select("node").distinct().join(roots, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
-    """Stage form: one document of each class stays, the one of the smallest doc_id, with all columns."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Stage form: one document of each class of similar texts stays, the one of the smallest doc_id, with all columns.
+    Rows of a null doc_id stay; rows that repeat a doc_id stay or go together."""
+    gone = similar_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
