@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, exact, licenses, mixing, quality, simhash, substring, tokens
+from . import chat, decontam, exact, licenses, lm, mixing, quality, simhash, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.in_order(chat.with_probe(_table(spark, sf_dir, "conversations")))
     return chat.digests(chat.rendered(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_substring_dedup, op7_token_counts, op8_license_scan, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_substring_dedup, op7_token_counts, op8_license_scan, op9_lm_scores, op10_chat_format)}
 ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op6_substring_dedup": substring.SQL, "op10_chat_format": chat.SQL}
