@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 #: Bytes of text whose windows are hashed together, and windows that a bucket should hold.
 CHUNK, PER_BUCKET = 4 << 20, 2_000_000
 
@@ -20,23 +22,57 @@ def n_buckets(docs: DataFrame, per_bucket: int = PER_BUCKET) -> int:
     return max(1, -(-int(size) // (5 * per_bucket)))
 
 
-def by_bucket(packed: DataFrame, columns: list[str], schema: str, work: Callable[[int, list[tuple]], Iterator[pa.RecordBatch] | list[pa.RecordBatch]]) -> DataFrame:
-    """Deal packed rows by ``bucket`` and call ``work(bucket, rows)`` with all rows of one bucket at a time."""
+def dealt(packed: DataFrame, key: str, columns: list[str], schema: str, work: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Deal packed rows by ``key`` and call ``work(key, rows)`` with all rows of one key at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        current, held = None, []
         for batch in batches:
             for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
-                if row[0] != bucket and held:
-                    yield from work(bucket, held)
+                if row[0] != current and held:
+                    yield from work(current, held)
                     held = []
-                bucket = row[0]
+                current = row[0]
                 held.append(row[1:])
         if held:
-            yield from work(bucket, held)
+            yield from work(current, held)
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.select("bucket", *columns).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return packed.select(key, *columns).repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def chunk_key(ids: np.ndarray, keys: np.ndarray) -> int:
+    """A name for a chunk of texts that a repeated task gives it again."""
+    places = np.arange(1, len(ids) + 1, dtype=np.uint64)
+    return int(mix(mix(ids.view(np.uint64) ^ mix(keys.astype(np.int64).view(np.uint64))) + places).sum(dtype=np.uint64).view(np.int64))
+
+
+FLAGGED = "chunk long, bucket int, docs binary, ids binary, keys binary, counts binary, bits binary, parts binary"
+
+
+def flags_of_texts(flagged: DataFrame) -> DataFrame:
+    """Bring together what the buckets say about each text, chunk by chunk, so that no row is made for each text and
+    bucket. ``flagged`` (FLAGGED) has a row for each chunk and bucket: places of texts in the chunk (int32), their ids and
+    keys (int64), how many windows each has in the bucket (int32), a bit for each, and a number for each text or none.
+    Returns a row for each text: doc_id, key, flags array<struct<bucket, bits>>, part (the numbers' sum)."""
+
+    def merge(chunk: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, list] = {}
+        for bucket, docs, ids, keys, counts, bits, parts in rows:
+            docs, ids, keys, counts = (np.frombuffer(x, t) for x, t in ((docs, np.int32), (ids, np.int64), (keys, np.int64), (counts, np.int32)))
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(edges[-1]))
+            part = np.frombuffer(parts) if parts else np.zeros(len(docs))
+            for k, doc in enumerate(docs.tolist()):
+                text = texts.setdefault(doc, [ids[k], keys[k], [], 0.0])
+                text[2].append({"bucket": bucket, "bits": np.packbits(flags[edges[k] : edges[k + 1]]).tobytes()})
+                text[3] += part[k]
+        fields = list(zip(*texts.values()))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], ["doc_id", "key", "flags", "part"])
+
+    columns = [c.split()[0] for c in FLAGGED.split(", ")]
+    return dealt(flagged, "chunk", columns[1:], "doc_id long, key long, flags array<struct<bucket:int,bits:binary>>, part double", merge)
 
 
 def cut_by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

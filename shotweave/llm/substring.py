@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, columns, mix, text_buffers, text_or_empty, word_hashes
-from .packed import CHUNK, PER_BUCKET, by_bucket, cut_by_bucket, n_buckets
+from .packed import CHUNK, FLAGGED, PER_BUCKET, chunk_key, cut_by_bucket, dealt, flags_of_texts, n_buckets
 
 WINDOW = 13
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -49,8 +49,8 @@ def _pack_bits(flags: np.ndarray) -> bytes:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER_BUCKET, chunk: int = CHUNK) -> tuple[DataFrame, int]:
     """Windows that an earlier document has too, as flags. ``docs``: doc_id long (no nulls), key long, text string.
 
-    Returns rows of doc_id, key, bucket, flags (one bit for each window of this document whose hash falls in this
-    bucket, in order of place; only where any is set), and the number of buckets. Each task first looks within its
+    Returns rows of doc_id, key, flags (for each bucket a bit for each window of this document whose hash falls in it,
+    in order of place; only where any is set), and the number of buckets. Each task first looks within its
     own chunk of texts: a window that an earlier document of the chunk has is flagged there and not shipped, so a
     passage that very many documents share reaches its bucket once for each chunk.
     """
@@ -74,43 +74,45 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, per_bucket: int = PE
                 seen = np.empty(len(hashes), bool)
                 seen[order] = d != first
                 place, edges = cut_by_bucket(_buckets(hashes, buckets), buckets)
-                rows = []
+                rows, name = [], chunk_key(ids[a:b], keys[a:b])
                 for k in np.flatnonzero(np.diff(edges)):
                     mine = place[edges[k] : edges[k + 1]]
                     docs_in, counts = np.unique(doc[mine], return_counts=True)
                     dropped = seen[mine]
-                    rows.append((int(k), ids[a:b][docs_in].tobytes(), keys[a:b][docs_in].tobytes(), counts.astype(np.int32).tobytes(), _pack_bits(dropped), hashes[mine][~dropped].tobytes()))
+                    rows.append((int(k), name, docs_in.astype(np.int32).tobytes(), ids[a:b][docs_in].tobytes(), keys[a:b][docs_in].tobytes(), counts.astype(np.int32).tobytes(), _pack_bits(dropped), hashes[mine][~dropped].tobytes()))
                 fields = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), *[pa.array(x, pa.binary()) for x in fields[1:]]], ["bucket", "ids", "keys", "counts", "dropped", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int64()), *[pa.array(x, pa.binary()) for x in fields[2:]]], ["bucket", "chunk", "docs", "ids", "keys", "counts", "dropped", "hashes"])
 
     def judge(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = [np.frombuffer(r[0], np.int64) for r in rows]
-        counts = [np.frombuffer(r[2], np.int32) for r in rows]
-        flags = [np.unpackbits(np.frombuffer(r[3], np.uint8), count=int(c.sum())).astype(bool) for r, c in zip(rows, counts)]
-        hashes = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
+        ids = [np.frombuffer(r[2], np.int64) for r in rows]
+        counts = [np.frombuffer(r[4], np.int32) for r in rows]
+        flags = [np.unpackbits(np.frombuffer(r[5], np.uint8), count=int(c.sum())).astype(bool) for r, c in zip(rows, counts)]
+        hashes = np.concatenate([np.frombuffer(r[6], np.uint64) for r in rows])
         owner = np.concatenate([np.repeat(i, c)[~f] for i, c, f in zip(ids, counts, flags)])
         order = np.argsort(hashes, kind="stable")
         h, d = hashes[order], owner[order]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, int)
         late = np.empty(len(h), bool)
         if len(h):
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             late[order] = d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(h))))
-        at = 0
+        at, out = 0, []
         for r, i, c, f in zip(rows, ids, counts, flags):
             kept = np.flatnonzero(~f)
             full = f.copy()
             full[kept] = late[at : at + len(kept)]
             at += len(kept)
-            if not full.any():
-                continue
-            edges = np.concatenate([[0], np.cumsum(c)])
-            hit = np.flatnonzero(np.add.reduceat(full, edges[:-1]))
-            keys = np.frombuffer(r[1], np.int64)
-            bits = [_pack_bits(full[edges[j] : edges[j + 1]]) for j in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(i[hit]), pa.array(keys[hit]), pa.array(np.full(len(hit), bucket, np.int32)), pa.array(bits, pa.binary())], ["doc_id", "key", "bucket", "flags"])
+            if full.any():
+                hit = np.add.reduceat(full, np.concatenate([[0], np.cumsum(c)[:-1]])) > 0
+                docs, keys = np.frombuffer(r[1], np.int32), np.frombuffer(r[3], np.int64)
+                out.append((r[0], bucket, docs[hit].tobytes(), i[hit].tobytes(), keys[hit].tobytes(), c[hit].tobytes(), _pack_bits(full[np.repeat(hit, c)]), b""))
+        for k in range(0, len(out), 200):
+            fields = list(zip(*out[k : k + 200]))
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], [c.split()[0] for c in FLAGGED.split(", ")])
 
-    packed = docs.select("doc_id", "key", "text").mapInArrow(pack, "bucket int, ids binary, keys binary, counts binary, dropped binary, hashes binary")
-    return by_bucket(packed, ["ids", "keys", "counts", "dropped", "hashes"], "doc_id long, key long, bucket int, flags binary", judge), buckets
+    sent = ["chunk", "docs", "ids", "keys", "counts", "dropped", "hashes"]
+    packed = docs.select("doc_id", "key", "text").mapInArrow(pack, "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in sent[1:]))
+    return flags_of_texts(dealt(packed, "bucket", sent, FLAGGED, judge)), buckets
 
 
 def covered_words(hashes: np.ndarray, n_words: int, window: int, buckets: int, flags: list[tuple[int, bytes]]) -> np.ndarray:
@@ -139,7 +141,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER
     source = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     rows = source.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     flags, buckets = repeated_windows(rows, window, per_bucket, chunk)
-    flags = flags.groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
+    flags = flags.dropDuplicates(["doc_id", "key"])  # rows that repeat have the same flags
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +152,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER
                 spans: list[int] = []
                 if found:
                     hashes, _, _ = window_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window)
-                    gone = covered_words(hashes, len(words), window, buckets, [(f["bucket"], f["flags"]) for f in found])
+                    gone = covered_words(hashes, len(words), window, buckets, [(f["bucket"], f["bits"]) for f in found])
                     spans = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
                     kept = b" ".join(compress(words, ~gone))
                 else:
