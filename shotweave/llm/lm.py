@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, columns, stored, text_buffers, text_or_empty, word_hashes
-from .packed import CHUNK, by_bucket, cut_by_bucket, n_buckets
+from .packed import CHUNK, FLAGGED, chunk_key, cut_by_bucket, dealt, flags_of_texts, n_buckets
 from .substring import window_hashes
 
 BACKOFF = 0.4
@@ -44,8 +44,10 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pair_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Pass 1. For each text and bucket: a bit for each of the text's pairs in it, whether another text has the pair,
-    and the sum of log counts over those: doc_id, key, bucket, flags, part."""
+    """Pass 1. For each text: a bit for each of its pairs, whether another text has the pair (by bucket, in order of
+    place), and the sum of log counts over those: doc_id, key, flags, part."""
+
+    sent = ["chunk", "docs", "ids", "keys", "counts", "hashes"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,19 +61,19 @@ def _pair_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
                     continue
                 doc = np.repeat(np.arange(b - a), n_pairs)
                 place, edges = cut_by_bucket(_bucket(pairs, buckets), buckets)
-                out = []
+                out, name = [], chunk_key(ids[a:b], keys[a:b])
                 for k in np.flatnonzero(np.diff(edges)):
                     mine = place[edges[k] : edges[k + 1]]
                     docs_in, counts = np.unique(doc[mine], return_counts=True)
                     short = np.ascontiguousarray(pairs[mine].view(np.uint8).reshape(-1, 8)[:, 8 - width :])
-                    out.append((int(k), ids[a:b][docs_in].tobytes(), keys[a:b][docs_in].tobytes(), counts.astype(np.int32).tobytes(), short.tobytes()))
+                    out.append((int(k), name, docs_in.astype(np.int32).tobytes(), ids[a:b][docs_in].tobytes(), keys[a:b][docs_in].tobytes(), counts.astype(np.int32).tobytes(), short.tobytes()))
                 fields = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), *[pa.array(x, pa.binary()) for x in fields[1:]]], ["bucket", "ids", "keys", "counts", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int64()), *[pa.array(x, pa.binary()) for x in fields[2:]]], ["bucket", *sent])
 
     def count(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        counts = np.concatenate([np.frombuffer(r[2], np.int32) for r in held])
+        counts = np.concatenate([np.frombuffer(r[4], np.int32) for r in held])
         wide = np.zeros((int(counts.sum()), 8), np.uint8)
-        wide[:, 8 - width :] = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, width)
+        wide[:, 8 - width :] = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, width)
         hashes = wide.view(np.uint64).ravel()
         order = np.argsort(hashes, kind="stable")
         h, d = hashes[order], np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
@@ -84,16 +86,17 @@ def _pair_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
         others[order] = left
         edges = np.concatenate([[0], np.cumsum(counts)])
         parts = np.add.reduceat(np.log(np.maximum(others, 1)), edges[:-1])
-        found = others > 0
-        flags = [np.packbits(found[i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:])]
-        ids = np.frombuffer(b"".join(r[0] for r in held), np.int64)
-        keys = np.frombuffer(b"".join(r[1] for r in held), np.int32)
-        for i in range(0, len(ids), 50_000):
-            s = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(keys[s]), pa.array(np.full(len(ids[s]), bucket, np.int32)), pa.array(flags[s], pa.binary()), pa.array(parts[s])], ["doc_id", "key", "bucket", "flags", "part"])
+        at = 0
+        for name, docs, ids, keys, n, _ in held:
+            to = at + len(docs) // 4
+            bits = np.packbits(others[edges[at] : edges[to]] > 0).tobytes()
+            row = (name, bucket, docs, ids, keys, n, bits, parts[at:to].tobytes())
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in FLAGGED.split(", ")])
+            at = to
 
-    packed = rows.mapInArrow(pack, "bucket int, ids binary, keys binary, counts binary, hashes binary")
-    return by_bucket(packed, ["ids", "keys", "counts", "hashes"], "doc_id long, key int, bucket int, flags binary, part double", count)
+    packed = rows.mapInArrow(pack, "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in sent[1:]))
+    return flags_of_texts(dealt(packed, "bucket", sent, FLAGGED, count))
 
 
 def _run_lengths(new: np.ndarray) -> np.ndarray:
@@ -104,15 +107,16 @@ def _run_lengths(new: np.ndarray) -> np.ndarray:
 
 
 def _word_parts(joined: DataFrame, pair_buckets: int, buckets: int) -> DataFrame:
-    """Pass 2. For each text and bucket of words the sum of their log counts, by how often each stands as a found pair's
-    first word (less) or a missing pair's second (more): doc_id, key, part, and once for each text n_missing,
-    n_words, n_rows. ``joined``: doc_id, key, text, flags (of pass 1)."""
+    """Pass 2. For each text the sum of its words' log counts, by how often each stands as a found pair's first word
+    (less) or a missing pair's second (more), with what pass 1 gave: doc_id, part, n_missing, n_words.
+    ``joined``: doc_id, key, text, flags, part (of pass 1)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, keys, flags = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
+            sums = np.asarray(batch.column(4))
             data, offsets = text_buffers(batch.column(2))
             for a, b in chunks(offsets, CHUNK):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -120,7 +124,7 @@ def _word_parts(joined: DataFrame, pair_buckets: int, buckets: int) -> DataFrame
                 pairs, n_pairs, _ = window_hashes(part, at, 2)
                 own_bucket = _bucket(pairs, pair_buckets)
                 word_at, pair_at = np.cumsum(n_words) - n_words, np.cumsum(n_pairs) - n_pairs
-                base, missing = np.zeros(b - a), np.zeros(b - a, np.int64)
+                base, missing = sums[a:b].copy(), np.zeros(b - a, np.int64)
                 entries: list[tuple[np.ndarray, ...]] = []
                 for i in np.flatnonzero(n_words):
                     mine = words[word_at[i] : word_at[i] + n_words[i]]
@@ -128,56 +132,62 @@ def _word_parts(joined: DataFrame, pair_buckets: int, buckets: int) -> DataFrame
                     in_bucket = own_bucket[pair_at[i] : pair_at[i] + n_pairs[i]]
                     for f in flags[int(a + i)].as_py() or ():
                         places = np.flatnonzero(in_bucket == f["bucket"])
-                        found[places] = np.unpackbits(np.frombuffer(f["flags"], np.uint8), count=len(places)).astype(bool)
-                        base[i] += f["part"]
+                        found[places] = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=len(places)).astype(bool)
                     distinct, inverse, own = np.unique(mine, return_inverse=True, return_counts=True)
                     times = np.bincount(inverse[1:][~found], minlength=len(distinct)) - np.bincount(inverse[:-1][found], minlength=len(distinct))
                     times[inverse[0]] += 1
                     missing[i] = 1 + n_pairs[i] - found.sum()
                     base[i] += math.log(BACKOFF) * (missing[i] - 1)
                     entries.append((distinct, np.full(len(distinct), i, np.int32), times.astype(np.int32), own.astype(np.int32)))
+                name, out = chunk_key(ids[a:b], keys[a:b]), []
+                texts = [x.tobytes() for x in (ids[a:b], base, missing, n_words.astype(np.int64))]
                 if not entries:
-                    continue
+                    out.append((0, name, *[b""] * 6, *texts))
+                    entries = [(np.empty(0, np.uint64), *[np.empty(0, np.int32)] * 3)]
                 word, doc, times, own = (np.concatenate(x) for x in zip(*entries))
                 order = np.argsort(word, kind="stable")
                 place, edges = cut_by_bucket(_bucket(word[order], buckets), buckets)
-                first = True
-                out = []
                 for k in np.flatnonzero(np.diff(edges)):
                     mine = order[place[edges[k] : edges[k + 1]]]
                     starts = np.flatnonzero(np.concatenate([[True], word[mine][1:] != word[mine][:-1]]))
                     used = times[mine] != 0
                     per_word = np.add.reduceat(used, starts, dtype=np.int32)
                     u = mine[used]
-                    out.append((int(k), ids[a:b].tobytes(), keys[a:b].tobytes(), word[mine][starts].tobytes(), np.add.reduceat(own[mine], starts).astype(np.int32).tobytes(), per_word.tobytes(), doc[u].tobytes(), times[u].tobytes(), own[u].tobytes(), base.tobytes() if first else b"", missing.tobytes() if first else b"", n_words.astype(np.int64).tobytes() if first else b""))
-                    first = False
+                    out.append((int(k), name, word[mine][starts].tobytes(), np.add.reduceat(own[mine], starts, dtype=np.int32).tobytes(), per_word.tobytes(), doc[u].tobytes(), times[u].tobytes(), own[u].tobytes(), *(texts if not out else [b""] * 4)))
                 fields = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), *[pa.array(x, pa.binary()) for x in fields[1:]]], ["bucket", *_FIELDS])
+                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int64()), *[pa.array(x, pa.binary()) for x in fields[2:]]], ["bucket", *_FIELDS])
 
     def add(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate([np.frombuffer(r[2], np.uint64) for r in held])
-        totals = np.concatenate([np.frombuffer(r[3], np.int32) for r in held])
+        words = np.concatenate([np.frombuffer(r[1], np.uint64) for r in held])
+        totals = np.concatenate([np.frombuffer(r[2], np.int32) for r in held])
         _, inverse = np.unique(words, return_inverse=True)
         counts = np.bincount(inverse, totals)[inverse]
         at = 0
-        for ids, keys, w, _, per_word, doc, times, own, base, missing, n_words in held:
+        for name, w, _, per_word, doc, times, own, *texts in held:
             mine = counts[at : at + len(w) // 8]
             at += len(w) // 8
-            ids, keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int32)
             others = np.repeat(mine, np.frombuffer(per_word, np.int32)) - np.frombuffer(own, np.int32)
-            doc = np.frombuffer(doc, np.int32)
-            parts = np.bincount(doc, np.frombuffer(times, np.int32) * np.log(np.maximum(others, UNSEEN)), minlength=len(ids))
-            once = [np.frombuffer(x, np.int64) if x else np.zeros(len(ids), np.int64) for x in (missing, n_words)]
-            if base:
-                parts = parts + np.frombuffer(base)
-            told = np.arange(len(ids)) if base else np.unique(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(x[told]) for x in (ids, keys, parts, *once, np.full(len(ids), int(bool(base)), np.int64))], ["doc_id", "key", "part", "n_missing", "n_words", "n_rows"])
-
-    packed = joined.mapInArrow(pack, "bucket int, " + ", ".join(f"{x} binary" for x in _FIELDS))
-    return by_bucket(packed, list(_FIELDS), "doc_id long, key int, part double, n_missing long, n_words long, n_rows long", add)
-
-
-_FIELDS = ("ids", "keys", "words", "totals", "per_word", "doc", "times", "own", "base", "missing", "n_words")
+            parts = np.bincount(np.frombuffer(doc, np.int32), np.frombuffer(times, np.int32) * np.log(np.maximum(others, UNSEEN)))
+            row = (name, parts.astype(np.float64).tobytes(), *texts)
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["chunk", "parts", "ids", "base", "missing", "n_words"])
+
+    def merge(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # Equal chunks share a name; each then has its own texts, and adds equal parts.
+        firsts = [r for r in held if r[1]]
+        ids, base, missing, n_words = (np.frombuffer(x, t) for x, t in zip(firsts[0][1:], (np.int64, np.float64, np.int64, np.int64)))
+        total = np.zeros(len(ids))
+        for r in held:
+            part = np.frombuffer(r[0])
+            total[: len(part)] += part
+        for _ in firsts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, base + total / len(firsts), missing, n_words)], ["doc_id", "part", "n_missing", "n_words"])
+
+    packed = joined.mapInArrow(pack, "bucket int, chunk long, " + ", ".join(f"{x} binary" for x in _FIELDS[1:]))
+    sums = dealt(packed, "bucket", list(_FIELDS), "chunk long, parts binary, ids binary, base binary, missing binary, n_words binary", add)
+    return dealt(sums, "chunk", ["parts", "ids", "base", "missing", "n_words"], "doc_id long, part double, n_missing long, n_words long", merge)
+
+
+_FIELDS = ("chunk", "words", "totals", "per_word", "doc", "times", "own", "ids", "base", "missing", "n_words")
 #: Stands for a null doc_id within the passes.
 _NULL = -(1 << 63)
 
@@ -191,19 +201,14 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     texts of their own, and vouch for each other. Null ids are kept. Extra columns are not read.
     """
     source = columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), text_or_empty().alias("text"))
-    rows = source.select("doc_id", F.hash("text").alias("key"), "text")
+    rows = source.select("doc_id", F.xxhash64("text").alias("key"), "text")
     pair_buckets, word_buckets = n_buckets(rows, PAIRS_PER_BUCKET), n_buckets(rows, WORDS_PER_BUCKET)
     pairs = _pair_counts(rows, pair_buckets, hash_bytes(pair_buckets * PAIRS_PER_BUCKET))
-    pairs = pairs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "flags", "part")).alias("flags"))
-    joined = rows.join(pairs, ["doc_id", "key"], "left").select("doc_id", "key", "text", "flags")
-    parts = _word_parts(joined, pair_buckets, word_buckets).groupBy("doc_id", "key")
-    totals = stored(parts.agg(*[F.sum(c).alias(c) for c in ("part", "n_missing", "n_words", "n_rows")]), "lm-scores")
-    n_all = totals.agg(F.sum("n_words")).first()[0] or 0
-    n = F.col("n_rows")  # rows that repeat have been added up
-    words, missing = F.col("n_words") / n, F.col("n_missing") / n
-    log_n = F.log(F.greatest(F.lit(float(n_all)) - words, F.lit(1.0)))
-    totals = totals.select("doc_id", "key", words.cast("long").alias("n_words"), (F.col("part") / n - missing * log_n).alias("log_score"))
-    scored = rows.select("doc_id", "key").join(totals, ["doc_id", "key"], "left")
-    score = F.round(F.coalesce("log_score", F.lit(0.0)), 6)
-    n_words = F.coalesce("n_words", F.lit(0).cast("long"))
-    return scored.select(F.when(F.col("doc_id") > _NULL, F.col("doc_id")).alias("doc_id"), n_words.alias("n_words"), score.alias("log_score"), F.round(F.when(n_words > 0, score / n_words).otherwise(0.0), 6).alias("mean_log_score"))
+    pairs = pairs.dropDuplicates(["doc_id", "key"])  # rows that repeat have the same counts
+    joined = rows.join(pairs, ["doc_id", "key"], "left").select("doc_id", "key", "text", "flags", F.coalesce("part", F.lit(0.0)).alias("part"))
+    scored = stored(_word_parts(joined, pair_buckets, word_buckets), "lm-scores")
+    n_all = float(scored.agg(F.sum("n_words")).first()[0] or 0)
+    log_n = F.log(F.greatest(F.lit(n_all) - F.col("n_words"), F.lit(1.0)))
+    score = F.round(F.col("part") - F.col("n_missing") * log_n, 6)
+    mean = F.round(F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(0.0), 6)
+    return scored.select(F.when(F.col("doc_id") > _NULL, F.col("doc_id")).alias("doc_id"), "n_words", score.alias("log_score"), mean.alias("mean_log_score"))
