@@ -1,6 +1,8 @@
-"""Registered queries by name, and the SQL that gives the same rows where SQL can."""
+"""All registered queries by name, and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import segmentation, timelines  # noqa: F401  each registers its queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
