@@ -4,11 +4,15 @@ The model is of order 2. S(w | v) = c(v w) / c(v) if c(v w) > 0, else BACKOFF *
 c(w) / N. Counts are of all documents but the one that is scored, so that no text vouches for itself.
 
 A text's score is a sum over its places, and the counts that a place needs lie in three hash partitions: that of its
-pair, of its first word and of its second. Each partition adds its part for every place it holds:
+pair, of its first word and of its second. So
 
-    found pairs:  log c(v w) - log c(v)            missing pairs:  log BACKOFF + log c(w) - log N
+1. each chunk of texts sends its distinct pairs with their counts to the pairs' partitions, which send the totals back;
+2. with these the chunk knows which places are found. A found pair v w adds log c(v w) - log c(v), a missing one
+   log BACKOFF + log c(w) - log N. The chunk adds up the pairs' part itself and sends its distinct words with their
+   counts, and how often each text needs each word's logarithm (more or less), to the words' partitions;
+3. these send back sums for the chunk's texts.
 
-The pair partitions tell which places are found (a bit each); the word partitions then add the words' logarithms.
+Chunks travel with their texts, compressed, from step 1 to step 2.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, columns, stored, text_buffers, text_or_empty, word_hashes
-from .packed import CHUNK, FLAGGED, chunk_key, cut_by_bucket, dealt, flags_of_texts, n_buckets
+from .packed import CHUNK, chunk_key, cut_by_bucket, dealt, n_buckets
 from .substring import window_hashes
 
 BACKOFF = 0.4
@@ -43,136 +47,167 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes & ((np.uint64(1) << bits) - np.uint64(1))) * np.uint64(n) >> bits).astype(np.int64)
 
 
-def _pair_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Pass 1. For each text: a bit for each of its pairs, whether another text has the pair (by bucket, in order of
-    place), and the sum of log counts over those: doc_id, key, flags, part."""
+def _short(hashes: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
 
-    sent = ["chunk", "docs", "ids", "keys", "counts", "hashes"]
+
+def _long(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, 8 - width :] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Integers in as few bytes each as the largest needs, after a byte that says how many."""
+    most = int(np.abs(numbers).max()) if len(numbers) else 0
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+
+
+def _batch(fields: list, names: list[str], *kinds: pa.DataType) -> pa.RecordBatch:
+    kinds += (pa.binary(),) * (len(names) - len(kinds))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], names)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, ids, bytes, offsets) of each chunk of texts; the same from every pass over the same rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, offsets = text_buffers(batch.column(2))
+        for a, b in chunks(offsets, CHUNK):
+            yield chunk_key(ids[a:b], keys[a:b]), ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+_CODEC = "zstd"
+
+
+def _pair_totals(rows: DataFrame, buckets: int, width: int) -> DataFrame:
+    """Step 1. For each chunk and bucket of pairs, how often each of the chunk's distinct pairs occurs in all texts, in
+    order of hash: chunk, bucket, data."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            data, offsets = text_buffers(batch.column(2))
-            for a, b in chunks(offsets, CHUNK):
-                pairs, n_pairs, _ = window_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 2)
-                if not len(pairs):
-                    continue
-                doc = np.repeat(np.arange(b - a), n_pairs)
-                place, edges = cut_by_bucket(_bucket(pairs, buckets), buckets)
-                out, name = [], chunk_key(ids[a:b], keys[a:b])
-                for k in np.flatnonzero(np.diff(edges)):
-                    mine = place[edges[k] : edges[k + 1]]
-                    docs_in, counts = np.unique(doc[mine], return_counts=True)
-                    short = np.ascontiguousarray(pairs[mine].view(np.uint8).reshape(-1, 8)[:, 8 - width :])
-                    out.append((int(k), name, docs_in.astype(np.int32).tobytes(), ids[a:b][docs_in].tobytes(), keys[a:b][docs_in].tobytes(), counts.astype(np.int32).tobytes(), short.tobytes()))
-                fields = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int64()), *[pa.array(x, pa.binary()) for x in fields[2:]]], ["bucket", *sent])
+        for name, _, data, offsets in _chunks(batches):
+            pairs, counts = np.unique(window_hashes(data, offsets, 2)[0], return_counts=True)
+            place, edges = cut_by_bucket(_bucket(pairs, buckets), buckets)
+            used = np.flatnonzero(np.diff(edges))
+            parts = [place[edges[k] : edges[k + 1]] for k in used]
+            if len(used):
+                yield _batch([used, [name] * len(used), [_short(pairs[p], width) for p in parts], [_small(counts[p]) for p in parts]], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
 
     def count(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        counts = np.concatenate([np.frombuffer(r[4], np.int32) for r in held])
-        wide = np.zeros((int(counts.sum()), 8), np.uint8)
-        wide[:, 8 - width :] = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, width)
-        hashes = wide.view(np.uint64).ravel()
+        hashes = np.concatenate([_long(r[1], width) for r in held])
+        counts = np.concatenate([_wide(r[2]) for r in held]).astype(np.int32)
         order = np.argsort(hashes, kind="stable")
-        h, d = hashes[order], np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
-        # Within equal hashes the places of one text stay together, so both counts are lengths of runs.
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        new_own = new | np.concatenate([[True], d[1:] != d[:-1]])
-        del h, d, wide
-        left = _run_lengths(new) - _run_lengths(new_own)
-        others = np.empty(len(hashes), np.int32)
-        others[order] = left
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        parts = np.add.reduceat(np.log(np.maximum(others, 1)), edges[:-1])
+        h = hashes[order]
+        del hashes
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        runs = np.diff(np.append(starts, len(h)))
+        del h
+        totals = np.empty(len(order), np.int64)
+        totals[order] = np.repeat(np.add.reduceat(counts[order], starts, dtype=np.int64), runs)
         at = 0
-        for name, docs, ids, keys, n, _ in held:
-            to = at + len(docs) // 4
-            bits = np.packbits(others[edges[at] : edges[to]] > 0).tobytes()
-            row = (name, bucket, docs, ids, keys, n, bits, parts[at:to].tobytes())
-            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in FLAGGED.split(", ")])
-            at = to
-
-    packed = rows.mapInArrow(pack, "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in sent[1:]))
-    return flags_of_texts(dealt(packed, "bucket", sent, FLAGGED, count))
+        for name, part, _ in held:
+            n = len(part) // width
+            yield _batch([[name], [bucket], [_small(totals[at : at + n])]], ["chunk", "bucket", "data"], pa.int64(), pa.int32())
+            at += n
 
+    packed = rows.mapInArrow(pack, "bucket int, chunk long, hashes binary, counts binary")
+    return dealt(packed, "bucket", ["chunk", "hashes", "counts"], "chunk long, bucket int, data binary", count)
 
-def _run_lengths(new: np.ndarray) -> np.ndarray:
-    """For each place, how long the run that it lies in is; a run begins where ``new`` is set."""
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(new)))
-    return np.repeat(lengths, lengths)
 
-
-def _word_parts(joined: DataFrame, pair_buckets: int, buckets: int) -> DataFrame:
-    """Pass 2. For each text the sum of its words' log counts, by how often each stands as a found pair's first word
-    (less) or a missing pair's second (more), with what pass 1 gave: doc_id, part, n_missing, n_words.
-    ``joined``: doc_id, key, text, flags, part (of pass 1)."""
+def _texts(rows: DataFrame) -> DataFrame:
+    """The texts of each chunk, compressed: chunk, bucket (-1), data, ids, offsets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for name, ids, data, offsets in _chunks(batches):
+            packed = pa.compress(data.tobytes(), codec=_CODEC, asbytes=True)
+            yield _batch([[name], [-1], [packed], [ids.tobytes()], [offsets.astype(np.int64).tobytes()]], ["chunk", "bucket", "data", "ids", "offsets"], pa.int64(), pa.int32())
+
+    return rows.mapInArrow(pack, "chunk long, bucket int, data binary, ids binary, offsets binary")
+
+
+_SENT = ["bucket", "chunk", "words", "totals", "per_word", "doc", "times", "own", "ids", "base", "missing", "n_words"]
+
+
+def _needs(doc_of: np.ndarray, words: np.ndarray, times: np.ndarray, n_docs: int) -> tuple[np.ndarray, ...]:
+    """How often each text needs each of its words, by word, then text: word, text, times, own count."""
+    word, inverse = np.unique(words, return_inverse=True)
+    key, inverse, own = np.unique(inverse * n_docs + doc_of, return_inverse=True, return_counts=True)
+    return word[key // n_docs], key % n_docs, np.bincount(inverse, times, len(key)).astype(np.int64), own
+
+
+def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: int) -> DataFrame:
+    """Step 2, for each chunk and bucket of words (_SENT). ``chunked`` has both of step 1's tables."""
+
+    def score(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        answers = {r[0]: r[1] for r in held if r[0] >= 0}  # chunks of one name are equal, and so are their answers
+        for _, packed, ids, offsets in (r for r in held if r[0] < 0):
+            offsets = np.frombuffer(offsets, np.int64)
+            data = np.frombuffer(pa.decompress(packed, int(offsets[-1]), codec=_CODEC, asbytes=True), np.uint8)
+            n_docs = len(offsets) - 1
+            words, n_words = word_hashes(data, offsets)
+            pairs, n_pairs, _ = window_hashes(data, offsets, 2)
+            doc_of_pair, doc_of_word = np.repeat(np.arange(n_docs), n_pairs), np.repeat(np.arange(n_docs), n_words)
+            distinct, inverse = np.unique(pairs, return_inverse=True)
+            place, edges = cut_by_bucket(_bucket(distinct, pair_buckets), pair_buckets)
+            totals = np.zeros(len(distinct), np.int64)
+            for k in np.flatnonzero(np.diff(edges)):
+                totals[place[edges[k] : edges[k + 1]]] = _wide(answers[int(k)])
+            _, again, own = np.unique(doc_of_pair * max(len(distinct), 1) + inverse, return_inverse=True, return_counts=True)
+            others = totals[inverse] - own[again] if len(pairs) else np.empty(0, np.int64)
+            found = others > 0
+            missing = np.bincount(doc_of_pair, ~found, n_docs)
+            base = np.bincount(doc_of_pair, np.log(np.maximum(others, 1)), n_docs) + math.log(BACKOFF) * missing
+            first = np.cumsum(n_words) - n_words
+            left = first[doc_of_pair] + np.arange(len(pairs)) - (np.cumsum(n_pairs) - n_pairs)[doc_of_pair]
+            times = np.zeros(len(words), np.int64)
+            times[left] -= found
+            times[left + 1] += ~found
+            times[first[n_words > 0]] += 1
+            texts = [ids, base.tobytes(), (missing + (n_words > 0)).astype(np.int64).tobytes(), n_words.astype(np.int64).tobytes()]
+            if not len(words):
+                yield _batch([[0], [name], *[[b""]] * 6, *[[x] for x in texts]], _SENT, pa.int32(), pa.int64())
                 continue
-            ids, keys, flags = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
-            sums = np.asarray(batch.column(4))
-            data, offsets = text_buffers(batch.column(2))
-            for a, b in chunks(offsets, CHUNK):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                words, n_words = word_hashes(part, at)
-                pairs, n_pairs, _ = window_hashes(part, at, 2)
-                own_bucket = _bucket(pairs, pair_buckets)
-                word_at, pair_at = np.cumsum(n_words) - n_words, np.cumsum(n_pairs) - n_pairs
-                base, missing = sums[a:b].copy(), np.zeros(b - a, np.int64)
-                entries: list[tuple[np.ndarray, ...]] = []
-                for i in np.flatnonzero(n_words):
-                    mine = words[word_at[i] : word_at[i] + n_words[i]]
-                    found = np.zeros(n_pairs[i], bool)
-                    in_bucket = own_bucket[pair_at[i] : pair_at[i] + n_pairs[i]]
-                    for f in flags[int(a + i)].as_py() or ():
-                        places = np.flatnonzero(in_bucket == f["bucket"])
-                        found[places] = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=len(places)).astype(bool)
-                    distinct, inverse, own = np.unique(mine, return_inverse=True, return_counts=True)
-                    times = np.bincount(inverse[1:][~found], minlength=len(distinct)) - np.bincount(inverse[:-1][found], minlength=len(distinct))
-                    times[inverse[0]] += 1
-                    missing[i] = 1 + n_pairs[i] - found.sum()
-                    base[i] += math.log(BACKOFF) * (missing[i] - 1)
-                    entries.append((distinct, np.full(len(distinct), i, np.int32), times.astype(np.int32), own.astype(np.int32)))
-                name, out = chunk_key(ids[a:b], keys[a:b]), []
-                texts = [x.tobytes() for x in (ids[a:b], base, missing, n_words.astype(np.int64))]
-                if not entries:
-                    out.append((0, name, *[b""] * 6, *texts))
-                    entries = [(np.empty(0, np.uint64), *[np.empty(0, np.int32)] * 3)]
-                word, doc, times, own = (np.concatenate(x) for x in zip(*entries))
-                order = np.argsort(word, kind="stable")
-                place, edges = cut_by_bucket(_bucket(word[order], buckets), buckets)
-                for k in np.flatnonzero(np.diff(edges)):
-                    mine = order[place[edges[k] : edges[k + 1]]]
-                    starts = np.flatnonzero(np.concatenate([[True], word[mine][1:] != word[mine][:-1]]))
-                    used = times[mine] != 0
-                    per_word = np.add.reduceat(used, starts, dtype=np.int32)
-                    u = mine[used]
-                    out.append((int(k), name, word[mine][starts].tobytes(), np.add.reduceat(own[mine], starts, dtype=np.int32).tobytes(), per_word.tobytes(), doc[u].tobytes(), times[u].tobytes(), own[u].tobytes(), *(texts if not out else [b""] * 4)))
-                fields = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int64()), *[pa.array(x, pa.binary()) for x in fields[2:]]], ["bucket", *_FIELDS])
+            word, doc, times, own = _needs(doc_of_word, words, times, n_docs)
+            place, edges = cut_by_bucket(_bucket(word, buckets), buckets)
+            for n, k in enumerate(np.flatnonzero(np.diff(edges))):
+                mine = place[edges[k] : edges[k + 1]]
+                starts = np.flatnonzero(np.concatenate([[True], word[mine][1:] != word[mine][:-1]]))
+                used = times[mine] != 0
+                u = mine[used]
+                numbers = [_small(x) for x in (np.add.reduceat(own[mine], starts), np.add.reduceat(used, starts, dtype=np.int64), doc[u], times[u], own[u])]
+                row = [int(k), name, _short(word[mine][starts], width), *numbers, *(texts if n == 0 else [b""] * 4)]
+                yield _batch([[x] for x in row], _SENT, pa.int32(), pa.int64())
+
+    return dealt(chunked, "chunk", ["bucket", "data", "ids", "offsets"], "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _SENT[2:]), score)
+
+
+def _sums(requests: DataFrame, width: int) -> DataFrame:
+    """Step 3. doc_id, part, n_missing, n_words of each text."""
 
     def add(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate([np.frombuffer(r[1], np.uint64) for r in held])
-        totals = np.concatenate([np.frombuffer(r[2], np.int32) for r in held])
+        words = np.concatenate([_long(r[1], width) for r in held])
+        totals = np.concatenate([_wide(r[2]) if r[2] else np.empty(0, np.int64) for r in held])
         _, inverse = np.unique(words, return_inverse=True)
-        counts = np.bincount(inverse, totals)[inverse]
+        counts = np.bincount(inverse, totals).astype(np.int64)[inverse] if len(words) else totals
         at = 0
         for name, w, _, per_word, doc, times, own, *texts in held:
-            mine = counts[at : at + len(w) // 8]
-            at += len(w) // 8
-            others = np.repeat(mine, np.frombuffer(per_word, np.int32)) - np.frombuffer(own, np.int32)
-            parts = np.bincount(np.frombuffer(doc, np.int32), np.frombuffer(times, np.int32) * np.log(np.maximum(others, UNSEEN)))
-            row = (name, parts.astype(np.float64).tobytes(), *texts)
-            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["chunk", "parts", "ids", "base", "missing", "n_words"])
+            parts = np.empty(0)
+            if w:
+                mine = counts[at : at + len(w) // width]
+                at += len(w) // width
+                others = np.repeat(mine, _wide(per_word)) - _wide(own)
+                parts = np.bincount(_wide(doc), _wide(times) * np.log(np.maximum(others, UNSEEN)))
+            yield _batch([[name], [parts.astype(np.float64).tobytes()], *[[x] for x in texts]], ["chunk", "parts", "ids", "base", "missing", "n_words"], pa.int64())
 
     def merge(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # Equal chunks share a name; each then has its own texts, and adds equal parts.
+        # Chunks of one name are equal; each has its own texts, and adds equal parts.
         firsts = [r for r in held if r[1]]
         ids, base, missing, n_words = (np.frombuffer(x, t) for x, t in zip(firsts[0][1:], (np.int64, np.float64, np.int64, np.int64)))
         total = np.zeros(len(ids))
@@ -182,12 +217,10 @@ def _word_parts(joined: DataFrame, pair_buckets: int, buckets: int) -> DataFrame
         for _ in firsts:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, base + total / len(firsts), missing, n_words)], ["doc_id", "part", "n_missing", "n_words"])
 
-    packed = joined.mapInArrow(pack, "bucket int, chunk long, " + ", ".join(f"{x} binary" for x in _FIELDS[1:]))
-    sums = dealt(packed, "bucket", list(_FIELDS), "chunk long, parts binary, ids binary, base binary, missing binary, n_words binary", add)
+    sums = dealt(requests, "bucket", _SENT[1:], "chunk long, parts binary, ids binary, base binary, missing binary, n_words binary", add)
     return dealt(sums, "chunk", ["parts", "ids", "base", "missing", "n_words"], "doc_id long, part double, n_missing long, n_words long", merge)
 
 
-_FIELDS = ("chunk", "words", "totals", "per_word", "doc", "times", "own", "ids", "base", "missing", "n_words")
 #: Stands for a null doc_id within the passes.
 _NULL = -(1 << 63)
 
@@ -203,10 +236,9 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     source = columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), text_or_empty().alias("text"))
     rows = source.select("doc_id", F.xxhash64("text").alias("key"), "text")
     pair_buckets, word_buckets = n_buckets(rows, PAIRS_PER_BUCKET), n_buckets(rows, WORDS_PER_BUCKET)
-    pairs = _pair_counts(rows, pair_buckets, hash_bytes(pair_buckets * PAIRS_PER_BUCKET))
-    pairs = pairs.dropDuplicates(["doc_id", "key"])  # rows that repeat have the same counts
-    joined = rows.join(pairs, ["doc_id", "key"], "left").select("doc_id", "key", "text", "flags", F.coalesce("part", F.lit(0.0)).alias("part"))
-    scored = stored(_word_parts(joined, pair_buckets, word_buckets), "lm-scores")
+    width = hash_bytes(pair_buckets * PAIRS_PER_BUCKET)
+    chunked = _pair_totals(rows, pair_buckets, width).unionByName(_texts(rows), allowMissingColumns=True)
+    scored = stored(_sums(_word_requests(chunked, pair_buckets, word_buckets, width), width), "lm-scores")
     n_all = float(scored.agg(F.sum("n_words")).first()[0] or 0)
     log_n = F.log(F.greatest(F.lit(n_all) - F.col("n_words"), F.lit(1.0)))
     score = F.round(F.col("part") - F.col("n_missing") * log_n, 6)
