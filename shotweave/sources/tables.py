@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="shotweave-"))
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the folder that all executors share (spark.checkpoint.dir; a temporary one only where the session
-    names none) and read it back, so that what comes after neither repeats nor depends on what came before."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="shotweave-"))
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    """Write a table in the shared folder and read it back, so that what comes after neither repeats nor depends on what
+    came before."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
