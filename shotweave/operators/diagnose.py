@@ -43,3 +43,18 @@ def round_robin(rows: DataFrame, stratum: str, group: str, order: list, most: in
     turns = rows.withColumn("turn", F.row_number().over(Window.partitionBy(stratum, group).orderBy(*order)))
     places = turns.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("turn", group)))
     return places.where(F.col("place") <= most)
+
+
+def average_precision(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
+    """The mean over positives of the precision at their score; equal scores count together: by, ap."""
+    values = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p"))
+    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    values = values.select(*by, "p", (F.sum("p").over(down) / F.sum("c").over(down)).alias("precision"))
+    return values.groupBy(*by).agg((F.sum(F.col("p") * F.col("precision")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"))
+
+
+def measure_study(pairs: DataFrame, measures: list[str], positive: str) -> DataFrame:
+    """How well each measure tells pairs apart: measure, n, auc, ap, threshold, f1."""
+    rows = pairs.select(positive, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 9).alias("value")) for m in measures])))
+    out = rank_auc(rows, "value", positive, ["measure"]).join(average_precision(rows, "value", positive, ["measure"]), "measure")
+    return out.join(best_threshold(rows, "value", positive, ["measure"]), "measure")

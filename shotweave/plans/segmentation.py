@@ -395,3 +395,21 @@ def sampled_pairs(spark, sf_dir):
     pairs = coherence.band_pairs(shots, 40, ["clip", "scene"]).where("a_scene = b_scene").withColumn("clip", vec.dot("a_clip", "b_clip"))
     binned = pairs.withColumn("bin", F.least(F.lit(7), F.greatest(F.lit(0), F.floor((F.col("clip") + 0.4) * 10))))
     return round_robin(binned, "bin", "video", ["i", "j"], 24).select("bin", "video", "i", "j")
+
+
+@query(f"""WITH {IN_SCENE}, lb AS (SELECT pr.*, a.label = b.label AS same FROM pr JOIN i a ON a.video = pr.video AND a.shot = pr.i JOIN i b ON b.video = pr.video AND b.shot = pr.j),
+ms AS (SELECT 'clip' AS measure, round(clip, 9) AS value, same FROM lb UNION ALL SELECT 'color', round(color, 9), same FROM lb UNION ALL SELECT 'phash', round(phash, 9), same FROM lb UNION ALL SELECT 'prob', round(prob, 9), same FROM lb),
+rk AS (SELECT *, rank() OVER (PARTITION BY measure ORDER BY value) + (count(*) OVER (PARTITION BY measure, value) - 1) / 2 AS r FROM ms),
+au AS (SELECT measure, count(*) AS n, (sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2) / (count(*) FILTER (same) * count(*) FILTER (NOT same)) AS auc FROM rk GROUP BY measure),
+vl AS (SELECT measure, value, count(*) AS c, count(*) FILTER (same) AS p FROM ms GROUP BY measure, value),
+cm AS (SELECT *, sum(p) OVER (PARTITION BY measure ORDER BY value DESC) AS tp, sum(c) OVER (PARTITION BY measure ORDER BY value DESC) AS said, sum(p) OVER (PARTITION BY measure) AS ap FROM vl)
+SELECT measure, n, round(auc, 6) AS auc, round(sum(p * tp / said) / max(ap), 6) AS ap, round(max(2 * tp / (said + ap)) FILTER (value > low), 6) AS f1 FROM au JOIN cm USING (measure) JOIN (SELECT measure, min(value) AS low FROM vl GROUP BY measure) USING (measure) GROUP BY measure, n, auc""")
+def similarity_study(spark, sf_dir):
+    """How well each similarity tells shots of one label from others."""
+    from ..operators.diagnose import measure_study
+
+    shots = _scene_shots(spark, sf_dir)
+    own = shots.select("video", F.col("shot").alias("i"), F.col("label").alias("a")), shots.select("video", F.col("shot").alias("j"), F.col("label").alias("b"))
+    pairs = unique.scene_pairs(shots, U).join(own[0], ["video", "i"]).join(own[1], ["video", "j"]).withColumn("same", F.col("a") == F.col("b"))
+    out = measure_study(materialised(pairs.select("clip", "color", "phash", "prob", "same"), "study"), ["clip", "color", "phash", "prob"], "same")
+    return _rounded(out, "auc", "ap", "f1").drop("threshold")

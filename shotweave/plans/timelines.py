@@ -228,3 +228,10 @@ def round_trim(spark, sf_dir):
     from ..sources.adapters import table
 
     return table(spark, sf_dir, "events").select("event_id", F.round("value", 1).alias("rounded"), F.col("value").cast("long").alias("whole"), F.least(F.greatest("value", F.lit(10.0)), F.lit(90.0)).alias("clipped"))
+
+
+@query(f"WITH {FRAMES} SELECT round(seconds, 6) AS seconds, video, frame FROM f WHERE event_type = 'error' ORDER BY seconds, video")
+def error_order(spark, sf_dir):
+    """Errors of all videos in order of time."""
+    rows = event_frames(spark, sf_dir).where("event_type = 'error'").orderBy("seconds", "video")
+    return rows.select(F.round("seconds", 6).alias("seconds"), "video", "frame")
