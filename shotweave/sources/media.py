@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DURATION = r"Duration:\s*(\d+):(\d+):(\d+(?:\.\d+)?)"
 STREAM = r"Stream #\S+.*?: Video: (\w+).*?, (\d{2,5})x(\d{2,5})"
@@ -45,7 +46,7 @@ def content_ids(files: DataFrame) -> DataFrame:
     return files.select("path", F.substring(F.sha1(F.concat(F.col("length").cast("string").cast("binary"), edge)), 1, 16).alias("video_id"), "length")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(names: pd.Series) -> pd.Series:
     """Names in Unicode's composed form, so that equal names are equal; Spark has no function for it."""
     return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n))
