@@ -9,6 +9,8 @@ from .common import SPACE, columns, stored, text_or_empty
 
 #: Rows of a group that meet in one join key; larger groups are dealt over several.
 PER_SALT = 1000
+#: Large groups that may be told to all tasks: tens of bytes each.
+MOST_BROADCAST = 100_000
 
 
 def exact_groups(docs: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
@@ -31,7 +33,7 @@ def exact_groups(docs: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
     digest = stored(digest, "exact-digests")
     # Written, so that both sides of the join are plain exchanges, whose hot partitions Spark splits.
     groups = stored(digest.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "exact-groups")
-    rows = digest.join(groups, "h")
+    rows = _with_groups(digest, groups, per_salt)
 
     members = rows.where("n > 1").select("doc_id", "h", "keep_id", "n").distinct()
     texts = docs.select("doc_id", F.unhex(F.md5("norm")).alias("h"), "norm")
@@ -64,6 +66,19 @@ def exact_groups(docs: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
     )
 
 
+def _with_groups(digest: DataFrame, groups: DataFrame, per_salt: int) -> DataFrame:
+    """Each row's group. Rows of groups over ``per_salt`` are dealt by group and salt, and so are copies of their group;
+    the large groups are told to all tasks where they are few, else Spark's own splitting of hot partitions has to do."""
+    large = groups.where(F.col("n") > per_salt)
+    if large.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return digest.join(groups, "h")
+    salts = F.ceil(F.col("n") / per_salt).cast("int")
+    rows = digest.join(F.broadcast(large.select("h", salts.alias("salts"))), "h", "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.join(copies, ["h", "salt"]).drop("salt")
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """Stage form: the rows of ``docs`` with the smallest doc_id of each group of equal texts, all columns."""
     groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
