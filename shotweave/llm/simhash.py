@@ -17,7 +17,7 @@ from .substring import window_hashes
 
 WORDS, RADIUS = 3, 2
 #: Fingerprints of one band value that are compared in one group; more are split in tiles that meet in pairs.
-TILE = 4096
+TILE = 1024
 #: Shingles whose bits are unpacked at a time.
 AT_ONCE = 1 << 16
 LANES = 64
