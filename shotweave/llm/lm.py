@@ -33,12 +33,13 @@ BACKOFF = 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 #: Pairs, and words of texts, that a bucket should hold.
-PAIRS_PER_BUCKET, WORDS_PER_BUCKET = 4_000_000, 16_000_000
+PAIRS_PER_BUCKET, WORDS_PER_BUCKET = 2_000_000, 8_000_000
 
 
 def hash_bytes(n_places: float) -> int:
-    """Bytes of a pair's hash to ship (besides its bucket): so many that about no two pairs of all share one."""
-    return 6 if n_places * n_places < 2.0**54 else 8
+    """Bytes of a pair's hash to ship (besides its bucket): so many that about no two pairs of all share one. Beyond what
+    six bytes and the bucket tell apart it is seven, with the sign bit kept free for differences."""
+    return 6 if n_places * n_places < 2.0**54 else 7
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -47,25 +48,34 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes & ((np.uint64(1) << bits) - np.uint64(1))) * np.uint64(n) >> bits).astype(np.int64)
 
 
-def _short(hashes: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
-
-
-def _long(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, 8 - width :] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
+_CODEC = "zstd"
 
 
 def _small(numbers: np.ndarray) -> bytes:
-    """Integers in as few bytes each as the largest needs, after a byte that says how many."""
-    most = int(np.abs(numbers).max()) if len(numbers) else 0
-    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)
-    return bytes([np.dtype(kind).itemsize]) + numbers.astype(kind).tobytes()
+    """Integers as planes of bytes, compressed: the high bytes, mostly equal, take next to no room."""
+    n = numbers.astype(np.int64)
+    plain = ((n << 1) ^ (n >> 63)).view(np.uint64)  # the sign goes to the lowest bit
+    width = max(1, -(-int(plain.max()).bit_length() // 8)) if len(plain) else 1
+    planes = np.ascontiguousarray(plain.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(n).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec=_CODEC, asbytes=True)
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec=_CODEC, asbytes=True), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, n).T
+    plain = out.view(np.uint64).ravel()
+    return (plain >> np.uint64(1)).view(np.int64) ^ -(plain & np.uint64(1)).view(np.int64)
+
+
+def _short(hashes: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of ascending hashes, as differences."""
+    return _small(np.diff((hashes >> np.uint64(64 - 8 * width)).view(np.int64), prepend=np.int64(0)))
+
+
+def _long(data: bytes) -> np.ndarray:
+    return np.cumsum(_wide(data)).view(np.uint64)
 
 
 def _batch(fields: list, names: list[str], *kinds: pa.DataType) -> pa.RecordBatch:
@@ -84,9 +94,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
             yield chunk_key(ids[a:b], keys[a:b]), ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-_CODEC = "zstd"
-
-
 def _pair_totals(rows: DataFrame, buckets: int, width: int) -> DataFrame:
     """Step 1. For each chunk and bucket of pairs, how often each of the chunk's distinct pairs occurs in all texts, in
     order of hash: chunk, bucket, data."""
@@ -101,7 +108,7 @@ def _pair_totals(rows: DataFrame, buckets: int, width: int) -> DataFrame:
                 yield _batch([used, [name] * len(used), [_short(pairs[p], width) for p in parts], [_small(counts[p]) for p in parts]], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
 
     def count(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate([_long(r[1], width) for r in held])
+        hashes = np.concatenate([_long(r[1]) for r in held])
         counts = np.concatenate([_wide(r[2]) for r in held]).astype(np.int32)
         order = np.argsort(hashes, kind="stable")
         h = hashes[order]
@@ -112,8 +119,8 @@ def _pair_totals(rows: DataFrame, buckets: int, width: int) -> DataFrame:
         totals = np.empty(len(order), np.int64)
         totals[order] = np.repeat(np.add.reduceat(counts[order], starts, dtype=np.int64), runs)
         at = 0
-        for name, part, _ in held:
-            n = len(part) // width
+        for name, _, part in held:
+            n = int.from_bytes(part[1:9], "little")
             yield _batch([[name], [bucket], [_small(totals[at : at + n])]], ["chunk", "bucket", "data"], pa.int64(), pa.int32())
             at += n
 
@@ -188,20 +195,20 @@ def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: i
     return dealt(chunked, "chunk", ["bucket", "data", "ids", "offsets"], "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _SENT[2:]), score)
 
 
-def _sums(requests: DataFrame, width: int) -> DataFrame:
+def _sums(requests: DataFrame) -> DataFrame:
     """Step 3. doc_id, part, n_missing, n_words of each text."""
 
     def add(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate([_long(r[1], width) for r in held])
+        words = [_long(r[1]) if r[1] else np.empty(0, np.uint64) for r in held]
         totals = np.concatenate([_wide(r[2]) if r[2] else np.empty(0, np.int64) for r in held])
-        _, inverse = np.unique(words, return_inverse=True)
-        counts = np.bincount(inverse, totals).astype(np.int64)[inverse] if len(words) else totals
+        _, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        counts = np.bincount(inverse, totals).astype(np.int64)[inverse] if len(totals) else totals
         at = 0
-        for name, w, _, per_word, doc, times, own, *texts in held:
+        for w, (name, _, _, per_word, doc, times, own, *texts) in zip(words, held):
             parts = np.empty(0)
-            if w:
-                mine = counts[at : at + len(w) // width]
-                at += len(w) // width
+            if len(w):
+                mine = counts[at : at + len(w)]
+                at += len(w)
                 others = np.repeat(mine, _wide(per_word)) - _wide(own)
                 parts = np.bincount(_wide(doc), _wide(times) * np.log(np.maximum(others, UNSEEN)))
             yield _batch([[name], [parts.astype(np.float64).tobytes()], *[[x] for x in texts]], ["chunk", "parts", "ids", "base", "missing", "n_words"], pa.int64())
@@ -238,7 +245,7 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     pair_buckets, word_buckets = n_buckets(rows, PAIRS_PER_BUCKET), n_buckets(rows, WORDS_PER_BUCKET)
     width = hash_bytes(pair_buckets * PAIRS_PER_BUCKET)
     chunked = _pair_totals(rows, pair_buckets, width).unionByName(_texts(rows), allowMissingColumns=True)
-    scored = stored(_sums(_word_requests(chunked, pair_buckets, word_buckets, width), width), "lm-scores")
+    scored = stored(_sums(_word_requests(chunked, pair_buckets, word_buckets, width)), "lm-scores")
     n_all = float(scored.agg(F.sum("n_words")).first()[0] or 0)
     log_n = F.log(F.greatest(F.lit(n_all) - F.col("n_words"), F.lit(1.0)))
     score = F.round(F.col("part") - F.col("n_missing") * log_n, 6)
