@@ -140,3 +140,42 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Stage form: the rows of ``docs`` that hold no benchmark item, all columns; a null doc_id stays."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+
+
+_T = rf"""regexp_replace(regexp_replace(regexp_replace(%s, '{NUMBER}', ' ' || chr(1) || ' ', 'g'), '{UNIT.replace(chr(1), chr(92) + 'x01')}', chr(1) || ' ' || chr(3) || ' ', 'g'), '{NAME}', '\1' || chr(2) || ' ', 'g')"""
+_TOKENS = rf"list_filter(regexp_split_to_array(lower({_T}), '{BREAK}'), lambda x: x <> '')"
+_N = f"regexp_replace(%s, '{NUMBER}', ' ' || chr(1) || ' ', 'g')"
+_VALUES = {
+    "number": f"regexp_extract_all(%s, '({NUMBER})', 1)",
+    "name": f"regexp_extract_all(regexp_replace({_N}, '{UNIT.replace(chr(1), chr(92) + 'x01')}', chr(1) || ' ' || chr(3) || ' ', 'g'), '{NAME}', 2)",
+    "unit": f"regexp_extract_all({_N}, '{UNIT.replace(chr(1), chr(92) + 'x01')}', 1)",
+}
+
+
+def _slots_sql(kind: str) -> str:
+    mark = f"chr({ord(SLOTS[kind])})"
+    count = lambda tokens, upto: f"len(list_filter({tokens}[1:{upto}], lambda x: x = {mark}))"
+    value = lambda text, tokens, upto: f"lower(({_VALUES[kind] % text})[{count(tokens, upto)}])"
+    return f"""SELECT doc_id, item_id, '{kind}' AS kind, {value('item_text', 'bt', 'k + 1')} AS b, {value('text', 'dt', 'k + shift + 1')} AS d FROM ex
+  WHERE bt[k + 1] = {mark} AND k + shift >= 0 AND dt[k + shift + 1] = {mark}"""
+
+
+SQL = rf"""
+WITH dk AS (SELECT doc_id, text, {_TOKENS % "text"} AS tk FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+bk AS (SELECT item_id, text AS item_text, {_TOKENS % "text"} AS tk FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bp AS (SELECT item_id, tk, unnest(range(0, len(tk) - {WINDOW - 1})) AS pos FROM bk),
+bw AS (SELECT item_id, array_to_string(tk[pos + 1:pos + {WINDOW}], ' ') AS w, min(pos) AS bpos FROM bp
+  WHERE 2 * len(list_filter(tk[pos + 1:pos + {WINDOW}], lambda x: x NOT IN (chr(1), chr(2), chr(3)))) >= {WINDOW} GROUP BY 1, 2),
+bn AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM bw),
+dp AS (SELECT doc_id, tk, unnest(range(0, len(tk) - {WINDOW - 1})) AS pos FROM dk),
+ln AS (SELECT doc_id, item_id, n_windows, bpos, min(pos - bpos) AS shift FROM (SELECT doc_id, pos, array_to_string(tk[pos + 1:pos + {WINDOW}], ' ') AS w FROM dp) JOIN bn USING (w) GROUP BY ALL),
+mt AS (SELECT doc_id, item_id, n_windows, count(*) AS n_matched FROM ln GROUP BY ALL HAVING count(*) >= {COVERAGE} * n_windows),
+rn AS (SELECT doc_id, item_id, shift, count(*) AS n, min(bpos) AS lo, max(bpos) AS hi FROM ln GROUP BY ALL),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift) AS k FROM rn) WHERE k = 1),
+ex AS (SELECT doc_id, item_id, shift, item_text, text, bk.tk AS bt, dk.tk AS dt, unnest(range(lo, hi + {WINDOW})) AS k FROM mt JOIN bs USING (doc_id, item_id) JOIN bk USING (item_id) JOIN dk USING (doc_id)),
+sl AS ({' UNION ALL '.join(map(_slots_sql, SLOTS))}),
+sg AS (SELECT doc_id, item_id, kind, b, count(*) AS n, count(DISTINCT d) AS nd, sum(CAST(b <> d AS INTEGER)) AS changed FROM sl GROUP BY ALL),
+st AS (SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_slots, CAST(sum(changed) AS BIGINT) AS n_changed, max(nd) AS nd FROM sg GROUP BY ALL)
+SELECT mt.doc_id, mt.item_id, n_windows, n_matched, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed
+FROM mt LEFT JOIN st ON st.doc_id = mt.doc_id AND st.item_id = mt.item_id WHERE coalesce(nd, 1) <= 1
+"""
