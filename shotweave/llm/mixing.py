@@ -67,7 +67,9 @@ def exponent(shares: DataFrame, target_entropy: float | None = None, max_repetit
 
 
 def _key(*parts: Column | int) -> Column:
-    return F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
+    """A number from a hash of the parts, below 2**60."""
+    joined = F.concat_ws("|", *[(F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
 def mixed(docs: DataFrame, target_entropy: float | None = None, max_repetition: float = MAX_REPETITION, budget_ratio: float | None = None, per_block: int = PER_BLOCK, seed: int = SEED) -> DataFrame:
@@ -114,3 +116,24 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repetition:
     parts = parts.withColumn("copies", F.col("passes") + (F.col("above") < F.col("left")).cast("int")).drop("above")
     used = whole.unionByName(parts).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     return used.select("doc_id", "source", "pass", "n_tokens", F.round("weight", 9).alias("weight"), _key(seed, F.col("pass"), F.col("source"), F.col("block")).alias("block_key"), _key(seed, F.col("pass"), F.col("doc_id")).alias("doc_key"))
+
+
+SQL = rf"""
+WITH r AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens FROM documents),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n FROM r GROUP BY source),
+t AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, max(tokens) / min(tokens) AS spread FROM s),
+-- The smallest exponent, in steps of 2**-25, at which no source is repeated more than {MAX_REPETITION} times.
+a AS (SELECT total, CASE WHEN spread <= {MAX_REPETITION} THEN 0.0::DOUBLE ELSE ceil((1 - ln({MAX_REPETITION}::DOUBLE) / ln(spread)) * 33554432) / 33554432 END AS a FROM t),
+z AS (SELECT total, a, sum(power(tokens / total, a)) AS z, min(power(tokens / total, a - 1)) AS low FROM s, a GROUP BY total, a),
+w AS (SELECT s.*, power(tokens / total, a) / z AS weight, round(power(tokens / total, a) / z * (z / low) * total, 3) AS quota, least(CAST(ceil(n / {PER_BLOCK}) AS BIGINT), {MOST_BLOCKS}) AS blocks FROM s, z),
+p AS (SELECT *, CAST(floor(quota / tokens) AS BIGINT) AS passes, quota - floor(quota / tokens) * tokens AS rest FROM w),
+d AS (SELECT r.*, weight, passes, rest, ('0x' || left(md5('{SEED}|' || doc_id), 15))::BIGINT % blocks AS block FROM r JOIN p USING (source)),
+b AS (SELECT source, block, passes, rest, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY ('0x' || left(md5('{SEED}|' || passes || '|' || source || '|' || block), 15))::BIGINT, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+e AS (SELECT d.*, c.before, c.tokens, coalesce(sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY ('0x' || left(md5('{SEED}|' || d.passes || '|' || doc_id), 15))::BIGINT, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+  FROM d JOIN c ON c.source = d.source AND c.block = d.block),
+f AS (SELECT *, passes + CASE WHEN before >= rest THEN 0 WHEN before + tokens <= rest THEN 1 WHEN above < rest - before THEN 1 ELSE 0 END AS copies FROM e),
+u AS (SELECT *, unnest(range(0, copies)) AS pass FROM f)
+SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, n_tokens, round(weight, 9) AS weight, ('0x' || left(md5('{SEED}|' || pass || '|' || source || '|' || block), 15))::BIGINT AS block_key,
+       ('0x' || left(md5('{SEED}|' || pass || '|' || doc_id), 15))::BIGINT AS doc_key FROM u
+"""

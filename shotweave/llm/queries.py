@@ -55,4 +55,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_substring_dedup, op7_token_counts, op8_license_scan, op9_lm_scores, op10_chat_format)}
-ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op6_substring_dedup": substring.SQL, "op10_chat_format": chat.SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op4_decontaminate": decontam.SQL, "op5_mix_sources": mixing.SQL, "op6_substring_dedup": substring.SQL, "op10_chat_format": chat.SQL}

@@ -74,6 +74,25 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_sql_gives_the_same_pairs_and_mixture(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    texts = [
+        "Then a farmer named Mary Jones sold 7 kg of apples to the market and then 7 kg of pears before noon. More.", "A farmer named Mary Jones sold 7 kg of apples to the market and then 9 kg of pears before noon", BENCH[0][1], BENCH[1][1] + " 12 kg", "", None,
+        "Later, John Smith and Mary sold 12 kg of apples to the market and then 12 t of pears before noon", "A farmer named Ann sold 1,200.5 kg of apples to the market and then 1,200.5 kg of pears before noon",
+    ]
+    rows = [(i, t, "en", f"s{i % 3}" if i else None, 0) for i, t in enumerate(texts)]
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(BENCH, "item_id long, text string")
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", BENCH)
+    for df, sql in ((decontam.contaminated(docs, bench), decontam.SQL), (mixing.mixed(docs), mixing.SQL)):
+        want = con.sql(sql)
+        got = sorted(tuple(r[c] for c in want.columns) for r in df.collect())
+        assert [tuple(map(str, g)) for g in got] == [tuple(map(str, w)) for w in sorted(want.fetchall())] and got
+
+
 def test_broadcast_and_shuffled_joins_agree(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
