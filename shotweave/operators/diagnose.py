@@ -58,3 +58,8 @@ def measure_study(pairs: DataFrame, measures: list[str], positive: str) -> DataF
     rows = pairs.select(positive, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 9).alias("value")) for m in measures])))
     out = rank_auc(rows, "value", positive, ["measure"]).join(average_precision(rows, "value", positive, ["measure"]), "measure")
     return out.join(best_threshold(rows, "value", positive, ["measure"]), "measure")
+
+
+def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with a clear label, as ``duplicate``: D is one, N isn't, others (unsure) are left out. Joined by ``pair``."""
+    return pairs.join(labels.where(F.col("label").isin("D", "N")), "pair").withColumn("duplicate", F.col("label") == "D").drop("label")

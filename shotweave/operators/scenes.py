@@ -60,3 +60,19 @@ def public_json(scenes: DataFrame) -> DataFrame:
 def clip_plan(scenes: DataFrame) -> DataFrame:
     """What an exporter would cut: video, scene_id, start, duration, file."""
     return scenes.select("video", "scene_id", F.col("start_seconds").alias("start"), F.col("duration_seconds").alias("duration"), F.format_string("scene_%03d.mp4", "scene_id").alias("file"))
+
+
+def full_result(scenes: DataFrame, cuts: DataFrame, shots: DataFrame) -> DataFrame:
+    """One JSON document for each video with what its scenes were decided by: video, document."""
+    scene = F.struct("scene_id", "start_seconds", "end_seconds", "duration_seconds", "shot_start", "shot_end", "shot_count")
+    cut = F.struct("cut", "time", F.round("score", 4).alias("score"), F.round("depth", 4).alias("depth"), "decision")
+    rows = scenes.groupBy("video").agg(F.sort_array(F.collect_list(scene)).alias("scenes"))
+    rows = rows.join(cuts.groupBy("video").agg(F.sort_array(F.collect_list(cut)).alias("cuts")), "video", "left")
+    rows = rows.join(shots.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("shot", "start", "end"))).alias("shots")), "video", "left")
+    return rows.select("video", F.to_json(F.struct("video", "scenes", F.struct("cuts", "shots").alias("debug"))).alias("document"))
+
+
+def overlaid(predicted: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Boundaries that hold: a person's where there are any for the video, else the predicted ones: video, time."""
+    kept = predicted.join(corrected.select("video").distinct(), "video", "left_anti")
+    return kept.select("video", "time").unionByName(corrected.where("time IS NOT NULL").select("video", "time"))

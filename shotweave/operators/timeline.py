@@ -101,3 +101,31 @@ def filled(features: DataFrame, value: str) -> DataFrame:
     second = F.when(F.col("shot") == 0, F.lead(value).over(w))
     known = features.withColumn(value, F.coalesce(value, second))
     return known.withColumn(value, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def adaptive_cuts(frames: DataFrame, ratio: float = 3.0, least: float = 15.0, reach: int = 2) -> DataFrame:
+    """Cuts where a frame's change stands out from its neighbours' mean by ``ratio`` and is at least ``least``: video,
+    cut, peak, n_frames. The first and last ``reach`` frames can't be judged. ``frames``: video, frame, prob."""
+    w = Window.partitionBy("video").orderBy("frame")
+    around = (F.sum("prob").over(w.rowsBetween(-reach, reach)) - F.col("prob")) / (2 * reach)
+    rows = frames.withColumn("n_frames", F.count(F.lit(1)).over(Window.partitionBy("video"))).withColumn("around", around)
+    stands = F.when(F.col("around") > 1e-5, F.col("prob") / F.col("around")).otherwise(F.when(F.col("prob") >= least, 255.0).otherwise(0.0))
+    inside = (F.col("frame") >= reach) & (F.col("frame") < F.col("n_frames") - reach)
+    return rows.where(inside & (stands >= ratio) & (F.col("prob") >= least)).select("video", F.col("frame").alias("cut"), F.col("prob").alias("peak"), "n_frames")
+
+
+#: Ways from a frame signal to cuts, by name; each takes frames and a threshold.
+DETECTORS = {"threshold": cuts, "adaptive": adaptive_cuts}
+
+
+def detected_shots(frames: DataFrame, videos: DataFrame, detector: str, threshold: float, least: int) -> DataFrame:
+    """Frames to shots by a named detector; an unknown name is an error."""
+    if detector not in DETECTORS:
+        raise ValueError(f"unknown shot detector: {detector}")
+    return shots_from_cuts(merge_short(DETECTORS[detector](frames, threshold), least), videos)
+
+
+def frame_time(start: Column, end: Column, position: Column, fps: Column) -> Column:
+    """A moment inside a shot at a relative position, a frame or a quarter of the shot from its ends."""
+    margin = F.least(1.0 / F.greatest(fps, F.lit(1.0)), (end - start) / 4)
+    return F.least(F.greatest(start + position * (end - start), start + margin), end - margin)

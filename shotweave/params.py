@@ -101,3 +101,13 @@ def layered(*layers: dict[str, dict[str, Any]] | str | Path) -> Params:
 def fingerprint(params: Any) -> str:
     """A short name for these parameters, for folders of results."""
     return hashlib.sha1(json.dumps(dataclasses.asdict(params), sort_keys=True).encode()).hexdigest()[:10]
+
+
+def to_toml(params: Params) -> str:
+    """These parameters as a TOML text that :func:`layered` reads back."""
+
+    def value(v: Any) -> str:
+        return json.dumps(list(v) if isinstance(v, tuple) else v)
+
+    sections = dataclasses.asdict(params)
+    return "\n".join(line for name, fields in sections.items() for line in (f"[{name}]", *(f"{k} = {value(v)}" for k, v in fields.items()), "")) + "\n"

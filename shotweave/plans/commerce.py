@@ -260,3 +260,29 @@ def latest_verdict(spark, sf_dir):
 def review_order(spark, sf_dir):
     rows = review.precision(_reviews(spark, sf_dir), ["type_id"]).select("type_id", "reviewed")
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("reviewed"), "type_id")).cast("long"))
+
+
+HSV = """hv AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 7.1 AS h, (l_partkey % 100) / 100.0::DOUBLE AS s, (l_suppkey % 20) / 20.0::DOUBLE AS v FROM lineitem),
+cn AS (SELECT *, CASE WHEN h < 15 THEN 'red' WHEN h < 40 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 165 THEN 'green' WHEN h < 260 THEN 'blue' WHEN h < 300 THEN 'purple' WHEN h < 340 THEN 'pink' WHEN h < 361 THEN 'red' END AS hue FROM hv),
+nm AS (SELECT *, CASE WHEN v < 0.18 THEN 'black' WHEN s < 0.16 AND v > 0.78 THEN 'white' WHEN s < 0.16 THEN 'grey' WHEN hue IN ('orange', 'yellow') AND s < 0.35 AND v >= 0.55 THEN 'beige' WHEN hue IN ('orange', 'yellow') AND v < 0.55 AND h < 50 THEN 'brown' ELSE hue END AS color FROM cn)"""
+
+
+def _colours(spark, sf_dir) -> DataFrame:
+    """A pixel for each line: its box is the order."""
+    from ..functions import colour
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") * 7.1).alias("h"), (F.pmod("l_partkey", F.lit(100)) / 100.0).alias("s"), (F.pmod("l_suppkey", F.lit(20)) / 20.0).alias("v"))
+    return rows.withColumn("color", colour.name(F.col("h"), F.col("s"), F.col("v")))
+
+
+@query(f"WITH {HSV} SELECT color, count(*) AS n FROM nm GROUP BY color")
+def color_names(spark, sf_dir):
+    return _colours(spark, sf_dir).groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {HSV}, k0 AS (SELECT l_orderkey, color, count(*) AS c FROM nm GROUP BY l_orderkey, color), k AS (SELECT *, sum(c) OVER (PARTITION BY l_orderkey) AS n FROM k0),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, color) AS place FROM k) SELECT l_orderkey, CASE WHEN c / n >= 0.55 THEN color END AS color, round(c / n, 6) AS share FROM r WHERE place = 1""")
+def dominant_color(spark, sf_dir):
+    from ..functions import colour
+
+    return colour.dominant(_colours(spark, sf_dir), ["l_orderkey"]).withColumn("share", F.round("share", 6))

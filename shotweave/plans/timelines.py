@@ -235,3 +235,17 @@ def error_order(spark, sf_dir):
     """Errors of all videos in order of time."""
     rows = event_frames(spark, sf_dir).where("event_type = 'error'").orderBy("seconds", "video")
     return rows.select(F.round("seconds", 6).alias("seconds"), "video", "frame")
+
+
+@query(f"""WITH {FRAMES}, a AS (SELECT *, count(*) OVER (PARTITION BY video) AS n_frames, (sum(prob) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - prob) / 4 AS around FROM f)
+SELECT video, frame AS cut, prob AS peak, n_frames FROM a WHERE frame >= 2 AND frame < n_frames - 2 AND prob / around >= 1.8 AND prob >= 15""")
+def adaptive_cuts(spark, sf_dir):
+    return timeline.adaptive_cuts(event_frames(spark, sf_dir), 1.8, 15.0)
+
+
+@query(f"""WITH RECURSIVE {SHOTS}, mg AS (SELECT *, least(1.0 / 25, ("end" - start) / 4) AS margin FROM s)
+SELECT video, shot, p.pos, round(least(greatest(start + p.p * ("end" - start), start + margin), "end" - margin), 6) AS seconds FROM mg, (VALUES (0, 0.001::DOUBLE), (1, 0.5::DOUBLE), (2, 0.999::DOUBLE)) AS p(pos, p)""")
+def frame_times(spark, sf_dir):
+    at = F.posexplode(F.array(F.lit(0.001), F.lit(0.5), F.lit(0.999))).alias("pos", "p")
+    rows = _shots(spark, sf_dir).select("video", "shot", "start", "end", at)
+    return rows.select("video", "shot", F.col("pos").cast("long").alias("pos"), F.round(timeline.frame_time(F.col("start"), F.col("end"), F.col("p"), F.lit(25.0)), 6).alias("seconds"))

@@ -98,3 +98,10 @@ def report_lines(rows: DataFrame, title: str) -> list[str]:
     cell = lambda v: f"{v:.3f}" if isinstance(v, float) else "-" if v is None else str(v)
     head = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     return [f"## {title}", *head, *["| " + " | ".join(map(cell, r)) + " |" for r in rows.collect()]]
+
+
+def dataset(labels: DataFrame, splits: DataFrame, videos: DataFrame, roles: list[str]) -> DataFrame:
+    """Valid labels of the given roles whose video is there: stem, role, boundaries, path, duration. ``videos``: stem, path,
+    duration. Names without a role are never used."""
+    rows = with_roles(validated(labels, videos.select("stem", "duration")).where("error IS NULL"), splits)
+    return rows.where(F.col("role").isin(*roles)).join(videos, "stem").select("stem", "role", "boundaries", "path", "duration")

@@ -269,3 +269,31 @@ def test_corrupt_detections_are_set_aside(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"video": "a", "shot": 1, "score": 0.5}\n{oops\n')
     rows = files.read_detections(spark, str(tmp_path)).cache()
     assert rows.where("corrupt IS NULL").count() == 1 and rows.where("corrupt IS NOT NULL").count() == 1
+
+
+def test_colours(spark):
+    import colorsys
+
+    from shotweave.functions import colour
+
+    rng = np.random.default_rng(0)
+    rgb = [tuple(map(float, x)) for x in rng.random((50, 3))] + [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.5, 0.5, 0.5)]
+    df = spark.createDataFrame(rgb, "r double, g double, b double").withColumn("x", colour.hsv(F.col("r"), F.col("g"), F.col("b")))
+    for row in df.collect():
+        h, s, v = colorsys.rgb_to_hsv(row.r, row.g, row.b)
+        assert (row.x.h, row.x.s, row.x.v) == pytest.approx((h * 360, s, v), abs=1e-6)
+    cases = {(0.0, 0.0, 0.1): "black", (0.0, 0.0, 0.9): "white", (0.0, 0.1, 0.5): "grey", (350.0, 0.9, 0.9): "red", (30.0, 0.9, 0.4): "brown", (45.0, 0.3, 0.8): "beige", (200.0, 0.5, 0.5): "blue"}
+    df = spark.createDataFrame(list(cases), "h double, s double, v double")
+    assert {(r.h, r.s, r.v): r.n for r in df.withColumn("n", colour.name(F.col("h"), F.col("s"), F.col("v"))).collect()} == cases
+    px = spark.createDataFrame([(1, "red")] * 3 + [(1, "blue")] + [(2, "red"), (2, "blue")], "box long, color string")
+    assert {r.box: r.color for r in colour.dominant(px, ["box"]).collect()} == {1: "red", 2: None}
+
+
+def test_datasets_and_pairs(spark):
+    labels_ = spark.createDataFrame([("a", [1.0], None), ("b", [1.0], None), ("c", [9.0], None)], "stem string, boundaries array<double>, error string")
+    splits = spark.createDataFrame([("a", "dev"), ("c", "dev")], "stem string, role string")
+    videos = spark.createDataFrame([("a", "p/a", 5.0), ("b", "p/b", 5.0), ("c", "p/c", 5.0)], "stem string, path string, duration double")
+    assert [r.stem for r in files.dataset(labels_, splits, videos, ["dev", "val"]).collect()] == ["a"]
+    pairs = spark.createDataFrame([(1,), (2,), (3,)], "pair long")
+    marks = spark.createDataFrame([(1, "D"), (2, "N"), (3, "U")], "pair long, label string")
+    assert {r.pair: r.duplicate for r in diagnose.labelled_pairs(pairs, marks).collect()} == {1: True, 2: False}

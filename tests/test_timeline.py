@@ -104,3 +104,20 @@ def test_parameters(tmp_path):
     with pytest.raises(ValueError):
         replaced(Params().grouping, clip_weight=0.0, color_weight=0.0)
     assert timeline.min_frames(0.4, 25.0) == 10 and timeline.min_frames(0.001, 25.0) == 1
+
+
+def test_detectors_by_name(spark):
+    df = frames(spark, [1.0] * 20 + [30.0] + [1.0] * 19)
+    assert cut_list(timeline.adaptive_cuts(df)) == [20]
+    videos = spark.createDataFrame([("v", 40, 10.0, 4.0)], "video string, n_frames long, fps double, duration double")
+    assert timeline.detected_shots(df, videos, "adaptive", 3.0, 2).count() == timeline.detected_shots(df, videos, "threshold", 3.0, 2).count() == 2
+    with pytest.raises(ValueError):
+        timeline.detected_shots(df, videos, "oracle", 3.0, 2)
+
+
+def test_parameters_round_trip(tmp_path):
+    from shotweave.params import to_toml
+
+    p = layered({"grouping": {"window_shots": 3}, "shots": {"frame_positions": [0.1, 0.9]}})
+    (tmp_path / "p.toml").write_text(to_toml(p))
+    assert layered(tmp_path / "p.toml") == p
