@@ -45,31 +45,32 @@ def similarity(p: Grouping) -> Column:
 
 
 def pair_similarities(shots: DataFrame, p: Grouping, reach: int | None = None) -> DataFrame:
-    """video, i, j, similarity and the gap in seconds between them, for pairs that any cut's window can hold."""
+    """video, i, j, similarity, the gap in seconds between them and the start of j, for pairs that any cut's window can hold."""
     pairs = band_pairs(shots, reach or max(1, 2 * p.window_shots - 1), ["clip", "color", "start", "end"])
-    return pairs.select("video", "i", "j", similarity(p).alias("similarity"), (F.col("b_start") - F.col("a_end")).alias("gap"))
+    return pairs.select("video", "i", "j", similarity(p).alias("similarity"), (F.col("b_start") - F.col("a_end")).alias("gap"), F.col("b_start").alias("start"))
 
 
 def cut_links(pairs: DataFrame, p: Grouping) -> DataFrame:
-    """Each pair under each cut k (between shots k and k + 1) whose window holds it: video, cut, i, j, value."""
+    """Each pair under each cut k (between shots k and k + 1) whose window holds it: video, cut, i, j, value, start (of j)."""
     w = max(1, p.window_shots)
     pairs = pairs.where((F.col("j") - F.col("i") <= 2 * w - 1) & ((F.col("gap") <= p.window_seconds) | (F.col("j") - F.col("i") == 1)))
     cuts = F.sequence(F.greatest(F.col("i"), F.col("j") - w), F.least(F.col("j") - 1, F.col("i") + w - 1))
     value = F.col("similarity") - p.distance_penalty * (F.col("j") - F.col("i") - 1)
-    return pairs.select("video", F.explode(cuts).alias("cut"), "i", "j", value.alias("value"))
+    return pairs.select("video", F.explode(cuts).alias("cut"), "i", "j", value.alias("value"), "start")
 
 
 def coherence(pairs: DataFrame, shots: DataFrame, p: Grouping) -> DataFrame:
     """The mean of each cut's best links: video, cut, time, coherence, score = 1 - coherence, best_i, best_j."""
     n = shots.groupBy("video").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("video", "cut").orderBy(F.desc("value"), F.desc("i"), F.desc("j"))
-    rows = cut_links(pairs, p).join(n, "video").withColumn("rank", F.row_number().over(order))
+    here = Window.partitionBy("video", "cut")
+    order = here.orderBy(F.desc("value"), F.desc("i"), F.desc("j"))
+    # The shot after the cut is always linked with the one before it, so its start is at hand without another join.
+    time = F.max(F.when(F.col("j") == F.col("cut") + 1, F.col("start"))).over(here)
+    rows = cut_links(pairs, p).join(n, "video").withColumn("rank", F.row_number().over(order)).withColumn("time", time)
     w = max(1, p.window_shots)
     most = F.greatest(F.lit(1), F.least(F.lit(p.coherence_topk), F.col("cut") + 1, F.col("n") - 1 - F.col("cut"), F.lit(w)))
     best = F.max_by(F.struct("i", "j"), F.struct("value", "i", "j"))
-    rows = rows.where(F.col("rank") <= most).groupBy("video", "cut").agg(F.avg("value").alias("coherence"), best.alias("best"))
-    times = shots.select("video", (F.col("shot") - 1).alias("cut"), F.col("start").alias("time"))
-    rows = rows.join(times, ["video", "cut"])
+    rows = rows.where(F.col("rank") <= most).groupBy("video", "cut").agg(F.max("time").alias("time"), F.avg("value").alias("coherence"), best.alias("best"))
     return rows.select("video", "cut", "time", "coherence", (1 - F.col("coherence")).alias("score"), F.col("best.i").alias("best_i"), F.col("best.j").alias("best_j"))
 
 

@@ -84,7 +84,7 @@ def adjacent_similarity(spark, sf_dir):
 
 @query(f"WITH {pairs_sql()} SELECT video, i, j, round(sim, 6) AS similarity, gap FROM p")
 def band_pairs(spark, sf_dir):
-    return _rounded(coherence.pair_similarities(embedding_shots(spark, sf_dir), P), "similarity")
+    return _rounded(coherence.pair_similarities(embedding_shots(spark, sf_dir), P), "similarity").drop("start")
 
 
 @query(f"WITH {EMB} SELECT a.video, a.shot AS i, b.shot AS j, round((0.6 * greatest(0, least(1, ({CLIP} - 0.1) / 0.9)) + 0.3 * {COLOR}) / 0.9, 6) AS blended FROM s a JOIN s b ON a.video = b.video AND b.shot > a.shot AND b.shot - a.shot <= 3")
