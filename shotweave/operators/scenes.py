@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Grouping
+from ..sources.tables import materialised
 from . import coherence, suppress, timeline
 
 
@@ -37,7 +38,7 @@ def scenes(boundaries: DataFrame, shots: DataFrame) -> DataFrame:
 
 def segmented(shots: DataFrame, p: Grouping) -> DataFrame:
     boundaries = cut_decisions(shots, p).where("decision = 'boundary'").select("video", F.round("time", 3).alias("time"))
-    return scenes(boundaries, shots)
+    return scenes(materialised(boundaries, "boundaries"), shots)
 
 
 def every_cut(shots: DataFrame) -> DataFrame:
