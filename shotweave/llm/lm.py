@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, stored, text_buffers, text_or_empty, word_hashes
-from .packed import CHUNK, chunk_key, cut_by_bucket, dealt, n_buckets
+from .common import columns, stored, text_or_empty, word_hashes
+from .packed import CODEC, batch_of, cut_by_bucket, dealt, long, n_buckets, named_chunks, short, small, texts_by_chunk, wide
 from .substring import window_hashes
 
 BACKOFF = 0.4
@@ -48,68 +48,22 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes & ((np.uint64(1) << bits) - np.uint64(1))) * np.uint64(n) >> bits).astype(np.int64)
 
 
-_CODEC = "zstd"
-
-
-def _small(numbers: np.ndarray) -> bytes:
-    """Integers as planes of bytes, compressed: the high bytes, mostly equal, take next to no room."""
-    n = numbers.astype(np.int64)
-    plain = ((n << 1) ^ (n >> 63)).view(np.uint64)  # the sign goes to the lowest bit
-    width = max(1, -(-int(plain.max()).bit_length() // 8)) if len(plain) else 1
-    planes = np.ascontiguousarray(plain.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + len(n).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec=_CODEC, asbytes=True)
-
-
-def _wide(data: bytes) -> np.ndarray:
-    width, n = data[0], int.from_bytes(data[1:9], "little")
-    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec=_CODEC, asbytes=True), np.uint8)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = planes.reshape(width, n).T
-    plain = out.view(np.uint64).ravel()
-    return (plain >> np.uint64(1)).view(np.int64) ^ -(plain & np.uint64(1)).view(np.int64)
-
-
-def _short(hashes: np.ndarray, width: int) -> bytes:
-    """The first ``width`` bytes of ascending hashes, as differences."""
-    return _small(np.diff((hashes >> np.uint64(64 - 8 * width)).view(np.int64), prepend=np.int64(0)))
-
-
-def _long(data: bytes) -> np.ndarray:
-    return np.cumsum(_wide(data)).view(np.uint64)
-
-
-def _batch(fields: list, names: list[str], *kinds: pa.DataType) -> pa.RecordBatch:
-    kinds += (pa.binary(),) * (len(names) - len(kinds))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], names)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(name, ids, bytes, offsets) of each chunk of texts; the same from every pass over the same rows."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        data, offsets = text_buffers(batch.column(2))
-        for a, b in chunks(offsets, CHUNK):
-            yield chunk_key(ids[a:b], keys[a:b]), ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-
-
 def _pair_totals(rows: DataFrame, buckets: int, width: int) -> DataFrame:
     """Step 1. For each chunk and bucket of pairs, how often each of the chunk's distinct pairs occurs in all texts, in
     order of hash: chunk, bucket, data."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, data, offsets in _chunks(batches):
+        for name, _, data, offsets in named_chunks(batches):
             pairs, counts = np.unique(window_hashes(data, offsets, 2)[0], return_counts=True)
             place, edges = cut_by_bucket(_bucket(pairs, buckets), buckets)
             used = np.flatnonzero(np.diff(edges))
             parts = [place[edges[k] : edges[k + 1]] for k in used]
             if len(used):
-                yield _batch([used, [name] * len(used), [_short(pairs[p], width) for p in parts], [_small(counts[p]) for p in parts]], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
+                yield batch_of([used, [name] * len(used), [short(pairs[p], width) for p in parts], [small(counts[p]) for p in parts]], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
 
     def count(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate([_long(r[1]) for r in held])
-        counts = np.concatenate([_wide(r[2]) for r in held]).astype(np.int32)
+        hashes = np.concatenate([long(r[1]) for r in held])
+        counts = np.concatenate([wide(r[2]) for r in held]).astype(np.int32)
         order = np.argsort(hashes, kind="stable")
         h = hashes[order]
         del hashes
@@ -121,24 +75,13 @@ def _pair_totals(rows: DataFrame, buckets: int, width: int) -> DataFrame:
         at = 0
         for name, _, part in held:
             n = int.from_bytes(part[1:9], "little")
-            yield _batch([[name], [bucket], [_small(totals[at : at + n])]], ["chunk", "bucket", "data"], pa.int64(), pa.int32())
+            yield batch_of([[name], [bucket], [small(totals[at : at + n])]], ["chunk", "bucket", "data"], pa.int64(), pa.int32())
             at += n
 
     packed = rows.mapInArrow(pack, "bucket int, chunk long, hashes binary, counts binary")
     return dealt(packed, "bucket", ["chunk", "hashes", "counts"], "chunk long, bucket int, data binary", count)
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """The texts of each chunk, compressed: chunk, bucket (-1), data, ids, offsets."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, data, offsets in _chunks(batches):
-            packed = pa.compress(data.tobytes(), codec=_CODEC, asbytes=True)
-            yield _batch([[name], [-1], [packed], [ids.tobytes()], [offsets.astype(np.int64).tobytes()]], ["chunk", "bucket", "data", "ids", "offsets"], pa.int64(), pa.int32())
-
-    return rows.mapInArrow(pack, "chunk long, bucket int, data binary, ids binary, offsets binary")
-
-
 _SENT = ["bucket", "chunk", "words", "totals", "per_word", "doc", "times", "own", "ids", "base", "missing", "n_words"]
 
 
@@ -156,7 +99,7 @@ def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: i
         answers = {r[0]: r[1] for r in held if r[0] >= 0}  # chunks of one name are equal, and so are their answers
         for _, packed, ids, offsets in (r for r in held if r[0] < 0):
             offsets = np.frombuffer(offsets, np.int64)
-            data = np.frombuffer(pa.decompress(packed, int(offsets[-1]), codec=_CODEC, asbytes=True), np.uint8)
+            data = np.frombuffer(pa.decompress(packed, int(offsets[-1]), codec=CODEC, asbytes=True), np.uint8)
             n_docs = len(offsets) - 1
             words, n_words = word_hashes(data, offsets)
             pairs, n_pairs, _ = window_hashes(data, offsets, 2)
@@ -165,7 +108,7 @@ def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: i
             place, edges = cut_by_bucket(_bucket(distinct, pair_buckets), pair_buckets)
             totals = np.zeros(len(distinct), np.int64)
             for k in np.flatnonzero(np.diff(edges)):
-                totals[place[edges[k] : edges[k + 1]]] = _wide(answers[int(k)])
+                totals[place[edges[k] : edges[k + 1]]] = wide(answers[int(k)])
             _, again, own = np.unique(doc_of_pair * max(len(distinct), 1) + inverse, return_inverse=True, return_counts=True)
             others = totals[inverse] - own[again] if len(pairs) else np.empty(0, np.int64)
             found = others > 0
@@ -179,7 +122,7 @@ def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: i
             times[first[n_words > 0]] += 1
             texts = [ids, base.tobytes(), (missing + (n_words > 0)).astype(np.int64).tobytes(), n_words.astype(np.int64).tobytes()]
             if not len(words):
-                yield _batch([[0], [name], *[[b""]] * 6, *[[x] for x in texts]], _SENT, pa.int32(), pa.int64())
+                yield batch_of([[0], [name], *[[b""]] * 6, *[[x] for x in texts]], _SENT, pa.int32(), pa.int64())
                 continue
             word, doc, times, own = _needs(doc_of_word, words, times, n_docs)
             place, edges = cut_by_bucket(_bucket(word, buckets), buckets)
@@ -188,9 +131,9 @@ def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: i
                 starts = np.flatnonzero(np.concatenate([[True], word[mine][1:] != word[mine][:-1]]))
                 used = times[mine] != 0
                 u = mine[used]
-                numbers = [_small(x) for x in (np.add.reduceat(own[mine], starts), np.add.reduceat(used, starts, dtype=np.int64), doc[u], times[u], own[u])]
-                row = [int(k), name, _short(word[mine][starts], width), *numbers, *(texts if n == 0 else [b""] * 4)]
-                yield _batch([[x] for x in row], _SENT, pa.int32(), pa.int64())
+                numbers = [small(x) for x in (np.add.reduceat(own[mine], starts), np.add.reduceat(used, starts, dtype=np.int64), doc[u], times[u], own[u])]
+                row = [int(k), name, short(word[mine][starts], width), *numbers, *(texts if n == 0 else [b""] * 4)]
+                yield batch_of([[x] for x in row], _SENT, pa.int32(), pa.int64())
 
     return dealt(chunked, "chunk", ["bucket", "data", "ids", "offsets"], "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _SENT[2:]), score)
 
@@ -199,8 +142,8 @@ def _sums(requests: DataFrame) -> DataFrame:
     """Step 3. doc_id, part, n_missing, n_words of each text."""
 
     def add(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = [_long(r[1]) if r[1] else np.empty(0, np.uint64) for r in held]
-        totals = np.concatenate([_wide(r[2]) if r[2] else np.empty(0, np.int64) for r in held])
+        words = [long(r[1]) if r[1] else np.empty(0, np.uint64) for r in held]
+        totals = np.concatenate([wide(r[2]) if r[2] else np.empty(0, np.int64) for r in held])
         _, inverse = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.bincount(inverse, totals).astype(np.int64)[inverse] if len(totals) else totals
         at = 0
@@ -209,9 +152,9 @@ def _sums(requests: DataFrame) -> DataFrame:
             if len(w):
                 mine = counts[at : at + len(w)]
                 at += len(w)
-                others = np.repeat(mine, _wide(per_word)) - _wide(own)
-                parts = np.bincount(_wide(doc), _wide(times) * np.log(np.maximum(others, UNSEEN)))
-            yield _batch([[name], [parts.astype(np.float64).tobytes()], *[[x] for x in texts]], ["chunk", "parts", "ids", "base", "missing", "n_words"], pa.int64())
+                others = np.repeat(mine, wide(per_word)) - wide(own)
+                parts = np.bincount(wide(doc), wide(times) * np.log(np.maximum(others, UNSEEN)))
+            yield batch_of([[name], [parts.astype(np.float64).tobytes()], *[[x] for x in texts]], ["chunk", "parts", "ids", "base", "missing", "n_words"], pa.int64())
 
     def merge(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         # Chunks of one name are equal; each has its own texts, and adds equal parts.
@@ -244,7 +187,7 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     rows = source.select("doc_id", F.xxhash64("text").alias("key"), "text")
     pair_buckets, word_buckets = n_buckets(rows, PAIRS_PER_BUCKET), n_buckets(rows, WORDS_PER_BUCKET)
     width = hash_bytes(pair_buckets * PAIRS_PER_BUCKET)
-    chunked = _pair_totals(rows, pair_buckets, width).unionByName(_texts(rows), allowMissingColumns=True)
+    chunked = _pair_totals(rows, pair_buckets, width).unionByName(texts_by_chunk(rows), allowMissingColumns=True)
     scored = stored(_sums(_word_requests(chunked, pair_buckets, word_buckets, width)), "lm-scores")
     n_all = float(scored.agg(F.sum("n_words")).first()[0] or 0)
     log_n = F.log(F.greatest(F.lit(n_all) - F.col("n_words"), F.lit(1.0)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import chunks, mix, text_buffers
 
 #: Bytes of text whose windows are hashed together, and windows that a bucket should hold.
 CHUNK, PER_BUCKET = 4 << 20, 2_000_000
@@ -47,35 +47,64 @@ def chunk_key(ids: np.ndarray, keys: np.ndarray) -> int:
     return int(mix(mix(ids.view(np.uint64) ^ mix(keys.astype(np.int64).view(np.uint64))) + places).sum(dtype=np.uint64).view(np.int64))
 
 
-FLAGGED = "chunk long, bucket int, docs binary, ids binary, keys binary, counts binary, bits binary, parts binary"
+def cut_by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal buckets together and keeps it otherwise, and where each bucket begins (n + 1 edges)."""
+    order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def flags_of_texts(flagged: DataFrame) -> DataFrame:
-    """Bring together what the buckets say about each text, chunk by chunk, so that no row is made for each text and
-    bucket. ``flagged`` (FLAGGED) has a row for each chunk and bucket: places of texts in the chunk (int32), their ids and
-    keys (int64), how many windows each has in the bucket (int32), a bit for each, and a number for each text or none.
-    Returns a row for each text: doc_id, key, flags array<struct<bucket, bits>>, part (the numbers' sum)."""
+CODEC = "zstd"
 
-    def merge(chunk: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, list] = {}
-        for bucket, docs, ids, keys, counts, bits, parts in rows:
-            docs, ids, keys, counts = (np.frombuffer(x, t) for x, t in ((docs, np.int32), (ids, np.int64), (keys, np.int64), (counts, np.int32)))
-            edges = np.concatenate([[0], np.cumsum(counts)])
-            flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(edges[-1]))
-            part = np.frombuffer(parts) if parts else np.zeros(len(docs))
-            for k, doc in enumerate(docs.tolist()):
-                text = texts.setdefault(doc, [ids[k], keys[k], [], 0.0])
-                text[2].append({"bucket": bucket, "bits": np.packbits(flags[edges[k] : edges[k + 1]]).tobytes()})
-                text[3] += part[k]
-        fields = list(zip(*texts.values()))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], ["doc_id", "key", "flags", "part"])
 
-    columns = [c.split()[0] for c in FLAGGED.split(", ")]
-    return dealt(flagged, "chunk", columns[1:], "doc_id long, key long, flags array<struct<bucket:int,bits:binary>>, part double", merge)
+def small(numbers: np.ndarray) -> bytes:
+    """Integers as planes of bytes, compressed: the high bytes, mostly equal, take next to no room."""
+    n = numbers.astype(np.int64)
+    plain = ((n << 1) ^ (n >> 63)).view(np.uint64)  # the sign goes to the lowest bit
+    width = max(1, -(-int(plain.max()).bit_length() // 8)) if len(plain) else 1
+    planes = np.ascontiguousarray(plain.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(n).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec=CODEC, asbytes=True)
 
 
-def cut_by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts equal buckets together and keeps it otherwise, and where each bucket begins (n + 1 edges)."""
-    order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+def wide(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec=CODEC, asbytes=True), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, n).T
+    plain = out.view(np.uint64).ravel()
+    return (plain >> np.uint64(1)).view(np.int64) ^ -(plain & np.uint64(1)).view(np.int64)
+
+
+def short(hashes: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of ascending hashes, as differences."""
+    return small(np.diff((hashes >> np.uint64(64 - 8 * width)).view(np.int64), prepend=np.int64(0)))
+
+
+def long(data: bytes) -> np.ndarray:
+    return np.cumsum(wide(data)).view(np.uint64)
+
+
+def batch_of(fields: list, names: list[str], *kinds: pa.DataType) -> pa.RecordBatch:
+    kinds += (pa.binary(),) * (len(names) - len(kinds))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], names)
+
+
+def named_chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, ids, bytes, offsets) of each chunk of texts; the same from every pass over the same rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, offsets = text_buffers(batch.column(2))
+        for a, b in chunks(offsets, most_bytes):
+            yield chunk_key(ids[a:b], keys[a:b]), ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def texts_by_chunk(rows: DataFrame, most_bytes: int = CHUNK) -> DataFrame:
+    """The texts (doc_id, key, text) of each chunk, compressed: chunk, bucket (-1), data, ids, offsets."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, data, offsets in named_chunks(batches, most_bytes):
+            packed = pa.compress(data.tobytes(), codec=CODEC, asbytes=True)
+            yield batch_of([[name], [-1], [packed], [ids.tobytes()], [offsets.astype(np.int64).tobytes()]], ["chunk", "bucket", "data", "ids", "offsets"], pa.int64(), pa.int32())
+
+    return rows.mapInArrow(pack, "chunk long, bucket int, data binary, ids binary, offsets binary")

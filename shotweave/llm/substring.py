@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, mix, text_buffers, text_or_empty, word_hashes
-from .packed import CHUNK, FLAGGED, PER_BUCKET, chunk_key, cut_by_bucket, dealt, flags_of_texts, n_buckets
+from .common import columns, mix, text_or_empty, word_hashes
+from .packed import CHUNK, CODEC, PER_BUCKET, batch_of, cut_by_bucket, dealt, long, n_buckets, named_chunks, short, small, texts_by_chunk, wide
 
 WINDOW = 13
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -42,89 +42,58 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack_bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
+class _Chunk:
+    """The windows of a chunk of texts: distinct hashes in order, and for each the earliest text of the chunk that has it."""
 
+    def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int):
+        hashes, self.n_windows, self.n_words = window_hashes(data, offsets, window)
+        self.ids, place = np.unique(ids, return_inverse=True)  # texts of one id aren't earlier than each other
+        self.rank = np.repeat(place, self.n_windows)
+        self.distinct, self.inverse = np.unique(hashes, return_inverse=True)
+        self.first = np.full(len(self.distinct), len(self.ids), np.int64)
+        np.minimum.at(self.first, self.inverse, self.rank)
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER_BUCKET, chunk: int = CHUNK) -> tuple[DataFrame, int]:
-    """Windows that an earlier document has too, as flags. ``docs``: doc_id long (no nulls), key long, text string.
 
-    Returns rows of doc_id, key, flags (for each bucket a bit for each window of this document whose hash falls in it,
-    in order of place; only where any is set), and the number of buckets. Each task first looks within its
-    own chunk of texts: a window that an earlier document of the chunk has is flagged there and not shipped, so a
-    passage that very many documents share reaches its bucket once for each chunk.
-    """
-    buckets = n_buckets(docs, per_bucket)
+def earlier_windows(docs: DataFrame, window: int, buckets: int, chunk: int = CHUNK) -> DataFrame:
+    """Which windows an earlier text outside of their chunk has. ``docs``: doc_id long (no nulls), key long, text string.
+
+    Each chunk of texts sends its distinct windows once, with the earliest of its texts that has each, however many
+    have it; a passage that very many documents share reaches its bucket once for each chunk. Returns for each
+    chunk and bucket a bit for each of the chunk's windows there, in order of hash: chunk, bucket, data."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            data, offsets = text_buffers(batch.column(2))
-            for a, b in chunks(offsets, chunk):
-                hashes, n_windows, _ = window_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window)
-                if not len(hashes):
-                    continue
-                doc = np.repeat(np.arange(b - a), n_windows)
-                order = np.lexsort((ids[a:b][doc], hashes))
-                h, d = hashes[order], ids[a:b][doc][order]
-                new = np.concatenate([[True], h[1:] != h[:-1]])
-                first = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-                seen = np.empty(len(hashes), bool)
-                seen[order] = d != first
-                place, edges = cut_by_bucket(_buckets(hashes, buckets), buckets)
-                rows, name = [], chunk_key(ids[a:b], keys[a:b])
-                for k in np.flatnonzero(np.diff(edges)):
-                    mine = place[edges[k] : edges[k + 1]]
-                    docs_in, counts = np.unique(doc[mine], return_counts=True)
-                    dropped = seen[mine]
-                    rows.append((int(k), name, docs_in.astype(np.int32).tobytes(), ids[a:b][docs_in].tobytes(), keys[a:b][docs_in].tobytes(), counts.astype(np.int32).tobytes(), _pack_bits(dropped), hashes[mine][~dropped].tobytes()))
-                fields = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int64()), *[pa.array(x, pa.binary()) for x in fields[2:]]], ["bucket", "chunk", "docs", "ids", "keys", "counts", "dropped", "hashes"])
-
-    def judge(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = [np.frombuffer(r[2], np.int64) for r in rows]
-        counts = [np.frombuffer(r[4], np.int32) for r in rows]
-        flags = [np.unpackbits(np.frombuffer(r[5], np.uint8), count=int(c.sum())).astype(bool) for r, c in zip(rows, counts)]
-        hashes = np.concatenate([np.frombuffer(r[6], np.uint64) for r in rows])
-        owner = np.concatenate([np.repeat(i, c)[~f] for i, c, f in zip(ids, counts, flags)])
+        for name, ids, data, offsets in named_chunks(batches, chunk):
+            c = _Chunk(ids, data, offsets, window)
+            place, edges = cut_by_bucket(_buckets(c.distinct, buckets), buckets)
+            own = small(np.diff(c.ids, prepend=np.int64(0)))
+            for k in np.flatnonzero(np.diff(edges)):
+                mine = place[edges[k] : edges[k + 1]]
+                yield batch_of([[k], [name], [short(c.distinct[mine], 8)], [small(c.first[mine])], [own]], ["bucket", "chunk", "hashes", "first", "ids"], pa.int32(), pa.int64())
+
+    def judge(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hashes = [long(r[1]) for r in held]
+        owner = np.concatenate([np.cumsum(wide(r[3]))[wide(r[2])] for r in held])
+        sizes = list(map(len, hashes))
+        hashes = np.concatenate(hashes)
         order = np.argsort(hashes, kind="stable")
         h, d = hashes[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         late = np.empty(len(h), bool)
-        if len(h):
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            late[order] = d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(h))))
-        at, out = 0, []
-        for r, i, c, f in zip(rows, ids, counts, flags):
-            kept = np.flatnonzero(~f)
-            full = f.copy()
-            full[kept] = late[at : at + len(kept)]
-            at += len(kept)
-            if full.any():
-                hit = np.add.reduceat(full, np.concatenate([[0], np.cumsum(c)[:-1]])) > 0
-                docs, keys = np.frombuffer(r[1], np.int32), np.frombuffer(r[3], np.int64)
-                out.append((r[0], bucket, docs[hit].tobytes(), i[hit].tobytes(), keys[hit].tobytes(), c[hit].tobytes(), _pack_bits(full[np.repeat(hit, c)]), b""))
-        for k in range(0, len(out), 200):
-            fields = list(zip(*out[k : k + 200]))
-            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], [c.split()[0] for c in FLAGGED.split(", ")])
-
-    sent = ["chunk", "docs", "ids", "keys", "counts", "dropped", "hashes"]
-    packed = docs.select("doc_id", "key", "text").mapInArrow(pack, "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in sent[1:]))
-    return flags_of_texts(dealt(packed, "bucket", sent, FLAGGED, judge)), buckets
-
-
-def covered_words(hashes: np.ndarray, n_words: int, window: int, buckets: int, flags: list[tuple[int, bytes]]) -> np.ndarray:
-    """Which words of one text its flagged windows cover: overlapping windows merge into maximal runs."""
-    starts = np.zeros(len(hashes), bool)
-    own = _buckets(hashes, buckets)
-    for bucket, bits in flags:
-        at = np.flatnonzero(own == bucket)
-        starts[at] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
+        late[order] = d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(h))))
+        at = 0
+        for r, n in zip(held, sizes):
+            yield batch_of([[r[0]], [bucket], [np.packbits(late[at : at + n]).tobytes()]], ["chunk", "bucket", "data"], pa.int64(), pa.int32())
+            at += n
+
+    packed = docs.mapInArrow(pack, "bucket int, chunk long, hashes binary, first binary, ids binary")
+    return dealt(packed, "bucket", ["chunk", "hashes", "first", "ids"], "chunk long, bucket int, data binary", judge)
+
+
+def covered_words(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
+    """Which words flagged windows cover: overlapping windows merge into maximal runs. ``starts``: a flag a window."""
     change = np.zeros(n_words + 1, np.int64)
-    change[: len(hashes)] += starts
-    change[window : window + len(hashes)] -= starts
+    change[: len(starts)] += starts
+    change[window : window + len(starts)] -= starts
     return np.cumsum(change[:n_words]) > 0
 
 
@@ -140,30 +109,35 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER
     """
     source = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     rows = source.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    flags, buckets = repeated_windows(rows, window, per_bucket, chunk)
-    flags = flags.dropDuplicates(["doc_id", "key"])  # rows that repeat have the same flags
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
-                raw = text.as_py().encode()
-                words = raw.split()
+    buckets = n_buckets(rows, per_bucket)
+
+    def remove(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        answers = {r[0]: r[1] for r in held if r[0] >= 0}  # chunks of one name are equal, and so are their answers
+        for _, packed, raw_ids, offsets in (r for r in held if r[0] < 0):
+            ids, offsets = np.frombuffer(raw_ids, np.int64), np.frombuffer(offsets, np.int64)
+            text = pa.decompress(packed, int(offsets[-1]), codec=CODEC, asbytes=True)
+            c = _Chunk(ids, np.frombuffer(text, np.uint8), offsets, window)
+            place, edges = cut_by_bucket(_buckets(c.distinct, buckets), buckets)
+            late = np.zeros(len(c.distinct), bool)
+            for k in np.flatnonzero(np.diff(edges)):
+                mine = place[edges[k] : edges[k + 1]]
+                late[mine] = np.unpackbits(np.frombuffer(answers[int(k)], np.uint8), count=len(mine)).astype(bool)
+            flags = late[c.inverse] | (c.rank > c.first[c.inverse])
+            begins, out = np.cumsum(c.n_windows) - c.n_windows, []
+            for i in range(len(ids)):
+                words, starts = text[offsets[i] : offsets[i + 1]].split(), flags[begins[i] : begins[i] + c.n_windows[i]]
                 spans: list[int] = []
-                if found:
-                    hashes, _, _ = window_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window)
-                    gone = covered_words(hashes, len(words), window, buckets, [(f["bucket"], f["bits"]) for f in found])
+                if starts.any():
+                    gone = covered_words(starts, len(words), window)
                     spans = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
                     kept = b" ".join(compress(words, ~gone))
                 else:
                     kept = b" ".join(words)
                 out.append((len(words), sum(spans[1::2]) - sum(spans[::2]), kept.decode(), spans))
-            fields = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(fields, kinds)]], ["doc_id", "n_words", "n_removed", "kept_text", "spans"])
+            yield batch_of([ids, *zip(*out)], ["doc_id", "n_words", "n_removed", "kept_text", "spans"], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
 
-    joined = rows.join(flags, ["doc_id", "key"], "left").select("doc_id", "text", "flags")
-    cleaned = joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, spans array<bigint>")
+    chunked = earlier_windows(rows, window, buckets, chunk).unionByName(texts_by_chunk(rows, chunk), allowMissingColumns=True)
+    cleaned = dealt(chunked, "chunk", ["bucket", "data", "ids", "offsets"], "doc_id long, n_words long, n_removed long, kept_text string, spans array<bigint>", remove)
     return cleaned.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
 
 
