@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, columns, stored, text_or_empty
@@ -47,7 +47,9 @@ def exact_groups(docs: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
         .select("h", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     )
     salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    odd = salted.join(kept, ["h", "salt"]).where("norm <> kept_norm").select("doc_id", "h", "norm")
+    odd = stored(salted.join(kept, ["h", "salt"]).where("norm <> kept_norm").select("doc_id", "h", "norm"), "exact-collisions")
+    if odd.isEmpty():
+        return _result(rows, F.col("keep_id"), F.col("n"))
     odd_groups = odd.groupBy("h", "norm").agg(F.min("doc_id").alias("odd_keep"), F.count(F.lit(1)).alias("odd_n"))
     odd_rows = odd.join(odd_groups, ["h", "norm"]).select(F.col("doc_id").alias("odd_id"), F.col("h").alias("odd_h"), "odd_keep", "odd_n").distinct()
     lost = odd_groups.groupBy(F.col("h").alias("lost_h")).agg(F.sum("odd_n").alias("lost_n"))
@@ -57,6 +59,10 @@ def exact_groups(docs: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
     is_odd = F.col("odd_n").isNotNull()
     keep_id = F.when(is_odd, F.col("odd_keep")).otherwise(F.col("keep_id"))
     size = F.when(is_odd, F.col("odd_n")).otherwise(F.col("n") - F.coalesce("lost_n", F.lit(0)))
+    return _result(rows, keep_id, size)
+
+
+def _result(rows: DataFrame, keep_id: Column, size: Column) -> DataFrame:
     return rows.select(
         "doc_id",
         keep_id.alias("keep_id"),
