@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The least side of a box, overlaps that clash, and weights of relevance.
 SLIVER = 0.004
 SAME, GROUP, ANY = 0.5, 0.6, 0.85
 FLOOR, SIZE, CENTRE, PERSISTENCE = 0.60, 0.20, 0.08, 0.12

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 
+# Fixed value: the scale of logits that prompt vectors are made for.
 LOGIT_SCALE = 100.0
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The window that a split snaps in, and how near another boundary may be, in seconds.
 SNAP_BEFORE, SNAP_AFTER, TOO_NEAR = 2.0, 0.5, 0.25
 
 

@@ -11,6 +11,7 @@ from pathlib import Path
 from typing import Any
 
 
+# The defaults of all sections.
 @dataclass(frozen=True)
 class Shots:
     threshold: float = 0.5

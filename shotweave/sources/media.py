@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Patterns of the prober's output, suffixes, and bytes that an id is made from.
 DURATION = r"Duration:\s*(\d+):(\d+):(\d+(?:\.\d+)?)"
 STREAM = r"Stream #\S+.*?: Video: (\w+).*?, (\d{2,5})x(\d{2,5})"
 RATE = r"Video:.*?(\d+(?:\.\d+)?) (?:fps|tbr)"
