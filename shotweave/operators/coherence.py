@@ -6,6 +6,8 @@ histogram for each shot, both normalised (:func:`mean_features`).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,30 @@ def pair_similarities(shots: DataFrame, p: Grouping, reach: int | None = None) -
     return pairs.select("video", "i", "j", similarity(p).alias("similarity"), (F.col("b_start") - F.col("a_end")).alias("gap"), F.col("b_start").alias("start"))
 
 
+def pair_similarities_in_blocks(shots: DataFrame, p: Grouping, reach: int | None = None) -> DataFrame:
+    """The same rows as :func:`pair_similarities`, by one matrix product for each block of ``reach`` shots and the next:
+    for long vectors, where array functions element by element cost more than a trip through Arrow (at 512 elements it took a
+    third of the time, at 64 twice as long). A group holds at most two blocks, however long a video is."""
+    reach = reach or max(1, 2 * p.window_shots - 1)
+    own = F.floor(F.col("shot") / reach)
+    rows = shots.select("video", "shot", "start", "end", "clip", "color", F.explode(F.array(own, own - 1)).alias("block")).where("block >= 0")
+
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shot", ignore_index=True)
+        shot = rows["shot"].to_numpy()
+        n_left = int((shot // reach == key[1]).sum())
+        clip, color = np.array(rows["clip"].tolist()), np.array(rows["color"].tolist())
+        i, j = np.nonzero((shot[None, :] > shot[:n_left, None]) & (shot[None, :] - shot[:n_left, None] <= reach))
+        cosine = (clip[:n_left] @ clip.T)[i, j] if n_left else np.empty(0)
+        near = np.clip((cosine - p.clip_floor) / (1 - p.clip_floor), 0, 1)
+        similar = (p.clip_weight * near + p.color_weight * np.minimum(color[i], color[j]).sum(axis=1)) / (p.clip_weight + p.color_weight)
+        start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
+        return pd.DataFrame({"video": key[0], "i": shot[i], "j": shot[j], "similarity": similar, "gap": start[j] - end[i], "start": start[j]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in shots.schema}
+    return rows.groupBy("video", "block").applyInPandas(work, f"video {kinds['video']}, i {kinds['shot']}, j {kinds['shot']}, similarity double, gap double, start double")
+
+
 def cut_links(pairs: DataFrame, p: Grouping) -> DataFrame:
     """Each pair under each cut k (between shots k and k + 1) whose window holds it: video, cut, i, j, value, start (of j)."""
     w = max(1, p.window_shots)
