@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -244,11 +246,33 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 # --- classes of similar texts ----------------------------------------------------------------------
 SHINGLE, SIMILARITY = 5, 0.8
 #: Least hashes by which texts meet: two texts with the similarity miss each other with probability 0.2 ** MEETINGS.
-MEETINGS, BINS, SKETCH_RADIUS = 10, 128, 18
+MEETINGS, BINS = 10, 128
+#: Probability with which SimHashes of two texts with the similarity may differ in more bits than are looked at.
+MISSED = 1e-5
+
+
+def bit_differs(shared: int, one: int, other: int) -> float:
+    """Probability that a majority bit differs between two sets of random hashes that share so many and have so many alone."""
+    half = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+    total, alone = 0.0, (half(one), half(other))
+    for k, p in enumerate(half(shared)):
+        a, b = (sum(q for i, q in enumerate(c) if 2 * (k + i) > shared + len(c) - 1) for c in alone)
+        total += p * (a * (1 - b) + b * (1 - a))
+    return total
+
+
+@lru_cache
+def radius_for(similarity: float, missed: float = MISSED) -> int:
+    """Differing bits that SimHashes of two sets of a Jaccard similarity or more exceed with at most the probability
+    ``missed``. Small sets are the worst, as ties are common there; large ones tend to the angle between the sets."""
+    sizes = [(s, a, d - a) for s in range(1, 33) for d in range(int(s / similarity - s + 1e-9) + 1) for a in range(d // 2 + 1)]
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, *(bit_differs(*x) for x in sizes))
+    tail = lambda r: sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(r + 1, 65))
+    return next(r for r in range(65) if tail(r) <= missed)
 
 
 def sketched(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
-    """node long, print long (SimHash of word shingles, A-Z in lower case), least array<long> (minimum of the
+    """node long, print long (SimHash of distinct word shingles, A-Z in lower case), least array<long> (minimum of the
     shingles under each of MEETINGS hashes) and sketch binary (a byte of the least shingle hash in each of BINS
     ranges, 0 for none). A text of fewer words is one shingle. ``docs``: node long, text string."""
 
@@ -277,7 +301,9 @@ def sketched(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
                 first = np.concatenate([[True], (d[1:] != d[:-1]) | (bins[1:] != bins[:-1])])
                 sketch = np.zeros((b - a, BINS), np.uint8)
                 sketch[d[first], bins[first]] = h[first].astype(np.int64) % 255 + 1
-                prints = np.array([majority(hashes[i : i + k]) for i, k in zip(begins, n)], np.uint64)
+                once = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])  # a set's shingles, not a text's
+                ends = np.cumsum(np.bincount(d[once], minlength=b - a))
+                prints = np.array([majority(x) for x in np.split(h[once], ends[:-1])], np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * MEETINGS), pa.array(least.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(prints.view(np.int64)), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "print", "least", "sketch"])
 
@@ -307,7 +333,7 @@ def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float =
     ``similarity`` or more: doc_id, component_id (smallest doc_id reachable). One row for each distinct doc_id.
 
     Texts meet in a group where any of their least hashes are equal; there, bit-sliced comparison of SimHash
-    fingerprints (SKETCH_RADIUS) leaves the likely ones, and sketches judge them. Both are estimates: at 128 bins the
+    fingerprints (``radius_for``) leaves the likely ones, and sketches judge them. Both are estimates: at 128 bins the
     similarity's standard error is about 0.035, so links just above the threshold may be missed and links just below
     it be made. Null texts count as empty; empty texts are similar to each other. Null ids have no row. Rows that
     repeat a doc_id are one node, linked by any of their texts.
@@ -315,7 +341,7 @@ def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float =
     rows = columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
     sketches = stored(sketched(rows, n_words), "sketches")
     keyed = sketches.select("node", "print", "sketch", F.posexplode("least").alias("band", "x")).select("band", "x", F.lit(0).cast("long").alias("y"), "node", "print", "sketch")
-    roots = components(links(keyed, SKETCH_RADIUS, similarity))
+    roots = components(links(keyed, radius_for(similarity), similarity))
     return sketches.select("node").distinct().join(roots, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
 
 

@@ -140,6 +140,46 @@ def test_similar_texts_share_a_class(spark):
     assert sorted(r.doc_id for r in simhash.drop_near(frame(spark, rows)).collect()) == [1, 3, 4, 5]
 
 
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def jaccard_classes(rows, similarity=0.8):
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_repeated_lines_leave_texts_similar(spark):
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        base = " ".join(f"r{rng.randrange(5000)}" for _ in range(504))
+        line = " ".join(f"line{k}x{i}" for i in range(12))
+        rows += [(2 * k, base), (2 * k + 1, f"{base} " + " ".join([line] * 20))]
+    want = jaccard_classes(rows)
+    assert len(set(want.values())) == 60
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(frame(spark, rows)).collect()} == want
+
+
+def test_radius_covers_sets_of_all_sizes():
+    rng, radius = np.random.default_rng(1), simhash.radius_for(0.8)
+    for s, a, b in [(4, 0, 1), (12, 1, 2), (80, 10, 10), (400, 0, 100)]:
+        h = rng.integers(0, 1 << 64, (300, s + a + b), np.uint64)
+        assert max((simhash.majority(x[: s + a]) ^ simhash.majority(np.delete(x, np.s_[s : s + a]))).bit_count() for x in h) <= radius
+    assert simhash.radius_for(0.8, 0.1) < radius < 32
+
+
 def removed(rows, window=13):
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first: dict[tuple, int] = {}
