@@ -96,11 +96,12 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, agrees: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, agrees: Callable[[int, np.ndarray], np.ndarray] | None = None, holds: Callable[[int, int], bool] | None = None) -> np.ndarray:
     """Join fingerprints that are within the radius. ``sides``: for each group, its fingerprints and a side for
     each: 0 and 1 are compared only across, where there are both; else all with all. Returns for every
     fingerprint, groups laid end to end, the first one that it is joined with (itself where there's none).
-    ``agrees(i, others)``: which of the others within the radius of i are joined, if not all."""
+    ``agrees(i, others)``: which of the others within the radius of i are joined, if not all. ``holds(i, other)``: whether
+    one of these is indeed; pairs that are connected already aren't asked for."""
     base, q_blocks, t_blocks, same, blocks, sizes, at = 0, [], [], [], [], [], []
     for prints, side in sides:
         parts = [np.flatnonzero(side == s) for s in (0, 1)] if side.any() and not side.all() else [np.arange(len(prints))]
@@ -146,6 +147,8 @@ def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, agrees: Call
                     others = np.array(others)[agrees(own, np.array(others))].tolist()
                 for x in others:
                     b = _find(parent, x)
+                    if holds and (a == b or not holds(own, x)):
+                        continue
                     a, b = min(a, b), max(a, b)
                     parent[b] = a
     return np.array([_find(parent, i) for i in range(base)])
@@ -160,41 +163,46 @@ def band_keys(radius: int = RADIUS) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), block[i].alias("x"), block[j].alias("y")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
-def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = None, tile: int = TILE) -> DataFrame:
+def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = None, tile: int = TILE, exact: float | None = None) -> DataFrame:
     """Links (a, b) that connect what fingerprints within the radius connect. ``keyed``: band int, x long, y long
     (a key), node long, print long, sketch binary; each node once for a key. Keys are counted first; those of one
     fingerprint go, those of many are split in tiles, every two tiles meet in a group of their own. Within a group,
-    links are reduced to one for each fingerprint. With a ``similarity``, the sketches must agree that well too."""
+    links are reduced to one for each fingerprint. With a ``similarity``, the sketches must agree that well too; with
+    ``exact``, ``keyed`` has a column shingles too (of ``sketched``), whose Jaccard similarity must reach it."""
     many = keyed.groupBy("band", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = keyed.join(many, ["band", "x", "y"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("band", "x", "y", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "print", "sketch")
+    rows = rows.select("band", "x", "y", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "print", "sketch", *["shingles"] * (exact is not None))
 
-    def compare(part: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+    def compare(part: np.ndarray, sketches: np.ndarray, sets: list[bytes]) -> pa.RecordBatch:
         def agrees(i: int, others: np.ndarray) -> np.ndarray:
             return sketch_similarity(sketches[i], sketches[others]) >= similarity
 
+        def holds(i: int, other: int) -> bool:
+            return jaccard(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[other], np.uint64)) >= exact - 1e-9
+
         cuts = np.flatnonzero((part[1:, :5] != part[:-1, :5]).any(axis=1)) + 1
         groups = np.split(part, cuts)
-        root = linked([(g[:, 7].view(np.uint64), g[:, 5]) for g in groups], radius, agrees if similarity else None)
+        root = linked([(g[:, 7].view(np.uint64), g[:, 5]) for g in groups], radius, agrees if similarity else None, holds if exact is not None else None)
         found = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(part[found, 6]), pa.array(part[root[found], 6])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, np.ndarray] | None = None
+        rest: tuple[np.ndarray, np.ndarray, list[bytes]] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns[:8]])
             sketches = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(len(part), -1)
+            sets = batch.column(9).to_pylist() if exact is not None else []
             if rest:
-                part, sketches = np.concatenate([rest[0], part]), np.concatenate([rest[1], sketches])
+                part, sketches, sets = np.concatenate([rest[0], part]), np.concatenate([rest[1], sketches]), rest[2] + sets
             last = np.flatnonzero((part[:, :5] != part[-1, :5]).any(axis=1))
             whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            rest = part[whole:], sketches[whole:]
+            rest = part[whole:], sketches[whole:], sets[whole:]
             if whole:
-                yield compare(part[:whole], sketches[:whole])
+                yield compare(part[:whole], sketches[:whole], sets[:whole])
         if rest:
             yield compare(*rest)
 
@@ -249,6 +257,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 MEETINGS, BINS = 10, 128
 #: Probability with which SimHashes of two texts with the similarity may differ in more bits than are looked at.
 MISSED = 1e-5
+#: Similarity that sketches must show for texts to be compared at all: some six standard errors below SIMILARITY.
+LOOSE = 0.6
+#: Texts of a component of likely links that are compared in one group.
+EXACT_TILE = 256
 
 
 def bit_differs(shared: int, one: int, other: int) -> float:
@@ -271,10 +283,25 @@ def radius_for(similarity: float, missed: float = MISSED) -> int:
     return next(r for r in range(65) if tail(r) <= missed)
 
 
-def sketched(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
+def shingles(part: np.ndarray, at: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles (A-Z in lower case) of texts laid end to end, and how many each text has. A text of
+    fewer words is one shingle."""
+    part = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
+    hashes, n, n_of_words = window_hashes(part, at, n_words)
+    short = np.flatnonzero(n == 0)
+    if len(short):
+        words, _ = word_hashes(part, at)
+        ends = np.cumsum(n_of_words)
+        alone = np.array([mix(words[e - k : e] * _PLACES[:k]).sum(dtype=np.uint64) for k, e in zip(n_of_words[short], ends[short])], np.uint64)
+        hashes, n = np.insert(hashes, np.cumsum(n)[short] - n[short], alone), np.maximum(n, 1)
+    return hashes, n
+
+
+def sketched(docs: DataFrame, n_words: int = SHINGLE, sets: bool = False) -> DataFrame:
     """node long, print long (SimHash of distinct word shingles, A-Z in lower case), least array<long> (minimum of the
     shingles under each of MEETINGS hashes) and sketch binary (a byte of the least shingle hash in each of BINS
-    ranges, 0 for none). A text of fewer words is one shingle. ``docs``: node long, text string."""
+    ranges, 0 for none). A text of fewer words is one shingle. ``docs``: node long, text string.
+    With ``sets``, root (a long of ``docs``) and shingles binary (ascending distinct hashes) in place of least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, MEETINGS + 1, dtype=np.uint64))
@@ -284,16 +311,8 @@ def sketched(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
             data, offsets = text_buffers(batch.column(1))
             for a, b in chunks(offsets, CHUNK):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                part = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
-                hashes, n, n_of_words = window_hashes(part, at, n_words)
-                short = np.flatnonzero(n == 0)
-                if len(short):
-                    words, _ = word_hashes(part, at)
-                    ends = np.cumsum(n_of_words)
-                    alone = np.array([mix(words[e - k : e] * _PLACES[:k]).sum(dtype=np.uint64) for k, e in zip(n_of_words[short], ends[short])], np.uint64)
-                    hashes, n = np.insert(hashes, np.cumsum(n)[short] - n[short], alone), np.maximum(n, 1)
+                hashes, n = shingles(part, at, n_words)
                 begins = np.cumsum(n) - n
-                least = np.column_stack([np.minimum.reduceat(mix(hashes ^ s), begins) for s in seeds])
                 doc = np.repeat(np.arange(b - a), n)
                 order = np.lexsort((hashes, doc))
                 h, d = hashes[order], doc[order]
@@ -303,10 +322,18 @@ def sketched(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
                 sketch[d[first], bins[first]] = h[first].astype(np.int64) % 255 + 1
                 once = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])  # a set's shingles, not a text's
                 ends = np.cumsum(np.bincount(d[once], minlength=b - a))
-                prints = np.array([majority(x) for x in np.split(h[once], ends[:-1])], np.uint64)
+                of_text = np.split(h[once], ends[:-1])
+                prints = pa.array(np.array([majority(x) for x in of_text], np.uint64).view(np.int64))
+                bins_of_text = pa.array([x.tobytes() for x in sketch], pa.binary())
+                if sets:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], prints, bins_of_text, pa.array([x.tobytes() for x in of_text], pa.binary())], ["node", "root", "print", "sketch", "shingles"])
+                    continue
+                least = np.column_stack([np.minimum.reduceat(mix(hashes ^ s), begins) for s in seeds])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * MEETINGS), pa.array(least.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(prints.view(np.int64)), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "print", "least", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], prints, lists, bins_of_text], ["node", "print", "least", "sketch"])
 
+    if sets:
+        return docs.select("node", "text", "root").mapInArrow(run, "node long, root long, print long, sketch binary, shingles binary")
     return docs.select("node", "text").mapInArrow(run, "node long, print long, least array<bigint>, sketch binary")
 
 
@@ -328,20 +355,35 @@ def sketch_similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return ((others == one) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
 
 
+def jaccard(one: np.ndarray, other: np.ndarray) -> float:
+    """Jaccard similarity of sets of ascending numbers."""
+    if len(one) > len(other):
+        one, other = other, one
+    shared = int((other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one).sum())
+    return shared / (len(one) + len(other) - shared)
+
+
 def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Classes of texts linked, directly or through others, by a Jaccard similarity of word shingles of
     ``similarity`` or more: doc_id, component_id (smallest doc_id reachable). One row for each distinct doc_id.
 
     Texts meet in a group where any of their least hashes are equal; there, bit-sliced comparison of SimHash
-    fingerprints (``radius_for``) leaves the likely ones, and sketches judge them. Both are estimates: at 128 bins the
-    similarity's standard error is about 0.035, so links just above the threshold may be missed and links just below
-    it be made. Null texts count as empty; empty texts are similar to each other. Null ids have no row. Rows that
-    repeat a doc_id are one node, linked by any of their texts.
+    fingerprints (``radius_for``) and loosely compared sketches (LOOSE) leave likely links, which only say where to look:
+    within each component of likely links, in tiles, texts that pass both filters are linked if the exact similarity of
+    their distinct shingles, compared by 64-bit hashes, is high enough. So no link is made below ``similarity``. A link is
+    missed if no least hash is equal (0.2 ** MEETINGS at the threshold), by SimHash (MISSED) or by the sketch (about
+    1e-7), unless other texts connect the two. Null texts count as empty; empty texts are similar to each other. Null ids have no
+    row. Rows that repeat a doc_id are one node, linked by any of their texts.
     """
     rows = columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
     sketches = stored(sketched(rows, n_words), "sketches")
     keyed = sketches.select("node", "print", "sketch", F.posexplode("least").alias("band", "x")).select("band", "x", F.lit(0).cast("long").alias("y"), "node", "print", "sketch")
-    roots = components(links(keyed, radius_for(similarity), similarity))
+    radius = radius_for(similarity)
+    likely = stored(components(links(keyed, radius, LOOSE)), "likely")
+    likely = likely.unionByName(likely.select(F.col("root").alias("node"), "root")).distinct()
+    sets = sketched(rows.join(likely, "node"), n_words, sets=True)
+    grouped = sets.select(F.lit(0).alias("band"), F.col("root").alias("x"), F.lit(0).cast("long").alias("y"), "node", "print", "sketch", "shingles")
+    roots = components(links(stored(grouped, "shingle-sets"), radius, LOOSE, EXACT_TILE, similarity))
     return sketches.select("node").distinct().join(roots, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
 
 

@@ -172,6 +172,34 @@ def test_repeated_lines_leave_texts_similar(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_classes(frame(spark, rows)).collect()} == want
 
 
+def test_links_at_the_threshold_are_exact(spark):
+    rng, rows = random.Random(11), []
+    for k in range(120):
+        n = rng.choice([20, 100, 600])
+        base = [f"r{rng.randrange(9000)}" for _ in range(n + 4)]
+        similarity = 0.75 + 0.1 * k / 120
+        # Changing the last words leaves n - c of n + c shingles.
+        c = round(n * (1 - similarity) / (1 + similarity))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n + 4 - c] + [f"z{k}x{i}" for i in range(c)]))]
+    want = jaccard_classes(rows)
+    assert 150 < len(set(want.values())) < 210
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(frame(spark, rows)).collect()} == want
+
+
+def test_tiles_of_a_large_class_are_exact(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"r{rng.randrange(9000)}" for _ in range(104)]
+    rows = []
+    for k in range(90):
+        c = rng.randint(0, 24)
+        at = rng.randint(0, 104 - c)
+        rows.append((k, " ".join(base[:at] + [f"z{k}x{i}" for i in range(c)] + base[at + c :])))
+    want = jaccard_classes(rows)
+    assert 1 < len(set(want.values())) < 90
+    monkeypatch.setattr(simhash, "EXACT_TILE", 16)
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(frame(spark, rows)).collect()} == want
+
+
 def test_radius_covers_sets_of_all_sizes():
     rng, radius = np.random.default_rng(1), simhash.radius_for(0.8)
     for s, a, b in [(4, 0, 1), (12, 1, 2), (80, 10, 10), (400, 0, 100)]:
