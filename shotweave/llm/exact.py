@@ -86,9 +86,12 @@ def _with_groups(digest: DataFrame, groups: DataFrame, per_salt: int) -> DataFra
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """Stage form: the rows of ``docs`` with the smallest doc_id of each group of equal texts, all columns."""
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Stage form: one row of ``docs`` for each group of equal texts, that of the smallest doc_id, with all columns.
+    Different texts under one doc_id, or under null, are groups of their own: each keeps a row."""
+    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept id"), F.col("text_sha256").alias("kept sha")).distinct()
+    rows = docs.withColumn("own sha", F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256))
+    same_row = rows["doc_id"].eqNullSafe(groups["kept id"]) & (rows["own sha"] == groups["kept sha"])
+    return rows.join(groups, same_row, "left_semi").dropDuplicates(["doc_id", "own sha"]).drop("own sha")
 
 
 SQL = r"""

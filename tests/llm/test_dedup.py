@@ -67,6 +67,12 @@ def test_stage_keeps_columns_and_one_copy(spark):
     assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted([1, 3, 5, 6, 7, 8, 9, 10], key=str)
 
 
+def test_stage_keeps_each_text_of_an_id(spark):
+    rows = [(None, "n one"), (None, "n two"), (None, "n  two"), (None, "copy"), (1, "copy"), (2, "copy"), (2, "own"), (2, "other own"), (3, "own"), (None, None)]
+    kept = exact.drop_copies(frame(spark, rows)).collect()
+    assert sort((r.doc_id, norm(r.text)) for r in kept) == sort([(None, "n one"), (None, "n two"), (1, "copy"), (2, "own"), (2, "other own"), (None, "")])
+
+
 def simhash_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
