@@ -1,14 +1,16 @@
 """Stupid-backoff language-model scores: n-gram counts partitioned by hash, joined to the texts' n-grams, summed per text.
 
-The model is of order 2. S(w | v) = c(v w) / c(v) if c(v w) > 0, else BACKOFF * c(w) / N; a text's first word has
-c(w) / N. Counts are of all documents but the one that is scored, so that no text vouches for itself.
+The model is of order 3. S(w | u v) = c(u v w) / c(u v) if c(u v w) > 0, else BACKOFF * S(w | v);
+S(w | v) = c(v w) / c(v) if c(v w) > 0, else BACKOFF * c(w) / N; a text's first word has c(w) / N, its second S(w | v).
+Order 2 leaves the first rule out. Counts are of all documents but the one that is scored, so that no text vouches for itself.
 
-A text's score is a sum over its places, and the counts that a place needs lie in three hash partitions: that of its
-pair, of its first word and of its second. So
+A text's score is a sum over its places, and the counts that a place needs lie in several hash partitions: those of its
+triple, of the triple's two pairs and of its last two words. So
 
-1. each chunk of texts sends its distinct pairs with their counts to the pairs' partitions, which send the totals back;
-2. with these the chunk knows which places are found. A found pair v w adds log c(v w) - log c(v), a missing one
-   log BACKOFF + log c(w) - log N. The chunk adds up the pairs' part itself and sends its distinct words with their
+1. each chunk of texts sends its distinct pairs and triples with their counts to their partitions, which send the totals back;
+2. with these the chunk knows which places are found. A found triple u v w adds log c(u v w) - log c(u v), else, after
+   log BACKOFF, a found pair v w adds log c(v w) - log c(v), a missing one log BACKOFF + log c(w) - log N. The chunk adds
+   up the part of triples and pairs itself and sends its distinct words with their
    counts, and how often each text needs each word's logarithm (more or less), to the words' partitions;
 3. these send back sums for the chunk's texts.
 
@@ -32,7 +34,7 @@ from .substring import window_hashes
 BACKOFF = 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
-#: Pairs, and words of texts, that a bucket should hold.
+#: Pairs (and as many triples, apart), and words of texts, that a bucket should hold.
 PAIRS_PER_BUCKET, WORDS_PER_BUCKET = 2_000_000, 8_000_000
 
 
@@ -48,18 +50,19 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes & ((np.uint64(1) << bits) - np.uint64(1))) * np.uint64(n) >> bits).astype(np.int64)
 
 
-def _pair_totals(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Step 1. For each chunk and bucket of pairs, how often each of the chunk's distinct pairs occurs in all texts, in
-    order of hash: chunk, bucket, data."""
+def _gram_totals(rows: DataFrame, order: int, buckets: int, width: int) -> DataFrame:
+    """Step 1. For each chunk and bucket of pairs, and of triples after these, how often each of the chunk's distinct ones
+    occurs in all texts, in order of hash: chunk, bucket, data."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, data, offsets in named_chunks(batches):
-            pairs, counts = np.unique(window_hashes(data, offsets, 2)[0], return_counts=True)
-            place, edges = cut_by_bucket(_bucket(pairs, buckets), buckets)
-            used = np.flatnonzero(np.diff(edges))
-            parts = [place[edges[k] : edges[k + 1]] for k in used]
-            if len(used):
-                yield batch_of([used, [name] * len(used), [short(pairs[p], width) for p in parts], [small(counts[p]) for p in parts]], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
+            for n in range(2, order + 1):
+                grams, counts = np.unique(window_hashes(data, offsets, n)[0], return_counts=True)
+                place, edges = cut_by_bucket(_bucket(grams, buckets), buckets)
+                used = np.flatnonzero(np.diff(edges))
+                parts = [place[edges[k] : edges[k + 1]] for k in used]
+                if len(used):
+                    yield batch_of([used + (n - 2) * buckets, [name] * len(used), [short(grams[p], width) for p in parts], [small(counts[p]) for p in parts]], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
 
     def count(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([long(r[1]) for r in held])
@@ -92,7 +95,22 @@ def _needs(doc_of: np.ndarray, words: np.ndarray, times: np.ndarray, n_docs: int
     return word[key // n_docs], key % n_docs, np.bincount(inverse, times, len(key)).astype(np.int64), own
 
 
-def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: int) -> DataFrame:
+def _others(data: np.ndarray, offsets: np.ndarray, n: int, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of n words of a chunk's texts, how often other texts have it; its text; its number within the text."""
+    grams, n_grams, _ = window_hashes(data, offsets, n)
+    doc_of = np.repeat(np.arange(len(n_grams)), n_grams)
+    if not len(grams):
+        return np.empty(0, np.int64), doc_of, doc_of
+    distinct, inverse = np.unique(grams, return_inverse=True)
+    place, edges = cut_by_bucket(_bucket(distinct, buckets), buckets)
+    totals = np.zeros(len(distinct), np.int64)
+    for k in np.flatnonzero(np.diff(edges)):
+        totals[place[edges[k] : edges[k + 1]]] = wide(answers[int(k) + (n - 2) * buckets])
+    _, again, own = np.unique(doc_of * len(distinct) + inverse, return_inverse=True, return_counts=True)
+    return totals[inverse] - own[again], doc_of, np.arange(len(grams)) - (np.cumsum(n_grams) - n_grams)[doc_of]
+
+
+def _word_requests(chunked: DataFrame, order: int, gram_buckets: int, buckets: int, width: int) -> DataFrame:
     """Step 2, for each chunk and bucket of words (_SENT). ``chunked`` has both of step 1's tables."""
 
     def score(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -102,23 +120,23 @@ def _word_requests(chunked: DataFrame, pair_buckets: int, buckets: int, width: i
             data = np.frombuffer(pa.decompress(packed, int(offsets[-1]), codec=CODEC, asbytes=True), np.uint8)
             n_docs = len(offsets) - 1
             words, n_words = word_hashes(data, offsets)
-            pairs, n_pairs, _ = window_hashes(data, offsets, 2)
-            doc_of_pair, doc_of_word = np.repeat(np.arange(n_docs), n_pairs), np.repeat(np.arange(n_docs), n_words)
-            distinct, inverse = np.unique(pairs, return_inverse=True)
-            place, edges = cut_by_bucket(_bucket(distinct, pair_buckets), pair_buckets)
-            totals = np.zeros(len(distinct), np.int64)
-            for k in np.flatnonzero(np.diff(edges)):
-                totals[place[edges[k] : edges[k + 1]]] = wide(answers[int(k)])
-            _, again, own = np.unique(doc_of_pair * max(len(distinct), 1) + inverse, return_inverse=True, return_counts=True)
-            others = totals[inverse] - own[again] if len(pairs) else np.empty(0, np.int64)
+            doc_of_word = np.repeat(np.arange(n_docs), n_words)
+            others, doc_of_pair, at_pair = _others(data, offsets, 2, answers, gram_buckets)
             found = others > 0
-            missing = np.bincount(doc_of_pair, ~found, n_docs)
-            base = np.bincount(doc_of_pair, np.log(np.maximum(others, 1)), n_docs) + math.log(BACKOFF) * missing
+            part = np.where(found, np.log(np.maximum(others, 1)), math.log(BACKOFF))
+            whole = np.zeros(len(others), bool)
+            if order > 2:
+                last = np.flatnonzero(at_pair)  # pairs that end a triple, in the triples' order; each triple's first pair is before it
+                triples = _others(data, offsets, 3, answers, gram_buckets)[0]
+                whole[last] = triples > 0
+                part[last] = np.where(triples > 0, np.log(np.maximum(triples, 1)) - np.log(np.maximum(others[last - 1], 1)), part[last] + math.log(BACKOFF))
+            missing = np.bincount(doc_of_pair, ~found & ~whole, n_docs)
+            base = np.bincount(doc_of_pair, part, n_docs)
             first = np.cumsum(n_words) - n_words
-            left = first[doc_of_pair] + np.arange(len(pairs)) - (np.cumsum(n_pairs) - n_pairs)[doc_of_pair]
+            left = first[doc_of_pair] + at_pair
             times = np.zeros(len(words), np.int64)
-            times[left] -= found
-            times[left + 1] += ~found
+            times[left] -= found & ~whole
+            times[left + 1] += ~found & ~whole
             times[first[n_words > 0]] += 1
             texts = [ids, base.tobytes(), (missing + (n_words > 0)).astype(np.int64).tobytes(), n_words.astype(np.int64).tobytes()]
             if not len(words):
@@ -175,8 +193,8 @@ def _sums(requests: DataFrame) -> DataFrame:
 _NULL = -(1 << 63)
 
 
-def backoff_scores(docs: DataFrame) -> DataFrame:
-    """Score every whole text by the counts of all other texts of ``docs``.
+def backoff_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Score every whole text by the counts of all other texts of ``docs``, with a model of order 2 or 3.
 
     Returns one row per row: doc_id, n_words, log_score (natural logarithm, summed over the words), mean_log_score
     (per word). Words are separated by white space and unchanged. A text without words, or null, scores 0.
@@ -184,11 +202,13 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     texts of their own, and vouch for each other. Null ids are kept. Extra columns are not read.
     """
     source = columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), text_or_empty().alias("text"))
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     rows = source.select("doc_id", F.xxhash64("text").alias("key"), "text")
     pair_buckets, word_buckets = n_buckets(rows, PAIRS_PER_BUCKET), n_buckets(rows, WORDS_PER_BUCKET)
     width = hash_bytes(pair_buckets * PAIRS_PER_BUCKET)
-    chunked = _pair_totals(rows, pair_buckets, width).unionByName(texts_by_chunk(rows), allowMissingColumns=True)
-    scored = stored(_sums(_word_requests(chunked, pair_buckets, word_buckets, width)), "lm-scores")
+    chunked = _gram_totals(rows, order, pair_buckets, width).unionByName(texts_by_chunk(rows), allowMissingColumns=True)
+    scored = stored(_sums(_word_requests(chunked, order, pair_buckets, word_buckets, width)), "lm-scores")
     n_all = float(scored.agg(F.sum("n_words")).first()[0] or 0)
     log_n = F.log(F.greatest(F.lit(n_all) - F.col("n_words"), F.lit(1.0)))
     score = F.round(F.col("part") - F.col("n_missing") * log_n, 6)

@@ -46,7 +46,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(_table(spark, sf_dir, "documents"))
+    return lm.backoff_scores(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,40 @@ def test_backoff_scores_match_brute_force(spark, monkeypatch):
     assert lm.backoff_scores(frame(spark, [])).count() == 0
 
 
+def test_order_three_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase = "p q r s t p q r".split()
+    some = lambda: phrase[: rng.randint(1, 8)] if rng.random() < 0.3 else [f"w{int(rng.paretovariate(0.9))}"]
+    rows = [(i, " ".join(w for _ in range(rng.randint(0, 25)) for w in some())) for i in range(60)]
+    rows += [(70, None), (71, "alone"), (72, "p q"), (72, "p q"), (None, "p q r"), (73, "s p q r q p r")]
+    own = [(i, (t or "").split()) for i, t in rows]
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    c = sum((grams(w) for _, w in own), Counter())
+    total = sum(len(w) for _, w in own)
+
+    def score(w):
+        o, out = c - grams(w), 0.0
+        for i, x in enumerate(w):
+            for n in range(min(3, i + 1), 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if n == 1:
+                    out += math.log(max(o[g], 0.5) / max(total - len(w), 1))
+                elif o[g]:
+                    out += math.log(o[g] / o[g[:-1]])
+                    break
+                else:
+                    out += math.log(0.4)
+        return out
+
+    want = sorted((str(i), len(w), round(score(w), 4)) for i, w in own)
+    for size in (4_000_000, 150):
+        monkeypatch.setattr(lm, "PAIRS_PER_BUCKET", size)
+        monkeypatch.setattr(lm, "WORDS_PER_BUCKET", size)
+        got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 4)) for r in lm.backoff_scores(frame(spark, rows), order=3).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
+
+
 # --- chat ------------------------------------------------------------------------------------------
 def render(template, **names):
     return "".join(t for t, _ in chat.compile_template(template)(**names))
