@@ -103,16 +103,18 @@ def _pairs_of_slots(pairs: DataFrame, window: int) -> DataFrame:
         one = one.where(F.try_element_at(F.col("d_tokens"), F.col("at") + F.col("shift") + 1) == mark)
         b = F.try_element_at(F.col(value["b", kind]), _count("b_tokens", F.col("at") + 1, mark))
         d = F.try_element_at(F.col(value["d", kind]), _count("d_tokens", F.col("at") + F.col("shift") + 1, mark))
-        slots.append(one.select("doc_id", "item_id", F.lit(kind).alias("kind"), F.lower(b).alias("b"), F.lower(d).alias("d")))
-    slots = reduce(DataFrame.unionByName, slots).groupBy("doc_id", "item_id", "kind", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("d").alias("n_d"), F.sum((F.col("b") != F.col("d")).cast("int")).alias("changed"))
-    return slots.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("n_d") <= 1).alias("consistent"))
+        slots.append(one.select("doc_id", "item_id", "shift", F.lit(kind).alias("kind"), F.lower(b).alias("b"), F.lower(d).alias("d")))
+    slots = reduce(DataFrame.unionByName, slots).groupBy("doc_id", "item_id", "shift", "kind", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("d").alias("n_d"), F.sum((F.col("b") != F.col("d")).cast("int")).alias("changed"))
+    return slots.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("n_d") <= 1).alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, word for word or with other numbers, names or units.
 
-    A pair counts if the document has at least ``coverage`` of the item's distinct template windows and, in the
-    stretch where most of them line up, each value of the item stands for one value in the document. Returns doc_id,
+    A pair counts if the document has at least ``coverage`` of the item's distinct template windows and, in a stretch of
+    it, each value of the item stands for one value in the document. Stretches are the one where most windows' first
+    occurrences line up, and any other that has ``coverage`` of the windows by itself; the result tells of the first of
+    these that is consistent, then of the one with most windows, then of the earliest. Returns doc_id,
     item_id, n_windows, n_matched, n_slots, n_changed (slots with another value than the item's).
 
     Null texts count as empty and match nothing, as do items of fewer tokens than a window and rows of a null id.
@@ -122,16 +124,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     side = F.broadcast(bench) if bench.count() <= MOST_BROADCAST else bench
     source = columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text"))
     hits = windows(source.select(F.col("doc_id").alias("id"), template(F.col("text")).alias("tokens")), window).join(side, "h")
-    lined = hits.groupBy(F.col("id").alias("doc_id"), "item_id", "n_windows", "bpos").agg(F.min(F.col("pos") - F.col("bpos")).alias("shift"))
+    hits = stored(hits.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "bpos", (F.col("pos") - F.col("bpos")).alias("shift")).distinct(), "template-hits")
+    lined = hits.groupBy("doc_id", "item_id", "n_windows", "bpos").agg(F.min("shift").alias("shift"))
     matched = lined.groupBy("doc_id", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n_matched")).where(F.col("n_matched") >= coverage * F.col("n_windows"))
     runs = lined.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n"), F.min("bpos").alias("begin"), F.max("bpos").alias("end"))
     best = runs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("shift", "begin", "end"), F.struct("n", -F.col("shift"))).alias("run"))
-    pairs = stored(matched.join(best, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows", "n_matched", "run.*"), "template-matches")
+    alone = hits.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.count(F.lit(1)).alias("n"), F.min("bpos").alias("begin"), F.max("bpos").alias("end"))
+    alone = alone.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "item_id", "shift", "begin", "end", (-F.col("n")).cast("int").alias("turn"))
+    # The best stretch comes first, by any number below those of the others.
+    stretches = best.select("doc_id", "item_id", "run.*", F.lit(-(1 << 31)).alias("turn")).unionByName(alone)
+    stretches = stretches.groupBy("doc_id", "item_id", "shift").agg(F.min_by(F.struct("begin", "end", "turn"), "turn").alias("run")).select("doc_id", "item_id", "shift", "run.*")
+    stretches = stored(matched.join(stretches, ["doc_id", "item_id"]), "template-matches")
+    pairs = stretches.drop("turn")
 
     items = columns(benchmark, "item_id", "text").select("item_id", text_or_empty().alias("item_text")).groupBy("item_id").agg(F.max("item_text").alias("item_text"))
     texts = source.join(pairs.select(F.col("doc_id").alias("hit")).distinct(), F.col("doc_id") == F.col("hit"), "left_semi").dropDuplicates(["doc_id"])
     slots = _pairs_of_slots(pairs.join(items, "item_id").join(texts, "doc_id"), window)
-    told = pairs.join(slots, ["doc_id", "item_id"], "left").where(F.coalesce("consistent", F.lit(True)))
+    told = stretches.join(slots, ["doc_id", "item_id", "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
+    told = told.groupBy("doc_id", "item_id", "n_windows", "n_matched").agg(F.min_by(F.struct("n_slots", "n_changed"), F.struct("turn", "shift")).alias("told")).select("doc_id", "item_id", "n_windows", "n_matched", "told.*")
     zero = F.lit(0)
     return told.select("doc_id", "item_id", "n_windows", "n_matched", F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
 

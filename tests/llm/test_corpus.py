@@ -74,6 +74,15 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_a_variant_does_not_hide_the_item(spark):
+    variant = "A farmer named Mary Jones sold 7 kg of apples to the market and then 9 kg of pears before noon"
+    rows = [(1, f"{variant}. {BENCH[0][1]}. More."), (2, f"{BENCH[0][1]}. {variant}."), (3, f"{variant}. {variant}."), (4, f"{variant}. And {variant}. Later, {BENCH[0][1]}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_changed) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (4, 1, 0)]
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_sql_gives_the_same_pairs_and_mixture(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
