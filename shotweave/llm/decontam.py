@@ -22,6 +22,12 @@ BREAK = r"[^\p{L}\p{N}\x01-\x03]+"
 WINDOW = 5
 #: Share of an item's windows that a document must have.
 COVERAGE = 0.5
+#: Words in a row that are a benchmark passage in themselves.
+LITERAL = 13
+#: Characters from which one word alone is a passage (a clause of a script without spaces).
+LONG_WORD = 8
+#: Comes before all stretches of a pair but the best.
+FIRST = -(1 << 31)
 #: Rows of benchmark windows up to which they are broadcast; beyond, both sides are shuffled by hash.
 MOST_BROADCAST = 1_000_000
 
@@ -37,6 +43,11 @@ def template(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BREAK), "")
 
 
+def literal_tokens(text: Column) -> Column:
+    """The text's words in lower case."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
 def slot_values(text: Column) -> dict[str, Column]:
     """The values that the k-th placeholder of each kind stands for, in order."""
     return {
@@ -46,27 +57,49 @@ def slot_values(text: Column) -> dict[str, Column]:
     }
 
 
-def windows(rows: DataFrame, window: int) -> DataFrame:
-    """All windows of so many template tokens of ``rows`` (id, tokens), one row each: id, pos, h.
+def _arrays_of_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` with a column w<size> for each size: the hashes of all windows of so many ``tokens``, in order of place.
 
     Hashes of 1, 2, 4, ... tokens are built from each other, array by array, without joining words."""
-    size, keep = 1, ["id", "n"]
-    rows = rows.select("id", F.size("tokens").alias("n"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h1"))
+    keep = [c for c in rows.columns if c != "tokens"]
+    rows = rows.select(*keep, F.size("tokens").alias("n"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h1"))
+    powers = [1 << b for b in range(max(sizes).bit_length())]
 
     def after(name: str, by: int) -> Column:
         return F.slice(F.col(name), by + 1, F.greatest(F.size(name) - by, F.lit(0)))
 
-    while 2 * size <= window:
-        both = F.zip_with(F.col(f"h{size}"), after(f"h{size}", size), lambda a, b: F.xxhash64(a, b)).alias(f"h{2 * size}")
-        rows = rows.select(*keep, *[c for c in rows.columns if c[0] == "h"], both)
-        size *= 2
-    at, bits = size, [1 << b for b in range(size.bit_length() - 1) if window - size & 1 << b]
-    name = f"h{size}"
-    for b in reversed(bits):
-        rows = rows.withColumn("joined", F.zip_with(F.col(name), after(f"h{b}", at), lambda a, c: F.xxhash64(a, c)))
-        rows, name, at = rows.drop(name).withColumnRenamed("joined", "hw"), "hw", at + b
-    whole = F.slice(F.col(name), 1, F.greatest(F.col("n") - window + 1, F.lit(0)))
-    return rows.select("id", F.posexplode(whole).alias("pos", "h"))
+    def joined(name: str, other: str, by: int) -> Column:
+        return F.zip_with(F.col(name), after(other, by), lambda a, b: F.xxhash64(a, b))
+
+    for size in powers[:-1]:
+        rows = rows.withColumn(f"h{2 * size}", joined(f"h{size}", f"h{size}", size))
+    for size in sizes:
+        at = 1 << size.bit_length() - 1
+        name = f"h{at}"
+        for part in reversed([x for x in powers if x < at and x & size]):
+            rows = rows.withColumn(f"p{size}", joined(name, f"h{part}", at))
+            name, at = f"p{size}", at + part
+        whole = F.slice(F.col(name), 1, F.greatest(F.col("n") - size + 1, F.lit(0)))
+        rows = rows.withColumn(f"w{size}", whole)
+    return rows.select(*keep, *[f"w{size}" for size in sizes])
+
+
+def windows(rows: DataFrame, window: int) -> DataFrame:
+    """All windows of so many of the tokens of ``rows`` (tokens, and any others but n), one row each: the others, pos, h."""
+    keep = [c for c in rows.columns if c != "tokens"]
+    return _arrays_of_hashes(rows, [window]).select(*keep, F.posexplode(f"w{window}").alias("pos", "h"))
+
+
+def _told_apart(hashes: str, size: int) -> Column:
+    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(size)))
+
+
+def literal_windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """The distinct windows of each of the ``sizes`` of the tokens of ``rows``, one row each: the other columns, h.
+    Equal words of different sizes have different hashes."""
+    keep = [c for c in rows.columns if c != "tokens"]
+    told = F.concat(*[_told_apart(f"w{size}", size) for size in sizes])
+    return _arrays_of_hashes(rows, sizes).select(*keep, F.explode(F.array_distinct(told)).alias("h"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -87,7 +120,7 @@ def _count(tokens: str, upto: Column, mark: str) -> Column:
 
 
 def _pairs_of_slots(pairs: DataFrame, window: int) -> DataFrame:
-    """Check the slots of aligned stretches. ``pairs``: doc_id, item_id, item_text, text, shift, begin, end (item windows)."""
+    """Check the slots of aligned stretches. ``pairs``: row, item_id, item_text, text, shift, begin, end (item windows)."""
     value = {}
     for side, text in (("b", "item_text"), ("d", "text")):
         pairs = pairs.withColumn(f"{side}_tokens", template(F.col(text)))
@@ -98,58 +131,106 @@ def _pairs_of_slots(pairs: DataFrame, window: int) -> DataFrame:
     at = F.explode(F.sequence(F.col("begin"), F.col("end") + window - 1)).alias("at")
     slots = []
     for kind, mark in SLOTS.items():
-        one = pairs.where(F.array_contains("b_tokens", mark)).select("doc_id", "item_id", "shift", "b_tokens", "d_tokens", value["b", kind], value["d", kind], at)
+        one = pairs.where(F.array_contains("b_tokens", mark)).select("row", "item_id", "shift", "b_tokens", "d_tokens", value["b", kind], value["d", kind], at)
         one = one.where((F.try_element_at(F.col("b_tokens"), F.col("at") + 1) == mark) & (F.col("at") + F.col("shift") >= 0))
         one = one.where(F.try_element_at(F.col("d_tokens"), F.col("at") + F.col("shift") + 1) == mark)
         b = F.try_element_at(F.col(value["b", kind]), _count("b_tokens", F.col("at") + 1, mark))
         d = F.try_element_at(F.col(value["d", kind]), _count("d_tokens", F.col("at") + F.col("shift") + 1, mark))
-        slots.append(one.select("doc_id", "item_id", "shift", F.lit(kind).alias("kind"), F.lower(b).alias("b"), F.lower(d).alias("d")))
-    slots = reduce(DataFrame.unionByName, slots).groupBy("doc_id", "item_id", "shift", "kind", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("d").alias("n_d"), F.sum((F.col("b") != F.col("d")).cast("int")).alias("changed"))
-    return slots.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("n_d") <= 1).alias("consistent"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """Pairs of a document and a benchmark item that it holds, word for word or with other numbers, names or units.
-
-    A pair counts if the document has at least ``coverage`` of the item's distinct template windows and, in a stretch of
-    it, each value of the item stands for one value in the document. Stretches are the one where most windows' first
-    occurrences line up, and any other that has ``coverage`` of the windows by itself; the result tells of the first of
-    these that is consistent, then of the one with most windows, then of the earliest. Returns doc_id,
-    item_id, n_windows, n_matched, n_slots, n_changed (slots with another value than the item's).
-
-    Null texts count as empty and match nothing, as do items of fewer tokens than a window and rows of a null id.
-    Rows that repeat a doc_id count as one document. Equal items each give a pair. Extra columns are not read.
-    """
+        slots.append(one.select("row", "item_id", "shift", F.lit(kind).alias("kind"), F.lower(b).alias("b"), F.lower(d).alias("d")))
+    changed = F.sum((F.col("b") != F.col("d")).cast("int")).alias("changed")
+    slots = reduce(DataFrame.unionByName, slots).groupBy("row", "item_id", "shift", "kind", "b")
+    slots = slots.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("d").alias("n_d"), changed)
+    totals = F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("n_d") <= 1).alias("consistent")
+    return slots.groupBy("row", "item_id", "shift").agg(*totals)
+
+
+def _literal_hits(texts: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """Items that a text holds word for word, or ``size`` words of in a row: row, doc_id, item_id, n_literal (such windows)."""
+    items = columns(benchmark, "item_id", "text").where("item_id IS NOT NULL").select("item_id", literal_tokens(text_or_empty()).alias("tokens"))
+    # A short word alone is no passage.
+    items = items.where((F.size("tokens") > 1) | ((F.size("tokens") == 1) & (F.length(F.col("tokens")[0]) >= LONG_WORD)))
+    items = stored(items.withColumn("size", F.least(F.size("tokens"), F.lit(size))), "benchmark-tokens")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``size`` numbers
+    if not sizes:
+        return texts.select("row", "doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_literal")).limit(0)
+    of_items = reduce(DataFrame.unionByName, [literal_windows(items.where(F.col("size") == k).drop("size"), [k]) for k in sizes])
+    of_items = stored(of_items.distinct(), "benchmark-literals")
+    side = F.broadcast(of_items) if of_items.count() <= MOST_BROADCAST else of_items
+    hits = literal_windows(texts.select("row", "doc_id", literal_tokens(F.col("text")).alias("tokens")), sizes).join(side, "h")
+    return hits.groupBy("row", "doc_id", "item_id").agg(F.countDistinct("h").alias("n_literal"))
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, window: int, coverage: float, literal: int) -> DataFrame:
+    """Pairs of a text of ``texts`` (row: a name of id and text; doc_id, text) and an item: row, doc_id, item_id, and what
+    ``contaminated`` returns of it, with ``turn`` and ``shift`` of the stretch that it tells of."""
     bench = stored(benchmark_windows(benchmark, window), "benchmark-windows")
     side = F.broadcast(bench) if bench.count() <= MOST_BROADCAST else bench
-    source = columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text"))
-    hits = windows(source.select(F.col("doc_id").alias("id"), template(F.col("text")).alias("tokens")), window).join(side, "h")
-    hits = stored(hits.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "bpos", (F.col("pos") - F.col("bpos")).alias("shift")).distinct(), "template-hits")
-    lined = hits.groupBy("doc_id", "item_id", "n_windows", "bpos").agg(F.min("shift").alias("shift"))
-    matched = lined.groupBy("doc_id", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n_matched")).where(F.col("n_matched") >= coverage * F.col("n_windows"))
-    runs = lined.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n"), F.min("bpos").alias("begin"), F.max("bpos").alias("end"))
-    best = runs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("shift", "begin", "end"), F.struct("n", -F.col("shift"))).alias("run"))
-    alone = hits.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.count(F.lit(1)).alias("n"), F.min("bpos").alias("begin"), F.max("bpos").alias("end"))
-    alone = alone.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "item_id", "shift", "begin", "end", (-F.col("n")).cast("int").alias("turn"))
+    hits = windows(texts.select("row", "doc_id", template(F.col("text")).alias("tokens")), window).join(side, "h")
+    hits = stored(hits.select("row", "doc_id", "item_id", "n_windows", "bpos", (F.col("pos") - F.col("bpos")).alias("shift")).distinct(), "template-hits")
+    pair = ["row", "doc_id", "item_id"]
+    lined = hits.groupBy(*pair, "n_windows", "bpos").agg(F.min("shift").alias("shift"))
+    matched = lined.groupBy(*pair, "n_windows").agg(F.count(F.lit(1)).alias("n_matched")).where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    run = [F.count(F.lit(1)).alias("n"), F.min("bpos").alias("begin"), F.max("bpos").alias("end")]
+    runs = lined.groupBy("row", "item_id", "shift").agg(*run)
+    best = runs.groupBy("row", "item_id").agg(F.max_by(F.struct("shift", "begin", "end"), F.struct("n", -F.col("shift"))).alias("run"))
+    alone = hits.groupBy("row", "item_id", "n_windows", "shift").agg(*run)
+    alone = alone.where(F.col("n") >= coverage * F.col("n_windows")).select("row", "item_id", "shift", "begin", "end", (-F.col("n")).cast("int").alias("turn"))
     # The best stretch comes first, by any number below those of the others.
-    stretches = best.select("doc_id", "item_id", "run.*", F.lit(-(1 << 31)).alias("turn")).unionByName(alone)
-    stretches = stretches.groupBy("doc_id", "item_id", "shift").agg(F.min_by(F.struct("begin", "end", "turn"), "turn").alias("run")).select("doc_id", "item_id", "shift", "run.*")
-    stretches = stored(matched.join(stretches, ["doc_id", "item_id"]), "template-matches")
-    pairs = stretches.drop("turn")
+    stretches = best.select("row", "item_id", "run.*", F.lit(FIRST).alias("turn")).unionByName(alone)
+    stretches = stretches.groupBy("row", "item_id", "shift").agg(F.min_by(F.struct("begin", "end", "turn"), "turn").alias("run"))
+    stretches = stored(matched.join(stretches.select("row", "item_id", "shift", "run.*"), ["row", "item_id"]), "template-matches")
+
+    items = columns(benchmark, "item_id", "text").select("item_id", text_or_empty().alias("item_text"))
+    items = items.groupBy("item_id").agg(F.max("item_text").alias("item_text"))
+    hit_texts = texts.select("row", "text").join(stretches.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    slots = _pairs_of_slots(stretches.drop("turn", "doc_id", "n_windows", "n_matched").join(items, "item_id").join(hit_texts, "row"), window)
+    told = stretches.join(slots, ["row", "item_id", "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
+    told = told.groupBy(*pair, "n_windows", "n_matched").agg(F.min_by(F.struct("turn", "shift", "n_slots", "n_changed"), F.struct("turn", "shift")).alias("told"))
+    told = told.select(*pair, "n_windows", "n_matched", "told.*")
+    literals = _literal_hits(texts, benchmark, literal)
+    both = told.withColumn("n_literal", F.lit(0).cast("long")).unionByName(literals, allowMissingColumns=True)
+    numbers = ["n_windows", "n_matched", "turn", "shift", "n_slots", "n_changed", "n_literal"]
+    return both.groupBy(*pair).agg(*[F.max(c).alias(c) for c in numbers])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``, by which rows of equal id and text are one; none for texts without anything to find."""
+    text = text_or_empty()
+    name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text)))
+    return columns(docs, "doc_id", "text").select(name.alias("row"), "doc_id", text.alias("text")).where("text <> ''")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, literal: int = LITERAL) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, word for word or with other numbers, names or units.
 
-    items = columns(benchmark, "item_id", "text").select("item_id", text_or_empty().alias("item_text")).groupBy("item_id").agg(F.max("item_text").alias("item_text"))
-    texts = source.join(pairs.select(F.col("doc_id").alias("hit")).distinct(), F.col("doc_id") == F.col("hit"), "left_semi").dropDuplicates(["doc_id"])
-    slots = _pairs_of_slots(pairs.join(items, "item_id").join(texts, "doc_id"), window)
-    told = stretches.join(slots, ["doc_id", "item_id", "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
-    told = told.groupBy("doc_id", "item_id", "n_windows", "n_matched").agg(F.min_by(F.struct("n_slots", "n_changed"), F.struct("turn", "shift")).alias("told")).select("doc_id", "item_id", "n_windows", "n_matched", "told.*")
-    zero = F.lit(0)
-    return told.select("doc_id", "item_id", "n_windows", "n_matched", F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
+    A pair counts in either of two ways.
+    1. By template: the document has at least ``coverage`` of the item's distinct template windows and, in a stretch of
+       it, each value of the item stands for one value in the document. Stretches are the one where most windows' first
+       occurrences line up, and any other that has ``coverage`` of the windows by itself; the result tells of the first
+       of these that is consistent, then of the one with most windows, then of the earliest.
+    2. Literally: the document has ``literal`` words of the item in a row or, of a shorter item, all words, whatever
+       case, white space and punctuation. This finds items that are short or mostly numbers, names and units, and
+       passages of an item. An item of one word of fewer than LONG_WORD characters is not looked for.
+    Returns doc_id, item_id, n_windows, n_matched, n_slots, n_changed (slots with another value than the item's), all 0
+    if the pair is only literal, and n_literal (distinct literal windows of the item that the document has).
+
+    Null texts count as empty and match nothing; items of a null id aren't looked for. Texts of one doc_id (null is one
+    too) are judged apart; of several that hold an item, the row tells of the one with most template windows. Equal items
+    each give a pair. Extra columns are not read.
+    """
+    found = _found(_texts(docs), benchmark, window, coverage, literal)
+    order = F.struct(-F.col("n_matched"), "turn", "shift", "n_slots", "n_changed")
+    told = found.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("n_windows", "n_matched", "n_slots", "n_changed"), F.when(F.col("turn").isNotNull(), order)).alias("told"), F.max("n_literal").alias("n_literal"))
+    numbers = [F.coalesce(f"told.{c}", F.lit(0)).cast("long").alias(c) for c in ("n_windows", "n_matched", "n_slots", "n_changed")]
+    return told.select("doc_id", "item_id", *numbers, "n_literal")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Stage form: the rows of ``docs`` that hold no benchmark item, all columns; a null doc_id stays."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    """Stage form: the rows of ``docs`` that hold no benchmark item, all columns. Rows of one doc_id, or of null, are
+    judged by their own texts."""
+    bad = _found(_texts(docs), benchmark, WINDOW, COVERAGE, LITERAL).select(F.col("row").alias("bad row")).distinct()
+    name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text_or_empty())))
+    return docs.join(bad, name == F.col("bad row"), "left_anti")
 
 
 _T = rf"""regexp_replace(regexp_replace(regexp_replace(%s, '{NUMBER}', ' ' || chr(1) || ' ', 'g'), '{UNIT.replace(chr(1), chr(92) + 'x01')}', chr(1) || ' ' || chr(3) || ' ', 'g'), '{NAME}', '\1' || chr(2) || ' ', 'g')"""
@@ -166,26 +247,73 @@ def _slots_sql(kind: str) -> str:
     mark = f"chr({ord(SLOTS[kind])})"
     count = lambda tokens, upto: f"len(list_filter({tokens}[1:{upto}], lambda x: x = {mark}))"
     value = lambda text, tokens, upto: f"lower(({_VALUES[kind] % text})[{count(tokens, upto)}])"
-    return f"""SELECT doc_id, item_id, '{kind}' AS kind, {value('item_text', 'bt', 'k + 1')} AS b, {value('text', 'dt', 'k + shift + 1')} AS d FROM ex
-  WHERE bt[k + 1] = {mark} AND k + shift >= 0 AND dt[k + shift + 1] = {mark}"""
+    return f"""SELECT r, item_id, shift, '{kind}' AS kind,
+    {value('item_text', 'bt', 'k + 1')} AS b,
+    {value('text', 'dt', 'k + shift + 1')} AS d
+  FROM ex WHERE bt[k + 1] = {mark} AND k + shift >= 0 AND dt[k + shift + 1] = {mark}"""
+
 
+_WORDS = r"list_filter(regexp_split_to_array(lower(%s), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_MARKS = "(chr(1), chr(2), chr(3))"
+_PAIR = "r, doc_id, item_id"
 
 SQL = rf"""
-WITH dk AS (SELECT doc_id, text, {_TOKENS % "text"} AS tk FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-bk AS (SELECT item_id, text AS item_text, {_TOKENS % "text"} AS tk FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-bp AS (SELECT item_id, tk, unnest(range(0, len(tk) - {WINDOW - 1})) AS pos FROM bk),
-bw AS (SELECT item_id, array_to_string(tk[pos + 1:pos + {WINDOW}], ' ') AS w, min(pos) AS bpos FROM bp
-  WHERE 2 * len(list_filter(tk[pos + 1:pos + {WINDOW}], lambda x: x NOT IN (chr(1), chr(2), chr(3)))) >= {WINDOW} GROUP BY 1, 2),
+WITH dk AS (
+  SELECT DISTINCT md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || text) AS r, doc_id, text, {_TOKENS % "text"} AS tk
+  FROM documents WHERE text <> ''),
+bk AS (SELECT item_id, max(text) AS item_text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id),
+bi AS (SELECT *, {_TOKENS % "item_text"} AS tk FROM bk),
+bp AS (
+  SELECT item_id, tk, unnest(range(0, len(tk) - {WINDOW - 1})) AS pos
+  FROM (SELECT item_id, {_TOKENS % "text"} AS tk FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+bw AS (
+  SELECT item_id, array_to_string(tk[pos + 1:pos + {WINDOW}], ' ') AS w, min(pos) AS bpos FROM bp
+  WHERE 2 * len(list_filter(tk[pos + 1:pos + {WINDOW}], lambda x: x NOT IN {_MARKS})) >= {WINDOW} GROUP BY 1, 2),
 bn AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM bw),
-dp AS (SELECT doc_id, tk, unnest(range(0, len(tk) - {WINDOW - 1})) AS pos FROM dk),
-ln AS (SELECT doc_id, item_id, n_windows, bpos, min(pos - bpos) AS shift FROM (SELECT doc_id, pos, array_to_string(tk[pos + 1:pos + {WINDOW}], ' ') AS w FROM dp) JOIN bn USING (w) GROUP BY ALL),
-mt AS (SELECT doc_id, item_id, n_windows, count(*) AS n_matched FROM ln GROUP BY ALL HAVING count(*) >= {COVERAGE} * n_windows),
-rn AS (SELECT doc_id, item_id, shift, count(*) AS n, min(bpos) AS lo, max(bpos) AS hi FROM ln GROUP BY ALL),
-bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift) AS k FROM rn) WHERE k = 1),
-ex AS (SELECT doc_id, item_id, shift, item_text, text, bk.tk AS bt, dk.tk AS dt, unnest(range(lo, hi + {WINDOW})) AS k FROM mt JOIN bs USING (doc_id, item_id) JOIN bk USING (item_id) JOIN dk USING (doc_id)),
+dp AS (SELECT r, doc_id, tk, unnest(range(0, len(tk) - {WINDOW - 1})) AS pos FROM dk),
+dw AS (SELECT r, doc_id, pos, array_to_string(tk[pos + 1:pos + {WINDOW}], ' ') AS w FROM dp),
+ht AS (SELECT DISTINCT {_PAIR}, n_windows, bpos, pos - bpos AS shift FROM dw JOIN bn USING (w)),
+ln AS (SELECT {_PAIR}, n_windows, bpos, min(shift) AS shift FROM ht GROUP BY ALL),
+mt AS (SELECT {_PAIR}, n_windows, count(*) AS n_matched FROM ln GROUP BY ALL HAVING count(*) >= {COVERAGE} * n_windows),
+rn AS (SELECT r, item_id, shift, count(*) AS n, min(bpos) AS lo, max(bpos) AS hi FROM ln GROUP BY ALL),
+bs AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY n DESC, shift) AS k FROM rn),
+al AS (
+  SELECT r, item_id, shift, min(bpos) AS lo, max(bpos) AS hi, -count(*) AS turn FROM ht
+  GROUP BY r, item_id, n_windows, shift HAVING count(*) >= {COVERAGE} * n_windows),
+sh AS (SELECT r, item_id, shift, lo, hi, {FIRST} AS turn FROM bs WHERE k = 1 UNION ALL SELECT * FROM al),
+su AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, item_id, shift ORDER BY turn) AS k FROM sh) WHERE k = 1),
+ms AS (SELECT mt.*, shift, lo, hi, turn FROM mt JOIN su ON su.r = mt.r AND su.item_id = mt.item_id),
+ex AS (
+  SELECT ms.r, ms.item_id, shift, item_text, text, bi.tk AS bt, dk.tk AS dt, unnest(range(lo, hi + {WINDOW})) AS k
+  FROM ms JOIN bi ON bi.item_id = ms.item_id JOIN dk ON dk.r = ms.r),
 sl AS ({' UNION ALL '.join(map(_slots_sql, SLOTS))}),
-sg AS (SELECT doc_id, item_id, kind, b, count(*) AS n, count(DISTINCT d) AS nd, sum(CAST(b <> d AS INTEGER)) AS changed FROM sl GROUP BY ALL),
-st AS (SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_slots, CAST(sum(changed) AS BIGINT) AS n_changed, max(nd) AS nd FROM sg GROUP BY ALL)
-SELECT mt.doc_id, mt.item_id, n_windows, n_matched, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed
-FROM mt LEFT JOIN st ON st.doc_id = mt.doc_id AND st.item_id = mt.item_id WHERE coalesce(nd, 1) <= 1
+sg AS (
+  SELECT r, item_id, shift, kind, b, count(*) AS n, count(DISTINCT d) AS nd, sum(CAST(b <> d AS INTEGER)) AS changed
+  FROM sl GROUP BY ALL),
+st AS (
+  SELECT r, item_id, shift, CAST(sum(n) AS BIGINT) AS n_slots, CAST(sum(changed) AS BIGINT) AS n_changed, max(nd) AS nd
+  FROM sg GROUP BY ALL),
+tp AS (
+  SELECT ms.doc_id, ms.item_id, n_windows, n_matched, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed,
+    row_number() OVER (PARTITION BY ms.doc_id, ms.item_id ORDER BY n_matched DESC, turn, ms.shift, n_slots, n_changed) AS k
+  FROM ms LEFT JOIN st ON st.r = ms.r AND st.item_id = ms.item_id AND st.shift = ms.shift WHERE coalesce(nd, 1) <= 1),
+bl AS (SELECT item_id, {_WORDS % "text"} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bz AS (SELECT *, least(len(ws), {LITERAL}) AS z FROM bl WHERE len(ws) > 1 OR (len(ws) = 1 AND length(ws[1]) >= {LONG_WORD})),
+bg AS (
+  SELECT DISTINCT item_id, z, array_to_string(ws[p + 1:p + z], ' ') AS w
+  FROM (SELECT *, unnest(range(0, len(ws) - z + 1)) AS p FROM bz)),
+dl AS (SELECT r, doc_id, {_WORDS % "text"} AS ws FROM dk),
+dz AS (SELECT *, unnest((SELECT list(DISTINCT z) FROM bz)) AS z FROM dl),
+dg AS (
+  SELECT DISTINCT r, doc_id, z, array_to_string(ws[p + 1:p + z], ' ') AS w
+  FROM (SELECT *, unnest(range(0, len(ws) - z + 1)) AS p FROM dz WHERE len(ws) >= z)),
+lt AS (
+  SELECT doc_id, item_id, max(n) AS n_literal
+  FROM (SELECT {_PAIR}, count(*) AS n FROM dg JOIN bg USING (z, w) GROUP BY ALL) GROUP BY ALL),
+tq AS (SELECT * FROM tp WHERE k = 1)
+SELECT coalesce(tq.doc_id, lt.doc_id) AS doc_id, coalesce(tq.item_id, lt.item_id) AS item_id,
+  coalesce(n_windows, 0) AS n_windows, coalesce(n_matched, 0) AS n_matched,
+  coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed, coalesce(n_literal, 0) AS n_literal
+FROM tq FULL JOIN lt ON tq.doc_id IS NOT DISTINCT FROM lt.doc_id AND tq.item_id = lt.item_id
 """

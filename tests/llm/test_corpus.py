@@ -66,10 +66,10 @@ def test_decontamination(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS pos", "3 AS tokens", "4 AS h")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_changed > 0) for r in decontam.contaminated(docs, bench).collect()}
-    assert got == {(1, 1): True, (3, 2): False, (6, 2): False, (8, 2): False}
+    assert got == {(1, 1): True, (3, 2): False, (6, 2): False, (8, 2): False, (None, 2): False}
     kept = decontam.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, 4, 5, None, 7, 9], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, 4, 5, 7, 9], key=str)
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -83,6 +83,22 @@ def test_a_variant_does_not_hide_the_item(spark):
     assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
 
 
+SHORT = [(1, "What is 2 + 2?"), (2, "12 kg, 13 kg, 14 kg, 15 kg, 16 kg."), (3, "答案是什么样的东西呢"), (4, "Paris"), (5, "It is Anna Smith Jones"), (6, "a b c d e f g h i j k l m n o p q r s t")]
+
+
+def test_short_and_slot_heavy_items(spark):
+    rows = [
+        (1, "Ask: what is 2+2 ?"), (2, "what is 2 and 2"), (3, "12 kg 13 KG; 14 kg, 15 kg; 16 kg and more"), (4, "12 kg 13 kg 14 kg 15 kg 17 kg"), (5, "前文，答案是什么样的东西呢。后文"), (6, "Paris is Paris"), (7, "so it is Anna Smith Jones"),
+        (8, "x y c d e f g h i j k l m n o z z"), (9, "x y c d e f g h i j z z"), (10, None), (11, "what is 2 + 2"), (11, "other text"), (None, "What is 2 2"), (None, "clean"),
+    ]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(SHORT, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_literal for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): 1, (3, 2): 1, (5, 3): 1, (7, 5): 1, (8, 6): 1, (11, 1): 1, (None, 1): 1}
+    kept = decontam.drop_contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(2, "what is 2 and 2"), *[(i, t) for i, t in rows if i in (4, 6, 9, 10)], (11, "other text")]
+    assert [r.text for r in kept if r.doc_id is None] == ["clean"]
+
+
 def test_sql_gives_the_same_pairs_and_mixture(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -90,12 +106,15 @@ def test_sql_gives_the_same_pairs_and_mixture(spark):
         "Then a farmer named Mary Jones sold 7 kg of apples to the market and then 7 kg of pears before noon. More.", "A farmer named Mary Jones sold 7 kg of apples to the market and then 9 kg of pears before noon", BENCH[0][1], BENCH[1][1] + " 12 kg", "", None,
         "Later, John Smith and Mary sold 12 kg of apples to the market and then 12 t of pears before noon", "A farmer named Ann sold 1,200.5 kg of apples to the market and then 1,200.5 kg of pears before noon",
     ]
-    rows = [(i, t, "en", f"s{i % 3}" if i else None, 0) for i, t in enumerate(texts)]
-    docs, bench = docs_of(spark, rows), spark.createDataFrame(BENCH, "item_id long, text string")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
-    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
     con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", BENCH)
+    variant = texts[1]
+    texts += [f"{variant}. {BENCH[0][1]}. More.", f"{BENCH[0][1]}. {variant}.", f"{variant}. {variant}.", "zz short ONE.", "Mary, " + " ".join(BENCH[1][1].split()[:13])]
+    rows = [(i, t, "en", f"s{i % 3}" if i else None, 0) for i, t in enumerate(texts)] + [(2, "again, " + BENCH[0][1], "en", "s", 0)]
+    docs = docs_of(spark, rows)
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
     for df, sql in ((decontam.contaminated(docs, bench), decontam.SQL), (mixing.mixed(docs), mixing.SQL)):
         want = con.sql(sql)
         got = sorted(tuple(r[c] for c in want.columns) for r in df.collect())
