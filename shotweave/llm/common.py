@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words, everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
-_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="shotweave-"))
+    """This application's folder below ``spark.checkpoint.dir`` or, where the session names none, below its warehouse:
+    both are shared by all executors."""
+    above = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{above.rstrip('/')}/shotweave-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once in the shared folder and read it back: a lost executor repeats nothing before it."""
+    """Write a table once in the shared folder and read it back: a lost executor repeats nothing before it. The table
+    stays until :func:`clear`, as results are read lazily."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_ids(docs: DataFrame) -> DataFrame:
+    """``docs``, whose doc_id must be of an integer type."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"doc_id is {kind.simpleString()}; this operator needs integers: number the documents first")
+    return docs
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -17,6 +17,9 @@ from .common import columns, text_or_empty
 # The pattern by which this vocabulary's library splits texts before merging.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Pieces of which every beginning is one piece as well.
+EVEN = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
+
 #: Texts above this many tokens are over the limit.
 LIMIT = 1024
 #: Pieces whose counts a worker remembers; then it forgets them all.
@@ -106,12 +109,14 @@ class PrefixTable:
 
     A prefix may end inside a piece, a white-space run or a special token's string, and then splits
     differently from the whole text. What a prefix adds after the last complete piece before its end
-    is split anew, so the count is that of the prefix encoded alone.
+    is split anew, so the count is that of the prefix encoded alone; within a long piece of one kind
+    of characters it is looked up among the piece's own prefix counts.
     """
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
         self.starts, self.before, total, at = [], [], 0, 0
+        self.stops: set[int] = set()  # pieces that are special tokens
         stops = [m.span() for m in counter.special.finditer(text)] if counter.special else []
         for begin, end in [*stops, (len(text), len(text))]:
             for m in counter.piece.finditer(text[at:begin]):
@@ -119,11 +124,26 @@ class PrefixTable:
                 self.before.append(total)
                 total += counter.prefixes(m[0].encode())[-1]
             if end > begin:
+                self.stops.add(len(self.starts))
                 self.starts.append(begin)
                 self.before.append(total)
                 total += 1
             at = end
         self.total = total
+        self._piece: tuple[int, list[int] | None] = (-1, None)
+
+    def _within(self, k: int) -> list[int] | None:
+        """The counts of the beginnings of piece k, by characters, if all of these are pieces; of the last piece asked for."""
+        if self._piece[0] != k:
+            end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
+            piece, counts = self.text[self.starts[k] : end], None
+            if k not in self.stops and EVEN.fullmatch(piece) and not piece.startswith("'"):
+                of_bytes, counts, at = self.counter.prefixes(piece.encode()), [0], 0
+                for char in piece:
+                    at += len(char.encode())
+                    counts.append(of_bytes[at])
+            self._piece = k, counts
+        return self._piece[1]
 
     def at(self, n_chars: int) -> int:
         if n_chars >= len(self.text):
@@ -131,9 +151,18 @@ class PrefixTable:
         k = bisect_right(self.starts, n_chars) - 1
         if k < 0:
             return 0
-        while k > 0 and self.text[self.starts[k] - 1 : self.starts[k]].isspace():
-            k -= 1  # a run of white space splits by what follows it
-        return self.before[k] + self.counter.count(self.text[self.starts[k] : n_chars])
+        begin = self.starts[k]
+        if begin == n_chars and k:
+            k -= 1
+            begin = self.starts[k]
+        if k in self.stops or (self.text[n_chars - 1 : n_chars].isspace() and self.text[begin:n_chars].isspace()):
+            while k > 0 and self.text[self.starts[k] - 1 : self.starts[k]].isspace():
+                k -= 1  # a run of white space splits by what follows it
+            begin = self.starts[k]
+        end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
+        if n_chars <= end and (counts := self._within(k)) is not None:
+            return self.before[k] + counts[n_chars - begin]
+        return self.before[k] + self.counter.count(self.text[begin:n_chars])
 
     def longest_within(self, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens, found among the prefixes themselves."""
@@ -176,7 +205,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> D
                 n_bytes.append(len(text.encode()))
                 n_tokens.append(counter.count(text))
             over = [n > limit for n in n_tokens]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            told = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(told, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
@@ -197,7 +227,9 @@ def truncation_points(docs: DataFrame, vocabulary_path: str, budgets: list[int])
                     n = table.longest_within(budget)
                     out.append((doc_id, budget, n, table.at(n)))
             fields = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(fields, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "budget", "n_chars", "n_tokens"])
+            kinds = batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64()
+            told = [pa.array(x, kind) for x, kind in zip(fields, kinds)]
+            yield pa.RecordBatch.from_arrays(told, ["doc_id", "budget", "n_chars", "n_tokens"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
