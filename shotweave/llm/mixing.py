@@ -68,7 +68,7 @@ def exponent(shares: DataFrame, target_entropy: float | None = None, max_repetit
 
 def _key(*parts: Column | int) -> Column:
     """A number from a hash of the parts, below 2**60."""
-    joined = F.concat_ws("|", *[(F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts])
+    joined = F.concat_ws("|", *[F.coalesce((F.lit(p) if isinstance(p, int) else p).cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 

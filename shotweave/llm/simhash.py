@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, mix, stored, text_buffers, text_or_empty, word_hashes
+from .common import chunks, columns, mix, stored, text_buffers, text_or_empty, whole_ids, word_hashes
 from .packed import CHUNK
 from .substring import window_hashes
 
@@ -163,17 +163,50 @@ def band_keys(radius: int = RADIUS) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), block[i].alias("x"), block[j].alias("y")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
+def rest_keys() -> Column:
+    """For each of the pairs of blocks of :func:`band_keys` at radius 2, keys of the other two blocks: cut in four, any
+    2 parts together. Fingerprints within 2 bits differ in at most two of the four parts, so they share one of these."""
+    told = []
+    for i, j in combinations(range(4), 2):
+        others = [b for b in range(4) if b not in (i, j)]
+        part = [F.shiftrightunsigned("print", 16 * b + at).bitwiseAND(F.lit(255)) for b in others for at in (0, 8)]
+        told.append(F.array(*[F.shiftleft(F.shiftleft(part[x], 8) + part[y], 4) + k for k, (x, y) in enumerate(combinations(range(4), 2))]))
+    return F.array(*told)
+
+
+def _tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """Rows of keys (band, x, y, z) of ``n`` nodes each, dealt so that every two nodes of a key meet in a group (t, u)."""
+    rows = rows.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    side = (F.col("mine") > F.col("other")).cast("int").alias("side")
+    return rows.select("band", "x", "y", "z", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), side, "node", "print", "sketch", *["shingles"] * ("shingles" in rows.columns))
+
+
 def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = None, tile: int = TILE, exact: float | None = None) -> DataFrame:
     """Links (a, b) that connect what fingerprints within the radius connect. ``keyed``: band int, x long, y long
     (a key), node long, print long, sketch binary; each node once for a key. Keys are counted first; those of one
-    fingerprint go, those of many are split in tiles, every two tiles meet in a group of their own. Within a group,
-    links are reduced to one for each fingerprint. With a ``similarity``, the sketches must agree that well too; with
-    ``exact``, ``keyed`` has a column shingles too (of ``sketched``), whose Jaccard similarity must reach it."""
-    many = keyed.groupBy("band", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keyed.join(many, ["band", "x", "y"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("band", "x", "y", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "print", "sketch", *["shingles"] * (exact is not None))
+    fingerprint go. Within a group, links are reduced to one for each fingerprint.
+
+    Keys of more than ``tile`` fingerprints are made finer where ``keyed`` has a column finer (array<long>): two
+    fingerprints of such a key that may be linked share one of these as well. What is still larger is split in tiles, every
+    two of which meet in a group of their own; that is quadratic in the fingerprints that agree in both keys.
+
+    With a ``similarity``, the sketches must agree that well too; with ``exact``, ``keyed`` has a column shingles too
+    (of ``sketched``), whose Jaccard similarity must reach it."""
+    key = ["band", "x", "y"]
+    many = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = keyed.join(many, key)
+    if "finer" in keyed.columns:
+        plain = rows.where(F.col("n") <= tile).withColumn("z", F.lit(0).cast("long")).drop("finer")
+        fine = rows.where(F.col("n") > tile).drop("n").withColumn("z", F.explode("finer")).drop("finer")
+        fine = stored(fine, "finer-keys")
+        n_fine = fine.groupBy(*key, "z").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = plain.unionByName(fine.join(n_fine, [*key, "z"]))
+    else:
+        rows = rows.withColumn("z", F.lit(0).cast("long"))
+    rows = _tiled(rows, tile)
+    first = rows.columns.index("node")  # the columns before it are a group and a side in it
 
     def compare(part: np.ndarray, sketches: np.ndarray, sets: list[bytes]) -> pa.RecordBatch:
         def agrees(i: int, others: np.ndarray) -> np.ndarray:
@@ -182,23 +215,25 @@ def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = Non
         def holds(i: int, other: int) -> bool:
             return jaccard(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[other], np.uint64)) >= exact - 1e-9
 
-        cuts = np.flatnonzero((part[1:, :5] != part[:-1, :5]).any(axis=1)) + 1
+        group = part[:, : first - 1]
+        cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
         groups = np.split(part, cuts)
-        root = linked([(g[:, 7].view(np.uint64), g[:, 5]) for g in groups], radius, agrees if similarity else None, holds if exact is not None else None)
+        sides = [(g[:, first + 1].view(np.uint64), g[:, first - 1]) for g in groups]
+        root = linked(sides, radius, agrees if similarity else None, holds if exact is not None else None)
         found = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(part[found, 6]), pa.array(part[root[found], 6])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(part[found, first]), pa.array(part[root[found], first])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, np.ndarray, list[bytes]] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns[:8]])
-            sketches = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(len(part), -1)
-            sets = batch.column(9).to_pylist() if exact is not None else []
+            part = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns[: first + 2]])
+            sketches = np.frombuffer(b"".join(batch.column(first + 2).to_pylist()), np.uint8).reshape(len(part), -1)
+            sets = batch.column(first + 3).to_pylist() if exact is not None else []
             if rest:
                 part, sketches, sets = np.concatenate([rest[0], part]), np.concatenate([rest[1], sketches]), rest[2] + sets
-            last = np.flatnonzero((part[:, :5] != part[-1, :5]).any(axis=1))
+            last = np.flatnonzero((part[:, : first - 1] != part[-1, : first - 1]).any(axis=1))
             whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
             rest = part[whole:], sketches[whole:], sets[whole:]
             if whole:
@@ -207,13 +242,14 @@ def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = Non
             yield compare(*rest)
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = ["band", "x", "y", "t", "u"]
+    group = ["band", "x", "y", "z", "t", "u"]
     return rows.repartition(n, *group).sortWithinPartitions(*group, "side", "node").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node that has an edge (a, b): node, root. Large-star and small-star rounds,
-    each one written as a table, until nothing changes; only counts come to the driver."""
+    each one written as a table, until nothing changes; only counts come to the driver. Rounds grow with the logarithm of
+    the longest chain; beyond ``most_rounds`` it stops with an error rather than give wrong roots."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     for _ in range(most_rounds):
@@ -242,10 +278,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Null and blank texts have fingerprint 0 and link like any other. Rows of a null doc_id get the class's smallest
     non-null id, or null. Repeated rows give repeated rows. Copies share a fingerprint and are compared once.
     """
-    rows = stored(fingerprints(docs), "fingerprints")
+    rows = stored(fingerprints(whole_ids(docs)), "fingerprints")
     prints = stored(rows.groupBy("print").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    keyed = prints.where("node IS NOT NULL").select("node", "print", F.explode(band_keys(radius)).alias("k"))
-    roots = components(links(keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch")), radius))
+    keyed = prints.where("node IS NOT NULL").select("node", "print", F.explode(band_keys(radius)).alias("k"), *[rest_keys().alias("rest")] * (radius == 2))
+    finer = [F.col("rest")[F.col("k.band")].alias("finer")] * (radius == 2)
+    roots = components(links(keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch"), *finer), radius))
     classes = prints.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     classes = stored(classes, "classes")  # written, so that the join below has plain exchanges, whose hot partitions Spark splits
     return rows.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -371,13 +408,17 @@ def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float =
     fingerprints (``radius_for``) and loosely compared sketches (LOOSE) leave likely links, which only say where to look:
     within each component of likely links, in tiles, texts that pass both filters are linked if the exact similarity of
     their distinct shingles, compared by 64-bit hashes, is high enough. So no link is made below ``similarity``. A link is
-    missed if no least hash is equal (0.2 ** MEETINGS at the threshold), by SimHash (MISSED) or by the sketch (about
+    missed if no least hash is equal (0.2 ** MEETINGS at the threshold; among the more than TILE texts of a hot least
+    hash, if no second one is), by SimHash (MISSED) or by the sketch (about
     1e-7), unless other texts connect the two. Null texts count as empty; empty texts are similar to each other. Null ids have no
     row. Rows that repeat a doc_id are one node, linked by any of their texts.
     """
-    rows = columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
+    rows = columns(whole_ids(docs), "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
     sketches = stored(sketched(rows, n_words), "sketches")
-    keyed = sketches.select("node", "print", "sketch", F.posexplode("least").alias("band", "x")).select("band", "x", F.lit(0).cast("long").alias("y"), "node", "print", "sketch")
+    keyed = sketches.select("node", "print", "sketch", "least", F.posexplode("least").alias("band", "x"))
+    # Texts of a hot key meet where another of their least hashes is equal too.
+    others = F.filter(F.transform("least", lambda v, i: F.when(i != F.col("band"), F.xxhash64(v, i))), lambda v: v.isNotNull())
+    keyed = keyed.select("band", "x", F.lit(0).cast("long").alias("y"), "node", "print", "sketch", others.alias("finer"))
     radius = radius_for(similarity)
     likely = stored(components(links(keyed, radius, LOOSE)), "likely")
     likely = likely.unionByName(likely.select(F.col("root").alias("node"), "root")).distinct()

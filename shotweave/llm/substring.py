@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, mix, text_or_empty, word_hashes
+from .common import columns, mix, text_or_empty, whole_ids, word_hashes
 from .packed import CHUNK, CODEC, PER_BUCKET, batch_of, cut_by_bucket, dealt, long, n_buckets, named_chunks, short, small, texts_by_chunk, wide
 
 WINDOW = 13
@@ -107,7 +107,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER
     Rows that repeat a doc_id aren't earlier than each other either; each is judged by its own text. Texts of fewer
     words than a window lose nothing. Extra columns are not read. Windows are compared by a 64-bit hash.
     """
-    source = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    source = columns(whole_ids(docs), "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     rows = source.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     buckets = n_buckets(rows, per_bucket)
 

@@ -126,6 +126,42 @@ def test_tiles_give_the_same_links(spark):
     assert whole == tiled and whole
 
 
+def test_hot_keys_are_made_finer_without_losing_links(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    # All share the first 32 bits; chains of fingerprints 2 bits apart in the others, at all places.
+    prints = set()
+    while len(prints) < 600:
+        p = int(rng.integers(1 << 32)) << 32 | 12345
+        for _ in range(4):
+            prints.add(p - (p >> 63 << 64))
+            p ^= 1 << int(rng.integers(32, 64)) | 1 << int(rng.integers(32, 64))
+    nodes = spark.createDataFrame(list(enumerate(sorted(prints))), "node long, print long")
+    keyed = nodes.select("node", "print", F.explode(simhash.band_keys(2)).alias("k"), simhash.rest_keys().alias("rest"))
+    keyed = keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch"), F.col("rest")[F.col("k.band")].alias("finer"))
+    whole, finer = ({r.node: r.root for r in simhash.components(simhash.links(k, 2, tile=t)).collect()} for k, t in ((keyed.drop("finer"), 4096), (keyed, 20)))
+    assert whole == finer and len(whole) > 300
+
+
+def test_similar_texts_of_hot_least_hashes(spark, monkeypatch):
+    rng, rows = random.Random(21), []
+    for k in range(40):
+        base = [f"r{rng.randrange(9000)}" for _ in range(120)]
+        rows += [(4 * k + i, " ".join(base[: 120 - 3 * i] + [f"z{k}x{i}y{j}" for j in range(3 * i)])) for i in range(4)]
+    rows += [(1000 + i, " ".join(["hot line of five words"] + [f"q{i}x{j}" for j in range(i % 5)])) for i in range(200)]
+    want = jaccard_classes(rows)
+    monkeypatch.setattr(simhash.links, "__defaults__", (2, None, 4, None))
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(frame(spark, rows)).collect()} == want
+
+
+def test_ids_that_are_no_integers(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    for operator in (simhash.near_duplicates, simhash.similar_classes, substring.without_repeats):
+        with pytest.raises(TypeError, match="integers"):
+            operator(docs)
+
+
 @pytest.mark.parametrize("n", [1, 2, 40])
 def test_components_of_a_chain(spark, n):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (100, 100)], "a long, b long")
