@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, stored, text_or_empty, word_hashes
-from .packed import CODEC, batch_of, cut_by_bucket, dealt, long, n_buckets, named_chunks, short, small, texts_by_chunk, wide
+from .common import columns, stored, text_or_empty, whole_ids, word_hashes
+from .packed import CHUNK, CODEC, WORD, batch_of, cut_by_bucket, dealt, for_two_passes, layout, long, named_chunks, short, small, text_bytes, texts_by_chunk, wide
 from .substring import window_hashes
 
 BACKOFF = 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 #: Pairs (and as many triples, apart), and words of texts, that a bucket should hold.
-PAIRS_PER_BUCKET, WORDS_PER_BUCKET = 2_000_000, 8_000_000
+PAIRS_PER_BUCKET, WORDS_PER_BUCKET = 2_000_000, 16_000_000
 
 
 def hash_bytes(n_places: float) -> int:
@@ -50,19 +50,20 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes & ((np.uint64(1) << bits) - np.uint64(1))) * np.uint64(n) >> bits).astype(np.int64)
 
 
-def _gram_totals(rows: DataFrame, order: int, buckets: int, width: int) -> DataFrame:
+def _gram_totals(rows: DataFrame, order: int, buckets: int, width: int, chunk: int) -> DataFrame:
     """Step 1. For each chunk and bucket of pairs, and of triples after these, how often each of the chunk's distinct ones
     occurs in all texts, in order of hash: chunk, bucket, data."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, data, offsets in named_chunks(batches):
+        for name, _, data, offsets in named_chunks(batches, chunk):
             for n in range(2, order + 1):
                 grams, counts = np.unique(window_hashes(data, offsets, n)[0], return_counts=True)
                 place, edges = cut_by_bucket(_bucket(grams, buckets), buckets)
                 used = np.flatnonzero(np.diff(edges))
                 parts = [place[edges[k] : edges[k + 1]] for k in used]
                 if len(used):
-                    yield batch_of([used + (n - 2) * buckets, [name] * len(used), [short(grams[p], width) for p in parts], [small(counts[p]) for p in parts]], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
+                    packed = [short(grams[p], width) for p in parts], [small(counts[p]) for p in parts]
+                    yield batch_of([used + (n - 2) * buckets, [name] * len(used), *packed], ["bucket", "chunk", "hashes", "counts"], pa.int32(), pa.int64())
 
     def count(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([long(r[1]) for r in held])
@@ -88,6 +89,9 @@ def _gram_totals(rows: DataFrame, order: int, buckets: int, width: int) -> DataF
 _SENT = ["bucket", "chunk", "words", "totals", "per_word", "doc", "times", "own", "ids", "base", "missing", "n_words"]
 
 
+_SUMMED = ["chunk", "of", "parts", "ids", "base", "missing", "n_words"]
+
+
 def _needs(doc_of: np.ndarray, words: np.ndarray, times: np.ndarray, n_docs: int) -> tuple[np.ndarray, ...]:
     """How often each text needs each of its words, by word, then text: word, text, times, own count."""
     word, inverse = np.unique(words, return_inverse=True)
@@ -166,48 +170,55 @@ def _sums(requests: DataFrame) -> DataFrame:
         counts = np.bincount(inverse, totals).astype(np.int64)[inverse] if len(totals) else totals
         at = 0
         for w, (name, _, _, per_word, doc, times, own, *texts) in zip(words, held):
-            parts = np.empty(0)
+            parts = of = np.empty(0)
             if len(w):
                 mine = counts[at : at + len(w)]
                 at += len(w)
                 others = np.repeat(mine, wide(per_word)) - wide(own)
-                parts = np.bincount(wide(doc), wide(times) * np.log(np.maximum(others, UNSEEN)))
-            yield batch_of([[name], [parts.astype(np.float64).tobytes()], *[[x] for x in texts]], ["chunk", "parts", "ids", "base", "missing", "n_words"], pa.int64())
+                of, place = np.unique(wide(doc), return_inverse=True)  # only texts that need these words go along
+                parts = np.bincount(place, wide(times) * np.log(np.maximum(others, UNSEEN)), len(of))
+            packed = small(np.diff(of.astype(np.int64), prepend=np.int64(0))), parts.astype(np.float64).tobytes(), *texts
+            yield batch_of([[name], *[[x] for x in packed]], _SUMMED, pa.int64())
 
     def merge(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         # Chunks of one name are equal; each has its own texts, and adds equal parts.
-        firsts = [r for r in held if r[1]]
-        ids, base, missing, n_words = (np.frombuffer(x, t) for x, t in zip(firsts[0][1:], (np.int64, np.float64, np.int64, np.int64)))
+        firsts = [r for r in held if r[2]]
+        ids, base, missing, n_words = (np.frombuffer(x, t) for x, t in zip(firsts[0][2:], (np.int64, np.float64, np.int64, np.int64)))
         total = np.zeros(len(ids))
         for r in held:
-            part = np.frombuffer(r[0])
-            total[: len(part)] += part
+            total[np.cumsum(wide(r[0]))] += np.frombuffer(r[1])
         for _ in firsts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, base + total / len(firsts), missing, n_words)], ["doc_id", "part", "n_missing", "n_words"])
+            told = ids, base + total / len(firsts), missing, n_words
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], ["doc_id", "part", "n_missing", "n_words"])
 
-    sums = dealt(requests, "bucket", _SENT[1:], "chunk long, parts binary, ids binary, base binary, missing binary, n_words binary", add)
-    return dealt(sums, "chunk", ["parts", "ids", "base", "missing", "n_words"], "doc_id long, part double, n_missing long, n_words long", merge)
+    sums = dealt(requests, "bucket", _SENT[1:], "chunk long, " + ", ".join(f"{c} binary" for c in _SUMMED[1:]), add)
+    return dealt(sums, "chunk", _SUMMED[1:], "doc_id long, part double, n_missing long, n_words long", merge)
 
 
 #: Stands for a null doc_id within the passes.
 _NULL = -(1 << 63)
 
 
-def backoff_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, rereadable: bool = False) -> DataFrame:
     """Score every whole text by the counts of all other texts of ``docs``, with a model of order 2 or 3.
 
     Returns one row per row: doc_id, n_words, log_score (natural logarithm, summed over the words), mean_log_score
     (per word). Words are separated by white space and unchanged. A text without words, or null, scores 0.
     A word that no other text has counts UNSEEN. If no other text has any words, N counts as 1. Rows that repeat are
     texts of their own, and vouch for each other. Null ids are kept. Extra columns are not read.
+    ``docs`` is read twice and stored first, unless it is ``rereadable``: straight from files.
     """
-    source = columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), text_or_empty().alias("text"))
+    source = columns(whole_ids(docs), "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), text_or_empty().alias("text"))
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     rows = source.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    pair_buckets, word_buckets = n_buckets(rows, PAIRS_PER_BUCKET), n_buckets(rows, WORDS_PER_BUCKET)
-    width = hash_bytes(pair_buckets * PAIRS_PER_BUCKET)
-    chunked = _gram_totals(rows, order, pair_buckets, width).unionByName(texts_by_chunk(rows), allowMissingColumns=True)
+    rows = for_two_passes(rows, rereadable)
+    size = text_bytes(rows)
+    pair_buckets, chunk = layout(size, PAIRS_PER_BUCKET, CHUNK)
+    word_buckets = -(-pair_buckets * PAIRS_PER_BUCKET // WORDS_PER_BUCKET)
+    width = hash_bytes(size / WORD)
+    totals = _gram_totals(rows, order, pair_buckets, width, chunk)
+    chunked = totals.unionByName(texts_by_chunk(rows, chunk), allowMissingColumns=True)
     scored = stored(_sums(_word_requests(chunked, order, pair_buckets, word_buckets, width)), "lm-scores")
     n_all = float(scored.agg(F.sum("n_words")).first()[0] or 0)
     log_n = F.log(F.greatest(F.lit(n_all) - F.col("n_words"), F.lit(1.0)))

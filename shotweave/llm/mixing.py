@@ -20,9 +20,13 @@ SEED = 11
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source (null: ''), n_tokens: words and one end mark, so that an empty text counts too."""
+    """doc_id, name (doc_id as text, null: a hash of the text), source (null: ''), n_tokens: words and one end mark, so
+    that an empty text counts too."""
     words = F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+"))
-    return columns(docs, "doc_id", "text", "source").select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), (words + 1).cast("long").alias("n_tokens"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty()))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = columns(docs, "doc_id", "text", "source")
+    return rows.select("doc_id", name.alias("name"), source.alias("source"), (words + 1).cast("long").alias("n_tokens"))
 
 
 def _curves(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float, float, float]]:
@@ -82,8 +86,8 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repetition:
 
     Returns a row for each time a document is used: doc_id, source, pass, n_tokens, weight, block_key, doc_key.
     Sorting by pass, block_key, doc_key gives the order, all sources interleaved block by block.
-    With the default budget every row of ``docs`` is used at least once. A null source counts as ''. A null doc_id
-    is dealt like any other. Rows that repeat are rows of their own, told apart only where the quota cuts a block,
+    With the default budget every row of ``docs`` is used at least once. A null source counts as ''. Rows of a null
+    doc_id are dealt by their texts. Rows that repeat are rows of their own, told apart only where the quota cuts a block,
     in no stated order. Empty texts count one token. No rows give no rows.
     """
     rows = stored(measured(docs), "mixing-documents")
@@ -103,7 +107,7 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repetition:
     plans = plans.withColumn("blocks", F.least(F.ceil(F.col("n") / per_block), F.lit(MOST_BLOCKS)).cast("long"))
     plans = plans.select("source", "weight", "passes", "rest", "blocks")
     plans = F.broadcast(plans) if n_sources <= MOST_BROADCAST else plans
-    rows = rows.join(plans, "source").withColumn("block", F.pmod(_key(seed, F.col("doc_id")), F.col("blocks")))
+    rows = rows.join(plans, "source").withColumn("block", F.pmod(_key(seed, F.col("name")), F.col("blocks")))
 
     blocks = rows.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.partitionBy("source").orderBy(_key(seed, F.col("passes"), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,29 +115,37 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repetition:
     blocks = stored(blocks.select("source", "block", (F.col("rest") - F.col("before")).alias("left"), (F.col("before") + F.col("tokens") > F.col("rest")).alias("cut")), "mixing-blocks")
     rows = rows.join(blocks, ["source", "block"], "left")
     whole = rows.where("cut IS NULL OR NOT cut").withColumn("copies", F.col("passes") + F.col("cut").isNotNull().cast("int"))
-    within = Window.partitionBy("source", "block").orderBy(_key(seed, F.col("passes"), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "block").orderBy(_key(seed, F.col("passes"), F.col("name")), "name").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.where("cut").withColumn("above", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     parts = parts.withColumn("copies", F.col("passes") + (F.col("above") < F.col("left")).cast("int")).drop("above")
     used = whole.unionByName(parts).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return used.select("doc_id", "source", "pass", "n_tokens", F.round("weight", 9).alias("weight"), _key(seed, F.col("pass"), F.col("source"), F.col("block")).alias("block_key"), _key(seed, F.col("pass"), F.col("doc_id")).alias("doc_key"))
+    return used.select("doc_id", "source", "pass", "n_tokens", F.round("weight", 9).alias("weight"), _key(seed, F.col("pass"), F.col("source"), F.col("block")).alias("block_key"), _key(seed, F.col("pass"), F.col("name")).alias("doc_key"))
 
 
 SQL = rf"""
-WITH r AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens FROM documents),
+WITH r AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name,
+  coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens FROM documents),
 s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n FROM r GROUP BY source),
 t AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, max(tokens) / min(tokens) AS spread FROM s),
 -- The smallest exponent, in steps of 2**-25, at which no source is repeated more than {MAX_REPETITION} times.
-a AS (SELECT total, CASE WHEN spread <= {MAX_REPETITION} THEN 0.0::DOUBLE ELSE ceil((1 - ln({MAX_REPETITION}::DOUBLE) / ln(spread)) * 33554432) / 33554432 END AS a FROM t),
+a AS (SELECT total, CASE WHEN spread <= {MAX_REPETITION} THEN 0.0::DOUBLE ELSE
+  ceil((1 - ln({MAX_REPETITION}::DOUBLE) / ln(spread)) * 33554432) / 33554432 END AS a FROM t),
 z AS (SELECT total, a, sum(power(tokens / total, a)) AS z, min(power(tokens / total, a - 1)) AS low FROM s, a GROUP BY total, a),
-w AS (SELECT s.*, power(tokens / total, a) / z AS weight, round(power(tokens / total, a) / z * (z / low) * total, 3) AS quota, least(CAST(ceil(n / {PER_BLOCK}) AS BIGINT), {MOST_BLOCKS}) AS blocks FROM s, z),
+w AS (SELECT s.*, power(tokens / total, a) / z AS weight,
+  round(power(tokens / total, a) / z * (z / low) * total, 3) AS quota, least(CAST(ceil(n / {PER_BLOCK}) AS BIGINT), {MOST_BLOCKS}) AS blocks FROM s, z),
 p AS (SELECT *, CAST(floor(quota / tokens) AS BIGINT) AS passes, quota - floor(quota / tokens) * tokens AS rest FROM w),
-d AS (SELECT r.*, weight, passes, rest, ('0x' || left(md5('{SEED}|' || doc_id), 15))::BIGINT % blocks AS block FROM r JOIN p USING (source)),
+d AS (SELECT r.*, weight, passes, rest, ('0x' || left(md5('{SEED}|' || name), 15))::BIGINT % blocks AS block FROM r JOIN p USING (source)),
 b AS (SELECT source, block, passes, rest, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
-c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY ('0x' || left(md5('{SEED}|' || passes || '|' || source || '|' || block), 15))::BIGINT, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
-e AS (SELECT d.*, c.before, c.tokens, coalesce(sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY ('0x' || left(md5('{SEED}|' || d.passes || '|' || doc_id), 15))::BIGINT, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+c AS (SELECT *, 
+  coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY ('0x' || left(md5('{SEED}|' || passes || '|' || source || '|' || block), 15))::BIGINT, block
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+e AS (SELECT d.*, c.before, c.tokens, 
+  coalesce(sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY ('0x' || left(md5('{SEED}|' || d.passes || '|' || name), 15))::BIGINT, name
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
   FROM d JOIN c ON c.source = d.source AND c.block = d.block),
 f AS (SELECT *, passes + CASE WHEN before >= rest THEN 0 WHEN before + tokens <= rest THEN 1 WHEN above < rest - before THEN 1 ELSE 0 END AS copies FROM e),
 u AS (SELECT *, unnest(range(0, copies)) AS pass FROM f)
-SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, n_tokens, round(weight, 9) AS weight, ('0x' || left(md5('{SEED}|' || pass || '|' || source || '|' || block), 15))::BIGINT AS block_key,
-       ('0x' || left(md5('{SEED}|' || pass || '|' || doc_id), 15))::BIGINT AS doc_key FROM u
+SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, n_tokens, round(weight, 9) AS weight,
+       ('0x' || left(md5('{SEED}|' || pass || '|' || source || '|' || block), 15))::BIGINT AS block_key,
+       ('0x' || left(md5('{SEED}|' || pass || '|' || name), 15))::BIGINT AS doc_key FROM u
 """

@@ -1,5 +1,6 @@
 """Hashes of many windows packed in few rows: a task ships one row for each bucket of hash values, not one for each
-window, and Spark deals the rows by bucket. Shared by substring dedup and language-model counts."""
+window, and Spark deals the rows by bucket. Shared by substring dedup and language-model counts, whose plain form (a row
+for each window, grouped by hash and joined back) moves several times as many bytes (figures in the README)."""
 
 from __future__ import annotations
 
@@ -10,16 +11,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, text_buffers
+from .common import chunks, mix, stored, text_buffers
 
 #: Bytes of text whose windows are hashed together, and windows that a bucket should hold.
 CHUNK, PER_BUCKET = 4 << 20, 2_000_000
+#: Both grow with the data, up to what a task can hold, so that a chunk has so many windows for each bucket.
+PER_CELL, MOST_CHUNK, MOST_BUCKET = 512, 64 << 20, 16_000_000
+#: Bytes of text for one window, about.
+WORD = 5
 
 
-def n_buckets(docs: DataFrame, per_bucket: int = PER_BUCKET) -> int:
-    """Enough buckets for the windows of ``docs`` (text string): a sum over all rows, one number to the driver."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-int(size) // (5 * per_bucket)))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts of ``docs`` (text string): a sum over all rows, one number to the driver."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def layout(size: int, per_bucket: int = PER_BUCKET, chunk: int = CHUNK) -> tuple[int, int]:
+    """(buckets, bytes of a chunk) for ``size`` bytes of text.
+
+    A chunk sends a row to each bucket, so rows are chunks times buckets. Where that would leave few windows to a row, chunks
+    and buckets grow alike with the root of the size, and rows in proportion to it; from some 10 TB on, where both are as
+    large as a task can hold, a row has fewer windows, at worst one, and then costs what a plain row of a window costs."""
+    short = PER_CELL * (size / WORD) / (per_bucket * max(1.0, chunk / WORD))
+    if short > 1:
+        per_bucket, chunk = (max(x, min(most, int(x * short**0.5))) for x, most in ((per_bucket, MOST_BUCKET), (chunk, MOST_CHUNK)))
+    return max(1, -(-size // (WORD * per_bucket))), chunk
+
+
+def for_two_passes(rows: DataFrame, rereadable: bool) -> DataFrame:
+    """``rows`` in a form that two passes read in the same order, whichever executors are lost: files do; what was
+    shuffled on the way needn't, and is stored."""
+    return rows if rereadable else stored(rows, "texts")
 
 
 def dealt(packed: DataFrame, key: str, columns: list[str], schema: str, work: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -53,7 +75,7 @@ def cut_by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-CODEC = "zstd"
+CODEC, LEVEL = "zstd", 5
 
 
 def small(numbers: np.ndarray) -> bytes:
@@ -88,7 +110,7 @@ def batch_of(fields: list, names: list[str], *kinds: pa.DataType) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds)], names)
 
 
-def named_chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def named_chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(name, ids, bytes, offsets) of each chunk of texts; the same from every pass over the same rows."""
     for batch in batches:
         if not batch.num_rows:
@@ -99,12 +121,13 @@ def named_chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = CHUNK) ->
             yield chunk_key(ids[a:b], keys[a:b]), ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def texts_by_chunk(rows: DataFrame, most_bytes: int = CHUNK) -> DataFrame:
+def texts_by_chunk(rows: DataFrame, most_bytes: int) -> DataFrame:
     """The texts (doc_id, key, text) of each chunk, compressed: chunk, bucket (-1), data, ids, offsets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(CODEC, compression_level=LEVEL)
         for name, ids, data, offsets in named_chunks(batches, most_bytes):
-            packed = pa.compress(data.tobytes(), codec=CODEC, asbytes=True)
-            yield batch_of([[name], [-1], [packed], [ids.tobytes()], [offsets.astype(np.int64).tobytes()]], ["chunk", "bucket", "data", "ids", "offsets"], pa.int64(), pa.int32())
+            texts = [[codec.compress(data.tobytes(), asbytes=True)], [ids.tobytes()], [offsets.astype(np.int64).tobytes()]]
+            yield batch_of([[name], [-1], *texts], ["chunk", "bucket", "data", "ids", "offsets"], pa.int64(), pa.int32())
 
     return rows.mapInArrow(pack, "chunk long, bucket int, data binary, ids binary, offsets binary")

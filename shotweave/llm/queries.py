@@ -32,7 +32,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.digest(substring.without_repeats(_table(spark, sf_dir, "documents")))
+    return substring.digest(substring.without_repeats(_table(spark, sf_dir, "documents"), rereadable=True))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(_table(spark, sf_dir, "documents"), order=3)
+    return lm.backoff_scores(_table(spark, sf_dir, "documents"), order=3, rereadable=True)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, mix, text_or_empty, whole_ids, word_hashes
-from .packed import CHUNK, CODEC, PER_BUCKET, batch_of, cut_by_bucket, dealt, long, n_buckets, named_chunks, short, small, texts_by_chunk, wide
+from .packed import CHUNK, CODEC, PER_BUCKET, batch_of, cut_by_bucket, dealt, for_two_passes, layout, long, named_chunks, short, small, text_bytes, texts_by_chunk, wide
 
 WINDOW = 13
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +54,7 @@ class _Chunk:
         np.minimum.at(self.first, self.inverse, self.rank)
 
 
-def earlier_windows(docs: DataFrame, window: int, buckets: int, chunk: int = CHUNK) -> DataFrame:
+def earlier_windows(docs: DataFrame, window: int, buckets: int, chunk: int) -> DataFrame:
     """Which windows an earlier text outside of their chunk has. ``docs``: doc_id long (no nulls), key long, text string.
 
     Each chunk of texts sends its distinct windows once, with the earliest of its texts that has each, however many
@@ -65,10 +65,11 @@ def earlier_windows(docs: DataFrame, window: int, buckets: int, chunk: int = CHU
         for name, ids, data, offsets in named_chunks(batches, chunk):
             c = _Chunk(ids, data, offsets, window)
             place, edges = cut_by_bucket(_buckets(c.distinct, buckets), buckets)
-            own = small(np.diff(c.ids, prepend=np.int64(0)))
             for k in np.flatnonzero(np.diff(edges)):
                 mine = place[edges[k] : edges[k + 1]]
-                yield batch_of([[k], [name], [short(c.distinct[mine], 8)], [small(c.first[mine])], [own]], ["bucket", "chunk", "hashes", "first", "ids"], pa.int32(), pa.int64())
+                named, first = np.unique(c.first[mine], return_inverse=True)  # only ids that these windows name go along
+                packed = short(c.distinct[mine], 8), small(first), small(np.diff(c.ids[named], prepend=np.int64(0)))
+                yield batch_of([[k], [name], *[[x] for x in packed]], ["bucket", "chunk", "hashes", "first", "ids"], pa.int32(), pa.int64())
 
     def judge(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         hashes = [long(r[1]) for r in held]
@@ -97,7 +98,7 @@ def covered_words(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(change[:n_words]) > 0
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER_BUCKET, chunk: int = CHUNK) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER_BUCKET, chunk: int = CHUNK, rereadable: bool = False) -> DataFrame:
     """Remove every word covered by a window of ``window`` words whose words, in order, also start in a document with
     a smaller doc_id. Windows are judged on the input.
 
@@ -106,10 +107,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER
     Null texts have no words. A null doc_id is later than any other, and null ones aren't earlier than each other.
     Rows that repeat a doc_id aren't earlier than each other either; each is judged by its own text. Texts of fewer
     words than a window lose nothing. Extra columns are not read. Windows are compared by a 64-bit hash.
+    ``docs`` is read twice and stored first, unless it is ``rereadable``: straight from files.
     """
     source = columns(whole_ids(docs), "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     rows = source.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    buckets = n_buckets(rows, per_bucket)
+    rows = for_two_passes(rows, rereadable)
+    buckets, chunk = layout(text_bytes(rows), per_bucket, chunk)
 
     def remove(name: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         answers = {r[0]: r[1] for r in held if r[0] >= 0}  # chunks of one name are equal, and so are their answers

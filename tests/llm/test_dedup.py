@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from shotweave.llm import exact, simhash, substring
+from shotweave.llm import exact, packed, simhash, substring
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 ODD = [(1, "a  b"), (2, "a\tb"), (3, None), (4, ""), (5, " "), (None, "a b"), (6, "A b"), (6, "A b"), (7, LONG), (8, LONG + " end"), (9, "\u00a0x y"), (10, " x y")]
@@ -269,7 +269,7 @@ def removed(rows, window=13):
     return out
 
 
-def test_substring_matches_brute_force(spark):
+def test_substring_matches_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     passage = [f"p{i}" for i in range(60)]
     rows = list(ODD)
@@ -278,8 +278,28 @@ def test_substring_matches_brute_force(spark):
         at = rng.randrange(len(w) + 1)
         begin = rng.randrange(40)
         rows.append((i, "  ".join(w[:at] + passage[begin : begin + rng.randint(5, 30)] + w[at:])))
+    rows += [(hash_id, "  ".join(passage[at : at + 20])) for at, hash_id in enumerate(rng.getrandbits(62) for _ in range(40))]  # scattered ids
     want = sort(removed(rows))
     assert any(r[2] for r in want)
+    monkeypatch.setattr(packed, "PER_CELL", 0)
     for per_bucket, chunk in ((2_000_000, 4 << 20), (500, 200)):
         got = substring.digest(substring.without_repeats(frame(spark, rows), per_bucket=per_bucket, chunk=chunk)).collect()
         assert sort(got) == want
+
+
+@pytest.mark.parametrize("size", [0, 10**6, 10**9, 5 * 10**10, 10**12])
+def test_rows_grow_in_proportion(size):
+    buckets, chunk = packed.layout(size)
+    chunks = -(-size // chunk)
+    assert buckets * chunks * packed.PER_CELL <= 2 * size / packed.WORD + packed.PER_CELL * (buckets + chunks + 1)
+
+
+def test_input_in_another_order_each_time_is_stored(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([f"x{rng.randrange(90)}" for _ in range(20)] + passage[i % 5 : 20 + i % 9])) for i in range(300)]
+    docs = frame(spark, rows).withColumn("by", F.rand()).orderBy("by").drop("by")
+    got = substring.digest(substring.without_repeats(docs, per_bucket=500, chunk=2000)).collect()
+    assert sort(got) == sort(removed(rows))

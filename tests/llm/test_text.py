@@ -9,7 +9,7 @@ from collections import Counter
 
 import pytest
 
-from shotweave.llm import chat, licenses, lm, tokens
+from shotweave.llm import chat, licenses, lm, packed, tokens
 
 P = pytest.importorskip("public_tokenizers")
 TEXTS = ["", " ", "they're  gone\n\n\nwe'll 'tis", "a<|endoftext|>b <|endoftext|>", "naïve 漢字 🙂🙂 ½ 12,345.6\t\t x", "x" * 300, "word " * 3000]
@@ -157,10 +157,12 @@ def test_backoff_scores_match_brute_force(spark, monkeypatch):
         return out
 
     want = sorted((str(i), len(w), round(score(w), 4)) for i, w in own)
+    monkeypatch.setattr(packed, "PER_CELL", 0)
     for size in (4_000_000, 150):
         monkeypatch.setattr(lm, "PAIRS_PER_BUCKET", size)
+        monkeypatch.setattr(lm, "CHUNK", size)
         monkeypatch.setattr(lm, "WORDS_PER_BUCKET", size)
-        got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 4)) for r in lm.backoff_scores(frame(spark, rows)).collect())
+        got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 4)) for r in lm.backoff_scores(frame(spark, rows), order=2).collect())
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
     assert lm.backoff_scores(frame(spark, [])).count() == 0
@@ -192,8 +194,10 @@ def test_order_three_matches_brute_force(spark, monkeypatch):
         return out
 
     want = sorted((str(i), len(w), round(score(w), 4)) for i, w in own)
+    monkeypatch.setattr(packed, "PER_CELL", 0)
     for size in (4_000_000, 150):
         monkeypatch.setattr(lm, "PAIRS_PER_BUCKET", size)
+        monkeypatch.setattr(lm, "CHUNK", size)
         monkeypatch.setattr(lm, "WORDS_PER_BUCKET", size)
         got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 4)) for r in lm.backoff_scores(frame(spark, rows), order=3).collect())
         assert [g[:2] for g in got] == [w[:2] for w in want]
