@@ -58,7 +58,8 @@ def slot_values(text: Column) -> dict[str, Column]:
 
 
 def _arrays_of_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """``rows`` with a column w<size> for each size: the hashes of all windows of so many ``tokens``, in order of place.
+    """``rows`` with n, their number of ``tokens``, and a column w<size> for each size: an array of which :func:`_whole`
+    are the hashes of all windows of so many tokens, in order of place.
 
     Hashes of 1, 2, 4, ... tokens are built from each other, array by array, without joining words."""
     keep = [c for c in rows.columns if c != "tokens"]
@@ -79,26 +80,31 @@ def _arrays_of_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
         for part in reversed([x for x in powers if x < at and x & size]):
             rows = rows.withColumn(f"p{size}", joined(name, f"h{part}", at))
             name, at = f"p{size}", at + part
-        whole = F.slice(F.col(name), 1, F.greatest(F.col("n") - size + 1, F.lit(0)))
-        rows = rows.withColumn(f"w{size}", whole)
-    return rows.select(*keep, *[f"w{size}" for size in sizes])
+        rows = rows.withColumn(f"w{size}", F.col(name))
+    return rows.select(*keep, "n", *[f"w{size}" for size in sizes])
+
+
+def _whole(size: int) -> Column:
+    """The hashes of windows that don't run over the end. Exploded as an expression: of a column, Spark would ask for its
+    size first, and for that build all arrays twice."""
+    return F.slice(F.col(f"w{size}"), 1, F.greatest(F.col("n") - size + 1, F.lit(0)))
 
 
 def windows(rows: DataFrame, window: int) -> DataFrame:
     """All windows of so many of the tokens of ``rows`` (tokens, and any others but n), one row each: the others, pos, h."""
     keep = [c for c in rows.columns if c != "tokens"]
-    return _arrays_of_hashes(rows, [window]).select(*keep, F.posexplode(f"w{window}").alias("pos", "h"))
+    return _arrays_of_hashes(rows, [window]).select(*keep, F.posexplode(_whole(window)).alias("pos", "h"))
 
 
-def _told_apart(hashes: str, size: int) -> Column:
-    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(size)))
+def _told_apart(size: int) -> Column:
+    return F.transform(_whole(size), lambda h: F.xxhash64(h, F.lit(size)))
 
 
 def literal_windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
     """The distinct windows of each of the ``sizes`` of the tokens of ``rows``, one row each: the other columns, h.
     Equal words of different sizes have different hashes."""
     keep = [c for c in rows.columns if c != "tokens"]
-    told = F.concat(*[_told_apart(f"w{size}", size) for size in sizes])
+    told = F.concat(*[_told_apart(size) for size in sizes])
     return _arrays_of_hashes(rows, sizes).select(*keep, F.explode(F.array_distinct(told)).alias("h"))
 
 
