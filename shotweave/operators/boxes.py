@@ -113,8 +113,10 @@ def candidates(detections: DataFrame, tiers: DataFrame, floor: float, least: flo
 
 
 def candidate_key(type_id: Column, frame_hash: Column, box: list[Column]) -> Column:
-    """A short stable name of a candidate, from what it is and where it was seen."""
-    return F.substring(F.sha1(F.concat_ws("|", type_id, frame_hash, F.concat_ws(",", *[F.format_string("%.3f", b) for b in box]))), 1, 12)
+    """A short stable name of a candidate, from what it is and where it was seen. Fixed format, by which stored verdicts
+    join: type|hash|[x1, y1, x2, y2], sides to 3 places without trailing zeros but one."""
+    sides = F.concat(F.lit("["), F.concat_ws(", ", *[F.bround(b, 3).cast("string") for b in box]), F.lit("]"))
+    return F.substring(F.sha1(F.concat_ws("|", type_id, frame_hash, sides)), 1, 12)
 
 
 def crop(rows: DataFrame, width: int, height: int, pad: float = 0.15, least: int = 64) -> DataFrame:

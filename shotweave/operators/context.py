@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vec
-
 # Fixed value: the scale of logits that prompt vectors are made for.
 LOGIT_SCALE = 100.0
 
 
+#: Prompt vectors that are sent to all tasks at a time; a larger taxonomy takes several passes over the shots.
+MOST_PROMPTS = 10_000
+
+
 def facet_probabilities(shots: DataFrame, prompts: DataFrame, scale: float = LOGIT_SCALE) -> DataFrame:
-    """Softmax over contexts by each one's best prompt: video, shot, context, p. ``prompts`` (context, prompt, vec) is a
-    taxonomy of tens of rows, so every shot meets all of it by one constant key. ``shots``: video, shot, clip."""
-    rows = shots.withColumn("_all", F.lit(1)).join(prompts.withColumn("_all", F.lit(1)), "_all")
-    rows = rows.groupBy("video", "shot", "context").agg((scale * F.max(vec.dot("clip", "vec"))).alias("z"))
+    """Softmax over contexts by each one's best prompt: video, shot, context, p. ``shots``: video, shot, clip.
+    ``prompts``: context, prompt, vec, in slices of MOST_PROMPTS rows; a batch of shots meets a slice in one matrix
+    product, and no join is needed."""
+    n = prompts.count()
+    slices = -(-n // MOST_PROMPTS)
+    kinds = {f.name: f.dataType.simpleString() for f in shots.schema}
+    schema = f"video {kinds['video']}, shot {kinds['shot']}, context {prompts.schema['context'].dataType.simpleString()}, z double"
+    rows = None
+    for k in range(slices):
+        part = prompts.where(F.pmod(F.xxhash64("context"), F.lit(slices)) == k) if slices > 1 else prompts
+        held = part.select("context", "vec").orderBy("context").collect()
+        if held:
+            one = shots.select("video", "shot", "clip").mapInPandas(_best_logits(held, scale), schema)
+            rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        return shots.select("video", "shot", F.lit(None).cast(prompts.schema["context"].dataType).alias("context"), F.lit(0.0).alias("p")).limit(0)
     w = Window.partitionBy("video", "shot")
     e = F.exp(F.col("z") - F.max("z").over(w))
     return rows.withColumn("e", e).select("video", "shot", "context", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
 
+def _best_logits(prompts: list, scale: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For each shot and context, the largest product with one of its prompts. ``prompts`` in order of context."""
+    vectors = np.array([p.vec for p in prompts]).T
+    names, starts = np.unique([p.context for p in prompts], return_index=True)
+    by_name = [prompts[i].context for i in starts]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                z = scale * np.maximum.reduceat(np.array(rows["clip"].tolist()) @ vectors, starts, axis=1)
+                n = len(names)
+                yield pd.DataFrame({"video": rows["video"].repeat(n), "shot": rows["shot"].repeat(n), "context": by_name * len(rows), "z": z.ravel()})
+
+    return run
+
+
 def venue_votes(probabilities: DataFrame, shots: DataFrame, shown: DataFrame) -> DataFrame:
     """Each shot votes with its duration times its probability on shown contexts, spread over those: video, scene,
     context, vote, evidence. ``shots``: video, scene, shot, start, end. ``shown``: context."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
+
 
 def error_rows(errors: DataFrame, cuts: DataFrame, reach: int) -> DataFrame:
     """video, at, diagnosis, place: whether a cut lies at or within ``reach`` frames of each error."""
@@ -15,49 +17,109 @@ def error_rows(errors: DataFrame, cuts: DataFrame, reach: int) -> DataFrame:
     return errors.join(best, ["video", "at"], "left").select("video", "at", kind.alias("diagnosis"), F.row_number().over(w).cast("long").alias("place"))
 
 
+#: Ranges of scores that are summed up apart, so that few keys (of ``by``) still make many tasks.
+RANGES = 256
+
+
+def running(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
+    """Each distinct score with what lies below it: by, _score, c (rows of it), p (positives among them), c_before, p_before,
+    c_all, p_all, and next (the score above it). Scores are dealt in ranges by approximate quantiles; ranges are summed up
+    first, and within each only its own scores are ordered. Null scores are left out."""
+    rows = rows.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("_score"), F.col(positive).alias("_positive"))
+    score, positive = "_score", "_positive"
+    values = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p"))
+    values = materialised(values, "scores")
+    marks = [i / RANGES for i in range(1, RANGES)]
+    quantiles = values.groupBy(*by).agg(F.percentile_approx(score, marks, 1000).alias("marks"))
+    values = values.join(F.broadcast(quantiles), by) if by else values.withColumn("_one", F.lit(1)).join(F.broadcast(quantiles.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    values = values.withColumn("range", F.size(F.filter("marks", lambda m: m <= F.col(score)))).drop("marks")
+    ranges = values.groupBy(*by, "range").agg(F.sum("c").alias("rc"), F.sum("p").alias("rp"), F.min(score).alias("least"))
+    up, all_ = Window.partitionBy(*by).orderBy("range"), Window.partitionBy(*by)
+    ranges = ranges.select(
+        *by, "range", (F.sum("rc").over(up) - F.col("rc")).alias("c_below"), (F.sum("rp").over(up) - F.col("rp")).alias("p_below"),
+        F.sum("rc").over(all_).alias("c_all"), F.sum("rp").over(all_).alias("p_all"), F.lead("least").over(up).alias("after"),
+    )
+    own = Window.partitionBy(*by, "range").orderBy(score)
+    before = lambda x: F.sum(x).over(own) - F.col(x) + F.col(f"{x}_below")
+    rows = values.join(F.broadcast(ranges), [*by, "range"])
+    return rows.select(*by, score, "c", "p", before("c").alias("c_before"), before("p").alias("p_before"), "c_all", "p_all", F.coalesce(F.lead(score).over(own), "after").alias("next"))
+
+
+def _auc(sums: DataFrame, by: list[str]) -> DataFrame:
+    p, n = F.max("p_all"), F.max("c_all")
+    total = F.sum(F.col("p") * (F.col("c_before") + (F.col("c") + 1) / 2))
+    return sums.groupBy(*by).agg(n.alias("n"), ((total - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))).alias("auc"))
+
+
+def _precision(sums: DataFrame, by: list[str]) -> DataFrame:
+    precision = (F.col("p_all") - F.col("p_before")) / (F.col("c_all") - F.col("c_before"))
+    return sums.groupBy(*by).agg((F.sum(F.col("p") * precision) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"))
+
+
+def _threshold(sums: DataFrame, by: list[str]) -> DataFrame:
+    tp, said = F.col("p_all") - F.col("p_before") - F.col("p"), F.col("c_all") - F.col("c_before") - F.col("c")
+    rows = sums.where("next IS NOT NULL").select(*by, ((F.col("_score") + F.col("next")) / 2).alias("threshold"), (2 * tp / (said + F.col("p_all"))).alias("f1"))
+    best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("b")
+    return rows.groupBy(*by).agg(best).select(*by, F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"))
+
+
 def rank_auc(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve from average ranks: by, n, auc (null without both classes)."""
-    w = Window.partitionBy(*by).orderBy(score)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, score))
-    ranked = rows.withColumn("_r", F.rank().over(w) + (ties - 1) / 2)
-    p = F.count_if(F.col(positive))
-    total = F.sum(F.when(F.col(positive), F.col("_r")))
-    n = F.count(F.lit(1))
-    return ranked.groupBy(*by).agg(n.alias("n"), ((total - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))).alias("auc"))
+    return _auc(running(rows, score, positive, by), by)
 
 
 def best_threshold(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
     """The midpoint between neighbouring scores whose F1 is best, the lowest on ties: by, threshold, f1."""
-    values = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p"))
-    up = Window.partitionBy(*by).orderBy(score)
-    all_ = Window.partitionBy(*by)
-    above = up.rowsBetween(1, Window.unboundedFollowing)
-    rows = values.select(*by, ((F.col(score) + F.lead(score).over(up)) / 2).alias("threshold"), F.sum("p").over(above).alias("tp"), F.sum("c").over(above).alias("said"), F.sum("p").over(all_).alias("all_p"))
-    f1 = 2 * F.col("tp") / (F.col("said") + F.col("all_p"))
-    rows = rows.where("threshold IS NOT NULL").withColumn("f1", f1)
-    return rows.groupBy(*by).agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("b")).select(*by, F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"))
+    return _threshold(running(rows, score, positive, by), by)
+
+
+def left_out_threshold(rows: DataFrame, score: str, positive: str, group: str) -> DataFrame:
+    """For each group the score from which on F1 is best over all other groups, the lowest on ties: group, cut. Scores
+    should be rounded: work grows with groups times distinct scores, not with rows."""
+    values = materialised(rows.groupBy(group, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p")), "scores")
+    total = values.groupBy(score).agg(F.sum("c").alias("all_c"), F.sum("p").alias("all_p"))
+    # Every group with every score: groups times scores are few beside the rows.
+    every = values.select(group).distinct().join(F.broadcast(total.agg(F.collect_list(F.struct(score, "all_c", "all_p")).alias("scores"))))
+    every = every.select(group, F.inline("scores")).join(values, [group, score], "left").na.fill(0, ["c", "p"])
+    rest = every.select(group, score, (F.col("all_c") - F.col("c")).alias("c"), (F.col("all_p") - F.col("p")).alias("p"))
+    down = Window.partitionBy(group).orderBy(F.desc(score))
+    f1 = F.round(2 * F.sum("p").over(down) / F.nullif(F.sum("c").over(down) + F.sum("p").over(Window.partitionBy(group)), F.lit(0)), 12)
+    best = F.max_by(F.col(score), F.struct("f1", -F.col(score))).alias("cut")
+    return rest.withColumn("f1", f1).where("c > 0").groupBy(group).agg(best)
+
+
+def pooled_f1(said: Column, positive: Column) -> Column:
+    """F1 of counts pooled over all rows."""
+    tp, fp, fn = F.count_if(said & positive), F.count_if(said & ~positive), F.count_if(~said & positive)
+    return 2 * tp / (2 * tp + fp + fn)
+
+
+#: Parts of a stratum that are ordered apart before the first of each are.
+SALTS = 64
 
 
 def round_robin(rows: DataFrame, stratum: str, group: str, order: list, most: int) -> DataFrame:
-    """At most ``most`` rows of each stratum, taken in turn from its groups: adds turn and place."""
-    turns = rows.withColumn("turn", F.row_number().over(Window.partitionBy(stratum, group).orderBy(*order)))
-    places = turns.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("turn", group)))
+    """At most ``most`` rows of each stratum, taken in turn from its groups: adds turn and place. What is beyond ``most`` in
+    its group or in its part of the stratum goes first, so the last order is of few rows."""
+    turns = rows.withColumn("turn", F.row_number().over(Window.partitionBy(stratum, group).orderBy(*order))).where(F.col("turn") <= most)
+    salt = F.pmod(F.xxhash64(group), F.lit(SALTS))
+    firsts = turns.withColumn("_salt", salt).withColumn("_place", F.row_number().over(Window.partitionBy(stratum, "_salt").orderBy("turn", group)))
+    firsts = firsts.where(F.col("_place") <= most).drop("_salt", "_place")
+    places = firsts.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("turn", group)))
     return places.where(F.col("place") <= most)
 
 
 def average_precision(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
     """The mean over positives of the precision at their score; equal scores count together: by, ap."""
-    values = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    values = values.select(*by, "p", (F.sum("p").over(down) / F.sum("c").over(down)).alias("precision"))
-    return values.groupBy(*by).agg((F.sum(F.col("p") * F.col("precision")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"))
+    return _precision(running(rows, score, positive, by), by)
 
 
 def measure_study(pairs: DataFrame, measures: list[str], positive: str) -> DataFrame:
     """How well each measure tells pairs apart: measure, n, auc, ap, threshold, f1."""
     rows = pairs.select(positive, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 9).alias("value")) for m in measures])))
-    out = rank_auc(rows, "value", positive, ["measure"]).join(average_precision(rows, "value", positive, ["measure"]), "measure")
-    return out.join(best_threshold(rows, "value", positive, ["measure"]), "measure")
+    sums = materialised(running(rows, "value", positive, ["measure"]), "running")
+    out = _auc(sums, ["measure"]).join(_precision(sums, ["measure"]), "measure")
+    return out.join(_threshold(sums, ["measure"]), "measure")
 
 
 def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,25 +27,48 @@ def inserted(b: Column, at: Column, duration: Column) -> Column:
     return F.when(fits, F.array_sort(F.concat(b, F.array(at)))).otherwise(b)
 
 
-def replayed(log: DataFrame) -> DataFrame:
-    """Final boundaries and the hard examples of each video. ``log``: video, seq, op (merge, split, clear, confirm),
-    scene_index, at, predicted array<double>, duration. Returns video, boundaries, hard_negatives, hard_positives.
-    Each operation acts on what the ones before left, so it is a fold over one video's log."""
+def snapped(at: Column, cuts: Column) -> Column:
+    """The cut nearest to a moment within the window that a split snaps in (the earlier on ties), else the moment; to 3 places."""
+    near = F.filter(cuts, lambda c: (c >= at - SNAP_BEFORE) & (c <= at + SNAP_AFTER))
+    best = F.array_min(F.transform(near, lambda c: F.struct(F.abs(c - at).alias("off"), c.alias("cut"))))["cut"]
+    return F.round(F.coalesce(best, at), 3)
+
+
+def replayed(log: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """Final boundaries and the hard examples of each video. ``log``: video, seq, op, scene_index, at, predicted
+    array<double>, duration. ``cuts``: video, time, where splits snap to. Returns video, boundaries, hard_negatives,
+    hard_positives, refused (how many operations were).
+
+    merge takes out the boundary after a scene, and is refused where there is none; split adds one, snapped to the nearest
+    cut, and is refused outside the video or beside another boundary; clear takes out all; reset goes back to what was
+    predicted and forgets the examples; confirm and others change nothing. Each operation acts on what the ones before
+    left, so it is a fold over one video's log."""
     entry = F.struct("seq", "op", "scene_index", "at")
     rows = log.groupBy("video").agg(F.array_sort(F.collect_list(entry)).alias("ops"), F.first("predicted").alias("predicted"), F.max("duration").alias("duration"))
     none = F.array().cast("array<double>")
-    start = F.struct(F.array_sort("predicted").alias("b"), none.alias("neg"), none.alias("pos"))
+    if cuts is None:
+        rows = rows.withColumn("cuts", none)
+    else:
+        rows = rows.join(cuts.groupBy("video").agg(F.array_sort(F.collect_list(F.col("time").cast("double"))).alias("cuts")), "video", "left")
+    start = F.struct(F.array_sort("predicted").alias("b"), none.alias("neg"), none.alias("pos"), F.lit(0).alias("refused"))
 
     def step(s: Column, o: Column) -> Column:
-        merges = (o["op"] == "merge") & (o["scene_index"] >= 0) & (o["scene_index"] < F.size(s["b"]))
-        splits = o["op"] == "split"
-        b = F.when(o["op"] == "clear", none).when(merges, F.filter(s["b"], lambda x, i: i != o["scene_index"])).when(splits, F.array_sort(F.concat(s["b"], F.array(o["at"])))).otherwise(s["b"])
-        neg = F.when(merges, F.concat(s["neg"], F.array(F.element_at(s["b"], (F.when(merges, o["scene_index"]).otherwise(F.lit(0)) + 1).cast("int"))))).otherwise(s["neg"])
-        pos = F.when(splits, F.concat(s["pos"], F.array(o["at"]))).otherwise(s["pos"])
-        return F.struct(b.alias("b"), neg.alias("neg"), pos.alias("pos"))
+        op, b = o["op"], s["b"]
+        merges = (op == "merge") & (o["scene_index"] >= 0) & (o["scene_index"] < F.size(b))
+        at = snapped(o["at"], F.coalesce("cuts", none))
+        longer = inserted(b, at, F.col("duration"))
+        splits = (op == "split") & (F.size(longer) > F.size(b))
+        gone = F.element_at(b, (F.when(merges, o["scene_index"]).otherwise(F.lit(0)) + 1).cast("int"))
+        resets = op == "reset"
+        after = F.when(op == "clear", none).when(resets, F.array_sort("predicted")).when(merges, merged(b, o["scene_index"])).when(splits, longer).otherwise(b)
+        neg = F.when(resets, none).when(merges, F.concat(s["neg"], F.array(gone))).otherwise(s["neg"])
+        pos = F.when(resets, none).when(splits, F.concat(s["pos"], F.array(at))).otherwise(s["pos"])
+        refused = s["refused"] + (op.isin("merge", "split") & ~merges & ~splits).cast("int")
+        return F.struct(after.alias("b"), neg.alias("neg"), pos.alias("pos"), refused.alias("refused"))
 
     rows = rows.withColumn("end", F.aggregate("ops", start, step))
-    return rows.select("video", F.col("end.b").alias("boundaries"), F.col("end.neg").alias("hard_negatives"), F.col("end.pos").alias("hard_positives"))
+    told = [F.col(f"end.{c}").alias(name) for c, name in (("b", "boundaries"), ("neg", "hard_negatives"), ("pos", "hard_positives"), ("refused", "refused"))]
+    return rows.select("video", *told)
 
 
 def overlapping_roles(roles: DataFrame) -> DataFrame:
@@ -60,10 +83,22 @@ def refuse_leaks(train: DataFrame, held_out: DataFrame) -> None:
 
 
 def deterministic_split(names: DataFrame, seed: int, test_share: float = 0.3) -> DataFrame:
-    """A role for each name by its hash: the test share of names, at least one of two: stem, role."""
+    """A role for each name by its hash: the test share of names, at least one of two: stem, role.
+
+    The names of the least hashes are the test set. Hashes are counted in 1,024 ranges; only the range in which the share
+    ends is ordered, so no task holds all names."""
     from pyspark.sql import Window
 
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "stem"), "stem")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    most = F.greatest(F.round(n * test_share), (n >= 2).cast("int"))
-    return names.select("stem").distinct().select("stem", F.when(F.row_number().over(order) <= most, "test").otherwise("dev").alias("role"))
+    h = F.xxhash64(F.lit(seed), "stem")
+    rows = names.select("stem").distinct().select("stem", h.alias("h"), F.shiftright(h, 54).alias("range"))
+    ranges = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    up, all_ = Window.orderBy("range"), Window.partitionBy()  # over at most 1,024 rows
+    n = F.sum("n").over(all_)
+    most = F.greatest(F.round(n * test_share), (n >= 2).cast("int")).cast("long")
+    ranges = ranges.select("range", (F.sum("n").over(up) - F.col("n")).alias("before"), F.col("n"), most.alias("most"))
+    rows = rows.join(F.broadcast(ranges), "range")
+    place = F.row_number().over(Window.partitionBy("range").orderBy("h", "stem")) + F.col("before")
+    cut = rows.where((F.col("before") < F.col("most")) & (F.col("before") + F.col("n") > F.col("most")))
+    cut = cut.select("stem", F.when(place <= F.col("most"), "test").otherwise("dev").alias("role"))
+    whole = rows.where((F.col("before") >= F.col("most")) | (F.col("before") + F.col("n") <= F.col("most")))
+    return whole.select("stem", F.when(F.col("before") < F.col("most"), "test").otherwise("dev").alias("role")).unionByName(cut)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import exact_unions
+
 
 def islands(frames: DataFrame, above: Column) -> DataFrame:
     """Runs of consecutive frames for which ``above`` holds: video, first, last, peak. ``frames``: video, frame, prob."""
@@ -49,6 +51,7 @@ def segments(edges: DataFrame, at: str, ends: DataFrame, end: str, start: float
     ``ends`` has a row for each video, also for those without edges."""
     inside = edges.join(ends, "video").where((F.col(at) > start) & (F.col(at) < F.col(end))).select("video", F.col(at).alias("begin"))
     kind = inside.schema["begin"].dataType
+    exact_unions(ends.sparkSession)
     rows = inside.unionByName(ends.select("video", F.lit(start).cast(kind).alias("begin"))).distinct()
     w = Window.partitionBy("video").orderBy("begin")
     rows = rows.select("video", (F.row_number().over(w) - 1).cast("long").alias("segment"), "begin", F.lead("begin").over(w).alias("next"))
@@ -74,6 +77,7 @@ def sampled_frames(shots: DataFrame, positions: tuple[float, ...]) -> DataFrame:
 def containment(shots: DataFrame, scenes: DataFrame, slack: float = 1e-3) -> DataFrame:
     """The segment each shot starts in: video, shot, segment. ``scenes`` (segments) cover the video, so the segment is
     how many of them have begun."""
+    exact_unions(shots.sparkSession)
     edges = scenes.select("video", (F.col("begin") - slack).alias("at"), F.lit(1).alias("opens"), F.lit(None).cast("long").alias("shot"))
     rows = edges.unionByName(shots.select("video", F.col("start").alias("at"), F.lit(0).alias("opens"), F.col("shot").cast("long").alias("shot")))
     w = Window.partitionBy("video").orderBy("at", F.col("opens").desc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..params import Unique
+from ..sources.tables import exact_unions
 
 KEYS = ["video", "scene"]
 
@@ -67,6 +68,7 @@ def linked_clusters(prob: np.ndarray, threshold: float, linkage: str) -> np.ndar
 def clusters(shots: DataFrame, pairs: DataFrame, p: Unique) -> DataFrame:
     """A group number (from 0, by first appearance) for each shot: video, scene, shot, grp. Merging is sequential, so a
     scene is one group of rows; scenes hold tens of shots."""
+    exact_unions(pairs.sparkSession)
     rows = pairs.select(*KEYS, "i", "j", "prob").unionByName(shots.select(*KEYS, F.col("shot").alias("i"), F.col("shot").alias("j"), F.lit(1.0).alias("prob")))
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

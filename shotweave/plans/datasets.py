@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import diagnose, labels
-from ..sources.adapters import document_reviews, event_frames, table
+from ..sources.adapters import document_reviews, embedding_shots, event_frames, table
 from .commerce import REV
 from .registry import query
 from .timelines import FRAMES
@@ -47,11 +47,11 @@ def recent_n(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(12).select("o_orderkey", "o_orderdate")
 
 
-@query("""WITH m AS (SELECT c_custkey AS key, c_acctbal AS bytes FROM customer WHERE c_custkey % 7 <> 0), f AS (SELECT o_custkey AS key, max(o_totalprice) AS bytes, min(o_orderstatus) AS state FROM orders GROUP BY o_custkey)
+@query("""WITH m AS (SELECT c_custkey AS key, c_acctbal AS bytes FROM customer), f AS (SELECT o_custkey AS key, max(o_totalprice) AS bytes, min(o_orderstatus) AS state FROM orders GROUP BY o_custkey)
 SELECT m.key, CASE WHEN f.key IS NULL THEN 'missing' WHEN state = 'P' THEN 'placeholder' WHEN f.bytes > 400000 THEN 'different size' WHEN m.bytes < 0 THEN 'sha mismatch' ELSE 'ok' END AS status FROM m LEFT JOIN f ON m.key = f.key""")
 def manifest_check(spark, sf_dir):
     """A manifest against what is there."""
-    manifest = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("want"))
+    manifest = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("want"))
     found = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("bytes"), F.min("o_orderstatus").alias("state"))
     status = F.when(F.col("bytes").isNull(), "missing").when(F.col("state") == "P", "placeholder").when(F.col("bytes") > 400000, "different size").when(F.col("want") < 0, "sha mismatch").otherwise("ok")
     return manifest.join(found, "key", "left").select("key", status.alias("status"))
@@ -79,12 +79,16 @@ def content_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha1(parts), 1, 16).alias("content_id"))
 
 
-@query("SELECT source, count(*) AS rows, sha256(string_agg(left(sha256(text), 16), '' ORDER BY left(sha256(text), 16))) AS fingerprint FROM documents GROUP BY source")
+@query("""WITH h AS (SELECT source, sha256(text) AS s FROM documents),
+t AS (SELECT source, count(*) AS rows, sum(CAST('0x' || s[1:15] AS HUGEINT)) AS a, sum(CAST('0x' || s[16:30] AS HUGEINT)) AS b FROM h GROUP BY source)
+SELECT source, rows, sha256(concat_ws('/', rows, a, b)) AS fingerprint FROM t""")
 def dataset_fingerprint(spark, sf_dir):
-    """One hash for each part of a dataset, whatever the order of its rows."""
-    one = F.substring(F.sha2("text", 256), 1, 16)
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_list(one)).alias("all"))
-    return rows.select("source", "rows", F.sha2(F.array_join("all", ""), 256).alias("fingerprint"))
+    """One hash for each part of a dataset, whatever the order of its rows: of sums of their hashes, which add up within
+    tasks first, so a part may be of any size."""
+    part = lambda at: F.sum(F.conv(F.substring("s", at, 15), 16, 10).cast("decimal(38,0)"))
+    rows = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("s"))
+    rows = rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), part(1).alias("a"), part(16).alias("b"))
+    return rows.select("source", "rows", F.sha2(F.concat_ws("/", *[F.col(c).cast("string") for c in ("rows", "a", "b")]), 256).alias("fingerprint"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, lower(regexp_extract(html, '<html lang="([a-z]+)"', 1)) AS lang, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
@@ -119,19 +123,44 @@ def prompt_explode(spark, sf_dir):
 
 
 # --- corrections -----------------------------------------------------------------------------------
-LOG = """g AS (SELECT conv_id AS video, turn AS seq, CASE WHEN turn % 5 = 4 THEN 'confirm' WHEN turn % 3 = 0 THEN 'merge' ELSE 'split' END AS op, length(text) % 4 AS scene_index, (length(text) % 900 + 50) / 10.0::DOUBLE AS at FROM conversations)"""
+LOG = """g AS (SELECT conv_id AS video, turn AS seq, CASE WHEN turn % 5 = 4 THEN 'confirm' WHEN length(text) % 23 = 0 THEN 'clear' WHEN length(text) % 29 = 0 THEN 'reset' WHEN turn % 3 = 0 THEN 'merge' ELSE 'split' END AS op, length(text) % 4 AS scene_index, (length(text) % 900 + 50) / 10.0::DOUBLE AS moment FROM conversations)"""
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    op = F.when(F.col("turn") % 5 == 4, "confirm").when(F.col("turn") % 3 == 0, "merge").otherwise("split")
-    rows = table(spark, sf_dir, "conversations")
     n = F.length("text")
+    op = F.when(F.col("turn") % 5 == 4, "confirm").when(n % 23 == 0, "clear").when(n % 29 == 0, "reset").when(F.col("turn") % 3 == 0, "merge").otherwise("split")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select(F.col("conv_id").alias("video"), F.col("turn").alias("seq"), op.alias("op"), (n % 4).cast("int").alias("scene_index"), ((n % 900 + 50) / 10.0).alias("at"), F.array(F.lit(10.0), F.lit(20.0), F.lit(30.0)).alias("predicted"), F.lit(100.0).alias("duration"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG},
+cu AS (SELECT vec_id // 50 AS video, vec_id % 50 * 4.0::DOUBLE AS cut FROM embeddings WHERE vec_id % 50 > 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seq, op, scene_index, moment) AS k FROM g),
+sn AS (SELECT q.video, k, op, scene_index, round(coalesce(min(cut), moment), 3) AS moment FROM q
+  LEFT JOIN cu ON cu.video = q.video AND cut BETWEEN moment - 2.0 AND moment + 0.5 GROUP BY q.video, k, op, scene_index, moment),
+r AS (SELECT DISTINCT video, 0 AS k, [10.0::DOUBLE, 20.0, 30.0] AS b, []::DOUBLE[] AS neg, []::DOUBLE[] AS pos, 0 AS refused FROM g
+  UNION ALL SELECT r.video, s.k,
+    CASE WHEN op = 'clear' THEN [] WHEN op = 'reset' THEN [10.0, 20.0, 30.0] WHEN op = 'merge' AND scene_index < len(b) THEN b[:scene_index] || b[scene_index + 2:]
+      WHEN op = 'split' AND fits THEN list_sort(list_append(b, moment)) ELSE b END,
+    CASE WHEN op = 'reset' THEN [] WHEN op = 'merge' AND scene_index < len(b) THEN list_append(neg, b[scene_index + 1]) ELSE neg END,
+    CASE WHEN op = 'reset' THEN [] WHEN op = 'split' AND fits THEN list_append(pos, moment) ELSE pos END,
+    refused + CASE WHEN (op = 'merge' AND scene_index >= len(b)) OR (op = 'split' AND NOT fits) THEN 1 ELSE 0 END
+  FROM (SELECT r.*, s.k AS next, op, scene_index, moment, moment > 0 AND moment < 100 AND coalesce(list_min(list_transform(b, lambda x: abs(x - moment))), 1) >= 0.25 AS fits
+    FROM r JOIN sn s ON s.video = r.video AND s.k = r.k + 1) r JOIN (SELECT DISTINCT k FROM sn) s ON s.k = r.next),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY k DESC) AS last FROM r) WHERE last = 1),
+o AS (SELECT video, 'boundary' AS kind, unnest(b) AS time, unnest(range(0, len(b))) AS place FROM e
+  UNION ALL SELECT video, 'hard_negative', unnest(neg), unnest(range(0, len(neg))) FROM e
+  UNION ALL SELECT video, 'hard_positive', unnest(pos), unnest(range(0, len(pos))) FROM e
+  UNION ALL SELECT video, 'refused', CAST(refused AS DOUBLE), 0 FROM e)
+SELECT video, kind, CAST(place AS BIGINT) AS place, time FROM o""")
 def correction_replay(spark, sf_dir):
-    return labels.replayed(_log(spark, sf_dir))
+    """What a log of corrections leaves, the examples that it makes, and how many operations were refused, a row each."""
+    cuts = embedding_shots(spark, sf_dir).where("shot > 0").select("video", F.col("start").alias("time"))
+    end = labels.replayed(_log(spark, sf_dir), cuts)
+    kinds = {"boundary": F.col("boundaries"), "hard_negative": F.col("hard_negatives"), "hard_positive": F.col("hard_positives"), "refused": F.array(F.col("refused").cast("double"))}
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("times")) for k, v in kinds.items()])).alias("k")
+    rows = end.select("video", kind).select("video", "k.kind", F.posexplode("k.times").alias("place", "time"))
+    return rows.select("video", "kind", F.col("place").cast("long").alias("place"), "time")
 
 
 @query(f"WITH {LOG} SELECT video, count(*) FILTER (op = 'merge') AS merges, count(*) FILTER (op = 'split') AS splits, count(*) FILTER (op = 'confirm') AS confirms FROM g GROUP BY video")
@@ -177,30 +206,36 @@ def binned_distribution(spark, sf_dir):
     return document_reviews(spark, sf_dir).groupBy(bin_.alias("bin")).agg(F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("wrong"))
 
 
-@query(f"""WITH {REV}, m AS (SELECT a.type_id, avg(b.confidence) AS cut FROM (SELECT DISTINCT type_id FROM r) a JOIN r b ON b.type_id <> a.type_id GROUP BY a.type_id)
-SELECT round(2 * count(*) FILTER (confidence >= cut AND verdict = 'correct') / (2 * count(*) FILTER (confidence >= cut AND verdict = 'correct') + count(*) FILTER (confidence >= cut AND verdict = 'wrong') + count(*) FILTER (confidence < cut AND verdict = 'correct')), 6) AS f1 FROM r JOIN m USING (type_id)""")
+@query(f"""WITH {REV}, q AS (SELECT type_id, round(confidence, 2) AS x, verdict = 'correct' AS ok FROM r),
+v AS (SELECT type_id, x, count(*) AS c, count(*) FILTER (ok) AS p FROM q GROUP BY ALL),
+k AS (SELECT DISTINCT x FROM v), ids AS (SELECT DISTINCT type_id FROM v),
+h AS (SELECT ids.type_id, k.x, coalesce(sum(v.c), 0) AS c, coalesce(sum(v.p), 0) AS p FROM ids CROSS JOIN k LEFT JOIN v ON v.x = k.x AND v.type_id <> ids.type_id GROUP BY ALL),
+s AS (SELECT type_id, x, sum(c) OVER w AS said, sum(p) OVER w AS tp, sum(p) OVER (PARTITION BY type_id) AS ap, c FROM h WINDOW w AS (PARTITION BY type_id ORDER BY x DESC)),
+f AS (SELECT type_id, x, round(2 * tp / nullif(said + ap, 0), 12) AS f1 FROM s WHERE c > 0),
+b AS (SELECT type_id, x AS cut FROM (SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY f1 DESC, x) AS n FROM f) WHERE n = 1)
+SELECT round(2 * count(*) FILTER (q.x >= cut AND ok) / (2 * count(*) FILTER (q.x >= cut AND ok) + count(*) FILTER (q.x >= cut AND NOT ok) + count(*) FILTER (q.x < cut AND ok)), 6) AS f1 FROM q JOIN b USING (type_id)""")
 def pooled_lovo_f1(spark, sf_dir):
-    """Each group judged by a threshold from all the others, counts pooled."""
-    rows = document_reviews(spark, sf_dir)
-    sums = rows.groupBy("type_id").agg(F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
-    cuts = sums.select("type_id", ((F.sum("s").over(w) - F.col("s")) / (F.sum("n").over(w) - F.col("n"))).alias("cut"))
-    said = F.col("confidence") >= F.col("cut")
-    tp, fp, fn = F.count_if(said & F.col("correct")), F.count_if(said & ~F.col("correct")), F.count_if(~said & F.col("correct"))
-    return rows.join(cuts, "type_id").agg(F.round(2 * tp / (2 * tp + fp + fn), 6).alias("f1"))
+    """Each group judged by the threshold, to two places, whose F1 is best over all the others; counts pooled."""
+    rows = document_reviews(spark, sf_dir).select("type_id", F.round("confidence", 2).alias("x"), "correct")
+    return rows.join(diagnose.left_out_threshold(rows, "x", "correct", "type_id"), "type_id").agg(F.round(diagnose.pooled_f1(F.col("x") >= F.col("cut"), F.col("correct")), 6).alias("f1"))
 
 
 FIGURES = """fg AS (SELECT category AS method, type_id AS video, avg(CASE WHEN verdict = 'correct' THEN 1.0::DOUBLE ELSE 0 END) AS f1 FROM r GROUP BY ALL)"""
 
 
-@query(f"""WITH {REV}, {FIGURES} SELECT a.method, round(avg(a.f1), 6) AS macro_f1, round(avg(a.f1 - b.f1), 6) AS gain, count(*) FILTER (a.f1 > b.f1) AS wins, count(*) FILTER (a.f1 < b.f1) AS losses,
-avg(a.f1 - b.f1) >= 0.02 AND count(*) FILTER (a.f1 > b.f1) > count(*) FILTER (a.f1 < b.f1) AS accepted FROM fg a JOIN fg b ON a.video = b.video AND b.method = 'en' GROUP BY a.method""")
+@query(f"""WITH {REV}, {FIGURES},
+g AS (SELECT a.method, ascii(right(a.video, 1)) % 3 = 0 AS val, a.f1, b.f1 AS base FROM fg a JOIN fg b ON a.video = b.video AND b.method = 'en'),
+m AS (SELECT method, avg(f1) FILTER (NOT val) AS dev_f1, avg(base) FILTER (NOT val) AS dev_base, avg(f1) FILTER (val) AS val_f1, avg(base) FILTER (val) AS val_base,
+  count(*) FILTER (f1 > base + 1e-9) AS wins, count(*) FILTER (f1 < base - 1e-9) AS losses FROM g GROUP BY method)
+SELECT method, round(dev_f1, 6) AS dev_f1, round(val_f1, 6) AS val_f1, wins, losses,
+  CASE WHEN method <> 'en' THEN dev_f1 > dev_base AND coalesce(val_f1 >= val_base, true) AND wins > losses END AS accepted FROM m""")
 def wins_losses(spark, sf_dir):
-    """Methods against a baseline over the same videos, and which may replace it."""
+    """Methods against a baseline over the same videos, and which may replace it. Some videos are for validation."""
     from ..operators.learn import accepted
 
     rows = document_reviews(spark, sf_dir).groupBy(F.col("category").alias("method"), F.col("type_id").alias("video")).agg(F.avg(F.col("correct").cast("double")).alias("f1"))
-    return accepted(rows, "en").withColumns({"macro_f1": F.round("macro_f1", 6), "gain": F.round("gain", 6)})
+    part = F.when(F.ascii(F.right("video", F.lit(1))) % 3 == 0, "val").otherwise("dev")
+    return accepted(rows.withColumn("part", part), "en").withColumns({"dev_f1": F.round("dev_f1", 6), "val_f1": F.round("val_f1", 6)})
 
 
 @query("""WITH t AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) AS turn FROM documents)

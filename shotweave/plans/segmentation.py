@@ -26,14 +26,15 @@ CLIP = "list_inner_product(a.clip, b.clip)"
 HASH = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: CAST((z[1] > 0) = (z[2] > 0) AS DOUBLE))) / 64"
 
 
-def pairs_sql(w: int = P.window_shots) -> str:
+def pairs_sql(w: int = P.window_shots, k: int | None = None) -> str:
+    k = k or (1 if w == 1 else P.coherence_topk)
     return EMB + f""",
 p AS (SELECT a.video, a.shot AS i, b.shot AS j, {P.clip_weight} * greatest(0, least(1, ({CLIP} + 1) / 2)) + {P.color_weight} * {COLOR} AS sim, b.start - a."end" AS gap
   FROM s a JOIN s b ON a.video = b.video AND b.shot > a.shot AND b.shot - a.shot <= {2 * w - 1}),
 l AS (SELECT video, unnest(range(greatest(i, j - {w}), least(j - 1, i + {w - 1}) + 1)) AS cut, i, j, sim - {P.distance_penalty} * (j - i - 1) AS value FROM p WHERE gap <= {P.window_seconds} OR j - i = 1),
 t AS (SELECT *, row_number() OVER (PARTITION BY video, cut ORDER BY value DESC, i DESC, j DESC) AS rank FROM l),
 c AS (SELECT t.video, cut, (cut + 1) * 4.0::DOUBLE AS time, avg(value) AS coherence, 1 - avg(value) AS score, arg_max(i, -rank) AS best_i, arg_max(j, -rank) AS best_j
-  FROM t JOIN d USING (video) WHERE rank <= greatest(1, least({1 if w == 1 else P.coherence_topk}, cut + 1, n - 1 - cut, {w})) GROUP BY t.video, cut)"""
+  FROM t JOIN d USING (video) WHERE rank <= greatest(1, least({k}, cut + 1, n - 1 - cut, {w})) GROUP BY t.video, cut)"""
 
 
 CLIMB = """,
@@ -285,15 +286,13 @@ def cluster_relabel(spark, sf_dir):
 
 # --- metrics ---------------------------------------------------------------------------------------
 TRUTH = """,
-tr AS (SELECT video, start AS time FROM (SELECT *, lag(label) OVER (PARTITION BY video ORDER BY shot) AS before FROM s) WHERE before <> label AND label % 3 = 0),
+tr AS (SELECT video, start AS time FROM (SELECT *, lag(label) OVER (PARTITION BY video ORDER BY shot) AS before FROM s) WHERE before <> label),
 bd AS (SELECT video, time FROM b WHERE decision = 'boundary')"""
 
 
 def _truth(spark, sf_dir) -> DataFrame:
-    """Label changes to every third label, so that some boundaries are right and some aren't."""
-    shots = embedding_shots(spark, sf_dir)
-    kept = shots.where("label % 3 = 0").select("video", F.col("start").alias("time"))
-    return materialised(label_boundaries(shots).join(kept, ["video", "time"], "left_semi"), "truth")
+    """Where the label changes."""
+    return materialised(label_boundaries(embedding_shots(spark, sf_dir)), "truth")
 
 
 def _predicted(spark, sf_dir, p=P) -> DataFrame:
@@ -355,17 +354,35 @@ def metric_macro_micro(spark, sf_dir):
     return _rounded(rows, "macro_f1", "micro_precision", "micro_recall", "coverage", "overflow", "f_co", "count_ratio", "micro_f1")
 
 
-@query()
+SUMMARY = f"""{MACRO}, avg(mean_abs_error) AS mean_abs_error,
+round(avg(coverage), 6) AS coverage, round(avg(overflow), 6) AS overflow, round(avg(f_co), 6) AS f_co,
+round(avg((tp + fp + 1) / (tp + fn + 1)), 6) AS count_ratio, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1"""
+
+
+def _method_sql(name: str, with_boundaries: str) -> str:
+    return f"""SELECT '{name}' AS method, * FROM (WITH RECURSIVE {with_boundaries}{PRF}{OVERLAP}
+SELECT tolerance, count(*) AS videos, {SUMMARY} FROM pf1 JOIN cf USING (video) GROUP BY tolerance)"""
+
+
+ALL_CUTS = EMB + TRUTH.split(",\nbd AS")[0] + ",\nbd AS (SELECT video, start AS time FROM s WHERE shot > 0)"
+
+
+@query("\nUNION ALL\n".join([_method_sql("rule", decisions_sql() + TRUTH), _method_sql("adjacent", decisions_sql(1) + TRUTH), _method_sql("all", ALL_CUTS)]))
 def method_comparison(spark, sf_dir):
     """All methods over all videos in one table, as an evaluation run reports them."""
     truth, videos = _truth(spark, sf_dir), _videos(spark, sf_dir)
     shots = embedding_shots(spark, sf_dir)
-    said = {"rule": _predicted(spark, sf_dir), "adjacent": _predicted(spark, sf_dir, scenes.adjacent_only(P)), "all": shots.where("shot > 0").select("video", F.col("start").alias("time"))}
+    said = {
+        "rule": _predicted(spark, sf_dir),
+        "adjacent": _predicted(spark, sf_dir, scenes.adjacent_only(P)),
+        "all": shots.where("shot > 0").select("video", F.col("start").alias("time")),
+    }
     rows = None
     for name, pred in said.items():
         one = metrics.records(pred, truth, videos).withColumn("method", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
-    return metrics.summarised(rows, ["method"])
+    rows = metrics.summarised(rows, ["method"])
+    return _rounded(rows, "macro_f1", "micro_precision", "micro_recall", "coverage", "overflow", "f_co", "count_ratio", "micro_f1")
 
 
 @query(f"WITH RECURSIVE {pairs_sql()}" + fold_sql("c", "score", "score >= 0.4", 14.0) + " SELECT video, CAST(k AS BIGINT) AS place, time FROM (SELECT video, unnest(chosen) AS time, unnest(range(1, len(chosen) + 1)) AS k FROM h)")

@@ -52,6 +52,7 @@ def stream_segmenter(spark, sf_dir):
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _finished(spark, segmenter.streamed_cuts(rows, EVENT_THRESHOLD, 3), "video long, cut long")
+        told = _finished(spark, segmenter.streamed_cuts(rows, EVENT_THRESHOLD, 3), "video long, cut long, late long")
+        return told.where("cut IS NOT NULL").select("video", "cut")
     finally:
         spark.conf.set(name, before)

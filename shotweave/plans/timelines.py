@@ -210,7 +210,7 @@ def format_ids(spark, sf_dir):
 
     return table(spark, sf_dir, "events").select(
         "event_id", F.format_string("S%02d-U%02d", "user_id", F.pmod("event_id", F.lit(100))).alias("unit"), F.format_string("shot_%04d_p%03d.jpg", "user_id", F.pmod("event_id", F.lit(1000))).alias("file"),
-        F.concat(F.upper(F.substring("event_type", 1, 1)), F.lower(F.substring("event_type", 2, 99))).alias("label"),
+        F.concat(F.upper(F.substring("event_type", 1, 1)), F.lower(F.substr("event_type", F.lit(2)))).alias("label"),
         F.format_string("%02d:%05.2f", F.floor(F.col("value") / 60), F.col("value") - 60 * F.floor(F.col("value") / 60)).alias("clock"),
     )
 
@@ -223,11 +223,11 @@ def json_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.to_json(F.struct("event_type", k.alias("k"))).alias("doc"))
 
 
-@query("SELECT event_id, round(value, 1) AS rounded, CAST(trunc(value) AS BIGINT) AS whole, least(greatest(value, 10), 90) AS clipped FROM events")
+@query("SELECT event_id, round(value, 1) AS rounded, round_even(value, 1) AS rounded_even, CAST(trunc(value) AS BIGINT) AS whole, least(greatest(value, 10), 90) AS clipped FROM events")
 def round_trim(spark, sf_dir):
     from ..sources.adapters import table
 
-    return table(spark, sf_dir, "events").select("event_id", F.round("value", 1).alias("rounded"), F.col("value").cast("long").alias("whole"), F.least(F.greatest("value", F.lit(10.0)), F.lit(90.0)).alias("clipped"))
+    return table(spark, sf_dir, "events").select("event_id", F.round("value", 1).alias("rounded"), F.bround("value", 1).alias("rounded_even"), F.col("value").cast("long").alias("whole"), F.least(F.greatest("value", F.lit(10.0)), F.lit(90.0)).alias("clipped"))
 
 
 @query(f"WITH {FRAMES} SELECT round(seconds, 6) AS seconds, video, frame FROM f WHERE event_type = 'error' ORDER BY seconds, video")

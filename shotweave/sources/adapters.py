@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..params import Grouping
+from .tables import exact_unions
 
 SHOTS_PER_VIDEO, SHOT_SECONDS = 50, 4.0
 #: A value over this is a transition.
@@ -16,6 +17,7 @@ EMBEDDING_GROUPING = Grouping(clip_floor=-1.0, abs_threshold=0.37, depth_thresho
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    exact_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labels import label_error
 from .media import stem
+from .tables import file_system
 
 LABEL = "video string, boundaries array<double>, annotator string, notes string, provenance struct<method:string>, _corrupt string"
 REVIEW = "verdict string, type_id string, category string, scene_id int, detection_confidence double, commercial_relevance double, displayed boolean, detector_key string"
@@ -72,8 +75,21 @@ def read_shots(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- writers ---------------------------------------------------------------------------------------
 def replace_table(df: DataFrame, path: str) -> None:
-    """The whole table, seen by readers only once it is complete."""
-    df.write.mode("overwrite").parquet(path)
+    """The whole table, written beside the old one and renamed into its place once it is complete: a write that fails
+    leaves the old one as it was. ``df`` may read the old table."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}-{name}-new")
+    files, old = file_system(spark, path)
+    new, aside = (file_system(spark, f"{path}-{name}-{state}")[1] for state in ("new", "old"))
+    there = files.exists(old)
+    if there and not files.rename(old, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not files.rename(new, old):
+        if there:
+            files.rename(aside, old)
+        raise OSError(f"{path} can't be put in place")
+    if there:
+        files.delete(aside, True)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.tables import file_system
+
 STATE = StructType([StructField("frame", LongType()), StructField("run_first", LongType()), StructField("kept", LongType())])
 
 
 class CutState(StatefulProcessor):
-    """Per video: the last frame seen, where the open run began, and the last cut that was kept. Frames arrive in order
-    within a video; a frame that isn't later than the last one is dropped."""
+    """Per video: the last frame seen, where the open run began, and the last cut that was kept. A frame that arrives after
+    a later one of its video can't change what was decided; it is handed out as ``late``."""
 
     def __init__(self, threshold: float, least: int):
         self.threshold, self.least = threshold, least
@@ -28,6 +30,7 @@ class CutState(StatefulProcessor):
         out = []
         for frame, prob in pd.concat(rows).sort_values("frame")[["frame", "prob"]].itertuples(index=False):
             if frame <= last:
+                out.append((key[0], None, frame))
                 continue
             last = frame
             if prob > self.threshold:
@@ -37,17 +40,19 @@ class CutState(StatefulProcessor):
                 first = -1
                 if cut > 0 and cut - kept >= self.least:
                     kept = cut
-                    out.append((key[0], cut))
+                    out.append((key[0], cut, None))
         self.state.update((last, first, kept))
-        yield pd.DataFrame(out, columns=["video", "cut"])
+        yield pd.DataFrame(out, columns=["video", "cut", "late"]).astype({"cut": "Int64", "late": "Int64"})
 
     def close(self) -> None:
         pass
 
 
 def streamed_cuts(frames: DataFrame, threshold: float, least: int) -> DataFrame:
-    """Kept cuts of a stream of video, frame, prob, each as soon as its run has ended; needs the RocksDB state store."""
-    return frames.groupBy("video").transformWithStateInPandas(CutState(threshold, least), outputStructType="video long, cut long", outputMode="Append", timeMode="None")
+    """Kept cuts of a stream of video, frame, prob, each as soon as its run has ended, and frames that came too late to be
+    judged: video, cut, late (one of the two null). Needs the RocksDB state store."""
+    told = "video long, cut long, late long"
+    return frames.groupBy("video").transformWithStateInPandas(CutState(threshold, least), outputStructType=told, outputMode="Append", timeMode="None")
 
 
 def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
@@ -63,11 +68,16 @@ def unseen(frames: DataFrame, store: DataFrame, key: str = "frame_hash") -> Data
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
+    """A table of the folder, one file or a folder of files, as a stream of its files."""
+    path = f"{sf_dir}/{name}.parquet"
+    files, where = file_system(spark, path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files.getFileStatus(where).isDirectory():
+        return reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Write all there is now, exactly once, and stop."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer.outputMode(mode).trigger(availableNow=True).start().awaitTermination()

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 import unicodedata
 
 import numpy as np
@@ -14,47 +16,76 @@ from shotweave.sources import files, media
 BOX = "scene long, det long, type_id string, grp string, score double, x1 double, y1 double, x2 double, y2 double, shot long, base double"
 
 
-def test_suppression(spark):
-    rows = [
-        (1, 1, "phone", "", 0.8, 0.1, 0.1, 0.3, 0.3, 0, 1.0), (1, 2, "phone", "", 0.6, 0.11, 0.1, 0.31, 0.3, 0, 1.0), (1, 3, "sneakers", "feet", 0.7, 0.5, 0.5, 0.7, 0.7, 0, 1.0),
-        (1, 4, "shoes", "feet", 0.5, 0.5, 0.5, 0.7, 0.72, 0, 1.0), (1, 5, "phone", "", 0.5, 0.8, 0.8, 0.9, 0.9, 0, 1.0), (2, 6, "car", None, 0.2, 0.0, 0.0, 1.0, 1.0, 0, 1.0),
-    ]
-    kept = boxes.suppressed(spark.createDataFrame(rows, BOX), ["scene"])
-    assert sorted(r.det for r in kept.collect()) == [1, 3, 5, 6]
-
-
-def test_frames_of_a_shot_are_merged(spark):
-    rows = [(1, 1, "watch", "", 0.7, 0.1, 0.1, 0.3, 0.3, 0, 1.0), (1, 2, "watch", "", 0.5, 0.15, 0.12, 0.34, 0.31, 0, 1.0), (1, 3, "car", "", 0.6, 0.6, 0.6, 0.9, 0.9, 0, 1.0)]
-    assert sorted(r.det for r in boxes.merged_frames(spark.createDataFrame(rows, BOX), ["scene"]).collect()) == [1, 3]
+def overlap(a, b):
+    w, h = min(a[7], b[7]) - max(a[5], b[5]), min(a[8], b[8]) - max(a[6], b[6])
+    shared = max(0.0, w) * max(0.0, h)
+    return shared / ((a[7] - a[5]) * (a[8] - a[6]) + (b[7] - b[5]) * (b[8] - b[6]) - shared)
 
 
-def test_box_scores(spark):
-    got = spark.range(1).select(*[boxes.size_score(F.lit(a)).alias(f"s{i}") for i, a in enumerate((0.0, 0.0025, 0.05, 1.0))]).first()
-    assert list(got) == pytest.approx([0, 0.5, 1.0, 0.3])
-    row = spark.createDataFrame([((0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 1.0, 0.5), (2.0, 2.0, 3.0, 3.0))], ", ".join(f"{n} struct<x1:double,y1:double,x2:double,y2:double>" for n in "abc"))
-    got = row.select(boxes.iou(F.col("a"), F.col("a")), boxes.iou(F.col("a"), F.col("b")), boxes.iou(F.col("a"), F.col("c"))).first()
-    assert list(got) == [1.0, 0.5, 0.0]
+def kept_by_hand(rows, same, group, any_):
+    kept = []
+    for d in sorted(rows, key=lambda r: (-r[4], r[1])):
+        for k in kept:
+            o = overlap(d, k)
+            if (d[2] == k[2] and o > same) or (d[3] == k[3] and d[3] and o > group) or o > any_:
+                break
+        else:
+            kept.append(d)
+    return sorted(r[1] for r in kept)
 
 
-def test_candidates_hide_weak_and_tiny(spark):
-    rows = [(1, 1, "bag", "", 0.15, 0.2, 0.2, 0.8, 0.8, 0, 0.9), (1, 2, "chair", "", 0.75, 0.0, 0.0, 0.03, 0.03, 0, 0.5), (1, 3, "watch", "", 0.8, 0.3, 0.3, 0.6, 0.6, 0, 0.9), (1, 4, "watch", "", 0.7, 0.3, 0.3, 0.6, 0.6, 1, 0.9)]
-    tiers = spark.createDataFrame([("bag", 0.3), ("chair", None)], "type_id string, tier double")
+@pytest.mark.parametrize(("operator", "limits"), [(boxes.suppressed, (0.5, 0.6, 0.85)), (boxes.merged_frames, (0.3, 0.5, 0.85))])
+def test_overlapping_boxes_match_a_plain_choice(spark, operator, limits):
+    rng = np.random.default_rng(12)
+    rows = []
+    for scene in range(12):
+        at = rng.uniform(0.1, 0.6, (4, 2))
+        for det in range(14):
+            x, y = at[rng.integers(4)] + rng.uniform(-0.06, 0.06, 2)
+            w, h = rng.uniform(0.2, 0.3, 2)
+            kind = int(rng.integers(4))
+            rows.append((scene, det, f"kind{kind}", ["", "", "pair", "pair"][kind], float(rng.choice([0.3, 0.5, 0.7, 0.9])), float(x), float(y), float(x + w), float(y + h), 0, 1.0))
+    got: dict = {}
+    for r in operator(spark.createDataFrame(rows, BOX), ["scene"]).collect():
+        got.setdefault(r.scene, []).append(r.det)
+    want = {scene: kept_by_hand([r for r in rows if r[0] == scene], *limits) for scene in range(12)}
+    assert {k: sorted(v) for k, v in got.items()} == want and 12 < sum(map(len, want.values())) < len(rows)
+
+
+def test_size_rises_to_a_hundredth_and_fades_above_six_tenths(spark):
+    areas = [0.0, *np.linspace(0.0004, 0.98, 60).tolist()]
+    got = [r[0] for r in spark.createDataFrame([(a,) for a in areas], "a double").select(boxes.size_score(F.col("a"))).collect()]
+    want = [0 if a <= 0 else min(1.0, (a / 0.01) ** 0.5) * (max(0.3, 1 - (a - 0.6) / 0.4 * 0.7) if a > 0.6 else 1) for a in areas]
+    assert got == pytest.approx(want)
+
+
+def test_candidates_and_why_they_are_hidden(spark):
+    # kind, score, half the side of a square box in the middle, base, tier
+    kinds = {"lamp": (0.55, 0.2, 0.9, 0.5), "rug": (0.45, 0.25, 0.9, 0.5), "vase": (0.95, 0.006, 0.6, None), "desk": (0.41, 0.3, 1.0, 0.1), "cup": (0.39, 0.3, 1.0, 0.1)}
+    rows = [(6, i, k, "", c, 0.5 - r, 0.5 - r, 0.5 + r, 0.5 + r, shot, b) for i, (k, (c, r, b, _)) in enumerate(kinds.items()) for shot in range(2 if k == "desk" else 1)]
+    tiers = spark.createDataFrame([(k, t) for k, (*_, t) in kinds.items()], "type_id string, tier double")
     got = {r.type_id: r for r in boxes.candidates(spark.createDataFrame(rows, BOX), tiers, 0.4, 0.45).collect()}
-    assert {k: v.hidden_reason for k, v in got.items()} == {"bag": "low detector confidence", "chair": "low commercial relevance", "watch": None}
-    assert (got["watch"].place, got["watch"].det, got["watch"].seen, got["watch"].max_instances) == (1, 3, 2, 1)
+    weak, dull = "low detector confidence", "low commercial relevance"
+    assert {k: v.hidden_reason for k, v in got.items()} == {"lamp": None, "rug": weak, "vase": dull, "desk": None, "cup": weak}
+    assert got["desk"].seen == 2 and got["desk"].max_instances == 1
+    shown = sorted((v for v in got.values() if v.displayed), key=lambda v: -v.relevance * v.score)
+    assert [v.place for v in shown] == [1, 2] and all(v.place > 2 for v in got.values() if not v.displayed)
 
 
 def test_credit_goes_to_every_repeat(spark):
-    det = spark.createDataFrame([(1, "U1", 0, "phone"), (1, "U2", 1, "phone")], "scene long, unit string, rep_shot long, type_id string")
-    occ = spark.createDataFrame([(1, u, s, s * 4.0, s * 4.0 + 4) for u, ss in (("U1", (0, 2, 4)), ("U2", (1, 3))) for s in ss], "scene long, unit string, shot long, start double, end double")
-    rows = boxes.credited(det, occ).orderBy("shot").collect()
-    assert [(r.shot, r.detected) for r in rows] == [(0, True), (1, True), (2, False), (3, False), (4, False)]
+    units = {"U1": (5, 7, 8), "U2": (6, 10), "U3": (9,)}
+    det = spark.createDataFrame([(2, "U1", 5, "lamp"), (2, "U2", 10, "lamp"), (2, "U3", 9, "rug")], "scene long, unit string, rep_shot long, type_id string")
+    occ = spark.createDataFrame([(2, u, s, s * 3.0, s * 3.0 + 3) for u, shots in units.items() for s in shots], "scene long, unit string, shot long, start double, end double")
+    rows = boxes.credited(det, occ).orderBy("type_id", "shot").collect()
+    assert [(r.type_id, r.shot, r.unit, r.detected) for r in rows] == [
+        ("lamp", 5, "U1", True), ("lamp", 6, "U2", False), ("lamp", 7, "U1", False), ("lamp", 8, "U1", False), ("lamp", 10, "U2", True), ("rug", 9, "U3", True),
+    ]
 
 
 def test_keys_and_crops(spark):
     row = spark.createDataFrame([("car", "e7", 0.1, 0.2, 0.3, 0.4)], "type_id string, frame_hash string, x1 double, y1 double, x2 double, y2 double")
     key = row.select(boxes.candidate_key(F.col("type_id"), F.col("frame_hash"), [F.col(c) for c in ("x1", "y1", "x2", "y2")])).first()[0]
-    assert len(key) == 12
+    assert key == hashlib.sha1(b"car|e7|[0.1, 0.2, 0.3, 0.4]").hexdigest()[:12]
     r = boxes.crop(row, 1000, 500).first()
     assert 0 <= r.left < 100 and 300 < r.right <= 1000 and r.bottom - r.top >= 64
 
@@ -90,12 +121,41 @@ def test_label_rules(spark):
     assert got == {1: None, 2: "empty", 3: "empty", 4: "not increasing", 5: "not positive", 6: "past the end", 7: "not increasing"}
 
 
-def test_replay(spark):
-    rows = [("v", 1, "merge", 1, None), ("v", 2, "split", None, 44.0), ("v", 3, "confirm", None, None), ("w", 1, "clear", None, None), ("w", 2, "merge", 0, None)]
-    log = spark.createDataFrame(rows, "video string, seq long, op string, scene_index int, at double").withColumns({"predicted": F.array(F.lit(10.0), F.lit(20.0), F.lit(30.0)), "duration": F.lit(60.0)})
-    got = {r.video: r for r in labels.replayed(log).collect()}
-    assert (got["v"].boundaries, got["v"].hard_negatives, got["v"].hard_positives) == ([10.0, 30.0, 44.0], [20.0], [44.0])
-    assert (got["w"].boundaries, got["w"].hard_negatives) == ([], [])
+def replayed_by_hand(ops, cuts, duration, predicted):
+    b, neg, pos, refused = sorted(predicted), [], [], 0
+    for op, scene, at in ops:
+        if op == "clear":
+            b = []
+        elif op == "reset":
+            b, neg, pos = sorted(predicted), [], []
+        elif op == "merge":
+            if 0 <= scene < len(b):
+                neg.append(b.pop(scene))
+            else:
+                refused += 1
+        elif op == "split":
+            near = [c for c in cuts if at - 2.0 <= c <= at + 0.5]
+            at = round(min(near, key=lambda c: (abs(c - at), c)) if near else at, 3)
+            if 0 < at < duration and all(abs(at - x) >= 0.25 for x in b):
+                b = sorted([*b, at])
+                pos.append(at)
+            else:
+                refused += 1
+    return b, neg, pos, refused
+
+
+def test_replay_snaps_and_refuses(spark):
+    rng = random.Random(5)
+    logs, cuts, rows = {}, {}, []
+    for v in range(30):
+        cuts[v] = sorted(round(rng.uniform(0, 62), 2) for _ in range(rng.randint(0, 12)))
+        logs[v] = [(rng.choice(["merge", "split", "split", "split", "clear", "reset", "confirm"]), rng.randint(-1, 4), round(rng.uniform(-3, 66), 1)) for _ in range(rng.randint(1, 12))]
+        rows += [(v, seq, *op) for seq, op in enumerate(logs[v])]
+    log = spark.createDataFrame(rows, "video long, seq long, op string, scene_index int, at double").withColumns({"predicted": F.array(F.lit(33.0), F.lit(12.5), F.lit(48.0)), "duration": F.lit(60.0)})
+    marks = spark.createDataFrame([(v, c) for v, times in cuts.items() for c in times], "video long, time double")
+    got = {r.video: tuple(r)[1:] for r in labels.replayed(log, marks).collect()}
+    assert got == {v: replayed_by_hand(ops, cuts[v], 60.0, [33.0, 12.5, 48.0]) for v, ops in logs.items()}
+    assert sum(r[3] for r in got.values()) > 20
 
 
 def test_roles(spark):
@@ -130,11 +190,11 @@ def examples(spark, seed=0):
 @pytest.mark.parametrize("kind", learn.ESTIMATORS)
 def test_models_learn_and_repeat(spark, kind):
     rows = examples(spark)
-    scored = learn.out_of_fold(rows, kind, [["v0", "v1", "v2"], ["v3", "v4", "v5"]])
+    scored = learn.out_of_fold(rows, kind, F.substring("video", 2, 1).cast("int") % 2, 2)
     first = [(r.video, r.cut, r.p) for r in scored.orderBy("video", "cut").collect()]
     assert len(first) == 180
     assert diagnose.rank_auc(scored.withColumn("y", F.col("label") == 1), "p", "y", []).first().auc > 0.9
-    again = learn.out_of_fold(rows, kind, [["v0", "v1", "v2"], ["v3", "v4", "v5"]])
+    again = learn.out_of_fold(rows, kind, F.substring("video", 2, 1).cast("int") % 2, 2)
     assert [r.p for r in again.orderBy("video", "cut").collect()] == pytest.approx([p for *_, p in first])
 
 
@@ -160,16 +220,19 @@ def test_artifacts(tmp_path):
         learn.load_artifact(path)
 
 
-def test_features_of_a_script(spark):
-    from test_scenes import SHOTS, setups
+def test_features_where_the_place_changes(spark):
+    from test_scenes import SHOTS, reel
 
-    rows = setups("A B A B C D C D")
+    rows, starts = reel(1, [6, 6])
     shots = spark.createDataFrame(rows, SHOTS)
-    frames = spark.createDataFrame([("v", i, 0.9 if 398 <= i < 402 else 0.1) for i in range(800)], "video string, frame long, prob double")
+    cut = starts[1] - 1
+    at = round(rows[starts[1]][2] * 25)
+    frames = spark.createDataFrame([("v", i, 0.9 if at - 2 <= i < at + 2 else 0.1) for i in range(at + 600)], "video string, frame long, prob double")
     out = {r.cut: r for r in learn.boundary_features(shots, Grouping(), frames).collect()}
-    assert len(out) == 7 and set(learn.FEATURES) < set(out[0].asDict())
-    assert out[3].score == max(r.score for r in out.values()) and out[3].trans_peak == 0.9 and out[3].trans_gradual == 1.0
-    assert out[3].left_coherence > out[3].cross_mean and out[3].pace == 7.0
+    assert len(out) == 11 and set(learn.FEATURES) < set(out[0].asDict())
+    assert out[cut].score == max(r.score for r in out.values()) and (out[cut].trans_peak, out[cut].trans_gradual) == (0.9, 1.0)
+    assert out[cut].left_coherence > out[cut].cross_mean < out[cut].right_coherence
+    assert out[cut].pace == sum(abs(r[2] - rows[starts[1]][2]) < 15 for r in rows[1:])
     truth = spark.createDataFrame([("v", 16.5), ("v", 60.0)], "video string, time double")
     cuts = spark.createDataFrame([("v", k, 4.0 * (k + 1)) for k in range(7)], "video string, cut long, time double")
     assert [r.cut for r in learn.boundary_labels(cuts, truth).where("label = 1").collect()] == [3]
