@@ -96,14 +96,20 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, agrees: Callable[[int, np.ndarray], np.ndarray] | None = None, holds: Callable[[int, int], bool] | None = None) -> np.ndarray:
-    """Join fingerprints that are within the radius. ``sides``: for each group, its fingerprints and a side for
-    each: 0 and 1 are compared only across, where there are both; else all with all. Returns for every
-    fingerprint, groups laid end to end, the first one that it is joined with (itself where there's none).
+def linked(
+    sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]], radius: int,
+    agrees: Callable[[int, np.ndarray], np.ndarray] | None = None, holds: Callable[[int, int], bool] | None = None,
+) -> list[tuple[int, int]]:
+    """Join fingerprints that are within the radius. ``sides``: for each group, its fingerprints, a side for each (0 and 1
+    are compared only across, where there are both; else all with all) and a class: those of one are joined already.
+    Returns the new links, places in all groups laid end to end, of which none could be left out.
     ``agrees(i, others)``: which of the others within the radius of i are joined, if not all. ``holds(i, other)``: whether
     one of these is indeed; pairs that are connected already aren't asked for."""
     base, q_blocks, t_blocks, same, blocks, sizes, at = 0, [], [], [], [], [], []
-    for prints, side in sides:
+    parent: list[int] = []
+    for prints, side, known in sides:
+        _, first, place = np.unique(known, return_index=True, return_inverse=True)
+        parent += (base + first[place]).tolist()
         parts = [np.flatnonzero(side == s) for s in (0, 1)] if side.any() and not side.all() else [np.arange(len(prints))]
         ranges = []
         for part in parts:
@@ -121,9 +127,9 @@ def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, agrees: Call
         q_blocks += [a for a, _ in pairs]
         t_blocks += [b for _, b in pairs]
         base += len(prints)
-    parent = list(range(base))
+    found_links: list[tuple[int, int]] = []
     if not blocks:
-        return np.empty(0, int)
+        return found_links
     planes, size, at_ = bit_planes(np.array(blocks)), np.array(sizes), np.array(at)
     q_all, t_all = np.array(q_blocks), np.array(t_blocks)
     valid_all = np.where(size[t_all] >= LANES, ~np.uint64(0), (np.uint64(1) << (size[t_all] % LANES).astype(np.uint64)) - np.uint64(1))
@@ -149,9 +155,12 @@ def linked(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, agrees: Call
                     b = _find(parent, x)
                     if holds and (a == b or not holds(own, x)):
                         continue
+                    if a == b:
+                        continue
+                    found_links.append((own, x))
                     a, b = min(a, b), max(a, b)
                     parent[b] = a
-    return np.array([_find(parent, i) for i in range(base)])
+    return found_links
 
 
 def band_keys(radius: int = RADIUS) -> Column:
@@ -174,39 +183,14 @@ def rest_keys() -> Column:
     return F.array(*told)
 
 
-def _tiled(rows: DataFrame, tile: int) -> DataFrame:
-    """Rows of keys (band, x, y, z) of ``n`` nodes each, dealt so that every two nodes of a key meet in a group (t, u)."""
-    rows = rows.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    side = (F.col("mine") > F.col("other")).cast("int").alias("side")
-    return rows.select("band", "x", "y", "z", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), side, "node", "print", "sketch", *["shingles"] * ("shingles" in rows.columns))
-
+GROUP = ["band", "x", "y", "z", "t", "u"]
 
-def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = None, tile: int = TILE, exact: float | None = None) -> DataFrame:
-    """Links (a, b) that connect what fingerprints within the radius connect. ``keyed``: band int, x long, y long
-    (a key), node long, print long, sketch binary; each node once for a key. Keys are counted first; those of one
-    fingerprint go. Within a group, links are reduced to one for each fingerprint.
 
-    Keys of more than ``tile`` fingerprints are made finer where ``keyed`` has a column finer (array<long>): two
-    fingerprints of such a key that may be linked share one of these as well. What is still larger is split in tiles, every
-    two of which meet in a group of their own; that is quadratic in the fingerprints that agree in both keys.
-
-    With a ``similarity``, the sketches must agree that well too; with ``exact``, ``keyed`` has a column shingles too
-    (of ``sketched``), whose Jaccard similarity must reach it."""
-    key = ["band", "x", "y"]
-    many = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keyed.join(many, key)
-    if "finer" in keyed.columns:
-        plain = rows.where(F.col("n") <= tile).withColumn("z", F.lit(0).cast("long")).drop("finer")
-        fine = rows.where(F.col("n") > tile).drop("n").withColumn("z", F.explode("finer")).drop("finer")
-        fine = stored(fine, "finer-keys")
-        n_fine = fine.groupBy(*key, "z").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = plain.unionByName(fine.join(n_fine, [*key, "z"]))
-    else:
-        rows = rows.withColumn("z", F.lit(0).cast("long"))
-    rows = _tiled(rows, tile)
-    first = rows.columns.index("node")  # the columns before it are a group and a side in it
+def _links(rows: DataFrame, radius: int, similarity: float | None, exact: float | None) -> DataFrame:
+    """Links (a, b) that connect what fingerprints within the radius connect in each GROUP of ``rows``: GROUP, side, cls (a
+    class in which nodes are connected already), node, print, sketch and, for ``exact``, shingles. Links are as few as
+    connect what they connect."""
+    first = len(GROUP) + 2  # the place of node
 
     def compare(part: np.ndarray, sketches: np.ndarray, sets: list[bytes]) -> pa.RecordBatch:
         def agrees(i: int, others: np.ndarray) -> np.ndarray:
@@ -215,13 +199,12 @@ def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = Non
         def holds(i: int, other: int) -> bool:
             return jaccard(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[other], np.uint64)) >= exact - 1e-9
 
-        group = part[:, : first - 1]
+        group = part[:, : len(GROUP)]
         cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-        groups = np.split(part, cuts)
-        sides = [(g[:, first + 1].view(np.uint64), g[:, first - 1]) for g in groups]
-        root = linked(sides, radius, agrees if similarity else None, holds if exact is not None else None)
-        found = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(part[found, first]), pa.array(part[root[found], first])], ["a", "b"])
+        sides = [(g[:, first + 1].view(np.uint64), g[:, first - 2], g[:, first - 1]) for g in np.split(part, cuts)]
+        found = linked(sides, radius, agrees if similarity else None, holds if exact is not None else None)
+        a, b = (part[[link[k] for link in found], first] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, np.ndarray, list[bytes]] | None = None
@@ -233,7 +216,7 @@ def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = Non
             sets = batch.column(first + 3).to_pylist() if exact is not None else []
             if rest:
                 part, sketches, sets = np.concatenate([rest[0], part]), np.concatenate([rest[1], sketches]), rest[2] + sets
-            last = np.flatnonzero((part[:, : first - 1] != part[-1, : first - 1]).any(axis=1))
+            last = np.flatnonzero((part[:, : len(GROUP)] != part[-1, : len(GROUP)]).any(axis=1))
             whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
             rest = part[whole:], sketches[whole:], sets[whole:]
             if whole:
@@ -241,9 +224,54 @@ def links(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = Non
         if rest:
             yield compare(*rest)
 
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = ["band", "x", "y", "z", "t", "u"]
-    return rows.repartition(n, *group).sortWithinPartitions(*group, "side", "node").mapInArrow(run, "a long, b long")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*GROUP, "side", "cls", "node", "print", "sketch", *["shingles"] * (exact is not None))
+    return rows.repartition(n, *GROUP).sortWithinPartitions(*GROUP, "side", "node").mapInArrow(run, "a long, b long")
+
+
+def _tile(of: Column) -> Column:
+    return F.pmod(F.xxhash64("node", "band"), of).cast("int")
+
+
+def connected(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = None, tile: int = TILE, exact: float | None = None) -> DataFrame:
+    """What fingerprints within the radius connect: node, root (the smallest one reachable) of each node with a link.
+    ``keyed``: band int, x long, y long (a key: only nodes that share one are compared), node long, print long, sketch
+    binary; each node once for a key. With a ``similarity``, the sketches must agree that well too; with ``exact``,
+    ``keyed`` has a column shingles too (of ``sketched``), whose Jaccard similarity must reach it.
+
+    Keys of one node go. Keys of up to ``tile`` nodes are a group; those of more are dealt in tiles, differently for each
+    band, and each tile is linked on its own. By then most nodes of a large class are connected, and what is left to do
+    for a large key is to compare the nodes outside of its largest class with each other and with that class: tiles of the
+    class meet tiles of the others only. If ``keyed`` has a column finer (array<long>), two nodes of such a key that may be
+    linked share one of these too, and only nodes that do are compared. The work on a key is so many comparisons as it has
+    nodes times nodes outside of its largest class that also share a finer key, whatever its size."""
+    key = ["band", "x", "y"]
+    many = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = stored(many, "keys")
+    zero = F.lit(0).cast("long")
+    own = _tile(F.ceil(F.col("n") / tile)).alias("t")
+    rows = keyed.drop("finer").join(many, key).select("*", zero.alias("z"), own, F.lit(0).alias("u"), F.lit(0).alias("side"), F.col("node").alias("cls"))
+    roots = stored(components(_links(rows, radius, similarity, exact)), "roots")
+    large = many.where(F.col("n") > tile)
+    if large.isEmpty():
+        return roots
+
+    rows = keyed.join(large.drop("n"), key).withColumn("z", F.explode("finer") if "finer" in keyed.columns else zero).drop("finer")
+    rows = rows.join(roots, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
+    key = [*key, "z"]
+    rows = stored(rows, "large-keys")
+    sizes = rows.groupBy(*key, "cls").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy(*key).agg(F.max_by("cls", F.struct("c", "cls")).alias("major"), F.max("c").alias("n_major"), F.sum("c").alias("n"))
+    sizes = sizes.where("n > n_major").withColumn("majors", F.ceil(F.col("n_major") / tile).cast("int"))
+    sizes = stored(sizes.withColumn("minors", F.ceil((F.col("n") - F.col("n_major")) / tile).cast("int")), "large-classes")
+    rows = rows.join(sizes, key)
+    minor, major = rows.where("cls <> major").withColumn("mine", _tile(F.col("minors"))), rows.where("cls = major").withColumn("mine", _tile(F.col("majors")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    among = minor.withColumn("other", every("minors")).select("*", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    left = minor.withColumn("other", every("majors")).select("*", (-1 - F.col("other")).alias("t"), F.col("mine").alias("u"), F.lit(0).alias("side"))
+    right = major.withColumn("other", every("minors")).select("*", (-1 - F.col("mine")).alias("t"), F.col("other").alias("u"), F.lit(1).alias("side"))
+    more = _links(among.unionByName(left).unionByName(right), radius, similarity, exact)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -282,7 +310,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = stored(rows.groupBy("print").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
     keyed = prints.where("node IS NOT NULL").select("node", "print", F.explode(band_keys(radius)).alias("k"), *[rest_keys().alias("rest")] * (radius == 2))
     finer = [F.col("rest")[F.col("k.band")].alias("finer")] * (radius == 2)
-    roots = components(links(keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch"), *finer), radius))
+    roots = connected(keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch"), *finer), radius)
     classes = prints.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     classes = stored(classes, "classes")  # written, so that the join below has plain exchanges, whose hot partitions Spark splits
     return rows.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -420,11 +448,11 @@ def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float =
     others = F.filter(F.transform("least", lambda v, i: F.when(i != F.col("band"), F.xxhash64(v, i))), lambda v: v.isNotNull())
     keyed = keyed.select("band", "x", F.lit(0).cast("long").alias("y"), "node", "print", "sketch", others.alias("finer"))
     radius = radius_for(similarity)
-    likely = stored(components(links(keyed, radius, LOOSE)), "likely")
+    likely = stored(connected(keyed, radius, LOOSE), "likely")
     likely = likely.unionByName(likely.select(F.col("root").alias("node"), "root")).distinct()
     sets = sketched(rows.join(likely, "node"), n_words, sets=True)
     grouped = sets.select(F.lit(0).alias("band"), F.col("root").alias("x"), F.lit(0).cast("long").alias("y"), "node", "print", "sketch", "shingles")
-    roots = components(links(stored(grouped, "shingle-sets"), radius, LOOSE, EXACT_TILE, similarity))
+    roots = connected(stored(grouped, "shingle-sets"), radius, LOOSE, EXACT_TILE, similarity)
     return sketches.select("node").distinct().join(roots, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
 
 

@@ -122,7 +122,7 @@ def test_tiles_give_the_same_links(spark):
 
     nodes = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "node long, print long")
     keyed = nodes.select("node", "print", F.explode(simhash.band_keys(2)).alias("k")).select("k.*", "node", "print", F.lit(b"").alias("sketch"))
-    whole, tiled = ({r.node: r.root for r in simhash.components(simhash.links(keyed, 2, tile=t)).collect()} for t in (4096, 20))
+    whole, tiled = ({r.node: r.root for r in simhash.connected(keyed, 2, tile=t).collect()} for t in (4096, 20))
     assert whole == tiled and whole
 
 
@@ -140,7 +140,7 @@ def test_hot_keys_are_made_finer_without_losing_links(spark):
     nodes = spark.createDataFrame(list(enumerate(sorted(prints))), "node long, print long")
     keyed = nodes.select("node", "print", F.explode(simhash.band_keys(2)).alias("k"), simhash.rest_keys().alias("rest"))
     keyed = keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch"), F.col("rest")[F.col("k.band")].alias("finer"))
-    whole, finer = ({r.node: r.root for r in simhash.components(simhash.links(k, 2, tile=t)).collect()} for k, t in ((keyed.drop("finer"), 4096), (keyed, 20)))
+    whole, finer = ({r.node: r.root for r in simhash.connected(k, 2, tile=t).collect()} for k, t in ((keyed.drop("finer"), 4096), (keyed, 20)))
     assert whole == finer and len(whole) > 300
 
 
@@ -151,7 +151,7 @@ def test_similar_texts_of_hot_least_hashes(spark, monkeypatch):
         rows += [(4 * k + i, " ".join(base[: 120 - 3 * i] + [f"z{k}x{i}y{j}" for j in range(3 * i)])) for i in range(4)]
     rows += [(1000 + i, " ".join(["hot line of five words"] + [f"q{i}x{j}" for j in range(i % 5)])) for i in range(200)]
     want = jaccard_classes(rows)
-    monkeypatch.setattr(simhash.links, "__defaults__", (2, None, 4, None))
+    monkeypatch.setattr(simhash.connected, "__defaults__", (2, None, 4, None))
     assert {r.doc_id: r.component_id for r in simhash.similar_classes(frame(spark, rows)).collect()} == want
 
 
