@@ -32,6 +32,47 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == int(r.doc_id % 4 != 0) for r in out) >= 0.97 * len(out) > 50
 
 
+def scores_by_hand(rows, labels):
+    """The classifier over plain arrays: statistics, scaling, random features, ridge by normal equations, isotonic levels by
+    cells; features, widths and penalties are the operator's parameters."""
+    data = [(t or "").encode() for _, t in rows]
+    offsets = np.cumsum([0, *map(len, data)])
+    x = quality.statistics(np.frombuffer(b"".join(data), np.uint8), offsets)
+    learn = [k for k, (i, _) in enumerate(rows) if i in labels and zlib.crc32(str(i).encode()) % 5]
+    y = np.array([labels[rows[k][0]] for k in learn], float)
+    mean, spread = x[learn].mean(0), x[learn].std(0)
+    scaled = np.clip((x - mean) / np.where(spread > 1e-9, spread, 1.0), -8, 8)
+    rng = np.random.default_rng(quality.SEED)
+    frequencies = rng.standard_normal((x.shape[1], quality.N_FEATURES)) / quality.WIDTH
+    phases = rng.uniform(0, 2 * np.pi, quality.N_FEATURES)
+    z = np.hstack([np.sqrt(2 / quality.N_FEATURES) * np.cos(scaled @ frequencies + phases), np.ones((len(x), 1))])
+    m = z.shape[1]
+    penalty = quality.RIDGE * max(1.0, len(learn)) / m * np.eye(m)
+    penalty[-1, -1] = 0
+    w = np.linalg.solve(z[learn].T @ z[learn] + penalty + 1e-9 * np.eye(m), z[learn].T @ y)
+    raw = z @ w
+    cell = np.clip(((raw[learn] + 1) / 3 * quality.CELLS).astype(int), 0, quality.CELLS - 1)
+    used = np.unique(cell)
+    value, weight = np.array([y[cell == c].mean() for c in used]), np.array([(cell == c).sum() for c in used])
+    # The isotonic fit by its minimax formula.
+    n = len(used)
+    mean_of = lambda a, b: float((value[a : b + 1] * weight[a : b + 1]).sum() / weight[a : b + 1].sum())
+    levels = [max(min(mean_of(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    return np.clip(np.interp(raw, (used + 0.5) / quality.CELLS * 3 - 1, levels), 0, 1)
+
+
+def test_quality_fit_matches_numpy(spark):
+    rng = random.Random(2)
+    vocabulary = ["the", "of", "and", "Zebra", "!!", "<b>", "42", "naïve", "x", "\n", "long" * 9]
+    rows = [(i, None if i == 7 else " ".join(rng.choice(vocabulary[: 4 + i % 7]) for _ in range(rng.randint(0, 120)))) for i in range(260)]
+    marks = {i: int((i % 7 < 3) ^ (rng.random() < 0.1)) for i in range(220)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, spark.createDataFrame(list(marks.items()), "doc_id long, quality int")).collect()}
+    want = scores_by_hand(rows, marks)
+    assert [got[i] for i, _ in rows] == pytest.approx(want.tolist(), abs=1e-5)
+    assert len(set(np.round(want, 4))) > 5
+
+
 def test_quality_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
