@@ -112,6 +112,60 @@ def candidates(detections: DataFrame, tiers: DataFrame, floor: float, least: flo
     return rows.withColumn("place", F.row_number().over(order).cast("long"))
 
 
+def assembled(candidates: DataFrame, credit: DataFrame) -> DataFrame:
+    """What a viewer is told of each candidate: its label (with a colour, if there is one), how often and how long its
+    set-ups are on screen, and from when to when. ``candidates``: from :func:`candidates`, with label, color and key.
+    ``credit``: from :func:`credited`."""
+    seen = credit.groupBy("scene", "type_id").agg(
+        F.count(F.lit(1)).alias("seen_count"), F.min("start").alias("first_seen"), F.max("end").alias("last_seen"),
+        F.bround(F.sum(F.col("end") - F.col("start")), 3).alias("screen_time"),
+    )
+    colored = F.concat_ws(" ", F.concat(F.upper(F.substr("color", F.lit(1), F.lit(1))), F.lower(F.substr("color", F.lit(2)))), F.lower("label"))
+    label = F.when(F.col("displayed") & F.col("color").isNotNull(), colored).otherwise(F.col("label"))
+    rows = candidates.join(seen, ["scene", "type_id"], "left").withColumn("label", label)
+    return rows.select(
+        "scene", "place", "key", "type_id", "label", F.bround("score", 4).alias("detection_confidence"), "relevance", "displayed", "hidden_reason",
+        F.coalesce("seen_count", F.lit(0).cast("long")).alias("seen_count"), F.col("seen").alias("detected_in_unique_shots"), "first_seen", "last_seen", "screen_time", "max_instances",
+    )
+
+
+def run_summary(shots: DataFrame, frames: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The twelve counters of a run, one row. ``shots``: scene, unit (the set-up). ``frames``: a row for each frame that was
+    needed: scene, unit, state ('inferred', 'cached' or 'skipped'), seconds (of inference). ``candidates``: displayed."""
+    units = shots.select("scene", "unit").distinct().agg(F.count(F.lit(1)).alias("unique_shots"))
+    total = shots.agg(F.countDistinct("scene").alias("scenes"), F.count(F.lit(1)).alias("original_shots"))
+    state = lambda *names: F.count_if(F.col("state").isin(*names))
+    seconds = F.avg(F.when(F.col("state") == "inferred", F.col("seconds")))
+    asked = frames.agg(
+        F.count(F.lit(1)).alias("frames_needed"), state("inferred", "cached").alias("frames_analysed"), state("inferred").alias("frames_inferred_now"),
+        state("cached").alias("frames_from_cache"), state("skipped").alias("frames_skipped"), F.bround(seconds, 4).alias("mean_seconds_per_frame"),
+    )
+    told = candidates.agg(F.count_if("displayed").alias("candidates_shown"), F.count_if(~F.col("displayed")).alias("candidates_hidden"))
+    one = F.lit(1).alias("_one")
+    rows = total.select("*", one)
+    for part in (units, asked, told):  # a row each
+        rows = rows.join(part.select("*", one), "_one")
+    return rows.withColumn("inference_avoided_by_unique_shots", F.col("original_shots") - F.col("unique_shots")).drop("_one")
+
+
+#: Rows of a taxonomy up to which its prompts are named.
+MOST_PROMPTS = 100_000
+
+
+def prompts_hash(taxonomy: DataFrame) -> DataFrame:
+    """The name of what a detector is asked: one row, prompts_hash. Fixed format, by which stored detections are found:
+    a JSON list of [prompt, type] in order. ``taxonomy``: place, type_id, prompts array<string>, a table of at most
+    MOST_PROMPTS rows that a person wrote; prompts in ASCII."""
+    if taxonomy.limit(MOST_PROMPTS + 1).count() > MOST_PROMPTS:
+        raise ValueError(f"a taxonomy of more than {MOST_PROMPTS} types")
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    rows = taxonomy.select("place", "type_id", F.posexplode("prompts").alias("at", "prompt"))
+    pair = F.concat(F.lit("["), quoted(F.col("prompt")), F.lit(", "), quoted(F.col("type_id")), F.lit("]"))
+    every = F.array_sort(F.collect_list(F.struct("place", "at", pair.alias("pair"))))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(every, lambda x: x["pair"]), ", "), F.lit("]"))
+    return rows.agg(F.substring(F.sha1(listed), 1, 10).alias("prompts_hash"))
+
+
 def candidate_key(type_id: Column, frame_hash: Column, box: list[Column]) -> Column:
     """A short stable name of a candidate, from what it is and where it was seen. Fixed format, by which stored verdicts
     join: type|hash|[x1, y1, x2, y2], sides to 3 places without trailing zeros but one."""

@@ -31,7 +31,7 @@ def snapped(at: Column, cuts: Column) -> Column:
     """The cut nearest to a moment within the window that a split snaps in (the earlier on ties), else the moment; to 3 places."""
     near = F.filter(cuts, lambda c: (c >= at - SNAP_BEFORE) & (c <= at + SNAP_AFTER))
     best = F.array_min(F.transform(near, lambda c: F.struct(F.abs(c - at).alias("off"), c.alias("cut"))))["cut"]
-    return F.round(F.coalesce(best, at), 3)
+    return F.bround(F.coalesce(best, at), 3)
 
 
 def replayed(log: DataFrame, cuts: DataFrame | None = None) -> DataFrame:

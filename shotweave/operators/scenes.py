@@ -30,14 +30,14 @@ def scenes(boundaries: DataFrame, shots: DataFrame) -> DataFrame:
     held = timeline.containment(shots, parts).groupBy("video", "segment").agg(F.min("shot").alias("shot_start"), F.max("shot").alias("shot_end"), F.count(F.lit(1)).alias("shot_count"))
     rows = parts.join(held, ["video", "segment"], "left")
     return rows.select(
-        "video", (F.col("segment") + 1).alias("scene_id"), F.round("begin", 3).alias("start_seconds"), F.round("finish", 3).alias("end_seconds"),
-        F.round(F.col("finish") - F.col("begin"), 3).alias("duration_seconds"), "shot_start", "shot_end", F.coalesce("shot_count", F.lit(0).cast("long")).alias("shot_count"),
+        "video", (F.col("segment") + 1).alias("scene_id"), F.bround("begin", 3).alias("start_seconds"), F.bround("finish", 3).alias("end_seconds"),
+        F.bround(F.col("finish") - F.col("begin"), 3).alias("duration_seconds"), "shot_start", "shot_end", F.coalesce("shot_count", F.lit(0).cast("long")).alias("shot_count"),
         F.floor((F.col("shot_start") + F.col("shot_end")) / 2).alias("mid_shot"),
     )
 
 
 def segmented(shots: DataFrame, p: Grouping) -> DataFrame:
-    boundaries = cut_decisions(shots, p).where("decision = 'boundary'").select("video", F.round("time", 3).alias("time"))
+    boundaries = cut_decisions(shots, p).where("decision = 'boundary'").select("video", F.bround("time", 3).alias("time"))
     return scenes(materialised(boundaries, "boundaries"), shots)
 
 
@@ -66,7 +66,7 @@ def clip_plan(scenes: DataFrame) -> DataFrame:
 def full_result(scenes: DataFrame, cuts: DataFrame, shots: DataFrame) -> DataFrame:
     """One JSON document for each video with what its scenes were decided by: video, document."""
     scene = F.struct("scene_id", "start_seconds", "end_seconds", "duration_seconds", "shot_start", "shot_end", "shot_count")
-    cut = F.struct("cut", "time", F.round("score", 4).alias("score"), F.round("depth", 4).alias("depth"), "decision")
+    cut = F.struct("cut", "time", F.bround("score", 4).alias("score"), F.bround("depth", 4).alias("depth"), "decision")
     rows = scenes.groupBy("video").agg(F.sort_array(F.collect_list(scene)).alias("scenes"))
     rows = rows.join(cuts.groupBy("video").agg(F.sort_array(F.collect_list(cut)).alias("cuts")), "video", "left")
     rows = rows.join(shots.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("shot", "start", "end"))).alias("shots")), "video", "left")

@@ -62,7 +62,7 @@ def shots_from_cuts(cuts: DataFrame, videos: DataFrame) -> DataFrame:
     """Shots with frames and seconds. ``videos``: video, n_frames, fps, duration; the last shot ends with the video."""
     parts = segments(cuts, "cut", videos.select("video", "n_frames"), "n_frames").join(videos, "video")
     ends = F.when(F.col("finish") == F.col("n_frames"), F.col("duration")).otherwise(F.col("finish") / F.col("fps"))
-    return parts.select("video", F.col("segment").alias("shot"), F.col("begin").alias("start_frame"), F.col("finish").alias("end_frame"), F.round(F.col("begin") / F.col("fps"), 3).alias("start"), F.round(ends, 3).alias("end"))
+    return parts.select("video", F.col("segment").alias("shot"), F.col("begin").alias("start_frame"), F.col("finish").alias("end_frame"), F.bround(F.col("begin") / F.col("fps"), 3).alias("start"), F.bround(ends, 3).alias("end"))
 
 
 def sampled_frames(shots: DataFrame, positions: tuple[float, ...]) -> DataFrame:

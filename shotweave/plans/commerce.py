@@ -132,27 +132,65 @@ def top12_detections(spark, sf_dir):
 OCC = """oc AS (SELECT l_orderkey AS scene, CAST(l_suppkey % 5 AS VARCHAR) AS unit, min(l_linenumber) AS first, CAST(l_linenumber AS BIGINT) AS shot FROM lineitem GROUP BY 1, 2, 4)"""
 
 
-@query(f"""WITH {DET}, {OCC}, dt AS (SELECT DISTINCT scene, CAST(shot AS VARCHAR) AS unit, type_id FROM d),
+CREDIT = f"""{OCC}, dt AS (SELECT DISTINCT scene, CAST(shot AS VARCHAR) AS unit, type_id FROM d),
 rp AS (SELECT scene, unit, min(shot) AS rep_shot FROM oc GROUP BY scene, unit),
-c AS (SELECT dt.scene, type_id, oc.shot, min(dt.unit) AS unit, arg_min(oc.shot = rep_shot, dt.unit) AS detected FROM dt JOIN oc ON oc.scene = dt.scene AND oc.unit = dt.unit JOIN rp ON rp.scene = dt.scene AND rp.unit = dt.unit GROUP BY ALL)
-SELECT scene, type_id, shot, shot * 4.0::DOUBLE AS start, unit, detected FROM c""".replace("arg_min(oc.shot = rep_shot, dt.unit) AS detected", "arg_min(CAST(oc.shot = rep_shot AS BOOLEAN), dt.unit) AS detected").replace("GROUP BY ALL)", "GROUP BY dt.scene, type_id, oc.shot)"))
-def type_occurrences(spark, sf_dir):
+c AS (SELECT dt.scene, type_id, oc.shot, min(dt.unit) AS unit, arg_min(CAST(oc.shot = rep_shot AS BOOLEAN), dt.unit) AS detected
+  FROM dt JOIN oc ON oc.scene = dt.scene AND oc.unit = dt.unit JOIN rp ON rp.scene = dt.scene AND rp.unit = dt.unit GROUP BY dt.scene, type_id, oc.shot)"""
+
+
+def _credit(spark, sf_dir) -> DataFrame:
     """A unit is seen where its lines lie; what its first line shows counts for all of them."""
     detections = order_detections(spark, sf_dir).withColumn("unit", F.col("shot").cast("string"))
     lines = table(spark, sf_dir, "lineitem")
     occ = lines.select(F.col("l_orderkey").alias("scene"), F.pmod("l_suppkey", F.lit(5)).cast("string").alias("unit"), F.col("l_linenumber").cast("long").alias("shot")).distinct()
     occ = occ.withColumn("start", F.col("shot") * 4.0).withColumn("end", F.col("shot") * 4.0 + 4)
     rep = occ.groupBy("scene", "unit").agg(F.min("shot").alias("rep_shot"))
-    return boxes.credited(detections.join(rep, ["scene", "unit"]), occ).select("scene", "type_id", "shot", "start", "unit", "detected")
+    return boxes.credited(detections.join(rep, ["scene", "unit"]), occ)
 
 
-@query(f"""WITH {TYPES}, k AS (SELECT count(DISTINCT scene) AS scenes, count(DISTINCT (scene, shot)) AS unique_shots, count(*) AS detections FROM d)
-SELECT scenes, unique_shots, detections, (SELECT count(*) FROM cd WHERE hidden_reason IS NULL) AS candidates_shown, (SELECT count(*) FROM cd WHERE hidden_reason IS NOT NULL) AS candidates_hidden FROM k""")
+@query(f"WITH {DET}, {CREDIT} SELECT scene, type_id, shot, shot * 4.0::DOUBLE AS start, unit, detected FROM c")
+def type_occurrences(spark, sf_dir):
+    return _credit(spark, sf_dir).select("scene", "type_id", "shot", "start", "unit", "detected")
+
+
+@query(f"""WITH {TYPES}, {CREDIT},
+oc2 AS (SELECT scene, type_id, count(*) AS seen_count, min(shot) * 4.0::DOUBLE AS first_seen, max(shot) * 4.0::DOUBLE + 4 AS last_seen, count(*) * 4.0::DOUBLE AS screen_time FROM c GROUP BY scene, type_id),
+pl AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY hidden_reason IS NULL DESC, round(relevance * score, 9) DESC, type_id) AS place FROM cd)
+SELECT scene, place, type_id, seen AS detected_in_unique_shots, relevance, hidden_reason IS NULL AS displayed, hidden_reason, max_instances, round_even(score, 4) AS detection_confidence,
+  CASE WHEN hidden_reason IS NULL AND score > 0.05 THEN (CASE WHEN score > 0.07 THEN 'Red ' ELSE 'Blue ' END) || lower(type_id) ELSE type_id END AS label,
+  left(sha1(type_id || '|' || det || '|[' || CAST(round_even(x1, 3) AS DOUBLE) || ', ' || CAST(round_even(y1, 3) AS DOUBLE) || ', ' || CAST(round_even(x2, 3) AS DOUBLE) || ', ' || CAST(round_even(y2, 3) AS DOUBLE) || ']'), 12) AS key,
+  coalesce(seen_count, 0) AS seen_count, first_seen, last_seen, screen_time FROM pl LEFT JOIN oc2 USING (scene, type_id)""")
+def commercial_result(spark, sf_dir):
+    """Every candidate of every scene as a viewer is told of it."""
+    rows = _candidates(spark, sf_dir)
+    key = boxes.candidate_key(F.col("type_id"), F.col("det").cast("string"), [F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    color = F.when(F.col("score") > 0.07, "red").when(F.col("score") > 0.05, "blue")
+    return boxes.assembled(rows.withColumns({"key": key, "color": color, "label": F.col("type_id")}), _credit(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT p_type AS type_id, min(p_partkey) AS place, list_sort(list(DISTINCT p_brand)) AS prompts FROM part GROUP BY p_type),
+p AS (SELECT place, type_id, unnest(prompts) AS prompt, unnest(range(0, len(prompts))) AS at_ FROM t)
+SELECT left(sha1('[' || string_agg('["' || prompt || '", "' || type_id || '"]', ', ' ORDER BY place, at_) || ']'), 10) AS prompts_hash FROM p""")
+def taxonomy_prompts_hash(spark, sf_dir):
+    """Types of parts as a taxonomy, their brands as prompts."""
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("type_id"))
+    return boxes.prompts_hash(rows.agg(F.min("p_partkey").alias("place"), F.sort_array(F.collect_set("p_brand")).alias("prompts")))
+
+
+@query(f"""WITH {TYPES},
+f AS (SELECT l_orderkey AS scene, l_suppkey % 5 AS unit, CASE l_returnflag WHEN 'R' THEN 'skipped' WHEN 'A' THEN 'cached' ELSE 'inferred' END AS state, l_tax AS seconds FROM lineitem)
+SELECT (SELECT count(DISTINCT scene) FROM f) AS scenes, (SELECT count(*) FROM f) AS original_shots,
+  (SELECT count(*) FROM (SELECT DISTINCT scene, unit FROM f)) AS unique_shots, (SELECT count(*) FROM f) AS frames_needed,
+  (SELECT count(*) FROM f WHERE state <> 'skipped') AS frames_analysed, (SELECT count(*) FROM f WHERE state = 'inferred') AS frames_inferred_now,
+  (SELECT count(*) FROM f WHERE state = 'cached') AS frames_from_cache, (SELECT count(*) FROM f WHERE state = 'skipped') AS frames_skipped,
+  (SELECT count(*) FROM cd WHERE hidden_reason IS NULL) AS candidates_shown, (SELECT count(*) FROM cd WHERE hidden_reason IS NOT NULL) AS candidates_hidden,
+  (SELECT count(*) FROM f) - (SELECT count(*) FROM (SELECT DISTINCT scene, unit FROM f)) AS inference_avoided_by_unique_shots,
+  (SELECT round_even(avg(seconds), 4) FROM f WHERE state = 'inferred') AS mean_seconds_per_frame""")
 def run_counters(spark, sf_dir):
-    """The counters of one run, each from one aggregate."""
-    det = order_detections(spark, sf_dir).agg(F.countDistinct("scene").alias("scenes"), F.countDistinct("scene", "shot").alias("unique_shots"), F.count(F.lit(1)).alias("detections"))
-    cand = _candidates(spark, sf_dir).agg(F.count_if("displayed").alias("candidates_shown"), F.count_if(~F.col("displayed")).alias("candidates_hidden"))
-    return det.withColumn("_k", F.lit(1)).join(cand.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """The counters of one run over lines as frames: one frame for each shot."""
+    state = F.when(F.col("l_returnflag") == "R", "skipped").when(F.col("l_returnflag") == "A", "cached").otherwise("inferred")
+    frames = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene"), F.pmod("l_suppkey", F.lit(5)).alias("unit"), state.alias("state"), F.col("l_tax").alias("seconds"))
+    return boxes.run_summary(frames, frames, _candidates(spark, sf_dir))
 
 
 @query(f"WITH {DET} SELECT DISTINCT scene, shot FROM d")

@@ -126,6 +126,20 @@ def hybrid_boundaries(spark, sf_dir):
     return learn.hybrid(cuts, 0.45, 0.6, P.min_scene_seconds).select("video", F.explode("chosen").alias("time"))
 
 
+@query()
+def model_settings(spark, sf_dir):
+    """Thresholds of the model and limits of the hybrid by their mean F1, over out-of-fold probabilities of two penalties."""
+    truth, videos = _truth(spark, sf_dir), _videos(spark, sf_dir)
+    rule = scenes.cut_decisions(embedding_shots(spark, sf_dir), P).select("video", "cut", (F.col("decision") == "boundary").alias("is_rule"))
+    examples = _examples(spark, sf_dir)
+    scored = None
+    for c in learn.PENALTIES[1:3]:
+        one = learn.out_of_fold(examples, "logistic", F.col("video") % 2, 2, c).withColumn("c", F.lit(c))
+        scored = one if scored is None else scored.unionByName(one)
+    rows = materialised(scored.join(rule, ["video", "cut"]).join(videos, "video").select("c", "video", "time", "duration", "is_rule", "p"), "scored")
+    return learn.best_settings(rows, truth, videos, P.min_scene_seconds)
+
+
 def _boundaries(probabilities, videos):
     rows = probabilities.withColumn("time", (F.col("cut") + 1) * SHOT_SECONDS).join(videos, "video")
     return learn.by_probability(rows, 0.5, P.min_scene_seconds).select("video", F.explode("chosen").alias("time"))

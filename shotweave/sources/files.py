@@ -104,7 +104,7 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 def label_documents(labels: DataFrame) -> DataFrame:
     """What is stored of labels: boundaries in order, to 3 places. ``labels``: stem, video, boundaries, annotator, notes, method."""
-    b = F.array_sort(F.transform("boundaries", lambda x: F.round(x, 3)))
+    b = F.array_sort(F.transform("boundaries", lambda x: F.bround(x, 3)))
     body = F.struct("video", b.alias("boundaries"), "annotator", "notes", F.struct("method").alias("provenance"))
     return labels.select("stem", F.to_json(body).alias("document"))
 
