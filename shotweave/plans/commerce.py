@@ -21,13 +21,15 @@ AREA = "greatest(0, x2 - x1) * greatest(0, y2 - y1)"
 SIZE = f"round(CASE WHEN {AREA} <= 0 THEN 0 ELSE least(1.0, sqrt({AREA} / 0.01)) * CASE WHEN {AREA} > 0.6 THEN greatest(0.3, 1 - ({AREA} - 0.6) / 0.4 * 0.7) ELSE 1 END END, 3)"
 CENTRE = "round(greatest(0, 1 - sqrt(power((x1 + x2) / 2 - 0.5, 2) + power((y1 + y2) / 2 - 0.5, 2)) / 0.7071), 3)"
 TYPES = DET + f""",
-fr AS (SELECT *, count(*) OVER (PARTITION BY scene, type_id, shot) AS in_frame, row_number() OVER (PARTITION BY scene, type_id ORDER BY score DESC, {AREA} DESC, det) AS best FROM d),
+fr AS (SELECT *, count(*) OVER (PARTITION BY scene, type_id, shot) AS in_frame, row_number() OVER (PARTITION BY scene, type_id ORDER BY score DESC, {AREA} DESC, det) AS best
+  FROM d),
 tg AS (SELECT scene, type_id, count(*) AS detections, count(DISTINCT shot) AS seen, max(in_frame) AS max_instances, min(det) FILTER (best = 1) AS det, min(score) FILTER (best = 1) AS score, min(base) FILTER (best = 1) AS base,
   min(x1) FILTER (best = 1) AS x1, min(y1) FILTER (best = 1) AS y1, min(x2) FILTER (best = 1) AS x2, min(y2) FILTER (best = 1) AS y2 FROM fr GROUP BY scene, type_id),
 rl AS (SELECT *, {SIZE} AS size, {CENTRE} AS centrality, round(least(1.0, seen / 3.0::DOUBLE), 3) AS persistence FROM tg),
 rv AS (SELECT *, round(base * (0.6::DOUBLE + 0.2::DOUBLE * size + 0.08::DOUBLE * centrality + 0.12::DOUBLE * persistence) + 1e-9, 4) AS relevance FROM rl),
 ti AS (SELECT p_type AS type_id, round(avg(p_size) / 100, 2) AS tier FROM part GROUP BY p_type),
-cd AS (SELECT rv.*, CASE WHEN score < greatest(0.4, coalesce(tier, 0)) THEN 'low detector confidence' WHEN relevance < 0.45 THEN 'low commercial relevance' END AS hidden_reason FROM rv LEFT JOIN ti USING (type_id))"""
+cd AS (SELECT rv.*, CASE WHEN score < greatest(0.4, coalesce(tier, 0)) THEN 'low detector confidence' WHEN relevance < 0.45 THEN 'low commercial relevance' END AS hidden_reason
+  FROM rv LEFT JOIN ti USING (type_id))"""
 
 
 def _tiers(spark, sf_dir) -> DataFrame:
@@ -60,7 +62,8 @@ def box_iou_pairs(spark, sf_dir):
 x AS (SELECT a.scene, a.k AS ka, b.k AS kb FROM o a JOIN o b ON a.scene = b.scene AND a.k < b.k AND {CLASH}),
 xl AS (SELECT o.scene, o.k, o.det, coalesce((SELECT list(ka) FROM x WHERE x.scene = o.scene AND x.kb = o.k), []) AS before FROM o),
 g AS (SELECT scene, 0 AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT scene FROM o)
-  UNION ALL SELECT g.scene, xl.k, CASE WHEN list_has_any(g.kept, xl.before) THEN g.kept ELSE list_append(g.kept, xl.k) END FROM g JOIN xl ON xl.scene = g.scene AND xl.k = g.k + 1),
+  UNION ALL SELECT g.scene, xl.k, CASE WHEN list_has_any(g.kept, xl.before) THEN g.kept ELSE list_append(g.kept, xl.k) END FROM g
+  JOIN xl ON xl.scene = g.scene AND xl.k = g.k + 1),
 e AS (SELECT scene, unnest(arg_max(kept, k)) AS k FROM g GROUP BY scene) SELECT e.scene, o.det FROM e JOIN o ON o.scene = e.scene AND o.k = e.k""")
 def frame_nms(spark, sf_dir):
     return boxes.suppressed(order_detections(spark, sf_dir), ["scene"]).select("scene", "det")
@@ -107,7 +110,8 @@ def category_counts(spark, sf_dir):
     return _candidates(spark, sf_dir).where("displayed").groupBy("type_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {TYPES}, c AS (SELECT DISTINCT scene, type_id FROM cd WHERE hidden_reason IS NULL UNION SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P')
+@query(f"""WITH {TYPES}, c AS (SELECT DISTINCT scene, type_id FROM cd WHERE hidden_reason IS NULL UNION SELECT o_orderkey, o_orderpriority FROM orders
+  WHERE o_orderstatus = 'P')
 SELECT scene, array_to_string(list(type_id ORDER BY type_id), ',') AS categories FROM c GROUP BY scene""")
 def categories_present(spark, sf_dir):
     """Distinct shown categories of a scene, with that of its venue."""
@@ -129,7 +133,8 @@ def top12_detections(spark, sf_dir):
     return order_detections(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 12").select("scene", "type_id", "det", "rank")
 
 
-OCC = """oc AS (SELECT l_orderkey AS scene, CAST(l_suppkey % 5 AS VARCHAR) AS unit, min(l_linenumber) AS first, CAST(l_linenumber AS BIGINT) AS shot FROM lineitem GROUP BY 1, 2, 4)"""
+OCC = """oc AS (SELECT l_orderkey AS scene, CAST(l_suppkey % 5 AS VARCHAR) AS unit, min(l_linenumber) AS first, CAST(l_linenumber AS BIGINT) AS shot
+  FROM lineitem GROUP BY 1, 2, 4)"""
 
 
 CREDIT = f"""{OCC}, dt AS (SELECT DISTINCT scene, CAST(shot AS VARCHAR) AS unit, type_id FROM d),
@@ -154,7 +159,8 @@ def type_occurrences(spark, sf_dir):
 
 
 @query(f"""WITH {TYPES}, {CREDIT},
-oc2 AS (SELECT scene, type_id, count(*) AS seen_count, min(shot) * 4.0::DOUBLE AS first_seen, max(shot) * 4.0::DOUBLE + 4 AS last_seen, count(*) * 4.0::DOUBLE AS screen_time FROM c GROUP BY scene, type_id),
+oc2 AS (SELECT scene, type_id, count(*) AS seen_count, min(shot) * 4.0::DOUBLE AS first_seen, max(shot) * 4.0::DOUBLE + 4 AS last_seen, count(*) * 4.0::DOUBLE AS screen_time
+  FROM c GROUP BY scene, type_id),
 pl AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY hidden_reason IS NULL DESC, round(relevance * score, 9) DESC, type_id) AS place FROM cd)
 SELECT scene, place, type_id, seen AS detected_in_unique_shots, relevance, hidden_reason IS NULL AS displayed, hidden_reason, max_instances, round_even(score, 4) AS detection_confidence,
   CASE WHEN hidden_reason IS NULL AND score > 0.05 THEN (CASE WHEN score > 0.07 THEN 'Red ' ELSE 'Blue ' END) || lower(type_id) ELSE type_id END AS label,
@@ -178,7 +184,8 @@ def taxonomy_prompts_hash(spark, sf_dir):
 
 
 @query(f"""WITH {TYPES},
-f AS (SELECT l_orderkey AS scene, l_suppkey % 5 AS unit, CASE l_returnflag WHEN 'R' THEN 'skipped' WHEN 'A' THEN 'cached' ELSE 'inferred' END AS state, l_tax AS seconds FROM lineitem)
+f AS (SELECT l_orderkey AS scene, l_suppkey % 5 AS unit, CASE l_returnflag WHEN 'R' THEN 'skipped' WHEN 'A' THEN 'cached' ELSE 'inferred' END AS state, l_tax AS seconds
+  FROM lineitem)
 SELECT (SELECT count(DISTINCT scene) FROM f) AS scenes, (SELECT count(*) FROM f) AS original_shots,
   (SELECT count(*) FROM (SELECT DISTINCT scene, unit FROM f)) AS unique_shots, (SELECT count(*) FROM f) AS frames_needed,
   (SELECT count(*) FROM f WHERE state <> 'skipped') AS frames_analysed, (SELECT count(*) FROM f WHERE state = 'inferred') AS frames_inferred_now,
@@ -213,9 +220,11 @@ PROMPTS = """pm AS (SELECT 'c' || CAST(vec_id % 6 AS VARCHAR) AS context, vec_id
 pn AS (SELECT context, prompt, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS vec FROM pm)"""
 VOTES = EMB + f""", {PROMPTS},
 lg AS (SELECT video, shot, context, 10.0 * max(list_inner_product(clip, vec)) AS z FROM s, pn GROUP BY ALL),
-ex AS (SELECT *, exp(z - max(z) OVER (PARTITION BY video, shot)) AS e FROM lg), pb AS (SELECT video, shot, context, e / sum(e) OVER (PARTITION BY video, shot) AS p FROM ex),
+ex AS (SELECT *, exp(z - max(z) OVER (PARTITION BY video, shot)) AS e
+  FROM lg), pb AS (SELECT video, shot, context, e / sum(e) OVER (PARTITION BY video, shot) AS p FROM ex),
 ms AS (SELECT video, shot // 5 AS scene, context, sum(4.0 * p) AS mass, sum(4.0) AS seconds FROM pb WHERE context <> 'c5' GROUP BY ALL),
-vt AS (SELECT video, scene, context, mass / sum(mass) OVER (PARTITION BY video, scene) AS vote, sum(mass) OVER (PARTITION BY video, scene) / seconds AS evidence FROM ms)"""
+vt AS (SELECT video, scene, context, mass / sum(mass) OVER (PARTITION BY video, scene) AS vote, sum(mass) OVER (PARTITION BY video, scene) / seconds AS evidence
+  FROM ms)"""
 
 
 def _prompts(spark, sf_dir) -> DataFrame:
@@ -241,7 +250,8 @@ def venue_top3(spark, sf_dir):
 
 
 @query(f"""WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY video, scene ORDER BY vote DESC, context) AS place FROM vt)
-SELECT a.video, a.scene, CASE WHEN a.evidence >= 0.1 AND a.vote >= 0.28 AND a.vote - b.vote >= 0.02 THEN a.context END AS venue, round(a.vote, 6) AS confidence, round(a.evidence, 6) AS evidence FROM r a JOIN r b ON b.video = a.video AND b.scene = a.scene AND a.place = 1 AND b.place = 2""")
+SELECT a.video, a.scene, CASE WHEN a.evidence >= 0.1 AND a.vote >= 0.28 AND a.vote - b.vote >= 0.02 THEN a.context END AS venue, round(a.vote, 6) AS confidence, round(a.evidence, 6) AS evidence
+  FROM r a JOIN r b ON b.video = a.video AND b.scene = a.scene AND a.place = 1 AND b.place = 2""")
 def venue_gating(spark, sf_dir):
     return _round(context.gated(_votes(spark, sf_dir), 0.28, 0.02, 0.1), "confidence", "evidence")
 
@@ -255,7 +265,8 @@ def environment_gating(spark, sf_dir):
 
 
 # --- reviews ---------------------------------------------------------------------------------------
-REV = """r AS (SELECT doc_id AS key, CASE WHEN quality = 1 THEN 'correct' ELSE 'wrong' END AS verdict, toxic = 1 AS flagged, lang AS category, source AS type_id, least(1.0, n_chars / 4000.0::DOUBLE) AS confidence, (doc_id % 10) / 10.0::DOUBLE AS relevance FROM labels JOIN documents USING (doc_id))"""
+REV = """r AS (SELECT doc_id AS key, CASE WHEN quality = 1 THEN 'correct' ELSE 'wrong' END AS verdict, toxic = 1 AS flagged, lang AS category, source AS type_id, least(1.0, n_chars / 4000.0::DOUBLE) AS confidence, (doc_id % 10) / 10.0::DOUBLE AS relevance
+  FROM labels JOIN documents USING (doc_id))"""
 COUNTS = "count(*) AS reviewed, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'wrong') AS wrong, round(count(*) FILTER (verdict = 'correct') / nullif(count(*), 0), 4) AS precision"
 
 
@@ -287,7 +298,8 @@ def review_join(spark, sf_dir):
     return review.precision(rows.where(review.shown(F.col("confidence"), F.col("relevance"), review.tier_need(F.col("tier"), 0.2), 0.3)), ["type_id"])
 
 
-@query("""WITH v AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN '' WHEN value > 40 THEN 'correct' ELSE 'wrong' END AS verdict FROM events)
+@query("""WITH v AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN '' WHEN value > 40 THEN 'correct' ELSE 'wrong' END AS verdict
+  FROM events)
 SELECT key, verdict FROM (SELECT key, arg_max(verdict, seq) AS verdict FROM v GROUP BY key) WHERE verdict <> ''""")
 def latest_verdict(spark, sf_dir):
     verdict = F.when(F.col("event_type") == "error", "").when(F.col("value") > 40, "correct").otherwise("wrong")
@@ -300,9 +312,12 @@ def review_order(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("reviewed"), "type_id")).cast("long"))
 
 
-HSV = """hv AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 7.1 AS h, (l_partkey % 100) / 100.0::DOUBLE AS s, (l_suppkey % 20) / 20.0::DOUBLE AS v FROM lineitem),
-cn AS (SELECT *, CASE WHEN h < 15 THEN 'red' WHEN h < 40 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 165 THEN 'green' WHEN h < 260 THEN 'blue' WHEN h < 300 THEN 'purple' WHEN h < 340 THEN 'pink' WHEN h < 361 THEN 'red' END AS hue FROM hv),
-nm AS (SELECT *, CASE WHEN v < 0.18 THEN 'black' WHEN s < 0.16 AND v > 0.78 THEN 'white' WHEN s < 0.16 THEN 'grey' WHEN hue IN ('orange', 'yellow') AND s < 0.35 AND v >= 0.55 THEN 'beige' WHEN hue IN ('orange', 'yellow') AND v < 0.55 AND h < 50 THEN 'brown' ELSE hue END AS color FROM cn)"""
+HSV = """hv AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 7.1 AS h, (l_partkey % 100) / 100.0::DOUBLE AS s, (l_suppkey % 20) / 20.0::DOUBLE AS v
+  FROM lineitem),
+cn AS (SELECT *, CASE WHEN h < 15 THEN 'red' WHEN h < 40 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 165 THEN 'green' WHEN h < 260 THEN 'blue' WHEN h < 300 THEN 'purple' WHEN h < 340 THEN 'pink' WHEN h < 361 THEN 'red' END AS hue
+  FROM hv),
+nm AS (SELECT *, CASE WHEN v < 0.18 THEN 'black' WHEN s < 0.16 AND v > 0.78 THEN 'white' WHEN s < 0.16 THEN 'grey' WHEN hue IN ('orange', 'yellow') AND s < 0.35 AND v >= 0.55 THEN 'beige' WHEN hue IN ('orange', 'yellow') AND v < 0.55 AND h < 50 THEN 'brown' ELSE hue END AS color
+  FROM cn)"""
 
 
 def _colours(spark, sf_dir) -> DataFrame:
@@ -318,8 +333,10 @@ def color_names(spark, sf_dir):
     return _colours(spark, sf_dir).groupBy("color").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {HSV}, k0 AS (SELECT l_orderkey, color, count(*) AS c FROM nm GROUP BY l_orderkey, color), k AS (SELECT *, sum(c) OVER (PARTITION BY l_orderkey) AS n FROM k0),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, color) AS place FROM k) SELECT l_orderkey, CASE WHEN c / n >= 0.55 THEN color END AS color, round(c / n, 6) AS share FROM r WHERE place = 1""")
+@query(f"""WITH {HSV}, k0 AS (SELECT l_orderkey, color, count(*) AS c FROM nm
+  GROUP BY l_orderkey, color), k AS (SELECT *, sum(c) OVER (PARTITION BY l_orderkey) AS n FROM k0),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, color) AS place FROM k)
+  SELECT l_orderkey, CASE WHEN c / n >= 0.55 THEN color END AS color, round(c / n, 6) AS share FROM r WHERE place = 1""")
 def dominant_color(spark, sf_dir):
     from ..functions import colour
 

@@ -47,8 +47,10 @@ def recent_n(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(12).select("o_orderkey", "o_orderdate")
 
 
-@query("""WITH m AS (SELECT c_custkey AS key, c_acctbal AS bytes FROM customer), f AS (SELECT o_custkey AS key, max(o_totalprice) AS bytes, min(o_orderstatus) AS state FROM orders GROUP BY o_custkey)
-SELECT m.key, CASE WHEN f.key IS NULL THEN 'missing' WHEN state = 'P' THEN 'placeholder' WHEN f.bytes > 400000 THEN 'different size' WHEN m.bytes < 0 THEN 'sha mismatch' ELSE 'ok' END AS status FROM m LEFT JOIN f ON m.key = f.key""")
+@query("""WITH m AS (SELECT c_custkey AS key, c_acctbal AS bytes
+  FROM customer), f AS (SELECT o_custkey AS key, max(o_totalprice) AS bytes, min(o_orderstatus) AS state FROM orders GROUP BY o_custkey)
+SELECT m.key, CASE WHEN f.key IS NULL THEN 'missing' WHEN state = 'P' THEN 'placeholder' WHEN f.bytes > 400000 THEN 'different size' WHEN m.bytes < 0 THEN 'sha mismatch' ELSE 'ok' END AS status
+  FROM m LEFT JOIN f ON m.key = f.key""")
 def manifest_check(spark, sf_dir):
     """A manifest against what is there."""
     manifest = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("want"))
@@ -123,7 +125,8 @@ def prompt_explode(spark, sf_dir):
 
 
 # --- corrections -----------------------------------------------------------------------------------
-LOG = """g AS (SELECT conv_id AS video, turn AS seq, CASE WHEN turn % 5 = 4 THEN 'confirm' WHEN length(text) % 23 = 0 THEN 'clear' WHEN length(text) % 29 = 0 THEN 'reset' WHEN turn % 3 = 0 THEN 'merge' ELSE 'split' END AS op, length(text) % 4 AS scene_index, (length(text) % 900 + 50) / 10.0::DOUBLE AS moment FROM conversations)"""
+LOG = """g AS (SELECT conv_id AS video, turn AS seq, CASE WHEN turn % 5 = 4 THEN 'confirm' WHEN length(text) % 23 = 0 THEN 'clear' WHEN length(text) % 29 = 0 THEN 'reset' WHEN turn % 3 = 0 THEN 'merge' ELSE 'split' END AS op, length(text) % 4 AS scene_index, (length(text) % 900 + 50) / 10.0::DOUBLE AS moment
+  FROM conversations)"""
 
 
 def _log(spark, sf_dir) -> DataFrame:
@@ -145,6 +148,7 @@ r AS (SELECT DISTINCT video, 0 AS k, [10.0::DOUBLE, 20.0, 30.0] AS b, []::DOUBLE
     CASE WHEN op = 'reset' THEN [] WHEN op = 'merge' AND scene_index < len(b) THEN list_append(neg, b[scene_index + 1]) ELSE neg END,
     CASE WHEN op = 'reset' THEN [] WHEN op = 'split' AND fits THEN list_append(pos, moment) ELSE pos END,
     refused + CASE WHEN (op = 'merge' AND scene_index >= len(b)) OR (op = 'split' AND NOT fits) THEN 1 ELSE 0 END
+ 
   FROM (SELECT r.*, s.k AS next, op, scene_index, moment, moment > 0 AND moment < 100 AND coalesce(list_min(list_transform(b, lambda x: abs(x - moment))), 1) >= 0.25 AS fits
     FROM r JOIN sn s ON s.video = r.video AND s.k = r.k + 1) r JOIN (SELECT DISTINCT k FROM sn) s ON s.k = r.next),
 e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY k DESC) AS last FROM r) WHERE last = 1),
@@ -176,7 +180,8 @@ def provenance(spark, sf_dir):
 
 
 @query(f"""WITH {FRAMES}, b AS (SELECT video, list(CAST(frame AS DOUBLE) ORDER BY frame) AS b, count(*) AS duration FROM f WHERE prob > 100 GROUP BY video)
-SELECT video, array_to_string(list_concat(b[:1], b[3:]), ',') AS merged, array_to_string(CASE WHEN list_min(list_transform(b, lambda x: abs(x - 10.5))) >= 0.25 AND 10.5 < 60 THEN list_sort(list_append(b, 10.5)) ELSE b END, ',') AS split FROM b""")
+SELECT video, array_to_string(list_concat(b[:1], b[3:]), ',') AS merged, array_to_string(CASE WHEN list_min(list_transform(b, lambda x: abs(x - 10.5))) >= 0.25 AND 10.5 < 60 THEN list_sort(list_append(b, 10.5)) ELSE b END, ',') AS split
+  FROM b""")
 def boundary_edit(spark, sf_dir):
     """One boundary taken out and one put in."""
     rows = event_frames(spark, sf_dir).where("prob > 100").groupBy("video").agg(F.sort_array(F.collect_list(F.col("frame").cast("double"))).alias("b"))
@@ -185,16 +190,19 @@ def boundary_edit(spark, sf_dir):
 
 # --- figures ---------------------------------------------------------------------------------------
 @query(f"""WITH {REV}, k AS (SELECT *, rank() OVER (PARTITION BY category ORDER BY confidence) + (count(*) OVER (PARTITION BY category, confidence) - 1) / 2 AS rk FROM r)
-SELECT category, count(*) AS n, round((sum(rk) FILTER (verdict = 'correct') - count(*) FILTER (verdict = 'correct') * (count(*) FILTER (verdict = 'correct') + 1) / 2) / nullif(count(*) FILTER (verdict = 'correct') * count(*) FILTER (verdict = 'wrong'), 0), 6) AS auc FROM k GROUP BY category""")
+SELECT category, count(*) AS n, round((sum(rk) FILTER (verdict = 'correct') - count(*) FILTER (verdict = 'correct') * (count(*) FILTER (verdict = 'correct') + 1) / 2) / nullif(count(*) FILTER (verdict = 'correct') * count(*) FILTER (verdict = 'wrong'), 0), 6) AS auc
+  FROM k GROUP BY category""")
 def rank_auc(spark, sf_dir):
     out = diagnose.rank_auc(document_reviews(spark, sf_dir), "confidence", "correct", ["category"])
     return out.withColumn("auc", F.round("auc", 6))
 
 
 @query(f"""WITH {REV}, v AS (SELECT category, confidence, count(*) AS c, count(*) FILTER (verdict = 'correct') AS p FROM r GROUP BY ALL),
-t AS (SELECT category, (confidence + lead(confidence) OVER w) / 2 AS threshold, sum(p) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS tp, sum(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS said, sum(p) OVER (PARTITION BY category) AS ap FROM v WINDOW w AS (PARTITION BY category ORDER BY confidence)),
+t AS (SELECT category, (confidence + lead(confidence) OVER w) / 2 AS threshold, sum(p) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS tp, sum(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS said, sum(p) OVER (PARTITION BY category) AS ap
+  FROM v WINDOW w AS (PARTITION BY category ORDER BY confidence)),
 x AS (SELECT *, 2 * tp / (said + ap) AS f1 FROM t WHERE threshold IS NOT NULL)
-SELECT category, round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY f1 DESC, threshold) AS k FROM x) WHERE k = 1""")
+SELECT category, round(threshold, 6) AS threshold, round(f1, 6) AS f1
+  FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY f1 DESC, threshold) AS k FROM x) WHERE k = 1""")
 def best_threshold_f1(spark, sf_dir):
     out = diagnose.best_threshold(document_reviews(spark, sf_dir), "confidence", "correct", ["category"])
     return out.withColumns({"threshold": F.round("threshold", 6), "f1": F.round("f1", 6)})
@@ -209,11 +217,14 @@ def binned_distribution(spark, sf_dir):
 @query(f"""WITH {REV}, q AS (SELECT type_id, round(confidence, 2) AS x, verdict = 'correct' AS ok FROM r),
 v AS (SELECT type_id, x, count(*) AS c, count(*) FILTER (ok) AS p FROM q GROUP BY ALL),
 k AS (SELECT DISTINCT x FROM v), ids AS (SELECT DISTINCT type_id FROM v),
-h AS (SELECT ids.type_id, k.x, coalesce(sum(v.c), 0) AS c, coalesce(sum(v.p), 0) AS p FROM ids CROSS JOIN k LEFT JOIN v ON v.x = k.x AND v.type_id <> ids.type_id GROUP BY ALL),
-s AS (SELECT type_id, x, sum(c) OVER w AS said, sum(p) OVER w AS tp, sum(p) OVER (PARTITION BY type_id) AS ap, c FROM h WINDOW w AS (PARTITION BY type_id ORDER BY x DESC)),
+h AS (SELECT ids.type_id, k.x, coalesce(sum(v.c), 0) AS c, coalesce(sum(v.p), 0) AS p FROM ids CROSS JOIN k LEFT
+  JOIN v ON v.x = k.x AND v.type_id <> ids.type_id GROUP BY ALL),
+s AS (SELECT type_id, x, sum(c) OVER w AS said, sum(p) OVER w AS tp, sum(p) OVER (PARTITION BY type_id) AS ap, c
+  FROM h WINDOW w AS (PARTITION BY type_id ORDER BY x DESC)),
 f AS (SELECT type_id, x, round(2 * tp / nullif(said + ap, 0), 12) AS f1 FROM s WHERE c > 0),
 b AS (SELECT type_id, x AS cut FROM (SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY f1 DESC, x) AS n FROM f) WHERE n = 1)
-SELECT round(2 * count(*) FILTER (q.x >= cut AND ok) / (2 * count(*) FILTER (q.x >= cut AND ok) + count(*) FILTER (q.x >= cut AND NOT ok) + count(*) FILTER (q.x < cut AND ok)), 6) AS f1 FROM q JOIN b USING (type_id)""")
+SELECT round(2 * count(*) FILTER (q.x >= cut AND ok) / (2 * count(*) FILTER (q.x >= cut AND ok) + count(*) FILTER (q.x >= cut AND NOT ok) + count(*) FILTER (q.x < cut AND ok)), 6) AS f1
+  FROM q JOIN b USING (type_id)""")
 def pooled_lovo_f1(spark, sf_dir):
     """Each group judged by the threshold, to two places, whose F1 is best over all the others; counts pooled."""
     rows = document_reviews(spark, sf_dir).select("type_id", F.round("confidence", 2).alias("x"), "correct")

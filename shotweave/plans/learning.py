@@ -13,8 +13,10 @@ from .segmentation import CLIMB, CLIP, COLOR, EMB, TRUTH, _predicted, _truth, _v
 
 
 @query(f"""WITH {pairs_sql()}, k AS (SELECT p.*, unnest(range(i - 4, j + 4)) AS cut FROM p WHERE j - i < 8),
-b AS (SELECT video, cut, avg(sim) FILTER (i <= cut AND j > cut) AS cross_mean, avg(sim) FILTER (j <= cut) AS left_coherence, avg(sim) FILTER (i > cut) AS right_coherence FROM k WHERE i >= cut - 3 AND j <= cut + 4 GROUP BY video, cut)
-SELECT c.video, c.cut, round(coalesce(cross_mean, 0), 6) AS cross_mean, round(coalesce(left_coherence, 1), 6) AS left_coherence, round(coalesce(right_coherence, 1), 6) AS right_coherence FROM c LEFT JOIN b ON b.video = c.video AND b.cut = c.cut""")
+b AS (SELECT video, cut, avg(sim) FILTER (i <= cut AND j > cut) AS cross_mean, avg(sim) FILTER (j <= cut) AS left_coherence, avg(sim) FILTER (i > cut) AS right_coherence
+  FROM k WHERE i >= cut - 3 AND j <= cut + 4 GROUP BY video, cut)
+SELECT c.video, c.cut, round(coalesce(cross_mean, 0), 6) AS cross_mean, round(coalesce(left_coherence, 1), 6) AS left_coherence, round(coalesce(right_coherence, 1), 6) AS right_coherence
+  FROM c LEFT JOIN b ON b.video = c.video AND b.cut = c.cut""")
 def block_means(spark, sf_dir):
     shots = embedding_shots(spark, sf_dir)
     pairs = coherence.pair_similarities(shots, P)
@@ -34,7 +36,8 @@ zw AS (SELECT video, cut, time, score, depth AS depth_climb,
   score - median(score) OVER ({NEAR_CUT} 5 PRECEDING AND 5 FOLLOWING) AS score_rel FROM z),
 w2 AS {_other_width_sql(2, 1)},
 w10 AS {_other_width_sql(10, P.coherence_topk)},
-aj AS (SELECT a.video, a.shot AS cut, greatest(0, least(1, ({CLIP} + 1) / 2)) AS adj_clip, {COLOR} AS adj_color FROM s a JOIN s b ON a.video = b.video AND b.shot = a.shot + 1),
+aj AS (SELECT a.video, a.shot AS cut, greatest(0, least(1, ({CLIP} + 1) / 2)) AS adj_clip, {COLOR} AS adj_color FROM s a
+  JOIN s b ON a.video = b.video AND b.shot = a.shot + 1),
 k AS (SELECT p.*, unnest(range(i - 4, j + 4)) AS cut FROM p WHERE j - i < 8),
 bl AS (SELECT video, cut, avg(sim) FILTER (i <= cut AND j > cut) AS cross_mean, avg(sim) FILTER (j <= cut) AS left_coherence, avg(sim) FILTER (i > cut) AS right_coherence
   FROM k WHERE i >= cut - 3 AND j <= cut + 4 GROUP BY video, cut),
@@ -72,7 +75,8 @@ PROB = pairs_sql() + CLIMB + ", mp AS (SELECT video, cut, time, 1 / (1 + exp(-(1
 
 
 @query(f"""WITH RECURSIVE {PROB}{fold_sql('mp', 'p', 'p >= 0.5', 10.0)}
-SELECT mp.video, cut, CASE WHEN list_contains(coalesce(chosen, []), time) THEN 'boundary' WHEN p >= 0.5 THEN 'min_duration' ELSE 'below_abs' END AS decision FROM mp LEFT JOIN h USING (video)""")
+SELECT mp.video, cut, CASE WHEN list_contains(coalesce(chosen, []), time) THEN 'boundary' WHEN p >= 0.5 THEN 'min_duration' ELSE 'below_abs' END AS decision
+  FROM mp LEFT JOIN h USING (video)""")
 def model_boundaries(spark, sf_dir):
     """Boundaries by a model's probability instead of the rule."""
     shots = embedding_shots(spark, sf_dir)
@@ -115,7 +119,8 @@ mp AS (SELECT video, cut, time, decision = 'boundary' AS is_rule, 1 / (1 + exp(-
 kp AS (SELECT video, time, greatest(p, 1e-6) AS strength FROM mp WHERE (is_rule AND p >= 0.45) OR p >= 0.6),
 ho AS (SELECT video, time, row_number() OVER (PARTITION BY video ORDER BY strength DESC, time) AS k FROM kp),
 hg AS (SELECT video, 0 AS k, [0.0::DOUBLE, duration] AS taken FROM d
-  UNION ALL SELECT hg.video, ho.k, CASE WHEN list_min(list_transform(hg.taken, lambda x: abs(x - ho.time))) >= {P.min_scene_seconds} THEN list_append(hg.taken, ho.time) ELSE hg.taken END
+  UNION ALL
+  SELECT hg.video, ho.k, CASE WHEN list_min(list_transform(hg.taken, lambda x: abs(x - ho.time))) >= {P.min_scene_seconds} THEN list_append(hg.taken, ho.time) ELSE hg.taken END
   FROM hg JOIN ho ON ho.video = hg.video AND ho.k = hg.k + 1),
 hh AS (SELECT video, unnest(arg_max(taken, k)[3:]) AS time FROM hg GROUP BY video)
 SELECT video, time FROM hh""")
@@ -198,13 +203,15 @@ def tuning_grid(spark, sf_dir):
 
 @query(_grid_sql() + """, tl AS (SELECT setting, sum(f1) AS total, count(*) AS n FROM ft GROUP BY setting),
 rs AS (SELECT video, setting, f1, round((total - f1) / (n - 1), 12) AS rest FROM ft JOIN tl USING (setting) WHERE n >= 3)
-SELECT video, CAST(setting AS BIGINT) AS setting, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY rest DESC, setting) AS k FROM rs) WHERE k = 1""")
+SELECT video, CAST(setting AS BIGINT) AS setting, round(f1, 6) AS f1
+  FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY rest DESC, setting) AS k FROM rs) WHERE k = 1""")
 def tuning_leave_one_out(spark, sf_dir):
     """For each video the setting that is best on the others, judged on it."""
     return tune.leave_one_out(_figures(spark, sf_dir)).withColumn("f1", F.round("f1", 6))
 
 
-@query("""WITH p AS (SELECT unnest(range(0, 40)) AS setting), v AS (SELECT setting, round(avg(CASE WHEN value > setting * 3 THEN 1.0::DOUBLE ELSE 0 END) * (1 - setting / 40.0::DOUBLE), 9) AS value FROM p, events GROUP BY setting)
+@query("""WITH p AS (SELECT unnest(range(0, 40)) AS setting), v AS (SELECT setting, round(avg(CASE WHEN value > setting * 3 THEN 1.0::DOUBLE ELSE 0 END) * (1 - setting / 40.0::DOUBLE), 9) AS value
+  FROM p, events GROUP BY setting)
 SELECT setting, round(value, 6) AS value FROM (SELECT *, row_number() OVER (ORDER BY value DESC, setting) AS k FROM v) WHERE k = 1""")
 def grid_argmax(spark, sf_dir):
     """The first best of a grid of thresholds, all judged in one pass over the data."""

@@ -31,16 +31,19 @@ def pairs_sql(w: int = P.window_shots, k: int | None = None) -> str:
     return EMB + f""",
 p AS (SELECT a.video, a.shot AS i, b.shot AS j, {P.clip_weight} * greatest(0, least(1, ({CLIP} + 1) / 2)) + {P.color_weight} * {COLOR} AS sim, b.start - a."end" AS gap
   FROM s a JOIN s b ON a.video = b.video AND b.shot > a.shot AND b.shot - a.shot <= {2 * w - 1}),
-l AS (SELECT video, unnest(range(greatest(i, j - {w}), least(j - 1, i + {w - 1}) + 1)) AS cut, i, j, sim - {P.distance_penalty} * (j - i - 1) AS value FROM p WHERE gap <= {P.window_seconds} OR j - i = 1),
+l AS (SELECT video, unnest(range(greatest(i, j - {w}), least(j - 1, i + {w - 1}) + 1)) AS cut, i, j, sim - {P.distance_penalty} * (j - i - 1) AS value
+  FROM p WHERE gap <= {P.window_seconds} OR j - i = 1),
 t AS (SELECT *, row_number() OVER (PARTITION BY video, cut ORDER BY value DESC, i DESC, j DESC) AS rank FROM l),
 c AS (SELECT t.video, cut, (cut + 1) * 4.0::DOUBLE AS time, avg(value) AS coherence, 1 - avg(value) AS score, arg_max(i, -rank) AS best_i, arg_max(j, -rank) AS best_j
   FROM t JOIN d USING (video) WHERE rank <= greatest(1, least({k}, cut + 1, n - 1 - cut, {w})) GROUP BY t.video, cut)"""
 
 
 CLIMB = """,
-x AS (SELECT *, coalesce(CAST(lag(score) OVER q > score AS INTEGER), 0) AS falls, coalesce(CAST(lead(score) OVER q > score AS INTEGER), 0) AS rises FROM c WINDOW q AS (PARTITION BY video ORDER BY cut)),
+x AS (SELECT *, coalesce(CAST(lag(score) OVER q > score AS INTEGER), 0) AS falls, coalesce(CAST(lead(score) OVER q > score AS INTEGER), 0) AS rises
+  FROM c WINDOW q AS (PARTITION BY video ORDER BY cut)),
 y AS (SELECT *, sum(falls) OVER (PARTITION BY video ORDER BY cut) AS up, sum(rises) OVER (PARTITION BY video ORDER BY cut DESC) AS down FROM x),
-z AS (SELECT video, cut, time, score, coherence, (score - first_value(score) OVER (PARTITION BY video, up ORDER BY cut)) + (score - first_value(score) OVER (PARTITION BY video, down ORDER BY cut DESC)) AS depth FROM y)"""
+z AS (SELECT video, cut, time, score, coherence, (score - first_value(score) OVER (PARTITION BY video, up ORDER BY cut)) + (score - first_value(score) OVER (PARTITION BY video, down ORDER BY cut DESC)) AS depth
+  FROM y)"""
 FIRST = f"""CASE WHEN score < {P.abs_threshold} THEN 'below_abs' WHEN score >= {P.strong_threshold} THEN '' WHEN depth < {P.depth_threshold} THEN 'below_depth' ELSE '' END"""
 
 
@@ -48,20 +51,26 @@ def fold_sql(source: str, strength: str, where: str, least: float) -> str:
     return f""",
 o AS (SELECT video, time, duration, row_number() OVER (PARTITION BY video ORDER BY {strength} DESC, time) AS k FROM {source} JOIN d USING (video) WHERE {where}),
 g AS (SELECT video, 0 AS k, [0.0::DOUBLE, duration] AS taken FROM d
-  UNION ALL SELECT g.video, o.k, CASE WHEN list_min(list_transform(g.taken, lambda x: abs(x - o.time))) >= {least} THEN list_append(g.taken, o.time) ELSE g.taken END FROM g JOIN o ON o.video = g.video AND o.k = g.k + 1),
+  UNION ALL
+  SELECT g.video, o.k, CASE WHEN list_min(list_transform(g.taken, lambda x: abs(x - o.time))) >= {least} THEN list_append(g.taken, o.time) ELSE g.taken END
+  FROM g JOIN o ON o.video = g.video AND o.k = g.k + 1),
 h AS (SELECT video, arg_max(taken, k)[3:] AS chosen FROM g GROUP BY video)"""
 
 
 def decisions_sql(w: int = P.window_shots) -> str:
     return pairs_sql(w) + CLIMB + f", u AS (SELECT *, {FIRST} AS decision FROM z)" + fold_sql("u", "score", "decision = ''", P.min_scene_seconds) + """,
-b AS (SELECT u.video, cut, time, score, depth, CASE WHEN decision <> '' THEN decision WHEN list_contains(chosen, time) THEN 'boundary' ELSE 'min_duration' END AS decision FROM u JOIN h USING (video))"""
+b AS (SELECT u.video, cut, time, score, depth, CASE WHEN decision <> '' THEN decision WHEN list_contains(chosen, time) THEN 'boundary' ELSE 'min_duration' END AS decision
+  FROM u JOIN h USING (video))"""
 
 
 SCENES = """,
 bb AS (SELECT video, time AS t FROM {boundaries} UNION SELECT video, 0.0 FROM d),
-sc AS (SELECT bb.video, row_number() OVER (PARTITION BY bb.video ORDER BY t) AS scene_id, t AS begin, coalesce(lead(t) OVER (PARTITION BY bb.video ORDER BY t), duration) AS finish FROM bb JOIN d USING (video)),
-hs AS (SELECT sc.video, scene_id, min(shot) AS shot_start, max(shot) AS shot_end, count(shot) AS shot_count FROM sc LEFT JOIN s ON s.video = sc.video AND s.start >= begin - 1e-3 AND s.start < finish - 1e-3 GROUP BY sc.video, scene_id),
-sn AS (SELECT video, scene_id, round(begin, 3) AS start_seconds, round(finish, 3) AS end_seconds, round(finish - begin, 3) AS duration_seconds, shot_start, shot_end, shot_count, (shot_start + shot_end) // 2 AS mid_shot FROM sc JOIN hs USING (video, scene_id))"""
+sc AS (SELECT bb.video, row_number() OVER (PARTITION BY bb.video ORDER BY t) AS scene_id, t AS begin, coalesce(lead(t) OVER (PARTITION BY bb.video ORDER BY t), duration) AS finish
+  FROM bb JOIN d USING (video)),
+hs AS (SELECT sc.video, scene_id, min(shot) AS shot_start, max(shot) AS shot_end, count(shot) AS shot_count FROM sc LEFT
+  JOIN s ON s.video = sc.video AND s.start >= begin - 1e-3 AND s.start < finish - 1e-3 GROUP BY sc.video, scene_id),
+sn AS (SELECT video, scene_id, round(begin, 3) AS start_seconds, round(finish, 3) AS end_seconds, round(finish - begin, 3) AS duration_seconds, shot_start, shot_end, shot_count, (shot_start + shot_end) // 2 AS mid_shot
+  FROM sc JOIN hs USING (video, scene_id))"""
 
 
 def scenes_sql(w: int = P.window_shots) -> str:
@@ -107,7 +116,9 @@ def hamming_agreement(spark, sf_dir):
     return pairs.select("video", "i", "j", vec.bit_agreement("a_phash", "b_phash").alias("agreement"))
 
 
-@query("""WITH m AS (SELECT CAST(label AS BIGINT) AS label, i, avg(x / sqrt(list_inner_product(v, v))) AS x FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS v, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i),
+@query("""WITH m AS (SELECT CAST(label AS BIGINT) AS label, i, avg(x / sqrt(list_inner_product(v, v))) AS x
+  FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS v, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, len(embedding))) AS i
+  FROM embeddings) GROUP BY label, i),
 n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT label, i, round(x / norm, 6) AS x FROM m JOIN n USING (label)""")
 def mean_vectors(spark, sf_dir):
     """The re-normalised mean of each label's normalised vectors, an element a row."""
@@ -118,7 +129,8 @@ def mean_vectors(spark, sf_dir):
 TRIPLES = EMB + """,
 w AS (SELECT video, shot // 3 AS shot, list(clip ORDER BY shot) AS frames FROM s GROUP BY video, shot // 3),
 m AS (SELECT a.video, a.shot AS i, b.shot AS j, list_transform(a.frames, lambda x: list_transform(b.frames, lambda y: list_inner_product(x, y))) AS m,
-  list_transform(b.frames, lambda y: list_transform(a.frames, lambda x: list_inner_product(x, y))) AS t FROM w a JOIN w b ON a.video = b.video AND b.shot > a.shot AND b.shot - a.shot <= 2)"""
+  list_transform(b.frames, lambda y: list_transform(a.frames, lambda x: list_inner_product(x, y))) AS t FROM w a
+  JOIN w b ON a.video = b.video AND b.shot > a.shot AND b.shot - a.shot <= 2)"""
 
 
 def _triples(spark, sf_dir) -> DataFrame:
@@ -128,13 +140,16 @@ def _triples(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {TRIPLES}, x AS (SELECT video, i, j, m, list_transform(m, lambda r: list_max(r)) AS r, list_transform(t, lambda r: list_max(r)) AS c FROM m)
-SELECT video, i, j, round(list_max(flatten(m)), 6) AS best, round((list_avg(r) + list_avg(c)) / 2, 6) AS matched, round(least(list_min(r), list_min(c)), 6) AS worst FROM x""")
+SELECT video, i, j, round(list_max(flatten(m)), 6) AS best, round((list_avg(r) + list_avg(c)) / 2, 6) AS matched, round(least(list_min(r), list_min(c)), 6) AS worst
+  FROM x""")
 def frame_pair_measures(spark, sf_dir):
     pairs = coherence.band_pairs(_triples(spark, sf_dir), 2, ["frames"]).withColumn("m", vec.frame_similarities("a_frames", "b_frames"))
     return pairs.select("video", "i", "j", F.round(vec.best_frame(F.col("m")), 6).alias("best"), F.round(vec.matched(F.col("m")), 6).alias("matched"), F.round(vec.worst_matched(F.col("m")), 6).alias("worst"))
 
 
-@query(f"""WITH {TRIPLES} SELECT video, shot, round(list_min(flatten(list_transform(frames, lambda x: list_transform(frames, lambda y: list_inner_product(x, y))))), 6) AS stability, round(1 - abs(shot / 20.0 - 0.45) / 0.55, 6) AS exposure FROM w""")
+@query(f"""WITH {TRIPLES}
+  SELECT video, shot, round(list_min(flatten(list_transform(frames, lambda x: list_transform(frames, lambda y: list_inner_product(x, y))))), 6) AS stability, round(1 - abs(shot / 20.0 - 0.45) / 0.55, 6) AS exposure
+  FROM w""")
 def stability_centrality_exposure(spark, sf_dir):
     return _triples(spark, sf_dir).select("video", "shot", F.round(vec.stability("frames"), 6).alias("stability"), F.round(1 - F.abs(F.col("shot") / 20.0 - 0.45) / 0.55, 6).alias("exposure"))
 
@@ -144,7 +159,9 @@ def coherence_topk(spark, sf_dir):
     return _rounded(_scores(spark, sf_dir), "coherence", "score")
 
 
-@query(f"""WITH {pairs_sql()} SELECT video, cut, round(greatest(0, coalesce(score - min(score) OVER (q ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0)) + greatest(0, coalesce(score - min(score) OVER (q ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0)), 6) AS depth FROM c WINDOW q AS (PARTITION BY video ORDER BY cut)""")
+@query(f"""WITH {pairs_sql()}
+  SELECT video, cut, round(greatest(0, coalesce(score - min(score) OVER (q ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0)) + greatest(0, coalesce(score - min(score) OVER (q ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0)), 6) AS depth
+  FROM c WINDOW q AS (PARTITION BY video ORDER BY cut)""")
 def depth_window(spark, sf_dir):
     return _rounded(coherence.depth_window(_scores(spark, sf_dir), P.window_shots // 2).select("video", "cut", "depth"), "depth")
 
@@ -187,7 +204,9 @@ def mid_shot(spark, sf_dir):
     return rows.select("video", "scene_id", "mid_shot").join(scenes.clip_plan(rows).select("video", "scene_id", "file"), ["video", "scene_id"])
 
 
-@query(f"""WITH {pairs_sql()} SELECT video, cut, round(score - median(score) OVER (PARTITION BY video ORDER BY cut ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS score_rel FROM c""")
+@query(f"""WITH {pairs_sql()}
+  SELECT video, cut, round(score - median(score) OVER (PARTITION BY video ORDER BY cut ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS score_rel
+  FROM c""")
 def local_median_score(spark, sf_dir):
     w = Window.partitionBy("video").orderBy("cut").rowsBetween(-5, 5)
     return _scores(spark, sf_dir).select("video", "cut", F.round(F.col("score") - F.percentile("score", 0.5).over(w), 6).alias("score_rel"))
@@ -196,11 +215,13 @@ def local_median_score(spark, sf_dir):
 # --- repeated shots --------------------------------------------------------------------------------
 IN_SCENE = EMB + f""",
 i AS (SELECT *, shot // {SCENE_SHOTS} AS scene FROM s),
-pp AS (SELECT a.video, a.scene, a.shot AS i, b.shot AS j, {CLIP} AS clip, {COLOR} AS color, {HASH} AS phash FROM i a JOIN i b ON a.video = b.video AND a.scene = b.scene AND a.shot < b.shot),
+pp AS (SELECT a.video, a.scene, a.shot AS i, b.shot AS j, {CLIP} AS clip, {COLOR} AS color, {HASH} AS phash FROM i a
+  JOIN i b ON a.video = b.video AND a.scene = b.scene AND a.shot < b.shot),
 pr AS (SELECT *, 1 / (1 + exp(-({U.w_clip} * clip + {U.w_color} * color + {U.w_phash} * phash + {U.bias}))) AS prob FROM pp)"""
 SINGLE = IN_SCENE + f""",
 ed AS (SELECT video, scene, i AS a, j AS b FROM pr WHERE prob >= {U.duplicate_threshold} UNION SELECT video, scene, j, i FROM pr WHERE prob >= {U.duplicate_threshold}),
-rc AS (SELECT video, scene, shot, shot AS root FROM i UNION SELECT rc.video, rc.scene, ed.b, rc.root FROM rc JOIN ed ON ed.video = rc.video AND ed.scene = rc.scene AND ed.a = rc.shot),
+rc AS (SELECT video, scene, shot, shot AS root FROM i UNION SELECT rc.video, rc.scene, ed.b, rc.root FROM rc
+  JOIN ed ON ed.video = rc.video AND ed.scene = rc.scene AND ed.a = rc.shot),
 rt AS (SELECT video, scene, shot, min(root) AS root FROM rc GROUP BY video, scene, shot),
 gp AS (SELECT video, scene, shot, dense_rank() OVER (PARTITION BY video, scene ORDER BY root) - 1 AS grp FROM rt)"""
 
@@ -242,11 +263,16 @@ def unique_shots_components(spark, sf_dir):
 
 
 RANKED = SINGLE + f""",
-ct AS (SELECT g.video, g.scene, g.shot, avg(prob) AS c FROM gp g JOIN gp o ON o.video = g.video AND o.scene = g.scene AND o.grp = g.grp AND o.shot <> g.shot JOIN pr ON pr.video = g.video AND pr.i = least(g.shot, o.shot) AND pr.j = greatest(g.shot, o.shot) GROUP BY g.video, g.scene, g.shot),
-mb AS (SELECT g.*, coalesce(c, 0) AS centrality, ln(1 + s.label::DOUBLE) AS sharpness, 1 - abs(g.shot / 50.0 - 0.45) / 0.55 AS exposure FROM gp g JOIN s USING (video, shot) LEFT JOIN ct USING (video, scene, shot)),
+ct AS (SELECT g.video, g.scene, g.shot, avg(prob) AS c FROM gp g
+  JOIN gp o ON o.video = g.video AND o.scene = g.scene AND o.grp = g.grp AND o.shot <> g.shot
+  JOIN pr ON pr.video = g.video AND pr.i = least(g.shot, o.shot) AND pr.j = greatest(g.shot, o.shot) GROUP BY g.video, g.scene, g.shot),
+mb AS (SELECT g.*, coalesce(c, 0) AS centrality, ln(1 + s.label::DOUBLE) AS sharpness, 1 - abs(g.shot / 50.0 - 0.45) / 0.55 AS exposure FROM gp g
+  JOIN s USING (video, shot) LEFT JOIN ct USING (video, scene, shot)),
 rk AS (SELECT *, count(*) OVER w AS n, rank() OVER (w ORDER BY centrality) + (count(*) OVER (PARTITION BY video, scene, grp, centrality) - 1) / 2 AS r1,
-  rank() OVER (w ORDER BY sharpness) + (count(*) OVER (PARTITION BY video, scene, grp, sharpness) - 1) / 2 AS r2, rank() OVER (w ORDER BY exposure) + (count(*) OVER (PARTITION BY video, scene, grp, exposure) - 1) / 2 AS r3 FROM mb WINDOW w AS (PARTITION BY video, scene, grp)),
-sr AS (SELECT *, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE {U.rep_w_centrality} * (r1 - 1) / (n - 1) + {U.rep_w_sharpness} * (r2 - 1) / (n - 1) + {U.rep_w_exposure} * (r3 - 1) / (n - 1) + {U.rep_w_duration + U.rep_w_stability} * 0.5 END AS score FROM rk)"""
+  rank() OVER (w ORDER BY sharpness) + (count(*) OVER (PARTITION BY video, scene, grp, sharpness) - 1) / 2 AS r2, rank() OVER (w ORDER BY exposure) + (count(*) OVER (PARTITION BY video, scene, grp, exposure) - 1) / 2 AS r3
+  FROM mb WINDOW w AS (PARTITION BY video, scene, grp)),
+sr AS (SELECT *, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE {U.rep_w_centrality} * (r1 - 1) / (n - 1) + {U.rep_w_sharpness} * (r2 - 1) / (n - 1) + {U.rep_w_exposure} * (r3 - 1) / (n - 1) + {U.rep_w_duration + U.rep_w_stability} * 0.5 END AS score
+  FROM rk)"""
 
 
 @query(f"WITH RECURSIVE {RANKED} SELECT video, scene, grp, shot, round(CASE WHEN n = 1 THEN 1 ELSE (r1 - 1) / (n - 1) END, 6) AS centrality_rank, round(score, 6) AS score FROM sr")
@@ -264,14 +290,16 @@ def representative(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {SINGLE} SELECT pr.video, pr.scene, least(a.grp, b.grp) AS a, greatest(a.grp, b.grp) AS b, round(max(prob), 6) AS best FROM pr
-JOIN gp a ON a.video = pr.video AND a.shot = pr.i JOIN gp b ON b.video = pr.video AND b.shot = pr.j WHERE a.grp <> b.grp GROUP BY ALL HAVING max(prob) >= {U.different_threshold}""")
+JOIN gp a ON a.video = pr.video AND a.shot = pr.i JOIN gp b ON b.video = pr.video AND b.shot = pr.j WHERE a.grp <> b.grp
+  GROUP BY ALL HAVING max(prob) >= {U.different_threshold}""")
 def group_links(spark, sf_dir):
     _, pairs, groups = _single(spark, sf_dir)
     return _rounded(unique.group_links(pairs, groups, SINGLE_U), "best")
 
 
 @query(f"""WITH RECURSIVE {SINGLE}, k AS (SELECT video, scene, grp, count(*) AS n FROM gp GROUP BY ALL)
-SELECT video, scene, CAST(sum(n) AS BIGINT) AS original, count(*) AS unique_shots, CAST(sum(n) AS BIGINT) - count(*) AS repeated, round(1 - count(*) / sum(n), 4) AS reduction FROM k GROUP BY GROUPING SETS ((video), (video, scene))""")
+SELECT video, scene, CAST(sum(n) AS BIGINT) AS original, count(*) AS unique_shots, CAST(sum(n) AS BIGINT) - count(*) AS repeated, round(1 - count(*) / sum(n), 4) AS reduction
+  FROM k GROUP BY GROUPING SETS ((video), (video, scene))""")
 def unique_summary_rollup(spark, sf_dir):
     return unique.summary(_single(spark, sf_dir)[2])
 
@@ -311,15 +339,22 @@ def boundary_match(spark, sf_dir):
 # Boundaries are 4 s apart, so within 3 s only equal ones match.
 PRF = """,
 hit AS (SELECT video, count(*) AS tp FROM bd JOIN tr USING (video, time) GROUP BY video),
-np AS (SELECT d.video, (SELECT count(*) FROM bd WHERE bd.video = d.video) AS n_pred, (SELECT count(*) FROM tr WHERE tr.video = d.video) AS n_true, coalesce((SELECT tp FROM hit WHERE hit.video = d.video), 0) AS tp FROM d),
-pf AS (SELECT video, tol.t AS tolerance, tp, n_pred - tp AS fp, n_true - tp AS fn, CASE WHEN n_pred > 0 THEN tp / n_pred WHEN n_true = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN n_true > 0 THEN tp / n_true ELSE 1.0 END AS r, CASE WHEN tp > 0 THEN 0.0::DOUBLE END AS mean_abs_error FROM np, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) tol(t)),
+np AS (SELECT d.video, (SELECT count(*) FROM bd WHERE bd.video = d.video) AS n_pred, (SELECT count(*) FROM tr
+  WHERE tr.video = d.video) AS n_true, coalesce((SELECT tp FROM hit WHERE hit.video = d.video), 0) AS tp FROM d),
+pf AS (SELECT video, tol.t AS tolerance, tp, n_pred - tp AS fp, n_true - tp AS fn, CASE WHEN n_pred > 0 THEN tp / n_pred WHEN n_true = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN n_true > 0 THEN tp / n_true ELSE 1.0 END AS r, CASE WHEN tp > 0 THEN 0.0::DOUBLE END AS mean_abs_error
+  FROM np, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) tol(t)),
 pf1 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pf)"""
 OVERLAP = """,
-ps AS (SELECT video, t AS pb, coalesce(lead(t) OVER (PARTITION BY video ORDER BY t), duration) AS pf FROM (SELECT video, time AS t FROM bd UNION SELECT video, 0.0 FROM d) JOIN d USING (video)),
-gs AS (SELECT video, t AS begin, coalesce(lead(t) OVER (PARTITION BY video ORDER BY t), duration) AS finish FROM (SELECT video, time AS t FROM tr UNION SELECT video, 0.0 FROM d) JOIN d USING (video)),
-gn AS (SELECT *, finish - begin AS len, coalesce(lag(finish - begin) OVER (PARTITION BY video ORDER BY begin), 0) + coalesce(lead(finish - begin) OVER (PARTITION BY video ORDER BY begin), 0) AS neighbours FROM gs),
-ov AS (SELECT gn.video, begin, len, neighbours, max(least(pf, finish) - greatest(pb, begin)) AS most, sum(pf - pb - (least(pf, finish) - greatest(pb, begin))) AS spill FROM gn JOIN ps ON ps.video = gn.video AND pb < finish AND begin < pf GROUP BY ALL),
-co AS (SELECT video, sum(most) / sum(len) AS coverage, sum(CASE WHEN neighbours > 0 THEN len * least(1, spill / neighbours) ELSE 0 END) / sum(len) AS overflow FROM ov GROUP BY video),
+ps AS (SELECT video, t AS pb, coalesce(lead(t) OVER (PARTITION BY video ORDER BY t), duration) AS pf FROM (SELECT video, time AS t FROM bd UNION
+  SELECT video, 0.0 FROM d) JOIN d USING (video)),
+gs AS (SELECT video, t AS begin, coalesce(lead(t) OVER (PARTITION BY video ORDER BY t), duration) AS finish FROM (SELECT video, time AS t
+  FROM tr UNION SELECT video, 0.0 FROM d) JOIN d USING (video)),
+gn AS (SELECT *, finish - begin AS len, coalesce(lag(finish - begin) OVER (PARTITION BY video ORDER BY begin), 0) + coalesce(lead(finish - begin) OVER (PARTITION BY video ORDER BY begin), 0) AS neighbours
+  FROM gs),
+ov AS (SELECT gn.video, begin, len, neighbours, max(least(pf, finish) - greatest(pb, begin)) AS most, sum(pf - pb - (least(pf, finish) - greatest(pb, begin))) AS spill
+  FROM gn JOIN ps ON ps.video = gn.video AND pb < finish AND begin < pf GROUP BY ALL),
+co AS (SELECT video, sum(most) / sum(len) AS coverage, sum(CASE WHEN neighbours > 0 THEN len * least(1, spill / neighbours) ELSE 0 END) / sum(len) AS overflow
+  FROM ov GROUP BY video),
 cf AS (SELECT *, CASE WHEN coverage + 1 - overflow > 0 THEN 2 * coverage * (1 - overflow) / (coverage + 1 - overflow) ELSE 0 END AS f_co FROM co)"""
 
 
@@ -336,7 +371,8 @@ def coverage_overflow(spark, sf_dir):
 RECORD = "round(coverage, 6) AS coverage, round(overflow, 6) AS overflow, round(f_co, 6) AS f_co"
 
 
-@query(f"""WITH RECURSIVE {decisions_sql()}{TRUTH}{PRF}{OVERLAP} SELECT video, tolerance, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, mean_abs_error,
+@query(f"""WITH RECURSIVE {decisions_sql()}{TRUTH}{PRF}{OVERLAP}
+  SELECT video, tolerance, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, mean_abs_error,
 {RECORD}, tp + fp + 1 AS n_pred_scenes, tp + fn + 1 AS n_true_scenes, round((tp + fp + 1) / (tp + fn + 1), 6) AS count_ratio FROM pf1 JOIN cf USING (video)""")
 def full_metric_record(spark, sf_dir):
     rows = metrics.records(_predicted(spark, sf_dir), _truth(spark, sf_dir), _videos(spark, sf_dir))
@@ -401,9 +437,11 @@ def point_lookup(spark, sf_dir):
     return rows.select("video", F.floor(F.col("shot") / 7).alias("scene"), "shot", "start")
 
 
-@query(f"""WITH {EMB}, k AS (SELECT a.video, a.shot AS i, b.shot AS j, {CLIP} AS clip FROM s a JOIN s b ON a.video = b.video AND b.shot > a.shot AND b.shot - a.shot <= 40 AND a.shot // 10 = b.shot // 10),
+@query(f"""WITH {EMB}, k AS (SELECT a.video, a.shot AS i, b.shot AS j, {CLIP} AS clip FROM s a
+  JOIN s b ON a.video = b.video AND b.shot > a.shot AND b.shot - a.shot <= 40 AND a.shot // 10 = b.shot // 10),
 b AS (SELECT *, least(7, greatest(0, CAST(floor((clip + 0.4) * 10) AS BIGINT))) AS bin FROM k),
-t AS (SELECT *, row_number() OVER (PARTITION BY bin, video ORDER BY i, j) AS turn FROM b) SELECT bin, video, i, j FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY turn, video) AS place FROM t) WHERE place <= 24""")
+t AS (SELECT *, row_number() OVER (PARTITION BY bin, video ORDER BY i, j) AS turn FROM b) SELECT bin, video, i, j
+  FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY turn, video) AS place FROM t) WHERE place <= 24""")
 def sampled_pairs(spark, sf_dir):
     """Pairs of one scene for labelling: from each bin of similarity 24, taken in turn from the videos."""
     from ..operators.diagnose import round_robin
@@ -414,13 +452,18 @@ def sampled_pairs(spark, sf_dir):
     return round_robin(binned, "bin", "video", ["i", "j"], 24).select("bin", "video", "i", "j")
 
 
-@query(f"""WITH {IN_SCENE}, lb AS (SELECT pr.*, a.label = b.label AS same FROM pr JOIN i a ON a.video = pr.video AND a.shot = pr.i JOIN i b ON b.video = pr.video AND b.shot = pr.j),
-ms AS (SELECT 'clip' AS measure, round(clip, 9) AS value, same FROM lb UNION ALL SELECT 'color', round(color, 9), same FROM lb UNION ALL SELECT 'phash', round(phash, 9), same FROM lb UNION ALL SELECT 'prob', round(prob, 9), same FROM lb),
+@query(f"""WITH {IN_SCENE}, lb AS (SELECT pr.*, a.label = b.label AS same FROM pr JOIN i a ON a.video = pr.video AND a.shot = pr.i
+  JOIN i b ON b.video = pr.video AND b.shot = pr.j),
+ms AS (SELECT 'clip' AS measure, round(clip, 9) AS value, same FROM lb UNION ALL SELECT 'color', round(color, 9), same FROM lb
+  UNION ALL SELECT 'phash', round(phash, 9), same FROM lb UNION ALL SELECT 'prob', round(prob, 9), same FROM lb),
 rk AS (SELECT *, rank() OVER (PARTITION BY measure ORDER BY value) + (count(*) OVER (PARTITION BY measure, value) - 1) / 2 AS r FROM ms),
-au AS (SELECT measure, count(*) AS n, (sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2) / (count(*) FILTER (same) * count(*) FILTER (NOT same)) AS auc FROM rk GROUP BY measure),
+au AS (SELECT measure, count(*) AS n, (sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2) / (count(*) FILTER (same) * count(*) FILTER (NOT same)) AS auc
+  FROM rk GROUP BY measure),
 vl AS (SELECT measure, value, count(*) AS c, count(*) FILTER (same) AS p FROM ms GROUP BY measure, value),
-cm AS (SELECT *, sum(p) OVER (PARTITION BY measure ORDER BY value DESC) AS tp, sum(c) OVER (PARTITION BY measure ORDER BY value DESC) AS said, sum(p) OVER (PARTITION BY measure) AS ap FROM vl)
-SELECT measure, n, round(auc, 6) AS auc, round(sum(p * tp / said) / max(ap), 6) AS ap, round(max(2 * tp / (said + ap)) FILTER (value > low), 6) AS f1 FROM au JOIN cm USING (measure) JOIN (SELECT measure, min(value) AS low FROM vl GROUP BY measure) USING (measure) GROUP BY measure, n, auc""")
+cm AS (SELECT *, sum(p) OVER (PARTITION BY measure ORDER BY value DESC) AS tp, sum(c) OVER (PARTITION BY measure ORDER BY value DESC) AS said, sum(p) OVER (PARTITION BY measure) AS ap
+  FROM vl)
+SELECT measure, n, round(auc, 6) AS auc, round(sum(p * tp / said) / max(ap), 6) AS ap, round(max(2 * tp / (said + ap)) FILTER (value > low), 6) AS f1
+  FROM au JOIN cm USING (measure) JOIN (SELECT measure, min(value) AS low FROM vl GROUP BY measure) USING (measure) GROUP BY measure, n, auc""")
 def similarity_study(spark, sf_dir):
     """How well each similarity tells shots of one label from others."""
     from ..operators.diagnose import measure_study

@@ -21,7 +21,8 @@ def _finished(spark, stream, schema: str):
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
-@query("""WITH o AS (SELECT user_id AS video, ts, value AS prob, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+@query("""WITH o AS (SELECT user_id AS video, ts, value AS prob, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
+  FROM events),
 k AS (SELECT *, sum(opens) OVER (PARTITION BY video ORDER BY ts) AS session FROM o)
 SELECT video, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, max(prob) AS peak FROM k GROUP BY video, session""")
 def batch_sessions(spark, sf_dir):

@@ -27,8 +27,10 @@ g AS (SELECT video, n_frames, 0 AS k, 0 AS last, 0 AS kept FROM (SELECT DISTINCT
 m AS (SELECT video, last AS cut FROM g WHERE kept = 1 AND n_frames - last >= {LEAST})"""
 SHOTS = KEPT + """,
 e AS (SELECT video, cut AS b FROM m UNION SELECT video, 0 FROM n),
-h AS (SELECT e.video, row_number() OVER (PARTITION BY e.video ORDER BY b) - 1 AS shot, b AS start_frame, coalesce(lead(b) OVER (PARTITION BY e.video ORDER BY b), n_frames) AS end_frame, fps, duration, n_frames FROM e JOIN n USING (video)),
-s AS (SELECT video, shot, start_frame, end_frame, round(start_frame / fps, 3) AS start, round(CASE WHEN end_frame = n_frames THEN duration ELSE end_frame / fps END, 3) AS "end" FROM h)"""
+h AS (SELECT e.video, row_number() OVER (PARTITION BY e.video ORDER BY b) - 1 AS shot, b AS start_frame, coalesce(lead(b) OVER (PARTITION BY e.video ORDER BY b), n_frames) AS end_frame, fps, duration, n_frames
+  FROM e JOIN n USING (video)),
+s AS (SELECT video, shot, start_frame, end_frame, round(start_frame / fps, 3) AS start, round(CASE WHEN end_frame = n_frames THEN duration ELSE end_frame / fps END, 3) AS "end"
+  FROM h)"""
 
 
 def _cuts(spark, sf_dir):
@@ -63,7 +65,8 @@ def shots_from_cuts(spark, sf_dir):
     return _shots(spark, sf_dir)
 
 
-@query(f"""WITH RECURSIVE {SHOTS} SELECT video, shot, p.pos, CAST(least(start_frame + floor(p.p * greatest(1, end_frame - start_frame)), end_frame - 1) AS BIGINT) AS frame
+@query(f"""WITH RECURSIVE {SHOTS}
+  SELECT video, shot, p.pos, CAST(least(start_frame + floor(p.p * greatest(1, end_frame - start_frame)), end_frame - 1) AS BIGINT) AS frame
 FROM s, (VALUES (0, 0.15::DOUBLE), (1, 0.5::DOUBLE), (2, 0.85::DOUBLE)) AS p(pos, p)""")
 def sample_frames(spark, sf_dir):
     return timeline.sampled_frames(_shots(spark, sf_dir), Shots().frame_positions)
@@ -112,7 +115,8 @@ def snap_split(spark, sf_dir):
     return found.select("video", "frame", F.round(F.coalesce("nearest", "seconds"), 3).alias("at"))
 
 
-@query(f"""WITH {FRAMES} SELECT a.video, a.frame, count(b.frame) AS pace FROM f a JOIN f b ON a.video = b.video AND b.seconds > a.seconds - 60000 AND b.seconds < a.seconds + 60000 GROUP BY a.video, a.frame""")
+@query(f"""WITH {FRAMES} SELECT a.video, a.frame, count(b.frame) AS pace FROM f a
+  JOIN f b ON a.video = b.video AND b.seconds > a.seconds - 60000 AND b.seconds < a.seconds + 60000 GROUP BY a.video, a.frame""")
 def pace_15s(spark, sf_dir):
     """Events strictly within a time on both sides: a range frame without its exact ends."""
     micros = F.round(F.col("seconds") * 1e6).cast("long")
@@ -130,8 +134,10 @@ def transition_window(spark, sf_dir):
     return around.join(_cuts(spark, sf_dir).select("video", "cut"), ["video", "cut"])
 
 
-@query(f"""WITH {CUTS}, w AS (SELECT c.video, c.cut, max(f.prob) AS peak, count(*) FILTER (f.prob > 50) AS high FROM c JOIN f ON f.video = c.video AND f.frame BETWEEN c.cut - 12 AND c.cut + 11 GROUP BY c.video, c.cut)
-SELECT video, cut, CASE WHEN peak IS NULL THEN 'unknown' WHEN peak < 60 THEN 'none' WHEN peak < 90 THEN 'weak' WHEN high > 2 THEN 'gradual' ELSE 'hard' END AS kind FROM w""")
+@query(f"""WITH {CUTS}, w AS (SELECT c.video, c.cut, max(f.prob) AS peak, count(*) FILTER (f.prob > 50) AS high FROM c
+  JOIN f ON f.video = c.video AND f.frame BETWEEN c.cut - 12 AND c.cut + 11 GROUP BY c.video, c.cut)
+SELECT video, cut, CASE WHEN peak IS NULL THEN 'unknown' WHEN peak < 60 THEN 'none' WHEN peak < 90 THEN 'weak' WHEN high > 2 THEN 'gradual' ELSE 'hard' END AS kind
+  FROM w""")
 def transition_kind(spark, sf_dir):
     w = Window.partitionBy("video").orderBy("frame").rowsBetween(-12, 11)
     around = event_frames(spark, sf_dir).select("video", F.col("frame").alias("cut"), F.max("prob").over(w).alias("peak"), F.count_if(F.col("prob") > 50).over(w).alias("high"))
@@ -153,15 +159,19 @@ def running_boundaries(spark, sf_dir):
     return event_frames(spark, sf_dir).select("video", "frame", F.round(F.sum("prob").over(w), 4).alias("boundary"))
 
 
-@query(f"""WITH RECURSIVE {SHOTS} SELECT video, shot AS cut, round(ln(1 + "end" - start), 6) AS log_dur_prev, round(lead(ln(1 + "end" - start)) OVER (PARTITION BY video ORDER BY shot), 6) AS log_dur_next FROM s""")
+@query(f"""WITH RECURSIVE {SHOTS}
+  SELECT video, shot AS cut, round(ln(1 + "end" - start), 6) AS log_dur_prev, round(lead(ln(1 + "end" - start)) OVER (PARTITION BY video ORDER BY shot), 6) AS log_dur_next
+  FROM s""")
 def duration_logs(spark, sf_dir):
     d = F.log1p(F.col("end") - F.col("start"))
     w = Window.partitionBy("video").orderBy("shot")
     return _shots(spark, sf_dir).select("video", F.col("shot").alias("cut"), F.round(d, 6).alias("log_dur_prev"), F.round(F.lead(d).over(w), 6).alias("log_dur_next"))
 
 
-@query(f"""WITH {FRAMES}, k AS (SELECT video, event_type, count(*) AS c, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY video) AS share FROM f GROUP BY video, event_type)
-SELECT video, CASE WHEN arg_max(share, c * 1000 - length(event_type)) >= 0 AND max(share) >= 0.3 THEN (list(event_type ORDER BY c DESC, event_type))[1] END AS dominant, round(max(share), 6) AS share FROM k GROUP BY video""")
+@query(f"""WITH {FRAMES}, k AS (SELECT video, event_type, count(*) AS c, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY video) AS share FROM f
+  GROUP BY video, event_type)
+SELECT video, CASE WHEN arg_max(share, c * 1000 - length(event_type)) >= 0 AND max(share) >= 0.3 THEN (list(event_type ORDER BY c DESC, event_type))[1] END AS dominant, round(max(share), 6) AS share
+  FROM k GROUP BY video""")
 def dominant_value(spark, sf_dir):
     """The commonest value of each video if its share is large enough; the first in the alphabet on ties."""
     counts = event_frames(spark, sf_dir).groupBy("video", "event_type").agg(F.count(F.lit(1)).alias("c"))
@@ -170,8 +180,10 @@ def dominant_value(spark, sf_dir):
     return best.select("video", F.when(share >= 0.3, F.col("best.event_type")).alias("dominant"), F.round(share, 6).alias("share"))
 
 
-@query(f"""WITH {FRAMES}, b AS (SELECT video, list(DISTINCT CAST(frame AS DOUBLE) ORDER BY CAST(frame AS DOUBLE)) FILTER (prob > {EVENT_THRESHOLD}) AS b, count(*) AS duration, max(frame) FILTER (prob > {EVENT_THRESHOLD}) AS top, min(frame) FILTER (prob > {EVENT_THRESHOLD}) AS low FROM f GROUP BY video)
-SELECT video, CASE WHEN b IS NULL THEN 'empty' WHEN low <= 0 THEN 'not positive' WHEN top >= duration - 1 THEN 'past the end' WHEN len(b) > 12 THEN 'too many' END AS error FROM b""")
+@query(f"""WITH {FRAMES}, b AS (SELECT video, list(DISTINCT CAST(frame AS DOUBLE) ORDER BY CAST(frame AS DOUBLE)) FILTER (prob > {EVENT_THRESHOLD}) AS b, count(*) AS duration, max(frame) FILTER (prob > {EVENT_THRESHOLD}) AS top, min(frame) FILTER (prob > {EVENT_THRESHOLD}) AS low
+  FROM f GROUP BY video)
+SELECT video, CASE WHEN b IS NULL THEN 'empty' WHEN low <= 0 THEN 'not positive' WHEN top >= duration - 1 THEN 'past the end' WHEN len(b) > 12 THEN 'too many' END AS error
+  FROM b""")
 def label_validation(spark, sf_dir):
     """Lists of boundaries by five rules; null where a list keeps them all."""
     from ..operators.labels import label_error
@@ -186,15 +198,18 @@ def union_errors(spark, sf_dir):
     return cuts.unionByName(event_frames(spark, sf_dir).where("event_type = 'error'").select(F.lit("error").alias("kind"), "video", "frame"))
 
 
-@query(f"""WITH {CUTS}, e AS (SELECT video, cut FROM (SELECT video, cut, peak, row_number() OVER (PARTITION BY video ORDER BY peak DESC, cut) AS k FROM c) WHERE k > 1) SELECT * FROM e""")
+@query(f"""WITH {CUTS}, e AS (SELECT video, cut FROM (SELECT video, cut, peak, row_number() OVER (PARTITION BY video ORDER BY peak DESC, cut) AS k FROM c)
+  WHERE k > 1) SELECT * FROM e""")
 def minus_ids(spark, sf_dir):
     """Every cut of a video but its representative, the strongest."""
     rows = _cuts(spark, sf_dir).groupBy("video").agg(F.sort_array(F.collect_list("cut")).alias("all"), F.max_by("cut", F.struct("peak", -F.col("cut"))).alias("best"))
     return rows.select("video", F.explode(F.array_except("all", F.array("best"))).alias("cut"))
 
 
-@query(f"""WITH {CUTS}, e AS (SELECT f.video, f.frame AS "at", min(abs(c.cut - f.frame)) AS off FROM f LEFT JOIN c ON c.video = f.video AND abs(c.cut - f.frame) <= 5 WHERE event_type = 'error' GROUP BY f.video, f.frame)
-SELECT video, "at", CASE WHEN off IS NULL THEN 'no cut' WHEN off = 0 THEN 'on the cut' ELSE 'near a cut' END AS diagnosis, row_number() OVER (PARTITION BY video ORDER BY "at") AS place FROM e""")
+@query(f"""WITH {CUTS}, e AS (SELECT f.video, f.frame AS "at", min(abs(c.cut - f.frame)) AS off FROM f LEFT
+  JOIN c ON c.video = f.video AND abs(c.cut - f.frame) <= 5 WHERE event_type = 'error' GROUP BY f.video, f.frame)
+SELECT video, "at", CASE WHEN off IS NULL THEN 'no cut' WHEN off = 0 THEN 'on the cut' ELSE 'near a cut' END AS diagnosis, row_number() OVER (PARTITION BY video ORDER BY "at") AS place
+  FROM e""")
 def error_diagnosis(spark, sf_dir):
     """What lies around each error, in order of time."""
     from ..operators.diagnose import error_rows
@@ -237,14 +252,16 @@ def error_order(spark, sf_dir):
     return rows.select(F.round("seconds", 6).alias("seconds"), "video", "frame")
 
 
-@query(f"""WITH {FRAMES}, a AS (SELECT *, count(*) OVER (PARTITION BY video) AS n_frames, (sum(prob) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - prob) / 4 AS around FROM f)
+@query(f"""WITH {FRAMES}, a AS (SELECT *, count(*) OVER (PARTITION BY video) AS n_frames, (sum(prob) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - prob) / 4 AS around
+  FROM f)
 SELECT video, frame AS cut, prob AS peak, n_frames FROM a WHERE frame >= 2 AND frame < n_frames - 2 AND prob / around >= 1.8 AND prob >= 15""")
 def adaptive_cuts(spark, sf_dir):
     return timeline.adaptive_cuts(event_frames(spark, sf_dir), 1.8, 15.0)
 
 
 @query(f"""WITH RECURSIVE {SHOTS}, mg AS (SELECT *, least(1.0 / 25, ("end" - start) / 4) AS margin FROM s)
-SELECT video, shot, p.pos, round(least(greatest(start + p.p * ("end" - start), start + margin), "end" - margin), 6) AS seconds FROM mg, (VALUES (0, 0.001::DOUBLE), (1, 0.5::DOUBLE), (2, 0.999::DOUBLE)) AS p(pos, p)""")
+SELECT video, shot, p.pos, round(least(greatest(start + p.p * ("end" - start), start + margin), "end" - margin), 6) AS seconds
+  FROM mg, (VALUES (0, 0.001::DOUBLE), (1, 0.5::DOUBLE), (2, 0.999::DOUBLE)) AS p(pos, p)""")
 def frame_times(spark, sf_dir):
     at = F.posexplode(F.array(F.lit(0.001), F.lit(0.5), F.lit(0.999))).alias("pos", "p")
     rows = _shots(spark, sf_dir).select("video", "shot", "start", "end", at)
