@@ -73,14 +73,20 @@ def best_threshold(rows: DataFrame, score: str, positive: str, by: list[str]) ->
     return _threshold(running(rows, score, positive, by), by)
 
 
+#: Distinct scores that are tried as thresholds for each group.
+MOST_SCORES = 1000
+
+
 def left_out_threshold(rows: DataFrame, score: str, positive: str, group: str) -> DataFrame:
     """For each group the score from which on F1 is best over all other groups, the lowest on ties: group, cut. Scores
-    should be rounded: work grows with groups times distinct scores, not with rows."""
+    must be rounded to at most MOST_SCORES different ones; work grows with groups times these, not with rows."""
     values = materialised(rows.groupBy(group, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p")), "scores")
-    total = values.groupBy(score).agg(F.sum("c").alias("all_c"), F.sum("p").alias("all_p"))
-    # Every group with every score: groups times scores are few beside the rows.
-    every = values.select(group).distinct().join(F.broadcast(total.agg(F.collect_list(F.struct(score, "all_c", "all_p")).alias("scores"))))
-    every = every.select(group, F.inline("scores")).join(values, [group, score], "left").na.fill(0, ["c", "p"])
+    total = values.groupBy(score).agg(F.sum("c").alias("all_c"), F.sum("p").alias("all_p")).limit(MOST_SCORES + 1).collect()
+    if len(total) > MOST_SCORES:
+        raise ValueError(f"more than {MOST_SCORES} different scores")
+    told = F.array(*[F.struct(F.lit(r[0]).alias(score), F.lit(r[1]).alias("all_c"), F.lit(r[2]).alias("all_p")) for r in total])
+    every = values.select(group).distinct().select(group, F.inline(told)) if total else values.select(group, score, F.lit(0).alias("all_c"), F.lit(0).alias("all_p"))
+    every = every.join(values, [group, score], "left").na.fill(0, ["c", "p"])
     rest = every.select(group, score, (F.col("all_c") - F.col("c")).alias("c"), (F.col("all_p") - F.col("p")).alias("p"))
     down = Window.partitionBy(group).orderBy(F.desc(score))
     f1 = F.round(2 * F.sum("p").over(down) / F.nullif(F.sum("c").over(down) + F.sum("p").over(Window.partitionBy(group)), F.lit(0)), 12)
