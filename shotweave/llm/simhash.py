@@ -233,6 +233,16 @@ def _tile(of: Column) -> Column:
     return F.pmod(F.xxhash64("node", "band"), of).cast("int")
 
 
+def _large_classes(rows: DataFrame, key: list[str], tile: int) -> DataFrame:
+    """For each key with nodes outside of its largest class (cls): major (that class), and in how many tiles its nodes and
+    the others come."""
+    sizes = rows.groupBy(*key, "cls").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy(*key).agg(F.max_by("cls", F.struct("c", "cls")).alias("major"), F.max("c").alias("n_major"), F.sum("c").alias("n"))
+    tiles = lambda n: F.ceil(n / tile).cast("int")
+    others = F.col("n") - F.col("n_major")
+    return sizes.where("n > n_major").select(*key, "major", tiles(F.col("n_major")).alias("majors"), tiles(others).alias("minors"))
+
+
 def connected(keyed: DataFrame, radius: int = RADIUS, similarity: float | None = None, tile: int = TILE, exact: float | None = None) -> DataFrame:
     """What fingerprints within the radius connect: node, root (the smallest one reachable) of each node with a link.
     ``keyed``: band int, x long, y long (a key: only nodes that share one are compared), node long, print long, sketch
@@ -243,8 +253,8 @@ def connected(keyed: DataFrame, radius: int = RADIUS, similarity: float | None =
     band, and each tile is linked on its own. By then most nodes of a large class are connected, and what is left to do
     for a large key is to compare the nodes outside of its largest class with each other and with that class: tiles of the
     class meet tiles of the others only. If ``keyed`` has a column finer (array<long>), two nodes of such a key that may be
-    linked share one of these too, and only nodes that do are compared. The work on a key is so many comparisons as it has
-    nodes times nodes outside of its largest class that also share a finer key, whatever its size."""
+    linked share one of these too; where the others are more than a tile, only nodes that do are compared. The work on a
+    key is so many comparisons as it has nodes times nodes outside of its largest class that share a finer key."""
     key = ["band", "x", "y"]
     many = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = stored(many, "keys")
@@ -256,15 +266,19 @@ def connected(keyed: DataFrame, radius: int = RADIUS, similarity: float | None =
     if large.isEmpty():
         return roots
 
-    rows = keyed.join(large.drop("n"), key).withColumn("z", F.explode("finer") if "finer" in keyed.columns else zero).drop("finer")
-    rows = rows.join(roots, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
-    key = [*key, "z"]
+    rows = keyed.join(large.drop("n"), key).join(roots, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
     rows = stored(rows, "large-keys")
-    sizes = rows.groupBy(*key, "cls").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy(*key).agg(F.max_by("cls", F.struct("c", "cls")).alias("major"), F.max("c").alias("n_major"), F.sum("c").alias("n"))
-    sizes = sizes.where("n > n_major").withColumn("majors", F.ceil(F.col("n_major") / tile).cast("int"))
-    sizes = stored(sizes.withColumn("minors", F.ceil((F.col("n") - F.col("n_major")) / tile).cast("int")), "large-classes")
-    rows = rows.join(sizes, key)
+    sizes = stored(_large_classes(rows, key, tile), "large-classes")
+    if "finer" in keyed.columns:
+        # Where the others fit in one tile, they meet the class at the cost of its size; only beyond, keys are made finer.
+        few = sizes.where("minors = 1")
+        plain = rows.drop("finer").withColumn("z", zero).join(few, key)
+        fine = rows.join(sizes.where("minors > 1").select(*key), key).withColumn("z", F.explode("finer")).drop("finer")
+        fine = stored(fine, "finer-keys")
+        finest = stored(_large_classes(fine, [*key, "z"], tile), "finer-classes")
+        rows = plain.unionByName(fine.join(finest, [*key, "z"]))
+    else:
+        rows = rows.withColumn("z", zero).join(sizes, key)
     minor, major = rows.where("cls <> major").withColumn("mine", _tile(F.col("minors"))), rows.where("cls = major").withColumn("mine", _tile(F.col("majors")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     among = minor.withColumn("other", every("minors")).select("*", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
