@@ -30,8 +30,8 @@ def layout(size: int, per_bucket: int = PER_BUCKET, chunk: int = CHUNK) -> tuple
     """(buckets, bytes of a chunk) for ``size`` bytes of text.
 
     A chunk sends a row to each bucket, so rows are chunks times buckets. Where that would leave few windows to a row, chunks
-    and buckets grow alike with the root of the size, and rows in proportion to it; from some 10 TB on, where both are as
-    large as a task can hold, a row has fewer windows, at worst one, and then costs what a plain row of a window costs."""
+    and buckets grow alike with the root of the size, and rows in proportion to it. Beyond about 1 TB both are as large as a
+    task can hold and a row has fewer windows, some six at 100 TB, where its frame of about 80 bytes costs more than they do."""
     short = PER_CELL * (size / WORD) / (per_bucket * max(1.0, chunk / WORD))
     if short > 1:
         per_bucket, chunk = (max(x, min(most, int(x * short**0.5))) for x, most in ((per_bucket, MOST_BUCKET), (chunk, MOST_CHUNK)))
