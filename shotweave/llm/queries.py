@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, exact, fim, fuzzy, licenses, lm, mixing, quality, simhash, substring, tokens
+from . import chat, decontam, exact, fim, fuzzy, licenses, lm, mixing, phrases, quality, simhash, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,9 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_substring_dedup, op7_token_counts, op8_license_scan, op9_lm_scores, op10_chat_format, op11_fingerprints, op12_fill_in_middle)}
-ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op4_decontaminate": decontam.SQL, "op5_mix_sources": mixing.SQL, "op6_substring_dedup": substring.SQL, "op10_chat_format": chat.SQL, "op12_fill_in_middle": fim.SQL}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(phrases.collocations(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_substring_dedup, op7_token_counts, op8_license_scan, op9_lm_scores, op10_chat_format, op11_fingerprints, op12_fill_in_middle, op13_collocations)}
+ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op4_decontaminate": decontam.SQL, "op5_mix_sources": mixing.SQL, "op6_substring_dedup": substring.SQL, "op10_chat_format": chat.SQL, "op12_fill_in_middle": fim.SQL, "op13_collocations": phrases.SQL}
