@@ -11,13 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, stored, text_buffers, text_or_empty
-from .packed import batch_of, small, wide
+from .common import columns, mix, stored, text_buffers, text_or_empty
+from .packed import batch_of, cut_by_bucket, dealt, small, wide
 
 #: Words of the longest phrase, least number of occurrences, percent of them in a longer phrase that make a shorter one redundant, and phrases listed of each language.
 MOST_WORDS, LEAST, COVERED, TOP, FACTOR = 5, 100, 100, 2000, 1000
 #: Words of a shard, about, words that a task holds of all languages, and bytes of a text that are split at a time.
 SHARD, HELD, SLICE = 3_000_000, 6_000_000, 1 << 22
+#: Words of the corpus for each part of the phrases that are counted together.
+PART = 4_000_000
 #: Bits of the number of a shard within its task, and of the place in a shard.
 NUMBER, PLACE = 16, 27
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -150,21 +152,28 @@ def shards(docs: DataFrame, depth: int, most: int = SHARD, held: int = HELD) ->
     return rows.where("text <> ''").mapInArrow(run, "shard long, lang string, size long, words array<string>, counts array<bigint>, forward binary, backward binary")
 
 
-def _frequent(asked: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Sum up over the shards what each has counted (shard, low, n, the ``key`` and others) and keep what occurs often enough, with f (its
-    occurrences), name (the least shard that has it and its place there: the same in all shards, and no other phrase's) and first (whether the row
-    is the one that gave the name)."""
-    everywhere = Window.partitionBy(*key)
+def _frequent_words(all_shards: DataFrame, least: int) -> DataFrame:
+    """Words that occur often enough in all shards of a language together, a row for each shard that has one: shard, low (the word's number there), back, n
+    (occurrences there), f (in all), name (the least shard that has it and its number there: the same in all shards, and no other word's), first
+    (whether the row is the one that gave the name), lang, word."""
+    words = all_shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    number = (F.col("at") + 1).cast("long")
+    words = words.select("shard", "lang", F.col("w.words").alias("word"), number.alias("low"), F.lit(0).cast("long").alias("back"), F.col("w.counts").alias("n"))
+    everywhere = Window.partitionBy("lang", "word")
     place = F.shiftleft("shard", PLACE).bitwiseOR(F.col("low"))
-    told = asked.withColumn("place", place).withColumns({"f": F.sum("n").over(everywhere), "name": F.min("place").over(everywhere)})
+    told = words.withColumn("place", place).withColumns({"f": F.sum("n").over(everywhere), "name": F.min("place").over(everywhere)})
     return told.where(F.col("f") >= least).withColumn("first", F.col("place") == F.col("name")).drop("place")
 
 
-def _longer(index: DataFrame, known: DataFrame, ahead: bool, of_words: bool) -> DataFrame:
+_LONGER = ["one", "two", "low", "back", "n"]
+
+
+def _longer(index: DataFrame, known: DataFrame, ahead: bool, of_words: bool, parts: int) -> DataFrame:
     """Extend the frequent phrases of each shard (``known``: shard, name, low, back, n) by one word, in front if ``ahead``, else behind, and keep
-    what has two frequent ends: shard, one, two (names of the phrase without its last and without its first word), low, back, n.
-    ``index``: shard, bwt. For phrases ``of_words``, which are words, low is the word's number."""
-    schema = pa.schema([(c, pa.int64()) for c in ("shard", "one", "two", "low", "back", "n")])
+    what has two frequent ends: part, shard and, packed in arrays, one, two (names of the phrase without its last and without its first word), low, back, n. A phrase
+    is of the same part in all shards. ``index``: shard, bwt. For phrases ``of_words``, which are words, low is the word's number."""
+    names = ["part", "shard", *_LONGER]
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), *[(c, pa.binary()) for c in _LONGER]])
 
     def extend(index: pa.Table, known: pa.Table) -> pa.Table:
         if not index.num_rows or not known.num_rows:
@@ -177,12 +186,37 @@ def _longer(index: DataFrame, known: DataFrame, ahead: bool, of_words: bool) ->
         phrase, low, back, n = extended(bwt, own)
         other = within(low, n, own.low, own.n)  # the end that has the new word
         on = other >= 0
-        ends = [name[other[on]], name[phrase[on]]][:: 1 if ahead else -1]
-        places = [low[on], back[on]][:: 1 if ahead else -1]
-        return pa.table([pa.array(x.astype(np.int64)) for x in (np.full(on.sum(), shard), *ends, *places, n[on])], schema=schema)
+        one, two = [name[other[on]], name[phrase[on]]][:: 1 if ahead else -1]
+        low, back = [low[on], back[on]][:: 1 if ahead else -1]
+        place, edges = cut_by_bucket((mix(mix(one.astype(np.uint64)) ^ two.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts)
+        columns = [x.astype(np.int64)[place] for x in (one, two, low, back, n[on])]
+        some = np.flatnonzero(np.diff(edges)).tolist()
+        packed = [[small(np.diff(x[edges[k] : edges[k + 1]], prepend=np.int64(0))) for k in some] for x in columns]
+        return pa.table([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], schema=schema)
 
     known = known.select("shard", *Intervals._fields)
-    return index.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(extend, "shard long, one long, two long, low long, back long, n long")
+    grouped = index.groupBy("shard").cogroup(known.groupBy("shard"))
+    return grouped.applyInArrow(extend, "part int, shard long, " + ", ".join(f"{c} binary" for c in names[2:]))
+
+
+def _frequent(packed: DataFrame, least: int) -> DataFrame:
+    """Sum up over the shards what :func:`_longer` has counted and keep what occurs often enough: the columns of :func:`_frequent_words`, with one and two in place of lang and
+    word. A part holds the counts of its phrases only, in arrays."""
+
+    def judge(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        one, two, low, back, n = (np.concatenate([np.cumsum(wide(r[i])) for r in held]) for i in range(1, 6))
+        shard = np.repeat([r[0] for r in held], [int.from_bytes(r[1][1:9], "little") for r in held])
+        order = np.lexsort((one, two))
+        one, two, low, back, n, shard = (x[order] for x in (one, two, low, back, n, shard))
+        starts = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        sizes = np.diff(np.append(starts, len(one)))
+        place = shard << PLACE | low
+        f, name = np.repeat(np.add.reduceat(n, starts), sizes), np.repeat(np.minimum.reduceat(place, starts), sizes)
+        on = f >= least
+        columns = [pa.array(x[on]) for x in (shard, low, back, n, f, name, place == name, one, two)]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "low", "back", "n", "f", "name", "first", "one", "two"])
+
+    return dealt(packed, "part", ["shard", *_LONGER], "shard long, low long, back long, n long, f long, name long, first boolean, one long, two long", judge)
 
 
 def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, shard: int = SHARD) -> DataFrame:
@@ -195,20 +229,20 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
     for the longest). An empty table gives an empty one. Extra columns are not read, nor is doc_id.
 
     Each shard has its index in both directions; a phrase is an interval of it and is extended by a LF step, in front and behind in turns. In each round the shards count the
-    phrases that are one word longer and whose two ends are frequent in all shards together, Spark sums the counts up, and
-    the frequent ones go back to the shards that have them. So what is shipped is a row for each shard and phrase, never
-    one for each occurrence, and phrases are told apart by the names of their ends, not by hashes. A piece may have 134 million words."""
+    phrases that are one word longer and whose two ends are frequent in all shards together, the counts are summed up by parts of the phrases, and
+    the frequent ones go back to the shards that have them. So what is shipped is a count for each shard and phrase, never
+    one for each occurrence, in packed rows; phrases are told apart by the names of their ends, not by hashes. A piece may have 134 million words."""
     all_shards = stored(shards(docs, max(1, most_words - 1), shard, 2 * shard), "shards")
-    words = all_shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    words = words.select("shard", "lang", F.col("w.words").alias("word"), (F.col("at") + 1).cast("long").alias("low"), F.lit(0).cast("long").alias("back"), F.col("w.counts").alias("n"))
-    known = stored(_frequent(words, ["lang", "word"], least), "frequent-1")
+    n_words = all_shards.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-n_words // PART))
+    known = stored(_frequent_words(all_shards, least), "frequent-1")
     none = F.array().cast("array<bigint>")
     grams = known.where("first").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("prefixes"), none.alias("suffixes"))
     found: list[DataFrame] = []
     for size in range(2, most_words + 1):
         ahead = size % 2 == 0
         index = all_shards.select("shard", F.col("forward" if ahead else "backward").alias("bwt"))
-        known = stored(_frequent(_longer(index, known, ahead, size == 2), ["one", "two"], least), f"frequent-{size}")
+        known = stored(_frequent(_longer(index, known, ahead, size == 2, parts), least), f"frequent-{size}")
         named = known.where("first").select("name", "one", "two", "f")
         right = named.groupBy(F.col("one").alias("name")).agg(F.max("f").alias("right"))
         left = named.groupBy(F.col("two").alias("name")).agg(F.max("f").alias("left"))
@@ -259,7 +293,8 @@ SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
     unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
 t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
