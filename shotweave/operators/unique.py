@@ -6,14 +6,17 @@ color, phash long, has_thumb, sharpness, brightness.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..params import Unique
-from ..sources.tables import exact_unions
+from ..sources.tables import exact_unions, materialised
 
 KEYS = ["video", "scene"]
 
@@ -40,46 +43,130 @@ def state(prob: Column, p: Unique) -> Column:
     return F.when(prob >= p.duplicate_threshold, "duplicate").when(prob >= p.different_threshold, "uncertain").otherwise("different")
 
 
+#: Averages of distances are told apart by so many digits.
+DIGITS = 12
+
+
 def linked_clusters(prob: np.ndarray, threshold: float, linkage: str) -> np.ndarray:
     """Labels by first appearance. The two nearest clusters merge while their distance (1 - prob, average, single or
-    complete) is at most 1 - threshold; equal distances in order of place."""
+    complete) is at most 1 - threshold; equal distances in order of place.
+
+    Each cluster knows its nearest later one, so a merge looks at the rows that it changes, not at all of them."""
     n = len(prob)
     dist = 1.0 - prob
     np.fill_diagonal(dist, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    while n > 1:
-        k = int(np.argmin(dist))
-        a, b = sorted(divmod(k, len(dist)))
-        if not dist[a, b] <= 1.0 - threshold + 1e-12:
+    total, size, owner = dist.copy(), np.ones(n), np.arange(n)
+    alive = np.ones(n, bool)
+    nearest, least = np.zeros(n, int), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        if i + 1 < n:
+            nearest[i] = i + 1 + int(np.argmin(dist[i, i + 1 :]))
+            least[i] = dist[i, nearest[i]]
+
+    dist = np.round(dist, DIGITS)
+    for i in range(n):
+        look(i)
+    for _ in range(n - 1):
+        a = int(np.argmin(least))
+        b = int(nearest[a])
+        if not least[a] <= 1.0 - threshold + 1e-12:
             break
+        alive[b], owner[owner == b] = False, a
         if linkage == "average":
-            joined = (dist[a] * size[a] + dist[b] * size[b]) / (size[a] + size[b])
+            total[a] += total[b]
+            total[:, a] = total[a]
+            size[a] += size[b]
+            joined = np.round(total[a] / (size[a] * size), DIGITS)
         else:
             joined = np.minimum(dist[a], dist[b]) if linkage == "single" else np.maximum(dist[a], dist[b])
+        joined[~alive], joined[a] = np.inf, np.inf
         dist[a], dist[:, a] = joined, joined
-        dist[a, a] = np.inf
-        dist[b], dist[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        owner[owner == b] = a
+        dist[b], dist[:, b], least[b] = np.inf, np.inf, np.inf
+        look(a)
+        for i in np.flatnonzero(alive[:b] & ((nearest[:b] == b) | (nearest[:b] == a))):  # what lies nearest to them may have changed
+            if i != a:
+                look(i)
+        closer = np.flatnonzero(alive[:a] & ((dist[:a, a] < least[:a]) | ((dist[:a, a] == least[:a]) & (a < nearest[:a]))))
+        nearest[closer], least[closer] = a, dist[closer, a]
     _, first, label = np.unique(owner, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[label]
 
 
-def clusters(shots: DataFrame, pairs: DataFrame, p: Unique) -> DataFrame:
-    """A group number (from 0, by first appearance) for each shot: video, scene, shot, grp. Merging is sequential, so a
-    scene is one group of rows; scenes hold tens of shots."""
-    exact_unions(pairs.sparkSession)
-    rows = pairs.select(*KEYS, "i", "j", "prob").unionByName(shots.select(*KEYS, F.col("shot").alias("i"), F.col("shot").alias("j"), F.lit(1.0).alias("prob")))
+def _roots(edges: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The first shot that each shot is connected to: video, scene, shot, root of shots with an edge (video, scene, i, j). A scene's edges
+    pass by in batches; what is kept of them is a root for each shot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scene: tuple | None = None
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if scene is not None:
+                shots = sorted(root)
+                arrays = [pa.array([scene[0]] * len(shots), types[0]), pa.array([scene[1]] * len(shots), types[1]), pa.array(shots, types[2]), pa.array([find(s) for s in shots], types[2])]
+                yield pa.RecordBatch.from_arrays(arrays, ["video", "scene", "shot", "root"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(c).type for c in ("video", "scene", "i")]
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            i, j = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            starts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            for a, b in zip(starts, starts[1:]):
+                if keys[a] != scene:
+                    yield from told()
+                    scene, root = keys[a], {}
+                for x, y in zip(i[a:b].tolist(), j[a:b].tolist()):
+                    root.setdefault(x, x), root.setdefault(y, y)
+                    x, y = find(x), find(y)
+                    root[max(x, y)] = min(x, y)
+        if scene is not None:
+            yield from told()
+
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select(*KEYS, "i", "j").repartition(n, *KEYS).sortWithinPartitions(*KEYS)
+    return dealt.mapInArrow(run, f"video {kinds['video']}, scene {kinds['scene']}, shot {kinds['shot']}, root {kinds['shot']}")
+
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(rows.i)
-        prob = np.zeros((len(ids), len(ids)))
-        i, j = np.searchsorted(ids, rows.i), np.searchsorted(ids, rows.j)
-        prob[i, j] = prob[j, i] = rows.prob
-        return pd.DataFrame({"video": key[0], "scene": key[1], "shot": ids, "grp": linked_clusters(prob, p.duplicate_threshold, p.linkage)})
+def clusters(shots: DataFrame, pairs: DataFrame, p: Unique) -> DataFrame:
+    """A group number (from 0, by first appearance) for each shot: video, scene, shot, grp.
 
+    Clusters merge only where some two of their shots reach the threshold, so each lies within a component of such edges; single linkage
+    gives the components. For other linkages, the pairs of each component of three shots or more are one group of rows, which is merged step by step:
+    a scene may have very many shots, and a group has those of one component."""
+    exact_unions(pairs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in shots.schema}
-    return rows.groupBy(*KEYS).applyInPandas(work, f"video {kinds['video']}, scene {kinds['scene']}, shot {kinds['shot']}, grp long")
+    edges = pairs.where(1 - F.col("prob") <= 1 - p.duplicate_threshold + 1e-12)
+    roots = materialised(_roots(edges, kinds), "roots")
+    if p.linkage == "single":
+        grouped = roots.select(*KEYS, "shot", F.col("root").alias("first"))
+    else:
+        sizes = roots.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "root")) > 2)
+        large = sizes.where("many").select(*KEYS, "shot", "root")
+        own = large.select(*KEYS, F.col("shot").alias("i"), "root"), large.select(*KEYS, F.col("shot").alias("j"), F.col("root").alias("other"))
+        within = pairs.select(*KEYS, "i", "j", "prob").join(own[0], [*KEYS, "i"]).join(own[1], [*KEYS, "j"]).where("root = other")
+
+        def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            ids = np.unique(np.concatenate([rows.i, rows.j]))
+            prob = np.zeros((len(ids), len(ids)))
+            i, j = np.searchsorted(ids, rows.i), np.searchsorted(ids, rows.j)
+            prob[i, j] = prob[j, i] = rows.prob
+            label = linked_clusters(prob, p.duplicate_threshold, p.linkage)
+            return pd.DataFrame({"video": key[0], "scene": key[1], "shot": ids, "first": ids[np.unique(label, return_index=True)[1]][label]})
+
+        schema = f"video {kinds['video']}, scene {kinds['scene']}, shot {kinds['shot']}, first {kinds['shot']}"
+        merged = within.groupBy(*KEYS, "root").applyInPandas(work, schema)
+        grouped = merged.unionByName(sizes.where("NOT many").select(*KEYS, "shot", F.col("root").alias("first")))
+    every = shots.select(*KEYS, "shot").join(grouped, [*KEYS, "shot"], "left").withColumn("first", F.coalesce("first", "shot"))
+    return every.select(*KEYS, "shot", (F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("first")) - 1).cast("long").alias("grp"))
 
 
 def rank01(value: str, group: list[str]) -> Column:

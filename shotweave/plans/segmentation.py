@@ -251,10 +251,24 @@ def duplicate_state(spark, sf_dir):
     return pairs.groupBy(unique.state(F.col("prob"), U).alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# The clusters of a scene as a list of lists of places, and one merge a step: the nearest two, the first on ties.
+@query(f"""WITH RECURSIVE {IN_SCENE},
+mx AS (SELECT a.video, a.scene, list(a.shot ORDER BY a.shot) AS ids, list(a.row ORDER BY a.shot) AS m FROM (
+  SELECT a.video, a.scene, a.shot, list(coalesce(1 - prob, 0) ORDER BY b.shot) AS row FROM i a JOIN i b ON a.video = b.video AND a.scene = b.scene
+    LEFT JOIN pr ON pr.video = a.video AND pr.scene = a.scene AND pr.i = least(a.shot, b.shot) AND pr.j = greatest(a.shot, b.shot) GROUP BY a.video, a.scene, a.shot) a
+  GROUP BY a.video, a.scene),
+gr AS (SELECT video, scene, ids, m, list_transform(range(1, len(ids) + 1), lambda k: [k]) AS sets, 0 AS step FROM mx
+  UNION ALL
+  SELECT video, scene, ids, m, list_filter(list_transform(range(1, len(sets) + 1), lambda k: CASE WHEN k = near.a THEN list_concat(sets[k], sets[near.b]) WHEN k = near.b THEN [] ELSE sets[k] END), lambda x: len(x) > 0), step + 1 FROM (
+    SELECT *, list_min(flatten(list_transform(range(1, len(sets) + 1), lambda a: list_transform(range(a + 1, len(sets) + 1), lambda b: struct_pack(
+      d := round(list_avg(flatten(list_transform(sets[a], lambda x: list_transform(sets[b], lambda y: m[x][y])))), 12), a := a, b := b))))) AS near FROM gr WHERE len(sets) > 1)
+  WHERE near.d <= 1 - {U.duplicate_threshold} + 1e-12),
+fs AS (SELECT video, scene, arg_max(ids, step) AS ids, arg_max(sets, step) AS sets FROM gr GROUP BY video, scene),
+fg AS (SELECT video, scene, ids, unnest(sets) AS members, unnest(range(0, len(sets))) AS grp FROM fs)
+SELECT video, scene, ids[unnest(members)] AS shot, grp FROM fg""")
 def unique_shots_average_linkage(spark, sf_dir):
     shots = _scene_shots(spark, sf_dir)
-    return unique.clusters(shots, unique.scene_pairs(shots, U), U)
+    return unique.clusters(shots, materialised(unique.scene_pairs(shots, U), "pairs"), U)
 
 
 @query(f"WITH RECURSIVE {SINGLE} SELECT * FROM gp")
@@ -331,9 +345,27 @@ def _videos(spark, sf_dir) -> DataFrame:
     return scenes.durations(embedding_shots(spark, sf_dir))
 
 
-@query()
+#: True boundaries some way off their shot's start, so that most match at unequal times.
+OFF = 0.37
+MATCHED = (2.0, 4.0, 8.0)
+
+
+# Predictions one by one, each with the best value of the first j truths: pairs count 1e6, less their error.
+@query(f"""WITH RECURSIVE {decisions_sql()}{TRUTH},
+to_ AS (SELECT video, list(time + {OFF} * (CAST(time AS BIGINT) // 4 % 11 - 5) ORDER BY time + {OFF} * (CAST(time AS BIGINT) // 4 % 11 - 5)) AS held FROM tr GROUP BY video),
+po AS (SELECT video, time, row_number() OVER (PARTITION BY video ORDER BY time) AS k FROM bd),
+md AS (SELECT video, tol, 0 AS k, held, list_transform(range(0, len(held) + 1), lambda j: 0.0::DOUBLE) AS best FROM to_, (SELECT unnest([{', '.join(map(str, MATCHED))}]::DOUBLE[]) AS tol)
+  UNION ALL
+  SELECT video, tol, k, held, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+    SELECT md.video, tol, po.k, held, list_prepend(best[1], list_transform(range(1, len(held) + 1), lambda j: greatest(best[j + 1], CASE WHEN abs(po.time - held[j]) <= tol
+      THEN best[j] + 1e6 - abs(po.time - held[j]) ELSE -1 END))) AS c FROM md JOIN po ON po.video = md.video AND po.k = md.k + 1)),
+ml AS (SELECT video, tol AS tolerance, arg_max(best[len(best)], k) AS value FROM md GROUP BY video, tol)
+SELECT video, tolerance, CAST(ceil(value / 1e6) AS BIGINT) AS pairs, round(ceil(value / 1e6) * 1e6 - value, 4) AS error FROM ml WHERE value > 0""")
 def boundary_match(spark, sf_dir):
-    return metrics.matched(_predicted(spark, sf_dir), _truth(spark, sf_dir), (2.0, 4.0, 8.0))
+    """How many boundaries match one to one, and their total error."""
+    off = F.col("time") + OFF * (F.pmod(F.floor(F.col("time") / 4), F.lit(11)) - 5)
+    pairs = metrics.matched(_predicted(spark, sf_dir), _truth(spark, sf_dir).select("video", off.alias("time")), MATCHED)
+    return pairs.groupBy("video", "tolerance").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("error"), 4).alias("error"))
 
 
 # Boundaries are 4 s apart, so within 3 s only equal ones match.
