@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _choice(queue: str, duration: Column, least: float) -> Column:
+def _choice(queue: str, duration: Column, least: float | Column) -> Column:
     """The chosen times of a queue of struct<key, time> in order, each choice depending on those before it."""
     ends = F.array(F.lit(0.0), duration.cast("double"))
     free = lambda taken, t: F.forall(taken, lambda x: F.abs(x - t) >= least)
@@ -14,12 +14,13 @@ def _choice(queue: str, duration: Column, least: float) -> Column:
     return F.slice(taken, 3, F.size(queue) + 1)
 
 
-def chosen_times(candidates: DataFrame, strength: Column, least: float) -> DataFrame:
+def chosen_times(candidates: DataFrame, strength: Column, least: float | str) -> DataFrame:
     """video, chosen array<double> in order of choice. ``candidates``: video, time, duration; equal strengths in order of
-    time. A fold over one video's candidates; filter them first."""
+    time. ``least`` may name a column that a video's candidates share. A fold over one video's candidates; filter them first."""
     entry = F.struct((-strength).alias("key"), F.col("time"))
-    rows = candidates.groupBy("video", "duration").agg(F.array_sort(F.collect_list(entry)).alias("queue"))
-    return rows.select("video", _choice("queue", F.col("duration"), least).alias("chosen"))
+    named = isinstance(least, str)
+    rows = candidates.groupBy("video", "duration", *[least] * named).agg(F.array_sort(F.collect_list(entry)).alias("queue"))
+    return rows.select("video", _choice("queue", F.col("duration"), F.col(least) if named else least).alias("chosen"))
 
 
 def decided(cuts: DataFrame, decision: Column, strength: Column, least: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import coherence, learn, metrics, scenes, tune
+from ..operators import coherence, experiment, learn, scenes, tune
 from ..sources.adapters import EMBEDDING_GROUPING as P
 from ..sources.adapters import SHOT_SECONDS, embedding_shots, event_frames
 from ..sources.tables import materialised
@@ -98,20 +98,20 @@ def examples_from_labels(spark, sf_dir):
 
 
 def _out_of_fold(spark, sf_dir, kind: str):
-    """Each half of the videos, by parity, scored by a model that learned from the other."""
-    return learn.out_of_fold(_examples(spark, sf_dir), kind, F.col("video") % 2, 2).select("video", "cut", "label", "p")
+    """Each video scored by models that learned from all others."""
+    return learn.out_of_fold(_examples(spark, sf_dir), kind, ["video", "cut"], experiment.PENALTIES).drop("fold")
 
 
 @query()
 def logistic_boundary(spark, sf_dir):
-    """Out-of-fold probabilities of a logistic model."""
+    """Out-of-fold probabilities of logistic models, of every penalty."""
     return _out_of_fold(spark, sf_dir, "logistic")
 
 
 @query()
 def gbdt_boundary(spark, sf_dir):
     """Out-of-fold probabilities of boosted trees."""
-    return _out_of_fold(spark, sf_dir, "gbdt")
+    return _out_of_fold(spark, sf_dir, "gbdt").drop("c")
 
 
 @query(f"""WITH RECURSIVE {decisions_sql()},
@@ -131,42 +131,27 @@ def hybrid_boundaries(spark, sf_dir):
     return learn.hybrid(cuts, 0.45, 0.6, P.min_scene_seconds).select("video", F.explode("chosen").alias("time"))
 
 
-@query()
-def model_settings(spark, sf_dir):
-    """Thresholds of the model and limits of the hybrid by their mean F1, over out-of-fold probabilities of two penalties."""
-    truth, videos = _truth(spark, sf_dir), _videos(spark, sf_dir)
+def _experiment(spark, sf_dir):
+    """The rows of an experiment. Every fourth video is a validation video: never learned from, judged by models of the others."""
     rule = scenes.cut_decisions(embedding_shots(spark, sf_dir), P).select("video", "cut", (F.col("decision") == "boundary").alias("is_rule"))
-    examples = _examples(spark, sf_dir)
-    scored = None
-    for c in learn.PENALTIES[1:3]:
-        one = learn.out_of_fold(examples, "logistic", F.col("video") % 2, 2, c).withColumn("c", F.lit(c))
-        scored = one if scored is None else scored.unionByName(one)
-    rows = materialised(scored.join(rule, ["video", "cut"]).join(videos, "video").select("c", "video", "time", "duration", "is_rule", "p"), "scored")
-    return learn.best_settings(rows, truth, videos, P.min_scene_seconds)
+    rows = _examples(spark, sf_dir).join(rule, ["video", "cut"]).join(_videos(spark, sf_dir), "video")
+    return materialised(rows.withColumn("is_val", F.col("video") % 4 == 3), "experiment-examples")
 
 
-def _boundaries(probabilities, videos):
-    rows = probabilities.withColumn("time", (F.col("cut") + 1) * SHOT_SECONDS).join(videos, "video")
-    return learn.by_probability(rows, 0.5, P.min_scene_seconds).select("video", F.explode("chosen").alias("time"))
+@query()
+def model_settings(spark, sf_dir):
+    """The penalty, threshold and limits of each method that are best on the others, for each development video and for all."""
+    scored = experiment.probabilities(_experiment(spark, sf_dir))
+    return experiment.chosen_settings(scored, _truth(spark, sf_dir), P.min_scene_seconds)
 
 
 @query()
 def decide_acceptance(spark, sf_dir):
-    """The learned boundaries against the rule's, video by video, and whether they may replace it. Every fourth video is
-    a validation video: never learned from, judged by models of the others."""
-    truth, videos = _truth(spark, sf_dir), _videos(spark, sf_dir)
-    examples = _examples(spark, sf_dir)
-    val = F.col("video") % 4 == 3
-    figures = None
-    said = {"rule": _predicted(spark, sf_dir)}
-    for kind in ("logistic",):
-        dev = learn.out_of_fold(examples.where(~val), kind, F.col("video") % 2, 2)
-        p = dev.unionByName(learn.probabilities(learn.fitted(examples.where(~val), kind), examples.where(val)))
-        said[kind] = materialised(_boundaries(p.select("video", "cut", "p"), videos), "learned")
-    for name, pred in said.items():
-        one = metrics.prf(pred, truth, videos, (2.0,)).select(F.lit(name).alias("method"), F.when(val, "val").otherwise("dev").alias("part"), "video", "f1")
-        figures = one if figures is None else figures.unionByName(one)
-    return learn.accepted(materialised(figures, "figures"), "rule")
+    """The rule, the tuned rule, both learned models and the hybrid, each on videos that it wasn't fitted or tuned on, and
+    whether they may replace the rule."""
+    tries = tune.tried(embedding_shots(spark, sf_dir), P, GRID)
+    figures, _ = experiment.run(_experiment(spark, sf_dir), _truth(spark, sf_dir), _predicted(spark, sf_dir), tries, len(GRID), P.min_scene_seconds)
+    return learn.accepted(figures.where("part IN ('dev', 'val')").withColumnRenamed("f1_2s", "f1"), "rule")
 
 
 GRID = tune.grid(window_shots=[4, 6], abs_threshold=[0.37, 0.39, 0.41], depth_threshold=[0.02, 0.05], min_scene_seconds=[8.0, 12.0])

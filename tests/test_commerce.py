@@ -190,11 +190,11 @@ def examples(spark, seed=0):
 @pytest.mark.parametrize("kind", learn.ESTIMATORS)
 def test_models_learn_and_repeat(spark, kind):
     rows = examples(spark)
-    scored = learn.out_of_fold(rows, kind, F.substring("video", 2, 1).cast("int") % 2, 2)
+    scored = learn.out_of_fold(rows, kind, ["video", "cut"], trees=30)
     first = [(r.video, r.cut, r.p) for r in scored.orderBy("video", "cut").collect()]
     assert len(first) == 180
     assert diagnose.rank_auc(scored.withColumn("y", F.col("label") == 1), "p", "y", []).first().auc > 0.9
-    again = learn.out_of_fold(rows, kind, F.substring("video", 2, 1).cast("int") % 2, 2)
+    again = learn.out_of_fold(rows, kind, ["video", "cut"], trees=30)
     assert [r.p for r in again.orderBy("video", "cut").collect()] == pytest.approx([p for *_, p in first])
 
 
@@ -204,7 +204,7 @@ def test_probability_selection_and_hybrid(spark):
     assert sorted(learn.by_probability(cuts, 0.65, 5.0).first().chosen) == [10.0, 30.0]
     assert sorted(learn.hybrid(cuts, 0.1, 0.75, 5.0).first().chosen) == [10.0, 50.0]
     with pytest.raises(ValueError):
-        learn.fitted(examples(spark), "oracle")
+        learn.out_of_fold(examples(spark), "oracle", ["video", "cut"])
 
 
 def test_artifacts(tmp_path):
