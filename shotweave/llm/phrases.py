@@ -17,7 +17,7 @@ from .packed import batch_of, cut_by_bucket, dealt, small, wide
 #: Words of the longest phrase, least number of occurrences, percent of them in a longer phrase that make a shorter one redundant, and phrases listed of each language.
 MOST_WORDS, LEAST, COVERED, TOP, FACTOR = 5, 100, 100, 2000, 1000
 #: Words of a shard, about, words that a task holds of all languages, and bytes of a text that are split at a time.
-SHARD, HELD, SLICE = 3_000_000, 6_000_000, 1 << 22
+SHARD, HELD, SLICE = 2_000_000, 5_000_000, 1 << 22
 #: Words of the corpus for each part of the phrases that are counted together.
 PART = 4_000_000
 #: Bits of the number of a shard within its task, and of the place in a shard.
@@ -63,13 +63,11 @@ def transform(words: np.ndarray, depth: int) -> np.ndarray:
     order = np.argsort(rank)
     while span < depth:
         step = min(span, depth - span)
-        after = np.zeros(len(rank), np.int64)
-        after[:-step] = rank[step:]
-        key = rank * (int(rank.max()) + 1) + after
+        key = rank * (int(rank.max()) + 1)
+        key[:-step] += rank[step:]
         order = np.argsort(key)
-        new = np.cumsum(np.append(False, np.diff(key[order]) != 0))
-        rank = np.empty_like(new)
-        rank[order] = new
+        key = key[order]
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
         span += step
     return words[order - 1]  # before the first comes the last, a 0
 
@@ -168,18 +166,27 @@ def _frequent_words(all_shards: DataFrame, least: int) -> DataFrame:
 _LONGER = ["one", "two", "low", "back", "n"]
 
 
+def _packed(columns: list[np.ndarray], edges: np.ndarray, some: list[int]) -> list[pa.Array]:
+    """Some stretches of each column, packed."""
+    return [pa.array([small(np.diff(x[edges[k] : edges[k + 1]], prepend=np.int64(0))) for k in some], pa.binary()) for x in columns]
+
+
+def _unpacked(column: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.cumsum(wide(x)) for x in column])
+
+
 def _longer(index: DataFrame, known: DataFrame, ahead: bool, of_words: bool, parts: int) -> DataFrame:
     """Extend the frequent phrases of each shard (``known``: shard, name, low, back, n) by one word, in front if ``ahead``, else behind, and keep
     what has two frequent ends: part, shard and, packed in arrays, one, two (names of the phrase without its last and without its first word), low, back, n. A phrase
-    is of the same part in all shards. ``index``: shard, bwt. For phrases ``of_words``, which are words, low is the word's number."""
-    names = ["part", "shard", *_LONGER]
+    is of the same part in all shards. ``index``: shard, bwt. For phrases ``of_words``, which are words, a row has one of them, and low is its
+    number; for others, it has arrays of them."""
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), *[(c, pa.binary()) for c in _LONGER]])
 
     def extend(index: pa.Table, known: pa.Table) -> pa.Table:
         if not index.num_rows or not known.num_rows:
             return schema.empty_table()
         shard, bwt = index.column("shard")[0].as_py(), wide(index.column("bwt")[0].as_py())
-        name, low, back, n = (known.column(c).to_numpy() for c in Intervals._fields)
+        name, low, back, n = (known.column(c).to_numpy() if of_words else _unpacked(known.column(c).to_pylist()) for c in Intervals._fields)
         if of_words:
             low = back = np.append(0, np.cumsum(np.bincount(bwt)))[low]
         own = Intervals(name, low, back, n) if ahead else Intervals(name, back, low, n)
@@ -189,34 +196,41 @@ def _longer(index: DataFrame, known: DataFrame, ahead: bool, of_words: bool, par
         one, two = [name[other[on]], name[phrase[on]]][:: 1 if ahead else -1]
         low, back = [low[on], back[on]][:: 1 if ahead else -1]
         place, edges = cut_by_bucket((mix(mix(one.astype(np.uint64)) ^ two.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts)
-        columns = [x.astype(np.int64)[place] for x in (one, two, low, back, n[on])]
         some = np.flatnonzero(np.diff(edges)).tolist()
-        packed = [[small(np.diff(x[edges[k] : edges[k + 1]], prepend=np.int64(0))) for k in some] for x in columns]
-        return pa.table([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], schema=schema)
+        packed = _packed([x.astype(np.int64)[place] for x in (one, two, low, back, n[on])], edges, some)
+        return pa.table([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), *packed], schema=schema)
 
     known = known.select("shard", *Intervals._fields)
     grouped = index.groupBy("shard").cogroup(known.groupBy("shard"))
-    return grouped.applyInArrow(extend, "part int, shard long, " + ", ".join(f"{c} binary" for c in names[2:]))
+    return grouped.applyInArrow(extend, "part int, shard long, " + ", ".join(f"{c} binary" for c in _LONGER))
 
 
 def _frequent(packed: DataFrame, least: int) -> DataFrame:
-    """Sum up over the shards what :func:`_longer` has counted and keep what occurs often enough: the columns of :func:`_frequent_words`, with one and two in place of lang and
-    word. A part holds the counts of its phrases only, in arrays."""
+    """Sum up over the shards what :func:`_longer` has counted and keep what occurs often enough. Rows of two kinds: for each shard, in arrays, name, low, back, n of its
+    phrases; and for each phrase (the others null) its name, as phrase, one, two and f. A part holds the counts of its phrases only."""
+    kinds = {"shard": pa.int64(), **{c: pa.binary() for c in Intervals._fields}, **{c: pa.int64() for c in ("phrase", "one", "two", "f")}}
+
+    def batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
 
     def judge(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        one, two, low, back, n = (np.concatenate([np.cumsum(wide(r[i])) for r in held]) for i in range(1, 6))
+        one, two, low, back, n = (_unpacked([r[i] for r in held]) for i in range(1, 6))
         shard = np.repeat([r[0] for r in held], [int.from_bytes(r[1][1:9], "little") for r in held])
         order = np.lexsort((one, two))
         one, two, low, back, n, shard = (x[order] for x in (one, two, low, back, n, shard))
         starts = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
         sizes = np.diff(np.append(starts, len(one)))
-        place = shard << PLACE | low
-        f, name = np.repeat(np.add.reduceat(n, starts), sizes), np.repeat(np.minimum.reduceat(place, starts), sizes)
-        on = f >= least
-        columns = [pa.array(x[on]) for x in (shard, low, back, n, f, name, place == name, one, two)]
-        yield pa.RecordBatch.from_arrays(columns, ["shard", "low", "back", "n", "f", "name", "first", "one", "two"])
+        f, name = np.add.reduceat(n, starts), np.minimum.reduceat(shard << PLACE | low, starts)
+        often = f >= least
+        yield batch({c: pa.array(x[often]) for c, x in (("phrase", name), ("one", one[starts]), ("two", two[starts]), ("f", f))})
+        on = np.repeat(often, sizes)
+        shards, which = np.unique(shard[on], return_inverse=True)
+        place, edges = cut_by_bucket(which, max(1, len(shards)))
+        columns = _packed([x[on][place] for x in (np.repeat(name, sizes), low, back, n)], edges, list(range(len(shards))))
+        yield batch({"shard": pa.array(shards), **dict(zip(Intervals._fields, columns))})
 
-    return dealt(packed, "part", ["shard", *_LONGER], "shard long, low long, back long, n long, f long, name long, first boolean, one long, two long", judge)
+    return dealt(packed, "part", ["shard", *_LONGER], ", ".join(f"{c} {'binary' if t == pa.binary() else 'long'}" for c, t in kinds.items()), judge)
 
 
 def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, shard: int = SHARD) -> DataFrame:
@@ -232,7 +246,7 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
     phrases that are one word longer and whose two ends are frequent in all shards together, the counts are summed up by parts of the phrases, and
     the frequent ones go back to the shards that have them. So what is shipped is a count for each shard and phrase, never
     one for each occurrence, in packed rows; phrases are told apart by the names of their ends, not by hashes. A piece may have 134 million words."""
-    all_shards = stored(shards(docs, max(1, most_words - 1), shard, 2 * shard), "shards")
+    all_shards = stored(shards(docs, max(1, most_words - 1), shard, 5 * shard // 2), "shards")
     n_words = all_shards.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-n_words // PART))
     known = stored(_frequent_words(all_shards, least), "frequent-1")
@@ -242,8 +256,8 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
     for size in range(2, most_words + 1):
         ahead = size % 2 == 0
         index = all_shards.select("shard", F.col("forward" if ahead else "backward").alias("bwt"))
-        known = stored(_frequent(_longer(index, known, ahead, size == 2, parts), least), f"frequent-{size}")
-        named = known.where("first").select("name", "one", "two", "f")
+        told = stored(_frequent(_longer(index, known, ahead, size == 2, parts), least), f"frequent-{size}")
+        known, named = told.where("shard IS NOT NULL"), told.where("phrase IS NOT NULL").select(F.col("phrase").alias("name"), "one", "two", "f")
         right = named.groupBy(F.col("one").alias("name")).agg(F.max("f").alias("right"))
         left = named.groupBy(F.col("two").alias("name")).agg(F.max("f").alias("left"))
         if size > 2:
