@@ -91,3 +91,21 @@ def blended(clip: Column, color: Column, clip_weight: float, color_weight: float
 
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
+
+
+def mean_of(vectors: Column | str) -> Column:
+    """Element-wise mean of an array of vectors of one length."""
+    v = _col(vectors)
+    first = F.transform(v[0], lambda _: F.lit(0.0))
+    total_ = F.aggregate(v, first, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return F.transform(total_, lambda x: x / F.size(v))
+
+
+def structure(a: Column | str, b: Column | str) -> Column:
+    """Structural similarity of two vectors as a whole: of their means, and of their deviations with what they share."""
+    a, b = _col(a), _col(b)
+    n = F.size(a)
+    mean_a, mean_b = total(a) / n, total(b) / n
+    shared = dot(a, b) / n - mean_a * mean_b
+    spread = dot(a, a) / n - mean_a * mean_a + dot(b, b) / n - mean_b * mean_b
+    return (2 * mean_a * mean_b + 1e-4) * (2 * shared + 9e-4) / ((mean_a * mean_a + mean_b * mean_b + 1e-4) * (spread + 9e-4))

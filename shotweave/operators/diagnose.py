@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialised
+from . import fit
 
 
 def error_rows(errors: DataFrame, cuts: DataFrame, reach: int) -> DataFrame:
@@ -26,9 +27,12 @@ def running(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFr
     c_all, p_all, and next (the score above it). Scores are dealt in ranges by approximate quantiles; ranges are summed up
     first, and within each only its own scores are ordered. Null scores are left out."""
     rows = rows.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("_score"), F.col(positive).alias("_positive"))
-    score, positive = "_score", "_positive"
-    values = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p"))
-    values = materialised(values, "scores")
+    return _sums(materialised(rows.groupBy(*by, "_score").agg(F.count(F.lit(1)).alias("c"), F.count_if("_positive").alias("p")), "scores"), by)
+
+
+def _sums(values: DataFrame, by: list[str]) -> DataFrame:
+    """What :func:`running` gives, of counts: by, _score, c, p, each score once."""
+    score = "_score"
     marks = [i / RANGES for i in range(1, RANGES)]
     quantiles = values.groupBy(*by).agg(F.percentile_approx(score, marks, 1000).alias("marks"))
     values = values.join(F.broadcast(quantiles), by) if by else values.withColumn("_one", F.lit(1)).join(F.broadcast(quantiles.withColumn("_one", F.lit(1))), "_one").drop("_one")
@@ -57,8 +61,11 @@ def _precision(sums: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _threshold(sums: DataFrame, by: list[str]) -> DataFrame:
-    tp, said = F.col("p_all") - F.col("p_before") - F.col("p"), F.col("c_all") - F.col("c_before") - F.col("c")
-    rows = sums.where("next IS NOT NULL").select(*by, ((F.col("_score") + F.col("next")) / 2).alias("threshold"), (2 * tp / (said + F.col("p_all"))).alias("f1"))
+    """A group of one score only has that as its threshold."""
+    above = F.col("next").isNotNull().cast("int")
+    tp, said = F.col("p_all") - F.col("p_before") - F.col("p") * above, F.col("c_all") - F.col("c_before") - F.col("c") * above
+    rows = sums.where("next IS NOT NULL OR c = c_all")
+    rows = rows.select(*by, F.coalesce((F.col("_score") + F.col("next")) / 2, "_score").alias("threshold"), (2 * tp / F.nullif(said + F.col("p_all"), F.lit(0))).alias("f1"))
     best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("b")
     return rows.groupBy(*by).agg(best).select(*by, F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"))
 
@@ -73,31 +80,40 @@ def best_threshold(rows: DataFrame, score: str, positive: str, by: list[str]) ->
     return _threshold(running(rows, score, positive, by), by)
 
 
-#: Distinct scores that are tried as thresholds for each group.
-MOST_SCORES = 1000
+#: Parts in which the distinct scores meet the groups.
+CHUNKS = 64
+
+
+def _of_the_others(rows: DataFrame, score: str, positive: str, group: str, by: list[str]) -> DataFrame:
+    """:func:`running` for each group over the rows of all other groups (of the same ``by``)."""
+    rows = rows.where(F.col(score).isNotNull()).select(*by, group, F.col(score).alias("_score"), F.col(positive).alias("_positive"))
+    values = materialised(rows.groupBy(*by, group, "_score").agg(F.count(F.lit(1)).alias("c"), F.count_if("_positive").alias("p")), "scores")
+    total = values.groupBy(*by, "_score").agg(F.sum("c").alias("all_c"), F.sum("p").alias("all_p")).withColumn("_chunk", F.pmod(F.xxhash64("_score"), F.lit(CHUNKS)))
+    groups = values.select(*by, group).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CHUNKS - 1).cast("long"))))
+    every = total.join(groups, [*by, "_chunk"]).join(values, [*by, group, "_score"], "left").na.fill(0, ["c", "p"])
+    rest = every.select(*by, group, "_score", (F.col("all_c") - F.col("c")).alias("c"), (F.col("all_p") - F.col("p")).alias("p"))
+    return _sums(materialised(rest.where("c > 0"), "scores-of-others"), [*by, group])
 
 
-def left_out_threshold(rows: DataFrame, score: str, positive: str, group: str) -> DataFrame:
-    """For each group the score from which on F1 is best over all other groups, the lowest on ties: group, cut. Scores
-    must be rounded to at most MOST_SCORES different ones; work grows with groups times these, not with rows."""
-    values = materialised(rows.groupBy(group, score).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(positive)).alias("p")), "scores")
-    total = values.groupBy(score).agg(F.sum("c").alias("all_c"), F.sum("p").alias("all_p")).limit(MOST_SCORES + 1).collect()
-    if len(total) > MOST_SCORES:
-        raise ValueError(f"more than {MOST_SCORES} different scores")
-    told = F.array(*[F.struct(F.lit(r[0]).alias(score), F.lit(r[1]).alias("all_c"), F.lit(r[2]).alias("all_p")) for r in total])
-    every = values.select(group).distinct().select(group, F.inline(told)) if total else values.select(group, score, F.lit(0).alias("all_c"), F.lit(0).alias("all_p"))
-    every = every.join(values, [group, score], "left").na.fill(0, ["c", "p"])
-    rest = every.select(group, score, (F.col("all_c") - F.col("c")).alias("c"), (F.col("all_p") - F.col("p")).alias("p"))
-    down = Window.partitionBy(group).orderBy(F.desc(score))
-    f1 = F.round(2 * F.sum("p").over(down) / F.nullif(F.sum("c").over(down) + F.sum("p").over(Window.partitionBy(group)), F.lit(0)), 12)
-    best = F.max_by(F.col(score), F.struct("f1", -F.col(score))).alias("cut")
-    return rest.withColumn("f1", f1).where("c > 0").groupBy(group).agg(best)
+def left_out_threshold(rows: DataFrame, score: str, positive: str, group: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each group the score from which on F1 is best over all other groups, the lowest on ties: by, group, cut. Work grows with groups
+    times distinct scores: each other set of rows has its own best."""
+    sums = _of_the_others(rows, score, positive, group, list(by))
+    f1 = F.round(2 * (F.col("p_all") - F.col("p_before")) / F.nullif(F.col("c_all") - F.col("c_before") + F.col("p_all"), F.lit(0)), 12)
+    best = F.max_by("_score", F.struct("f1", -F.col("_score"))).alias("cut")
+    return sums.withColumn("f1", f1).groupBy(*by, group).agg(best)
+
+
+def held_out(rows: DataFrame, score: str, positive: str, group: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """F1 of each group judged by the threshold (a midpoint between scores) that is best over all others, counts pooled over groups: by, held_out_f1."""
+    best = _threshold(_of_the_others(rows, score, positive, group, list(by)), [*by, group]).drop("f1")
+    return rows.join(best, [*by, group]).groupBy(*by).agg(F.coalesce(pooled_f1(F.col(score) >= F.col("threshold"), F.col(positive)), F.lit(0.0)).alias("held_out_f1"))
 
 
 def pooled_f1(said: Column, positive: Column) -> Column:
     """F1 of counts pooled over all rows."""
     tp, fp, fn = F.count_if(said & positive), F.count_if(said & ~positive), F.count_if(~said & positive)
-    return 2 * tp / (2 * tp + fp + fn)
+    return 2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))
 
 
 #: Parts of a stratum that are ordered apart before the first of each are.
@@ -120,12 +136,25 @@ def average_precision(rows: DataFrame, score: str, positive: str, by: list[str])
     return _precision(running(rows, score, positive, by), by)
 
 
-def measure_study(pairs: DataFrame, measures: list[str], positive: str) -> DataFrame:
-    """How well each measure tells pairs apart: measure, n, auc, ap, threshold, f1."""
-    rows = pairs.select(positive, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 9).alias("value")) for m in measures])))
+def combined(pairs: DataFrame, combinations: dict[str, list[str]], positive: str, group: str, keys: list[str], c: float = 1.0) -> DataFrame:
+    """Adds a column for each combination of measures: the probability by a logistic model of them that didn't see the pair's
+    group. Models of all groups are fitted together (see :mod:`.fit`). ``keys`` name a pair; null measures aren't allowed."""
+    rows = materialised(fit.folded(pairs.withColumn("video", F.col(group))), "pairs")
+    models = fit.left_out((rows.agg(F.max("fold")).first()[0] or 0) + 1)
+    for name, measures in combinations.items():
+        ready = fit.prepared(rows.withColumn("label", F.col(positive).cast("int")), measures, keys)
+        p = fit.scored(ready, fit.logistic(ready, [c], models, balanced=False, standardised=False), keys).select(*keys, F.col("p").alias(name))
+        pairs = pairs.join(materialised(p, "combined"), keys)
+    return pairs
+
+
+def measure_study(pairs: DataFrame, measures: list[str], positive: str, group: str | None = None) -> DataFrame:
+    """How well each measure tells pairs apart: measure, n, auc, ap, threshold, f1 and, with a ``group``, held_out_f1 (:func:`held_out`)."""
+    value = [F.struct(F.lit(m).alias("measure"), F.round(F.col(f"`{m}`"), 9).alias("value")) for m in measures]
+    rows = pairs.select(positive, *[group] * (group is not None), F.inline(F.array(*value)))
     sums = materialised(running(rows, "value", positive, ["measure"]), "running")
-    out = _auc(sums, ["measure"]).join(_precision(sums, ["measure"]), "measure")
-    return out.join(_threshold(sums, ["measure"]), "measure")
+    out = _auc(sums, ["measure"]).join(_precision(sums, ["measure"]), "measure").join(_threshold(sums, ["measure"]), "measure")
+    return out if group is None else out.join(held_out(materialised(rows, "values"), "value", positive, group, ("measure",)), "measure")
 
 
 def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:

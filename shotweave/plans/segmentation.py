@@ -484,24 +484,91 @@ def sampled_pairs(spark, sf_dir):
     return round_robin(binned, "bin", "video", ["i", "j"], 24).select("bin", "video", "i", "j")
 
 
-@query(f"""WITH {IN_SCENE}, lb AS (SELECT pr.*, a.label = b.label AS same FROM pr JOIN i a ON a.video = pr.video AND a.shot = pr.i
-  JOIN i b ON b.video = pr.video AND b.shot = pr.j),
-ms AS (SELECT 'clip' AS measure, round(clip, 9) AS value, same FROM lb UNION ALL SELECT 'color', round(color, 9), same FROM lb
-  UNION ALL SELECT 'phash', round(phash, 9), same FROM lb UNION ALL SELECT 'prob', round(prob, 9), same FROM lb),
+SCENE_FRAMES = 3
+#: Structural similarity of two vectors as of two pictures without windows.
+MEASURES = ("mean", "best", "matched", "worst", "color", "phash", "structure")
+COMBINATIONS = {"matched+color": ["matched", "color"], "matched+phash": ["matched", "phash"], "matched+structure": ["matched", "structure"], "matched+color+phash+structure": ["matched", "color", "phash", "structure"]}
+#: Pairs of shots of a scene by all measures. A shot's frames are its vector and those of the next shots, as far as its scene has them.
+STUDY = IN_SCENE + f""",
+fm AS (SELECT a.video, a.scene, a.shot, list(b.clip ORDER BY b.shot) AS frames FROM i a JOIN i b ON b.video = a.video AND b.scene = a.scene AND b.shot >= a.shot AND b.shot < a.shot + {SCENE_FRAMES} GROUP BY ALL),
+ma AS (SELECT video, scene, shot, list_transform(range(1, len(frames[1]) + 1), lambda k: list_avg(list_transform(frames, lambda f: f[k]))) AS m FROM fm),
+mu AS (SELECT video, scene, shot, list_transform(m, lambda x: x / (sqrt(list_inner_product(m, m)) + 1e-9)) AS mean FROM ma),
+st AS (SELECT pr.video, pr.scene, pr.i, pr.j, pr.color, pr.phash, sa.label = sb.label AS same, list_inner_product(ua.mean, ub.mean) AS mean, fa.frames AS fa, fb.frames AS fb,
+  list_transform(fa.frames, lambda x: list_transform(fb.frames, lambda y: list_inner_product(x, y))) AS m, list_transform(fb.frames, lambda y: list_transform(fa.frames, lambda x: list_inner_product(x, y))) AS t,
+  list_avg(sa.clip) AS ea, list_avg(sb.clip) AS eb, list_inner_product(sa.clip, sa.clip) / len(sa.clip) AS qa, list_inner_product(sb.clip, sb.clip) / len(sb.clip) AS qb, list_inner_product(sa.clip, sb.clip) / len(sa.clip) AS qq
+  FROM pr JOIN i sa ON sa.video = pr.video AND sa.shot = pr.i JOIN i sb ON sb.video = pr.video AND sb.shot = pr.j
+  JOIN fm fa ON fa.video = pr.video AND fa.shot = pr.i JOIN fm fb ON fb.video = pr.video AND fb.shot = pr.j
+  JOIN mu ua ON ua.video = pr.video AND ua.shot = pr.i JOIN mu ub ON ub.video = pr.video AND ub.shot = pr.j),
+lb AS (SELECT video, i, j, same, color, phash, mean, list_max(flatten(m)) AS best, (list_avg(list_transform(m, lambda r: list_max(r))) + list_avg(list_transform(t, lambda r: list_max(r)))) / 2 AS matched,
+  least(list_min(list_transform(m, lambda r: list_max(r))), list_min(list_transform(t, lambda r: list_max(r)))) AS worst,
+  (2 * ea * eb + 1e-4) * (2 * (qq - ea * eb) + 9e-4) / ((ea * ea + eb * eb + 1e-4) * (qa - ea * ea + qb - eb * eb + 9e-4)) AS structure FROM st)"""
+
+
+def _study_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    shots = _scene_shots(spark, sf_dir)
+    after = F.collect_list("clip").over(Window.partitionBy("video", "scene").orderBy("shot").rowsBetween(0, SCENE_FRAMES - 1))
+    mean = vec.normalized(vec.mean_of("frames"))
+    shots = materialised(shots.withColumn("frames", after).withColumn("average", mean), "study-shots")
+    one = lambda s, i: shots.select("video", "scene", F.col("shot").alias(i), *[F.col(c).alias(f"{s}_{c}") for c in ("clip", "frames", "average", "label")])
+    pairs = unique.scene_pairs(shots.drop("frames"), U).drop("clip", "prob").join(one("a", "i"), ["video", "scene", "i"]).join(one("b", "j"), ["video", "scene", "j"])
+    pairs = pairs.withColumn("m", vec.frame_similarities("a_frames", "b_frames"))
+    told = {"mean": vec.dot("a_average", "b_average"), "best": vec.best_frame(F.col("m")), "matched": vec.matched(F.col("m")), "worst": vec.worst_matched(F.col("m")), "structure": vec.structure("a_clip", "b_clip")}
+    return materialised(pairs.select("video", "i", "j", (F.col("a_label") == F.col("b_label")).alias("same"), "color", "phash", *[c.alias(n) for n, c in told.items()]), "study")
+
+
+@query(f"""WITH {STUDY},
+ms AS (SELECT video, same, measure, round(value, 9) AS value FROM (UNPIVOT (SELECT video, i, j, same, {', '.join(MEASURES)} FROM lb) ON {', '.join(MEASURES)} INTO NAME measure VALUE value)),
 rk AS (SELECT *, rank() OVER (PARTITION BY measure ORDER BY value) + (count(*) OVER (PARTITION BY measure, value) - 1) / 2 AS r FROM ms),
 au AS (SELECT measure, count(*) AS n, (sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2) / (count(*) FILTER (same) * count(*) FILTER (NOT same)) AS auc
   FROM rk GROUP BY measure),
 vl AS (SELECT measure, value, count(*) AS c, count(*) FILTER (same) AS p FROM ms GROUP BY measure, value),
 cm AS (SELECT *, sum(p) OVER (PARTITION BY measure ORDER BY value DESC) AS tp, sum(c) OVER (PARTITION BY measure ORDER BY value DESC) AS said, sum(p) OVER (PARTITION BY measure) AS ap
-  FROM vl)
-SELECT measure, n, round(auc, 6) AS auc, round(sum(p * tp / said) / max(ap), 6) AS ap, round(max(2 * tp / (said + ap)) FILTER (value > low), 6) AS f1
-  FROM au JOIN cm USING (measure) JOIN (SELECT measure, min(value) AS low FROM vl GROUP BY measure) USING (measure) GROUP BY measure, n, auc""")
+  FROM vl),
+ov AS (SELECT g.video, m.measure, m.value, count(*) AS c, count(*) FILTER (same) AS p FROM (SELECT DISTINCT video FROM ms) g JOIN ms m ON m.video <> g.video GROUP BY ALL),
+oc AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS said, sum(p) OVER (PARTITION BY video, measure) AS ap, lag(value) OVER (PARTITION BY video, measure ORDER BY value) AS below
+  FROM ov WINDOW w AS (PARTITION BY video, measure ORDER BY value DESC)),
+ob AS (SELECT video, measure, arg_max((value + below) / 2, (2 * tp / (said + ap), -value)) AS threshold FROM oc WHERE below IS NOT NULL GROUP BY video, measure),
+oh AS (SELECT measure, 2 * count(*) FILTER (value >= threshold AND same) / (2 * count(*) FILTER (value >= threshold AND same) + count(*) FILTER (value >= threshold AND NOT same) + count(*) FILTER (value < threshold AND same)) AS h
+  FROM ms JOIN ob USING (video, measure) GROUP BY measure)
+SELECT measure, n, round(auc, 6) AS auc, round(sum(p * tp / said) / max(ap), 6) AS ap, round(max(2 * tp / (said + ap)) FILTER (value > low), 6) AS f1, round(any_value(h), 6) AS held_out_f1
+  FROM au JOIN cm USING (measure) JOIN (SELECT measure, min(value) AS low FROM vl GROUP BY measure) USING (measure) JOIN oh USING (measure) GROUP BY measure, n, auc""")
 def similarity_study(spark, sf_dir):
-    """How well each similarity tells shots of one label from others."""
+    """How well each similarity tells shots of one label from others, and when its threshold is chosen on the other videos."""
     from ..operators.diagnose import measure_study
 
-    shots = _scene_shots(spark, sf_dir)
-    own = shots.select("video", F.col("shot").alias("i"), F.col("label").alias("a")), shots.select("video", F.col("shot").alias("j"), F.col("label").alias("b"))
-    pairs = unique.scene_pairs(shots, U).join(own[0], ["video", "i"]).join(own[1], ["video", "j"]).withColumn("same", F.col("a") == F.col("b"))
-    out = measure_study(materialised(pairs.select("clip", "color", "phash", "prob", "same"), "study"), ["clip", "color", "phash", "prob"], "same")
-    return _rounded(out, "auc", "ap", "f1").drop("threshold")
+    return _rounded(measure_study(_study_pairs(spark, sf_dir), list(MEASURES), "same", "video"), "auc", "ap", "f1", "held_out_f1").drop("threshold")
+
+
+# Newton steps of all left-out videos and pairs of measures at once; three unknowns by Cramer's rule.
+@query(f"""WITH RECURSIVE {STUDY},
+cq AS (SELECT * FROM (SELECT video, i, j, CAST(same AS INTEGER) AS y, matched AS x1, unnest([struct_pack(n := 'color', x := color), struct_pack(n := 'phash', x := phash), struct_pack(n := 'structure', x := structure)]) AS o FROM lb)),
+ce AS (SELECT video, i, j, y, x1, o.x AS x2, o.n AS combo FROM cq),
+nw AS (SELECT DISTINCT combo, video AS without, 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM ce
+  UNION ALL
+  SELECT combo, without, step + 1, b0 - (g0 * (c * f - d * d) - a * (g1 * f - d * g2) + b * (g1 * d - c * g2)) / det,
+    b1 - (h * (g1 * f - d * g2) - g0 * (a * f - d * b) + b * (a * g2 - g1 * b)) / det, b2 - (h * (c * g2 - g1 * d) - a * (a * g2 - g1 * b) + g0 * (a * d - c * b)) / det
+  FROM (SELECT *, h * (c * f - d * d) - a * (a * f - d * b) + b * (a * d - c * b) AS det FROM (
+    SELECT combo, without, step, b0, b1, b2, sum(p - y) AS g0, sum((p - y) * x1) + b1 AS g1, sum((p - y) * x2) + b2 AS g2, sum(p * (1 - p)) AS h, sum(p * (1 - p) * x1) AS a, sum(p * (1 - p) * x2) AS b,
+      sum(p * (1 - p) * x1 * x1) + 1 AS c, sum(p * (1 - p) * x1 * x2) AS d, sum(p * (1 - p) * x2 * x2) + 1 AS f
+    FROM (SELECT nw.*, y, x1, x2, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM nw JOIN ce ON ce.combo = nw.combo AND ce.video <> nw.without WHERE step < 25)
+    GROUP BY combo, without, step, b0, b1, b2)))
+SELECT 'matched+' || combo AS combination, video, i, j, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 6) AS p FROM ce JOIN (SELECT * FROM nw WHERE step = 25) nw USING (combo) WHERE video = without""")
+def combined_similarity(spark, sf_dir):
+    """Two measures together: each pair's probability by a model of the other videos."""
+    from ..operators.diagnose import combined
+
+    two = {n: m for n, m in COMBINATIONS.items() if len(m) == 2}
+    rows = combined(_study_pairs(spark, sf_dir), two, "same", "video", ["video", "i", "j"])
+    told = [F.struct(F.lit(n).alias("combination"), F.round(F.col(f"`{n}`"), 6).alias("p")) for n in two]
+    return rows.select("video", "i", "j", F.inline(F.array(*told))).select("combination", "video", "i", "j", "p")
+
+
+@query()
+def similarity_combinations(spark, sf_dir):
+    """The study of the combinations, each score from a model that didn't see the pair's video."""
+    from ..operators.diagnose import combined, measure_study
+
+    rows = combined(_study_pairs(spark, sf_dir), COMBINATIONS, "same", "video", ["video", "i", "j"])
+    return _rounded(measure_study(materialised(rows, "combinations"), list(COMBINATIONS), "same", "video"), "auc", "ap", "f1", "held_out_f1").drop("threshold")

@@ -189,3 +189,42 @@ def test_late_frames_are_handed_out():
     out = [tuple(r) for b in batches for part in state.handleInputRows(("v",), iter([pd.DataFrame(b, columns=["frame", "prob"])]), None) for r in part.astype(object).itertuples(index=False)]
     told = [(r[1] if pd.notna(r[1]) else None, r[2] if pd.notna(r[2]) else None) for r in out]
     assert told == [(6, None), (None, 3), (None, 6), (9, None)]
+
+
+def test_held_out_thresholds_and_combinations(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(360):
+        y = bool(rng.random() < 0.4)
+        rows.append((f"v{k % 4}", k, y, round(float(rng.normal(y, 1)), 2), round(float(rng.normal(0.6 * y, 1)), 2), 0.5))
+    df = spark.createDataFrame(rows, "video string, k long, y boolean, a double, b double, flat double")
+    got = {r.measure: r for r in diagnose.measure_study(df, ["a", "b", "flat"], "y", "video").collect()}
+    for at, name in ((3, "a"), (4, "b"), (5, "flat")):
+        tp = fp = fn = 0
+        for v in range(4):
+            rest = [(r[at], r[2]) for r in rows if r[0] != f"v{v}"]
+            values = sorted({x for x, _ in rest})
+            tries = [(p + q) / 2 for p, q in zip(values, values[1:])] or values
+            f1 = lambda t: 2 * sum(y for x, y in rest if x >= t) / (sum(x >= t for x, _ in rest) + sum(y for _, y in rest))
+            cut = max(tries, key=lambda t: (f1(t), -t))
+            for r in (r for r in rows if r[0] == f"v{v}"):
+                tp, fp, fn = tp + (r[at] >= cut and r[2]), fp + (r[at] >= cut and not r[2]), fn + (r[at] < cut and r[2])
+        assert got[name].held_out_f1 == pytest.approx(2 * tp / (2 * tp + fp + fn))
+    assert got["flat"].threshold == 0.5
+
+
+def test_combinations_are_models_of_the_other_groups(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(200, 2)), rng.random(200) < 0.5
+    x[:, 0] += y
+    rows = [(f"v{k % 5}", k, bool(t), *map(float, r)) for k, (t, r) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "film string, k long, same boolean, a double, b double")
+    got = {r.k: r["a+b"] for r in diagnose.combined(df, {"a+b": ["a", "b"]}, "same", "film", ["k"]).collect()}
+    for v in range(5):
+        on = np.arange(200) % 5 != v
+        b, z = np.zeros(3), np.column_stack([np.ones(200), x])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z[on] @ b))
+            b = b - np.linalg.solve((z[on] * (p * (1 - p))[:, None]).T @ z[on] + np.diag([0.0, 1, 1]), z[on].T @ (p - y[on]) + np.array([0, b[1], b[2]]))
+        for k in np.flatnonzero(~on):
+            assert got[k] == pytest.approx(1 / (1 + np.exp(-z[k] @ b)), abs=1e-7)
