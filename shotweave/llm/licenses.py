@@ -72,7 +72,7 @@ TEXTS: list[tuple[str, str]] = [
     ("MIT", _MIT_HEAD), ("MIT", f"{_MIT_HEAD} {_MIT_END}"),
     ("ISC", f"{_ISC_HEAD}, {_ISC_MIDDLE}"), ("ISC", f"{_ISC_HEAD}, {_ISC_MIDDLE} {_ISC_END}"),
     ("0BSD", f"{_ISC_HEAD}. {_ISC_END}"),
-    ("BSD-3-Clause", _BSD_HEAD),
+    ("BSD", _BSD_HEAD),
     ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_1} {_BSD_2} {_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_1} {_BSD_2} {_BSD_3} {_BSD_END}"),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
@@ -185,10 +185,10 @@ class Scanner:
                 hits = windows_with(places, before[places], width, n)
                 dice = 2 * hits / (sizes[width] + len(self.sets[k]))
                 starts = np.flatnonzero(dice >= self.threshold - 1e-12)
-                found += [(-d, i, -(i + width + 1), self.names[k]) for d, i in zip(np.round(dice[starts], 6).tolist(), starts.tolist())]
+                found += [(-round(d * h, 6), -d, i, -(i + width + 1), self.names[k]) for d, h, i in zip(np.round(dice[starts], 6).tolist(), hits[starts].tolist(), starts.tolist())]
         taken: list[tuple[str, float, int, int]] = []
         busy = bytearray(len(w))
-        for d, begin, end, name in sorted(found):
+        for _, d, begin, end, name in sorted(found):  # what explains most of a stretch, and explains it well, comes first
             if busy.find(1, begin, -end) < 0:
                 busy[begin:-end] = b"\1" * (-end - begin)
                 taken.append((name, -d, begin, -end))
@@ -200,8 +200,9 @@ def license_notices(docs: DataFrame, templates: Templates | None = None, thresho
 
     Compared are all windows of a text's normalised words (lower case, without punctuation) of as many as a template has,
     of four fifths and of five fourths as many (a shorter text: all of it), in time linear in the text.
-    Returns one row per notice: doc_id, license, dice, begin_word, end_word. Windows overlap no other; the better
-    coefficient wins, ties by place, then by length and name. Templates of one word have no bigrams and match nothing. Null and empty texts have no rows;
+    Returns one row per notice: doc_id, license, dice, begin_word, end_word. Windows overlap no other; what shares
+    more bigrams, times its coefficient, wins, so a heading that several licences share doesn't name a text that is nearly one of them whole; ties by
+    coefficient, place, length and name. Templates of one word have no bigrams and match nothing. Null and empty texts have no rows;
     a null doc_id is kept; rows that repeat give rows that repeat; extra columns are not read.
     """
     templates = templates if templates is not None else notices()
