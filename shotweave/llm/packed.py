@@ -5,6 +5,7 @@ for each window, grouped by hash and joined back) moves several times as many by
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,14 +112,29 @@ def batch_of(fields: list, names: list[str], *kinds: pa.DataType) -> pa.RecordBa
 
 
 def named_chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(name, ids, bytes, offsets) of each chunk of texts; the same from every pass over the same rows."""
-    for batch in batches:
-        if not batch.num_rows:
+    """(name, ids, bytes, offsets) of each chunk of texts; the same from every pass over the same rows. Texts are carried over from
+    batch to batch until a chunk is full, so short texts don't make small chunks."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # ids, keys, bytes, sizes of texts
+    size = 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            data, offsets = text_buffers(batch.column(2))
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), data[offsets[0] : offsets[-1]], np.diff(offsets)))
+            size += len(held[-1][2])
+            if size < most_bytes:
+                continue
+        if not held:
             continue
-        ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        data, offsets = text_buffers(batch.column(2))
-        for a, b in chunks(offsets, most_bytes):
+        ids, keys, data, sizes = (np.concatenate(x) for x in zip(*held)) if len(held) > 1 else held[0]
+        offsets = np.append(0, np.cumsum(sizes))
+        runs = chunks(offsets, most_bytes)
+        last = [] if batch is None else runs[-1:]  # it may go on in the next batch
+        for a, b in runs[: len(runs) - len(last)]:
             yield chunk_key(ids[a:b], keys[a:b]), ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        held = [(ids[a:b], keys[a:b], data[offsets[a] : offsets[b]].copy(), sizes[a:b]) for a, b in last]
+        size = sum(len(x[2]) for x in held)
 
 
 def texts_by_chunk(rows: DataFrame, most_bytes: int) -> DataFrame:
