@@ -60,6 +60,17 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # --- word hashes over Arrow buffers -------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,26 +88,52 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: Bytes that are hashed at a time.
+SLICE = 1 << 20
+_UP, _DOWN = (np.cumprod(np.append(np.uint64(1), np.full(SLICE, x)), dtype=np.uint64) for x in (_BASE, _INVERSE))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers
+    if n <= len(_UP):
+        return _UP, _DOWN
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x)), dtype=np.uint64) for x in (_BASE, _INVERSE))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of all words of texts laid end to end in ``data``; text i is
-    ``data[offsets[i]:offsets[i + 1]]``. Returns the hashes and the number of words of each text."""
-    n_texts = len(offsets) - 1
-    base = offsets[0]
-    data, offsets = data[base : offsets[-1]], offsets - base
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(n_texts, np.int64)
+    ``data[offsets[i]:offsets[i + 1]]``. Returns the hashes and the number of words of each text.
+
+    Bytes are hashed in slices that end with white space or a text, so that besides the result (8 bytes a word) some 40 MB are held, however
+    long a text is; a word that is longer than a slice takes 40 bytes for each of its own."""
+    data, offsets = data[offsets[0] : offsets[-1]], np.asarray(offsets, np.int64) - offsets[0]
+    per_text, parts, at = np.zeros(len(offsets) - 1, np.int64), [], 0
+    while at < len(data):
+        end = _slice_end(data, offsets, at)
+        first, last = int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
+        hashes, n = _hashes_of(data[at:end], np.clip(offsets[first : last + 1], at, end) - at)
+        parts.append(hashes)
+        per_text[first:last] += n
+        at = end
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), per_text
+
+
+def _slice_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+    """Where the slice from ``at`` on ends: behind its last white space or text, or else behind the next one."""
+    if len(data) - at <= SLICE:
+        return len(data)
+    space = np.flatnonzero(_IS_SPACE[data[at : at + SLICE]])
+    text = int(offsets[np.searchsorted(offsets, at + SLICE, "right") - 1])
+    if len(space) or text > at:
+        return max(text, at + int(space[-1]) + 1 if len(space) else 0)
+    text = int(offsets[np.searchsorted(offsets, at + SLICE, "left")])
+    for begin in range(at + SLICE, text, SLICE):
+        space = np.flatnonzero(_IS_SPACE[data[begin : min(begin + SLICE, text)]])
+        if len(space):
+            return begin + int(space[0]) + 1
+    return text
+
+
+def _hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~_IS_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True  # a text's first byte; empty texts mark the next one's
@@ -110,8 +147,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    per_text = np.diff(np.searchsorted(starts, offsets))
-    return hashes, per_text
+    return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

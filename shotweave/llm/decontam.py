@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, stored, text_or_empty
+from .common import columns, fresh, stored, text_or_empty
 
 # Units that are replaced after a number.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "inches", "feet", "miles", "pounds", "ounces", "dollars", "euros", "cents", "percent", "degrees", "metres", "meters", "litres", "liters", "grams", "kilograms", "kilometres", "kilometers"]
@@ -234,9 +234,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Stage form: the rows of ``docs`` that hold no benchmark item, all columns. Rows of one doc_id, or of null, are
     judged by their own texts."""
-    bad = _found(_texts(docs), benchmark, WINDOW, COVERAGE, LITERAL).select(F.col("row").alias("bad row")).distinct()
+    (bad_row,) = fresh(docs, "bad_row")
+    bad = _found(_texts(docs), benchmark, WINDOW, COVERAGE, LITERAL).select(F.col("row").alias(bad_row)).distinct()
     name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text_or_empty())))
-    return docs.join(bad, name == F.col("bad row"), "left_anti")
+    return docs.join(bad, name == F.col(bad_row), "left_anti")
 
 
 _T = rf"""regexp_replace(regexp_replace(regexp_replace(%s, '{NUMBER}', ' ' || chr(1) || ' ', 'g'), '{UNIT.replace(chr(1), chr(92) + 'x01')}', chr(1) || ' ' || chr(3) || ' ', 'g'), '{NAME}', '\1' || chr(2) || ' ', 'g')"""

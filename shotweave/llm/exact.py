@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, columns, stored, text_or_empty
+from .common import SPACE, columns, fresh, stored, text_or_empty
 
 #: Rows of a group that meet in one join key; larger groups are dealt over several.
 PER_SALT = 1000
@@ -88,10 +88,11 @@ def _with_groups(digest: DataFrame, groups: DataFrame, per_salt: int) -> DataFra
 def drop_copies(docs: DataFrame) -> DataFrame:
     """Stage form: one row of ``docs`` for each group of equal texts, that of the smallest doc_id, with all columns.
     Different texts under one doc_id, or under null, are groups of their own: each keeps a row."""
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept id"), F.col("text_sha256").alias("kept sha")).distinct()
-    rows = docs.withColumn("own sha", F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256))
-    same_row = rows["doc_id"].eqNullSafe(groups["kept id"]) & (rows["own sha"] == groups["kept sha"])
-    return rows.join(groups, same_row, "left_semi").dropDuplicates(["doc_id", "own sha"]).drop("own sha")
+    sha, kept_id, kept_sha = fresh(docs, "sha", "kept_id", "kept_sha")
+    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
+    rows = docs.withColumn(sha, F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256))
+    same_row = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
+    return rows.join(groups, same_row, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 SQL = r"""

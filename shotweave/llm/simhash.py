@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, mix, stored, text_buffers, text_or_empty, whole_ids, word_hashes
+from .common import chunks, columns, fresh, mix, stored, text_buffers, text_or_empty, whole_ids, word_hashes
 from .packed import CHUNK
 from .substring import window_hashes
 
@@ -273,10 +273,12 @@ def connected(keyed: DataFrame, radius: int = RADIUS, similarity: float | None =
         # Where the others fit in one tile, they meet the class at the cost of its size; only beyond, keys are made finer.
         few = sizes.where("minors = 1")
         plain = rows.drop("finer").withColumn("z", zero).join(few, key)
-        fine = rows.join(sizes.where("minors > 1").select(*key), key).withColumn("z", F.explode("finer")).drop("finer")
+        fine = rows.join(sizes.where("minors > 1").select(*key), key).select(*key, "node", "cls", F.explode("finer").alias("z"))
         fine = stored(fine, "finer-keys")
         finest = stored(_large_classes(fine, [*key, "z"], tile), "finer-classes")
-        rows = plain.unionByName(fine.join(finest, [*key, "z"]))
+        # What a node brings along is joined only where there is something left to compare.
+        fine = fine.join(finest, [*key, "z"]).join(rows.drop("cls", "finer"), [*key, "node"])
+        rows = plain.unionByName(fine)
     else:
         rows = rows.withColumn("z", zero).join(sizes, key)
     minor, major = rows.where("cls <> major").withColumn("mine", _tile(F.col("minors"))), rows.where("cls = major").withColumn("mine", _tile(F.col("majors")))
@@ -317,16 +319,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     differing bits. Returns one row per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id
     reachable, itself included).
 
-    Null and blank texts have fingerprint 0 and link like any other. Rows of a null doc_id get the class's smallest
-    non-null id, or null. Repeated rows give repeated rows. Copies share a fingerprint and are compared once.
+    Null and blank texts have fingerprint 0 and link like any other. Rows of a null doc_id link like any other too, and get the class's smallest
+    non-null id, or null where it has none. Repeated rows give repeated rows. Copies share a fingerprint and are compared once. An
+    empty table gives an empty one. Extra columns, of whatever name, are not read.
     """
     rows = stored(fingerprints(whole_ids(docs)), "fingerprints")
-    prints = stored(rows.groupBy("print").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    keyed = prints.where("node IS NOT NULL").select("node", "print", F.explode(band_keys(radius)).alias("k"), *[rest_keys().alias("rest")] * (radius == 2))
+    prints = stored(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    nodes = prints.select("print", F.col("print").alias("node"), F.explode(band_keys(radius)).alias("k"), *[rest_keys().alias("rest")] * (radius == 2))
     finer = [F.col("rest")[F.col("k.band")].alias("finer")] * (radius == 2)
-    roots = connected(keyed.select("k.*", "node", "print", F.lit(b"").alias("sketch"), *finer), radius)
-    classes = prints.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
-    classes = stored(classes, "classes")  # written, so that the join below has plain exchanges, whose hot partitions Spark splits
+    roots = connected(nodes.select("k.*", "node", "print", F.lit(b"").alias("sketch"), *finer), radius)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "print")
+    members = stored(prints.join(roots, "print").select("print", "least", "root"), "linked-fingerprints")
+    least = stored(members.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
+    linked_ = members.join(least, "root").select("print", "component_id")
+    alone = prints.join(members, "print", "left_anti").select("print", F.col("least").alias("component_id"))
+    classes = stored(linked_.unionByName(alone), "classes")  # written, so that the join below has plain exchanges, whose hot partitions Spark splits
     return rows.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -380,7 +387,7 @@ def sketched(docs: DataFrame, n_words: int = SHINGLE, sets: bool = False) -> Dat
     """node long, print long (SimHash of distinct word shingles, A-Z in lower case), least array<long> (minimum of the
     shingles under each of MEETINGS hashes) and sketch binary (a byte of the least shingle hash in each of BINS
     ranges, 0 for none). A text of fewer words is one shingle. ``docs``: node long, text string.
-    With ``sets``, root (a long of ``docs``) and shingles binary (ascending distinct hashes) in place of least."""
+    With ``sets``, root (a long of ``docs``) and shingles binary (ascending distinct hashes) as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, MEETINGS + 1, dtype=np.uint64))
@@ -404,15 +411,16 @@ def sketched(docs: DataFrame, n_words: int = SHINGLE, sets: bool = False) -> Dat
                 of_text = np.split(h[once], ends[:-1])
                 prints = pa.array(np.array([majority(x) for x in of_text], np.uint64).view(np.int64))
                 bins_of_text = pa.array([x.tobytes() for x in sketch], pa.binary())
-                if sets:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], prints, bins_of_text, pa.array([x.tobytes() for x in of_text], pa.binary())], ["node", "root", "print", "sketch", "shingles"])
-                    continue
                 least = np.column_stack([np.minimum.reduceat(mix(hashes ^ s), begins) for s in seeds])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * MEETINGS), pa.array(least.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], prints, lists, bins_of_text], ["node", "print", "least", "sketch"])
+                arrays, names = [batch.column(0)[a:b], prints, lists, bins_of_text], ["node", "print", "least", "sketch"]
+                if sets:
+                    arrays += [batch.column(2)[a:b], pa.array([x.tobytes() for x in of_text], pa.binary())]
+                    names += ["root", "shingles"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     if sets:
-        return docs.select("node", "text", "root").mapInArrow(run, "node long, root long, print long, sketch binary, shingles binary")
+        return docs.select("node", "text", "root").mapInArrow(run, "node long, print long, least array<bigint>, sketch binary, root long, shingles binary")
     return docs.select("node", "text").mapInArrow(run, "node long, print long, least array<bigint>, sketch binary")
 
 
@@ -465,7 +473,9 @@ def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float =
     likely = stored(connected(keyed, radius, LOOSE), "likely")
     likely = likely.unionByName(likely.select(F.col("root").alias("node"), "root")).distinct()
     sets = sketched(rows.join(likely, "node"), n_words, sets=True)
-    grouped = sets.select(F.lit(0).alias("band"), F.col("root").alias("x"), F.lit(0).cast("long").alias("y"), "node", "print", "sketch", "shingles")
+    # Of a component with many texts that aren't similar, only those meet that share a least hash, as similar ones do.
+    every = F.transform("least", lambda v, i: F.xxhash64(v, i))
+    grouped = sets.select(F.lit(0).alias("band"), F.col("root").alias("x"), F.lit(0).cast("long").alias("y"), "node", "print", "sketch", "shingles", every.alias("finer"))
     roots = connected(stored(grouped, "shingle-sets"), radius, LOOSE, EXACT_TILE, similarity)
     return sketches.select("node").distinct().join(roots, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
 
@@ -473,5 +483,6 @@ def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float =
 def drop_near(docs: DataFrame) -> DataFrame:
     """Stage form: one document of each class of similar texts stays, the one of the smallest doc_id, with all columns.
     Rows of a null doc_id stay; rows that repeat a doc_id stay or go together."""
-    gone = similar_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = similar_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")

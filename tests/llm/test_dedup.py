@@ -303,3 +303,94 @@ def test_input_in_another_order_each_time_is_stored(spark):
     docs = frame(spark, rows).withColumn("by", F.rand()).orderBy("by").drop("by")
     got = substring.digest(substring.without_repeats(docs, per_bucket=500, chunk=2000)).collect()
     assert sort(got) == sort(removed(rows))
+
+
+def test_fingerprints_of_null_ids_link_like_others(spark, monkeypatch):
+    """Null rows get the class's id, and bridge two others that are farther apart than the radius."""
+    prints = {"a": 0b0, "b": 0b11, "c": 0b1111, "far": 0xFFFF0000FFFF0000, "near far": 0xFFFF0000FFFF0001}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: spark.createDataFrame([(r.doc_id, prints[r.text]) if prints[r.text] < 1 << 63 else (r.doc_id, prints[r.text] - (1 << 64)) for r in docs.collect()], "doc_id long, print long"))
+    rows = [(9, "a"), (None, "b"), (4, "c"), (None, "far"), (None, "near far")]
+    got = sort((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == sort([(9, prints["a"], 4), (None, prints["b"], 4), (4, prints["c"], 4), (None, prints["far"], None), (None, prints["near far"], None)])
+
+
+def test_stage_forms_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    from shotweave.llm import decontam, mixing, quality
+
+    text = "some words that tell of a thing at length and then of another one besides"
+    clash = {c: F.lit("mine") for c in ("gone_id", "bad_row", "bad row", "own sha", "SHA", "kept_id", "kept sha", "kept_sha", "good_id", "good id", "row", "gone_id_")}
+    docs = spark.createDataFrame([(1, text, "s"), (2, text, "s"), (3, text + " so", "s"), (4, "benchmark item with quite a few words in it to be found here whole", "s"), (None, "x", None)], "doc_id long, text string, source string").withColumns(clash)
+    bench = spark.createDataFrame([(7, "benchmark item with quite a few words in it to be found here whole", "v")], "item_id long, text string, row string")
+    labels = spark.createDataFrame([(1, 1), (3, 1), (4, 0)], "doc_id long, quality int")
+    forms = [(lambda d: exact.drop_copies(d), {1, 3, 4, None}), (simhash.drop_near, {1, 4, None}), (lambda d: decontam.drop_contaminated(d, bench), {1, 2, 3, None}), (lambda d: quality.drop_rejected(d, labels), None)]
+    for form, ids in forms:
+        kept = form(docs)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert ids is None or {r.doc_id for r in rows} == ids
+        assert all(r["gone_id"] == r["own sha"] == r["SHA"] == "mine" for r in rows)
+    assert mixing.mixed(docs).count() >= 5
+
+
+def test_loose_chains_cost_what_they_have(spark, monkeypatch):
+    """Texts of one component, none of them similar enough to another: what meets grows with their number, not its square."""
+    shipped = {}
+    links = simhash._links
+
+    def counted(rows, radius, similarity, exact):
+        if exact is not None:
+            shipped[size] = shipped.get(size, 0) + rows.count()
+        return links(rows, radius, similarity, exact)
+
+    monkeypatch.setattr(simhash, "_links", counted)
+    rng = np.random.default_rng(0)
+    for size in (600, 1200, 2400):
+        sets = [np.sort(rng.integers(0, 1 << 62, 40)).astype(np.uint64) for _ in range(size)]
+        rows = [(0, 5, 0, k, 0, bytes(simhash.BINS), s.tobytes(), [int(x) for x in s[:10]]) for k, s in enumerate(sets)]
+        keyed = spark.createDataFrame(rows, "band int, x long, y long, node long, print long, sketch binary, shingles binary, finer array<long>")
+        assert simhash.connected(keyed, 64, 0.0, 256, 0.8).count() == 0
+    assert shipped[2400] < 2.2 * shipped[1200] < 4.84 * shipped[600]
+
+
+def test_short_texts_fill_chunks():
+    import pyarrow as pa
+
+    def batches(n):
+        for at in range(0, n, 1000):
+            ids = np.arange(at, min(n, at + 1000))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(["x" * 499 + "y"] * len(ids))], ["doc_id", "key", "text"])
+
+    made = list(packed.named_chunks(batches(20_500), 1_600_000))
+    assert [len(c[2]) for c in made[:-1]] == [1_600_000] * 6
+    assert np.concatenate([c[1] for c in made]).tolist() == list(range(20_500))
+    assert [c[0] for c in made] == [c[0] for c in packed.named_chunks(batches(20_500), 1_600_000)]
+
+
+def test_words_are_hashed_in_slices(monkeypatch):
+    from shotweave.llm import common
+
+    rng = random.Random(7)
+    texts = ["", "one", " ", *["".join(rng.choice("ab é\t\n") for _ in range(rng.randrange(400))) for _ in range(60)], "x" * 300, ""]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    whole = common.word_hashes(data, offsets)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(common, "SLICE", size)
+        got = common.word_hashes(data, offsets)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+    assert whole[1].tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+
+
+def test_a_hundred_megabytes_are_hashed_in_bounded_memory():
+    import tracemalloc
+
+    from shotweave.llm import common
+
+    data = np.frombuffer(b"some words of a very long text 0123456789 " * 2_400_000, np.uint8)
+    assert len(data) > 100_000_000
+    tracemalloc.start()
+    hashes, n = common.word_hashes(data, np.array([0, len(data)]))
+    assert len(hashes) == n[0] == 8 * 2_400_000
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(hashes) * 2 + 100_000_000
+    tracemalloc.stop()
