@@ -394,3 +394,22 @@ def test_a_hundred_megabytes_are_hashed_in_bounded_memory():
     assert len(hashes) == n[0] == 8 * 2_400_000
     assert tracemalloc.get_traced_memory()[1] < 8 * len(hashes) * 2 + 100_000_000
     tracemalloc.stop()
+
+
+def test_a_consistent_item_is_found_behind_an_inconsistent_one(spark):
+    from shotweave.llm import decontam
+
+    item = "A trader had 5 boxes and gave 5 boxes to a friend who had 5 boxes and then lost 5 boxes on the way home to the old town by the river"
+    said = lambda values, more="": item.replace("5", "%s").replace("a friend", f"a {more}friend") % tuple(values)
+    rows = [
+        (1, said("9999", "good ")),
+        (2, said("6894") + ". Later on. " + said("9999", "good ")),
+        (3, said("6894") + " " + said("9999", "very good old ")),
+        (4, said("6894")),
+        (5, said("6894") + ". " + said("8964", "good ")),
+        (6, said("9999", "good ") + ". " + said("6894")),
+        (7, "nothing of the kind in here at all, and 5 boxes of it"),
+    ]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.n_changed for r in decontam.contaminated(frame(spark, rows), bench).where("n_matched > 0").collect()}
+    assert set(got) == {1, 2, 3, 6} and min(got.values()) > 0
