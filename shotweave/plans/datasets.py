@@ -129,14 +129,18 @@ LOG = """g AS (SELECT conv_id AS video, turn AS seq, CASE WHEN turn % 5 = 4 THEN
   FROM conversations)"""
 
 
-def _log(spark, sf_dir) -> DataFrame:
+def correction_log(conversations: DataFrame) -> DataFrame:
+    """Turns of conversations as operations on the boundaries of a video."""
     n = F.length("text")
     op = F.when(F.col("turn") % 5 == 4, "confirm").when(n % 23 == 0, "clear").when(n % 29 == 0, "reset").when(F.col("turn") % 3 == 0, "merge").otherwise("split")
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("video"), F.col("turn").alias("seq"), op.alias("op"), (n % 4).cast("int").alias("scene_index"), ((n % 900 + 50) / 10.0).alias("at"), F.array(F.lit(10.0), F.lit(20.0), F.lit(30.0)).alias("predicted"), F.lit(100.0).alias("duration"))
+    return conversations.select(F.col("conv_id").alias("video"), F.col("turn").alias("seq"), op.alias("op"), (n % 4).cast("int").alias("scene_index"), ((n % 900 + 50) / 10.0).alias("at"), F.array(F.lit(10.0), F.lit(20.0), F.lit(30.0)).alias("predicted"), F.lit(100.0).alias("duration"))
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    return correction_log(table(spark, sf_dir, "conversations"))
 
 
-@query(f"""WITH RECURSIVE {LOG},
+correction_replay_sql = f"""WITH RECURSIVE {LOG},
 cu AS (SELECT vec_id // 50 AS video, vec_id % 50 * 4.0::DOUBLE AS cut FROM embeddings WHERE vec_id % 50 > 0),
 q AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seq, op, scene_index, moment) AS k FROM g),
 sn AS (SELECT q.video, k, op, scene_index, round(coalesce(min(cut), moment), 3) AS moment FROM q
@@ -156,11 +160,18 @@ o AS (SELECT video, 'boundary' AS kind, unnest(b) AS time, unnest(range(0, len(b
   UNION ALL SELECT video, 'hard_negative', unnest(neg), unnest(range(0, len(neg))) FROM e
   UNION ALL SELECT video, 'hard_positive', unnest(pos), unnest(range(0, len(pos))) FROM e
   UNION ALL SELECT video, 'refused', CAST(refused AS DOUBLE), 0 FROM e)
-SELECT video, kind, CAST(place AS BIGINT) AS place, time FROM o""")
+SELECT video, kind, CAST(place AS BIGINT) AS place, time FROM o"""
+
+
+@query(correction_replay_sql)
 def correction_replay(spark, sf_dir):
     """What a log of corrections leaves, the examples that it makes, and how many operations were refused, a row each."""
     cuts = embedding_shots(spark, sf_dir).where("shot > 0").select("video", F.col("start").alias("time"))
-    end = labels.replayed(_log(spark, sf_dir), cuts)
+    return replay_rows(labels.replayed(_log(spark, sf_dir), cuts))
+
+
+def replay_rows(end: DataFrame) -> DataFrame:
+    """Boundaries, examples and refusals of each video, a row each."""
     kinds = {"boundary": F.col("boundaries"), "hard_negative": F.col("hard_negatives"), "hard_positive": F.col("hard_positives"), "refused": F.array(F.col("refused").cast("double"))}
     kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("times")) for k, v in kinds.items()])).alias("k")
     rows = end.select("video", kind).select("video", "k.kind", F.posexplode("k.times").alias("place", "time"))

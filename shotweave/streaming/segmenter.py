@@ -2,57 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..sources.tables import file_system
 
-STATE = StructType([StructField("frame", LongType()), StructField("run_first", LongType()), StructField("kept", LongType())])
+FRAME = StructType([StructField("frame", LongType()), StructField("prob", DoubleType())])
+STATE = StructType([StructField("latest", LongType()), StructField("run_first", LongType()), StructField("run_last", LongType()), StructField("kept", LongType())])
 
 
 class CutState(StatefulProcessor):
-    """Per video: the last frame seen, where the open run began, and the last cut that was kept. A frame that arrives after
-    a later one of its video can't change what was decided; it is handed out as ``late``."""
+    """Per video: frames that wait for the watermark to pass them, and of those before it the latest one, the open run and the last cut that was kept.
 
-    def __init__(self, threshold: float, least: int):
-        self.threshold, self.least = threshold, least
+    Frames come in any order; each is judged once the watermark has passed its end, so that none before it can still come. A timer at the end of the first waiting frame sees to
+    that, also where a video gets no more frames; one that has had none for ``idle`` milliseconds has ended, and so has its open run.
+    Of several rows of a frame the highest signal counts."""
+
+    def __init__(self, threshold: float, least: int, step: int, idle: int):
+        self.threshold, self.least, self.step, self.idle = threshold, least, step, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("cut", STATE)
+        self.handle = handle
+        self.state, self.waiting = handle.getValueState("cut", STATE), handle.getListState("waiting", FRAME)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, first, kept = self.state.get() if self.state.exists() else (-1, -1, 0)
+        for batch in rows:
+            self.waiting.appendList(list(batch[["frame", "prob"]].itertuples(index=False, name=None)))
+        yield from self._judged(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._judged(key, timerValues.getCurrentWatermarkInMs())
+
+    def _judged(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        latest, first, last, kept = self.state.get() if self.state.exists() else (-1, -1, -1, 0)
+        held = list(self.waiting.get())
+        now: dict[int, float] = {}
+        for frame, prob in held:
+            if (frame + 1) * self.step <= watermark:
+                now[frame] = max(prob, now.get(frame, prob))
+        later = [(frame, prob) for frame, prob in held if (frame + 1) * self.step > watermark]
         out = []
-        for frame, prob in pd.concat(rows).sort_values("frame")[["frame", "prob"]].itertuples(index=False):
-            if frame <= last:
-                out.append((key[0], None, frame))
-                continue
-            last = frame
-            if prob > self.threshold:
-                first = frame if first < 0 else first
-            elif first >= 0:
-                cut = (first + frame - 1 + 2) // 2
-                first = -1
+
+        def ended() -> None:
+            nonlocal first, last, kept
+            if first >= 0:
+                cut = (first + last + 2) // 2
                 if cut > 0 and cut - kept >= self.least:
                     kept = cut
-                    out.append((key[0], cut, None))
-        self.state.update((last, first, kept))
-        yield pd.DataFrame(out, columns=["video", "cut", "late"]).astype({"cut": "Int64", "late": "Int64"})
+                    out.append((key[0], cut))
+            first = last = -1
+
+        for frame in sorted(now):
+            latest = max(latest, frame)
+            if now[frame] > self.threshold:
+                first, last = frame if first < 0 else first, frame
+            else:
+                ended()
+        close = (latest + 1) * self.step + self.idle
+        if not later and latest >= 0 and close <= watermark:
+            ended()
+        if len(later) < len(held):
+            self.waiting.clear()
+            if later:
+                self.waiting.appendList(later)
+        self.state.update((latest, first, last, kept))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = (min(frame for frame, _ in later) + 1) * self.step if later else close if first >= 0 else None
+        if due is not None:
+            self.handle.registerTimer(due)
+        if out:
+            yield pd.DataFrame(out, columns=["video", "cut"])
 
     def close(self) -> None:
         pass
 
 
-def streamed_cuts(frames: DataFrame, threshold: float, least: int) -> DataFrame:
-    """Kept cuts of a stream of video, frame, prob, each as soon as its run has ended, and frames that came too late to be
-    judged: video, cut, late (one of the two null). Needs the RocksDB state store."""
-    told = "video long, cut long, late long"
-    return frames.groupBy("video").transformWithStateInPandas(CutState(threshold, least), outputStructType=told, outputMode="Append", timeMode="None")
+def streamed_cuts(frames: DataFrame, threshold: float, least: int, step: int, delay: str, idle: int) -> DataFrame:
+    """Kept cuts of a stream of video, frame, prob, ts, in whatever order frames come within ``delay``: video, cut. ``step`` and ``idle``: milliseconds of a frame, and without one
+    after which a video has ended. Frames later than the delay are the stream's own late rows (it counts them). Needs the RocksDB state store."""
+    rows = frames.withWatermark("ts", delay).groupBy("video")
+    return rows.transformWithStateInPandas(CutState(threshold, least, step, idle), outputStructType="video long, cut long", outputMode="Append", timeMode="EventTime")
 
 
 def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
@@ -67,11 +102,35 @@ def unseen(frames: DataFrame, store: DataFrame, key: str = "frame_hash") -> Data
     return frames.dropDuplicates([key]).join(store.select(key), key, "left_anti")
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, one file or a folder of files, as a stream of its files."""
+def infer_into(frames: DataFrame, batch: int, store: str, infer: Callable[[DataFrame], DataFrame], key: str = "frame_hash") -> None:
+    """One batch of a stream of frames: ``infer`` what is unseen and put it into the ``store``, a folder of one part for each batch. A batch that comes again after a
+    failure finds its part whole and infers nothing, or replaces what was left of it; other parts are never touched. So each hash is in the store once."""
+    spark = frames.sparkSession
+    files, where = file_system(spark, store)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if files.exists(path(f"{store}/batch={batch}/_SUCCESS")):
+        return
+    earlier = [str(f.getPath()) for f in (files.listStatus(where) if files.exists(where) else []) if 0 <= int(str(f.getPath().getName()).partition("=")[2] or -1) < batch]
+    new = unseen(frames, spark.read.parquet(*earlier), key) if earlier else frames.dropDuplicates([key])
+    infer(new).write.mode("overwrite").parquet(f"{store}/batch={batch}")
+
+
+def inferred(spark: SparkSession, store: str) -> DataFrame:
+    """All that the store has, with the batch that it came in."""
+    return spark.read.option("basePath", store).parquet(f"{store}/batch=*")
+
+
+def infer_to_end(frames: DataFrame, store: str, checkpoint: str, infer: Callable[[DataFrame], DataFrame], key: str = "frame_hash") -> None:
+    """Infer all frames of a stream that are there now, each hash once over all runs with this store and checkpoint."""
+    writer = frames.writeStream.foreachBatch(lambda rows, batch: infer_into(rows, batch, store, infer, key))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_stream(spark: SparkSession, sf_dir: str, name: str, at_once: int = 1000) -> DataFrame:
+    """A table of the folder, one file or a folder of files, as a stream of its files, so many in a batch."""
     path = f"{sf_dir}/{name}.parquet"
     files, where = file_system(spark, path)
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", at_once)
     if files.getFileStatus(where).isDirectory():
         return reader.option("pathGlobFilter", "*.parquet").parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

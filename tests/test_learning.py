@@ -165,32 +165,6 @@ def test_sessions_of_a_folder_of_files(spark, tmp_path):
     assert told == closed and 0 < len(told) <= len(every)
 
 
-def test_late_frames_are_handed_out():
-    class Handle:
-        value = None
-
-        def getValueState(self, *_):
-            return self
-
-        def exists(self):
-            return self.value is not None
-
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.value = value
-
-    import pandas as pd
-
-    state = segmenter.CutState(0.5, 2)
-    state.init(Handle())
-    batches = [[(0, 0.1), (5, 0.9), (6, 0.1)], [(3, 0.9), (6, 0.9), (8, 0.7), (9, 0.2)]]
-    out = [tuple(r) for b in batches for part in state.handleInputRows(("v",), iter([pd.DataFrame(b, columns=["frame", "prob"])]), None) for r in part.astype(object).itertuples(index=False)]
-    told = [(r[1] if pd.notna(r[1]) else None, r[2] if pd.notna(r[2]) else None) for r in out]
-    assert told == [(6, None), (None, 3), (None, 6), (9, None)]
-
-
 def test_held_out_thresholds_and_combinations(spark):
     rng = np.random.default_rng(5)
     rows = []
