@@ -108,7 +108,8 @@ def candidates(detections: DataFrame, tiers: DataFrame, floor: float, least: flo
     rows = with_relevance(type_groups(detections), "seen").join(tiers, "type_id", "left")
     rows = rows.withColumn("hidden_reason", hidden_reason(F.col("score"), F.col("relevance"), F.col("tier"), floor, least))
     rows = rows.withColumn("displayed", F.col("hidden_reason").isNull())
-    order = Window.partitionBy("scene").orderBy(F.desc("displayed"), F.desc(F.round(F.col("relevance") * F.col("score"), 9)), "type_id")
+    # As it is told: by the confidence to 4 places.
+    order = Window.partitionBy("scene").orderBy(F.desc("displayed"), F.desc(F.round(F.col("relevance") * F.bround("score", 4), 9)), "type_id")
     return rows.withColumn("place", F.row_number().over(order).cast("long"))
 
 
@@ -129,6 +130,45 @@ def assembled(candidates: DataFrame, credit: DataFrame) -> DataFrame:
     )
 
 
+#: Raw detections that a candidate's debug block lists.
+MOST_RAW = 12
+
+
+def documents(candidates: DataFrame, credit: DataFrame, detections: DataFrame, scenes: DataFrame, contexts: DataFrame, floor: float) -> DataFrame:
+    """One nested document for each scene: scene, unique_shots, unique_shots_analysed, context (venue, venue_category, venue_confidence, environment), categories_present
+    (in order: of shown candidates and of the venue) and candidates, in order of place: what :func:`assembled` tells of each, and
+    category, color, best (det, shot, box), occurrences in order of time, and debug (size, centrality and persistence as factors, the confidence that was needed, the
+    shots it was detected in, its MOST_RAW best raw detections).
+
+    ``candidates``: from :func:`candidates` with key, label, color, category. ``credit``: from :func:`credited`. ``detections``: scene, type_id, det, score,
+    shot, box columns. ``scenes``: scene, unique_shots. ``contexts``: scene, venue, venue_category, venue_confidence, environment. Scenes without
+    candidates have an empty list. Lists are as long as a scene has types, shots of a set-up and, in debug, at most MOST_RAW."""
+    key = ["scene", "type_id"]
+    told = assembled(candidates, credit)
+    seen = credit.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "shot", "unit", "detected"))).alias("occurrences"))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "det"))
+    raw = detections.select(*key, "det", "score", "shot", F.struct("x1", "y1", "x2", "y2").alias("box")).withColumn("turn", turn)
+    first = F.when(F.col("turn") <= MOST_RAW, F.struct("turn", "det", F.bround("score", 4).alias("score"), "shot", "box"))
+    raw = raw.groupBy(*key).agg(F.array_sort(F.collect_list(first)).alias("raw"), F.array_sort(F.collect_set("shot")).alias("shots"), F.max_by("shot", -F.col("turn")).alias("shot"))
+    need = F.greatest(F.lit(floor), F.coalesce("tier", F.lit(0.0)))
+    best = F.struct("det", F.struct("x1", "y1", "x2", "y2").alias("box")).alias("best")
+    more = candidates.select(*key, "category", F.when(F.col("displayed"), F.col("color")).alias("color"), best, F.struct("size", "centrality", "persistence").alias("factors"), need.alias("need"))
+    empty = lambda c, like: F.coalesce(c, F.filter(like, lambda x: F.lit(False)))
+    rows = told.join(more, key).join(seen, key, "left").join(raw, key, "left")
+    debug = F.struct("factors", F.col("need").alias("threshold"), F.col("shots").alias("unique_shot_ids"), F.transform("raw", lambda r: r.dropFields("turn")).alias("detections")).alias("debug")
+    flat = [c for c in told.columns if c not in ("scene", "place")]
+    rows = rows.withColumn("occurrences", empty(F.col("occurrences"), F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in seen.schema["occurrences"].dataType.elementType]))))
+    one = F.struct("place", *flat, "category", "color", F.col("best").withField("shot", F.col("shot")).alias("best"), "occurrences", debug)
+    listed = rows.groupBy("scene").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+    analysed = detections.groupBy("scene").agg(F.countDistinct("shot").alias("unique_shots_analysed"))
+    out = scenes.join(listed, "scene", "left").join(analysed, "scene", "left").join(contexts, "scene", "left")
+    shown = F.transform(F.filter("candidates", lambda c: c["displayed"]), lambda c: c["category"])
+    present = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce(shown, F.array()), F.array("venue_category")))))
+    context = F.struct("venue", "venue_category", "venue_confidence", "environment").alias("context")
+    kind = listed.schema["candidates"].dataType.simpleString()
+    return out.select("scene", "unique_shots", F.coalesce("unique_shots_analysed", F.lit(0).cast("long")).alias("unique_shots_analysed"), context, present.alias("categories_present"), F.coalesce("candidates", F.array().cast(kind)).alias("candidates"))
+
+
 def run_summary(shots: DataFrame, frames: DataFrame, candidates: DataFrame) -> DataFrame:
     """The twelve counters of a run, one row. ``shots``: scene, unit (the set-up). ``frames``: a row for each frame that was
     needed: scene, unit, state ('inferred', 'cached' or 'skipped'), seconds (of inference). ``candidates``: displayed."""

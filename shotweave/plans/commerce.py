@@ -143,9 +143,9 @@ c AS (SELECT dt.scene, type_id, oc.shot, min(dt.unit) AS unit, arg_min(CAST(oc.s
   FROM dt JOIN oc ON oc.scene = dt.scene AND oc.unit = dt.unit JOIN rp ON rp.scene = dt.scene AND rp.unit = dt.unit GROUP BY dt.scene, type_id, oc.shot)"""
 
 
-def _credit(spark, sf_dir) -> DataFrame:
+def _credit(spark, sf_dir, detections: DataFrame | None = None) -> DataFrame:
     """A unit is seen where its lines lie; what its first line shows counts for all of them."""
-    detections = order_detections(spark, sf_dir).withColumn("unit", F.col("shot").cast("string"))
+    detections = (detections or order_detections(spark, sf_dir)).withColumn("unit", F.col("shot").cast("string"))
     lines = table(spark, sf_dir, "lineitem")
     occ = lines.select(F.col("l_orderkey").alias("scene"), F.pmod("l_suppkey", F.lit(5)).cast("string").alias("unit"), F.col("l_linenumber").cast("long").alias("shot")).distinct()
     occ = occ.withColumn("start", F.col("shot") * 4.0).withColumn("end", F.col("shot") * 4.0 + 4)
@@ -174,6 +174,39 @@ def commercial_result(spark, sf_dir):
     return boxes.assembled(rows.withColumns({"key": key, "color": color, "label": F.col("type_id")}), _credit(spark, sf_dir))
 
 
+@query(f"""WITH {TYPES}, {CREDIT},
+oc2 AS (SELECT scene, type_id, count(*) AS seen_count, string_agg(shot || ':' || unit || ':' || CASE WHEN detected THEN 'y' ELSE 'n' END, ',' ORDER BY shot) AS occ FROM c GROUP BY scene, type_id),
+pl AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY hidden_reason IS NULL DESC, round(relevance * round_even(score, 4), 9) DESC, type_id) AS place FROM cd),
+rw AS (SELECT scene, type_id, string_agg(det, ',' ORDER BY score DESC, det) FILTER (turn <= {boxes.MOST_RAW}) AS raw, string_agg(DISTINCT shot, ',' ORDER BY shot) AS shots, arg_min(shot, turn) AS best_shot
+  FROM (SELECT *, row_number() OVER (PARTITION BY scene, type_id ORDER BY score DESC, det) AS turn FROM d) GROUP BY scene, type_id),
+ln AS (SELECT scene, string_agg(concat_ws('|', place, type_id, CASE WHEN hidden_reason IS NULL THEN 'shown' ELSE hidden_reason END, CAST(round(relevance * 10000) AS BIGINT), coalesce(seen_count, 0), det, best_shot, coalesce(occ, ''), raw, shots), chr(10) ORDER BY place) AS lines,
+  list_distinct(list(split_part(type_id, ' ', 1)) FILTER (hidden_reason IS NULL)) AS cats FROM pl LEFT JOIN oc2 USING (scene, type_id) JOIN rw USING (scene, type_id) GROUP BY scene),
+ct AS (SELECT o_orderkey AS scene, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS venue FROM orders),
+us AS (SELECT l_orderkey AS scene, count(DISTINCT l_suppkey % 5) AS n FROM lineitem GROUP BY 1)
+SELECT us.scene, us.n AS unique_shots, (SELECT count(DISTINCT shot) FROM d WHERE d.scene = us.scene) AS unique_shots_analysed, venue,
+  array_to_string(list_sort(list_distinct(coalesce(cats, []) || CASE WHEN venue IS NULL THEN [] ELSE ['VENUE'] END)), ',') AS categories, coalesce(lines, '') AS lines
+FROM us LEFT JOIN ln ON ln.scene = us.scene LEFT JOIN ct ON ct.scene = us.scene""")
+def commercial_documents(spark, sf_dir):
+    """The nested document of each scene, its parts told in lines."""
+    from ..sources.tables import materialised
+
+    detections = materialised(order_detections(spark, sf_dir), "detections")
+    rows = boxes.candidates(detections, _tiers(spark, sf_dir), 0.4, 0.45)
+    key = boxes.candidate_key(F.col("type_id"), F.col("det").cast("string"), [F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    rows = rows.withColumns({"key": key, "color": F.lit("red"), "label": F.col("type_id"), "category": F.split_part("type_id", F.lit(" "), F.lit(1))})
+    scenes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scene")).agg(F.countDistinct(F.pmod("l_suppkey", F.lit(5))).alias("unique_shots"))
+    venue = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    contexts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene"), venue.alias("venue"), F.when(venue.isNotNull(), "VENUE").alias("venue_category"), F.lit(0.9).alias("venue_confidence"), F.lit("indoors").alias("environment"))
+    docs = boxes.documents(rows, _credit(spark, sf_dir, detections), detections, scenes, contexts, 0.4)
+    occ = lambda c: F.array_join(F.transform(c["occurrences"], lambda o: F.concat_ws(":", o["shot"], o["unit"], F.when(o["detected"], "y").otherwise("n"))), ",")
+    line = lambda c: F.concat_ws(
+        "|", c["place"], c["type_id"], F.when(c["displayed"], "shown").otherwise(c["hidden_reason"]), F.round(c["relevance"] * 10000).cast("long"), c["seen_count"], c["best"]["det"], c["best"]["shot"],
+        occ(c), F.array_join(F.transform(c["debug"]["detections"], lambda d: d["det"].cast("string")), ","), F.array_join(c["debug"]["unique_shot_ids"].cast("array<string>"), ","),
+    )
+    lines = F.array_join(F.transform("candidates", line), "\n").alias("lines")
+    return docs.select("scene", "unique_shots", "unique_shots_analysed", "context.venue", F.array_join("categories_present", ",").alias("categories"), lines)
+
+
 @query("""WITH t AS (SELECT p_type AS type_id, min(p_partkey) AS place, list_sort(list(DISTINCT p_brand)) AS prompts FROM part GROUP BY p_type),
 p AS (SELECT place, type_id, unnest(prompts) AS prompt, unnest(range(0, len(prompts))) AS at_ FROM t)
 SELECT left(sha1('[' || string_agg('["' || prompt || '", "' || type_id || '"]', ', ' ORDER BY place, at_) || ']'), 10) AS prompts_hash FROM p""")
