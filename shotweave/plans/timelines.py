@@ -65,6 +65,20 @@ def shots_from_cuts(spark, sf_dir):
     return _shots(spark, sf_dir)
 
 
+@query(f"WITH RECURSIVE {SHOTS} SELECT * FROM s")
+def staged_shots(spark, sf_dir):
+    """The same shots by stages that are kept: signals, cuts, shots, each found again where nothing before it changed."""
+    from ..sources.stages import StageStore
+    from ..sources.tables import shared_folder
+
+    store = StageStore(spark, f"{shared_folder(spark)}/stages")
+    events = store.source(f"{sf_dir}/events.parquet")
+    frames = store.stage("frames", lambda _: event_frames(spark, sf_dir), [events])
+    cuts = store.stage("cuts", lambda f: timeline.cuts(f, EVENT_THRESHOLD), [frames], {"threshold": EVENT_THRESHOLD})
+    shots = store.stage("shots", lambda f, c: timeline.shots_from_cuts(timeline.merge_short(c, LEAST), event_videos(f)), [frames, cuts], {"least": LEAST})
+    return shots.rows
+
+
 @query(f"""WITH RECURSIVE {SHOTS}
   SELECT video, shot, p.pos, CAST(least(start_frame + floor(p.p * greatest(1, end_frame - start_frame)), end_frame - 1) AS BIGINT) AS frame
 FROM s, (VALUES (0, 0.15::DOUBLE), (1, 0.5::DOUBLE), (2, 0.85::DOUBLE)) AS p(pos, p)""")
