@@ -137,7 +137,8 @@ class PrefixTable:
         if self._piece[0] != k:
             end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
             piece, counts = self.text[self.starts[k] : end], None
-            if k not in self.stops and EVEN.fullmatch(piece) and not piece.startswith("'"):
+            # A contraction splits otherwise before its letters; marks alone don't.
+            if k not in self.stops and EVEN.fullmatch(piece) and not (piece.startswith("'") and piece[1:2].isalpha()):
                 of_bytes, counts, at = self.counter.prefixes(piece.encode()), [0], 0
                 for char in piece:
                     at += len(char.encode())

@@ -277,3 +277,21 @@ def test_changed_texts_keep_their_name():
             best = max(scanner.scan(f"Copyright 2020 Foo. {changed} And more of it."), key=lambda x: x[3] - x[2])
             assert best[0] == name, (name, at, best)
     assert [x[0] for x in scanner.scan(licenses._BSD_HEAD)] == ["BSD"]
+
+
+def test_runs_of_marks_are_looked_up():
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    counter = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a " + "'" * 70 + "s it's", "'" * 33 + "!'ll", " ''''ve'", "x" + "'!" * 30):
+        table = tokens.PrefixTable(counter, text)
+        n = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert [table.at(i) for i in range(len(text) + 1)] == n
+        assert all(table.longest_within(b) == max(i for i, x in enumerate(n) if x <= b) for b in range(max(n) + 1))
+    began = time.time()
+    table = tokens.PrefixTable(counter, "'" * 20_000)
+    assert 0 < table.longest_within(200) < 20_000 and time.time() - began < 5
