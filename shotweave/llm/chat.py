@@ -391,7 +391,8 @@ def read_turn(text: str) -> tuple[str, str]:
 
 def in_order(conversations: DataFrame) -> DataFrame:
     """Turns dealt by conversation and sorted; ties of one turn number go by role, then text.
-    Null numbers come first; null roles and texts count as empty."""
+    Null numbers come first; null roles and texts count as empty. An empty table gives an empty one. Extra columns, of whatever
+    name, are not read."""
     spark = conversations.sparkSession
     rows = columns(conversations, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -401,7 +402,7 @@ def in_order(conversations: DataFrame) -> DataFrame:
 def rendered(turns: DataFrame, template: str = CHATML) -> DataFrame:
     """Format each turn with the compiled per-turn template (its name ``m``), row by row: conv_id, turn, formatted
     and the loss mask as [begin, end) pairs of code points in ``formatted``. Keeps the order of ``turns``.
-    A whole conversation's text is these rows joined; no row holds more than one turn."""
+    A whole conversation's text is these rows joined; no row holds more than one turn. An empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
@@ -426,7 +427,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     long a conversation is. ``formatted`` comes from :func:`rendered` over :func:`in_order`.
 
     Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A null conv_id is a
-    conversation of its own. Rows that repeat are turns like any other."""
+    conversation of its own. Rows that repeat are turns like any other. An empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()

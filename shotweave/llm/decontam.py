@@ -244,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
     Null texts count as empty and match nothing; items of a null id aren't looked for. Texts of one doc_id (null is one
     too) are judged apart; of several that hold an item, the row tells of the one with most template windows. Equal items
-    each give a pair. Extra columns are not read.
+    each give a pair. An empty table of either gives an empty one. Extra columns, of whatever name, are not read. Texts are searched whole.
     """
     found = _found(_texts(docs), benchmark, window, coverage, literal)
     order = F.struct(-F.col("n_matched"), "turn", "n_slots", "n_changed")

@@ -21,7 +21,8 @@ def exact_groups(docs: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
     group_size, kept, text_sha256. A null text counts as empty; empty texts are equal to each other.
     A null doc_id counts as larger than any other; a group of only null ids keeps them, with a null
     keep_id. Rows that repeat a doc_id with an equal text share one result, count in group_size and
-    are all marked kept if theirs is the smallest id. Other columns of ``docs`` are not looked at.
+    are all marked kept if theirs is the smallest id. An empty table gives an empty one. Other columns of ``docs``, of whatever
+    name, are not looked at.
 
     Hashes are pre-aggregated before they are shuffled. Texts are dealt by id, so a hot group spreads
     over all tasks; its members then meet copies of their representative under salted keys. A member

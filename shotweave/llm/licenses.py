@@ -203,7 +203,8 @@ def license_notices(docs: DataFrame, templates: Templates | None = None, thresho
     Returns one row per notice: doc_id, license, dice, begin_word, end_word. Windows overlap no other; what shares
     more bigrams, times its coefficient, wins, so a heading that several licences share doesn't name a text that is nearly one of them whole; ties by
     coefficient, place, length and name. Templates of one word have no bigrams and match nothing. Null and empty texts have no rows;
-    a null doc_id is kept; rows that repeat give rows that repeat; extra columns are not read.
+    a null doc_id is kept; rows that repeat give rows that repeat; extra columns are not read; an empty table gives an empty one. Texts are scanned
+    whole, one after the other.
     """
     templates = templates if templates is not None else notices()
 

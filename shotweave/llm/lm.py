@@ -205,7 +205,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, rereadable: bool = False) ->
     Returns one row per row: doc_id, n_words, log_score (natural logarithm, summed over the words), mean_log_score
     (per word). Words are separated by white space and unchanged. A text without words, or null, scores 0.
     A word that no other text has counts UNSEEN. If no other text has any words, N counts as 1. Rows that repeat are
-    texts of their own, and vouch for each other. Null ids are kept. Extra columns are not read.
+    texts of their own, and vouch for each other. Null ids are kept. An empty table gives an empty one. Extra columns, of whatever name, are not read.
+    A text of any length is scored whole; it is a chunk of its own, some 100 bytes a word in a task.
     ``docs`` is read twice and stored first, unless it is ``rereadable``: straight from files.
     """
     source = columns(whole_ids(docs), "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), text_or_empty().alias("text"))

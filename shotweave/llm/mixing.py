@@ -88,7 +88,7 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repetition:
     Sorting by pass, block_key, doc_key gives the order, all sources interleaved block by block.
     With the default budget every row of ``docs`` is used at least once. A null source counts as ''. Rows of a null
     doc_id are dealt by their texts. Rows that repeat are rows of their own, told apart only where the quota cuts a block,
-    in no stated order. Empty texts count one token. No rows give no rows.
+    in no stated order. Empty texts count one token. No rows give no rows. Extra columns, of whatever name, are not read.
     """
     rows = stored(measured(docs), "mixing-documents")
     sizes = stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mixing-sources")

@@ -192,7 +192,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     Returns one row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= ``threshold``).
     Learns only from labelled rows that aren't held out; scores use nothing but the text. Null texts count as empty;
     a null doc_id is held out; a null quality is no label; labels that repeat a doc_id with other values count as
-    their mean, rounded. With no labels to learn from every score is 1. Extra columns are not read.
+    their mean, rounded. With no labels to learn from every score is 1. An empty table gives an empty one. Extra columns, of whatever name, are not read. Whole
+    texts are measured, in slices; a task holds an Arrow batch of them.
     """
     measures = stored(measured(docs), "quality-statistics")
     marks = columns(labels, "doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("double").alias("y"))

@@ -461,7 +461,8 @@ def similar_classes(docs: DataFrame, n_words: int = SHINGLE, similarity: float =
     missed if no least hash is equal (0.2 ** MEETINGS at the threshold; among the more than TILE texts of a hot least
     hash, if no second one is), by SimHash (MISSED) or by the sketch (about
     1e-7), unless other texts connect the two. Null texts count as empty; empty texts are similar to each other. Null ids have no
-    row. Rows that repeat a doc_id are one node, linked by any of their texts.
+    row. Rows that repeat a doc_id are one node, linked by any of their texts. An empty table gives an empty one. Extra columns, of
+    whatever name, are not read. A text of any length is sketched whole, some 100 bytes a word in a task.
     """
     rows = columns(whole_ids(docs), "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
     sketches = stored(sketched(rows, n_words), "sketches")

@@ -106,7 +106,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER
     spans (maximal removed runs of words as [begin, end) pairs, flat).
     Null texts have no words. A null doc_id is later than any other, and null ones aren't earlier than each other.
     Rows that repeat a doc_id aren't earlier than each other either; each is judged by its own text. Texts of fewer
-    words than a window lose nothing. Extra columns are not read. Windows are compared by a 64-bit hash.
+    words than a window lose nothing. An empty table gives an empty one. Extra columns, of whatever name, are not read. Windows are
+    compared by a 64-bit hash. A text of any length is cleaned whole; it is a chunk of its own, some 100 bytes a word in a task.
     ``docs`` is read twice and stored first, unless it is ``rereadable``: straight from files.
     """
     source = columns(whole_ids(docs), "doc_id", "text").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))

@@ -193,7 +193,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> D
 
     Returns one row per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``). Null texts
     count as empty (0 tokens); a null doc_id is kept; repeated rows give repeated rows; extra columns
-    are not read. ``vocabulary_path`` must exist on the executors, as an installed package does.
+    are not read; an empty table gives an empty one. Texts are counted whole, one after the other. ``vocabulary_path`` must exist on the executors, as an installed package does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
