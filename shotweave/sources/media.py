@@ -82,6 +82,32 @@ def resolved(wanted: DataFrame, places: DataFrame) -> DataFrame:
     return wanted.select("stem").distinct().join(best, "stem", "left").select("stem", F.coalesce("kind", F.lit("missing")).alias("kind"), "path")
 
 
+# Fixed value: the flag by which a file system marks a file whose bytes are elsewhere.
+DATALESS = 0x40000000
+
+
+def dataless(flags: Column) -> Column:
+    """Whether a file is a placeholder, by its flags (null where the file system has none)."""
+    return F.coalesce(flags.bitwiseAND(F.lit(DATALESS)) != 0, F.lit(False))
+
+
+def relocated(recorded: DataFrame, files: DataFrame, folders: list[str]) -> DataFrame:
+    """Where recorded paths are now: video, recorded, path, status. ``recorded``: video, path. ``files``: path and flags of all files there are.
+
+    A path that exists is 'here'; else the file of the same name in the first of the ``folders`` that has one is where it was 'moved'; else the recorded path is
+    'missing'. A file found whose bytes are elsewhere is a 'placeholder'. Repeated rows give repeated rows."""
+    name = F.substring_index("path", "/", -1)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    rank = F.array_position(F.array(*[F.lit(f.rstrip("/")) for f in folders]).cast("array<string>"), folder)
+    known = files.groupBy("path").agg(F.bit_or(F.coalesce("flags", F.lit(0)).cast("long")).alias("flags"))
+    there = known.where(rank > 0).groupBy(name.alias("name")).agg(F.min(F.struct(rank.alias("rank"), "path", "flags")).alias("moved"))
+    rows = recorded.select("video", F.col("path").alias("recorded"), name.alias("name")).join(known.withColumnsRenamed({"path": "recorded", "flags": "own"}), "recorded", "left").join(there, "name", "left")
+    here = F.col("own").isNotNull()
+    flags = F.when(here, F.col("own")).otherwise(F.col("moved.flags"))
+    status = F.when(flags.isNull(), "missing").when(dataless(flags), "placeholder").when(here, "here").otherwise("moved")
+    return rows.select("video", "recorded", F.when(here, F.col("recorded")).otherwise(F.coalesce("moved.path", "recorded")).alias("path"), status.alias("status"))
+
+
 # --- models ----------------------------------------------------------------------------------------
 #: A model's factory by name; it is called once in each worker and returns a function of a frame of rows.
 Model = Callable[[pd.DataFrame], pd.DataFrame]

@@ -360,3 +360,14 @@ def test_datasets_and_pairs(spark):
     pairs = spark.createDataFrame([(1,), (2,), (3,)], "pair long")
     marks = spark.createDataFrame([(1, "D"), (2, "N"), (3, "U")], "pair long, label string")
     assert {r.pair: r.duplicate for r in diagnose.labelled_pairs(pairs, marks).collect()} == {1: True, 2: False}
+
+
+def test_moved_and_placeholder_files(spark):
+    files = [("/v/a.mp4", 0), ("/up/b.mp4", 0), ("/old/b.mp4", 0), ("/cache/c.mov", media.DATALESS), ("/v/d.mp4", media.DATALESS | 4), ("/else/e.mp4", None), ("/up/f.mp4", None), ("/v/f.mp4", 1)]
+    recorded = [("a", "/v/a.mp4"), ("b", "/gone/b.mp4"), ("c", "/gone/c.mov"), ("d", "/v/d.mp4"), ("e", "/gone/e.mp4"), ("f", "/x/f.mp4"), ("f", "/x/f.mp4"), ("n", None)]
+    got = media.relocated(spark.createDataFrame(recorded, "video string, path string"), spark.createDataFrame(files, "path string, flags long"), ["/up/", "/v", "/cache"]).collect()
+    assert sorted((r.video, r.path, r.status) for r in got if r.video != "n") == [
+        ("a", "/v/a.mp4", "here"), ("b", "/up/b.mp4", "moved"), ("c", "/cache/c.mov", "placeholder"), ("d", "/v/d.mp4", "placeholder"),
+        ("e", "/gone/e.mp4", "missing"), ("f", "/up/f.mp4", "moved"), ("f", "/up/f.mp4", "moved"),
+    ]
+    assert [(r.path, r.status) for r in got if r.video == "n"] == [(None, "missing")]
