@@ -13,7 +13,6 @@ from test_scenes import SHOTS, P, reel
 
 from shotweave.operators import boxes, context, diagnose, labels, learn, metrics, scenes, tune
 from shotweave.sources import files
-from shotweave.streaming import segmenter
 
 
 def videos_of(spark, n):
