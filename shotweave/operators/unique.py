@@ -145,10 +145,11 @@ def clusters(shots: DataFrame, pairs: DataFrame, p: Unique) -> DataFrame:
     exact_unions(pairs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in shots.schema}
     edges = pairs.where(1 - F.col("prob") <= 1 - p.duplicate_threshold + 1e-12)
-    roots = materialised(_roots(edges, kinds), "roots")
+    roots = _roots(edges, kinds)
     if p.linkage == "single":
         grouped = roots.select(*KEYS, "shot", F.col("root").alias("first"))
     else:
+        roots = materialised(roots, "roots")
         sizes = roots.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "root")) > 2)
         large = sizes.where("many").select(*KEYS, "shot", "root")
         own = large.select(*KEYS, F.col("shot").alias("i"), "root"), large.select(*KEYS, F.col("shot").alias("j"), F.col("root").alias("other"))
