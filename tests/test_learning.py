@@ -80,6 +80,35 @@ def test_sums_in_ranges_match_plain_ones(spark):
     assert diagnose.rank_auc(df, "s", "y", []).first().n == len(rows)
 
 
+def test_held_out_thresholds_are_the_best_of_the_others(spark, monkeypatch):
+    """Against every cut of every other group, with ties, scores of one group only and one score in all; and no table has a row for each group and score."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for by, groups, levels in (("a", 25, 400), ("b", 3, 4), ("c", 2, 1), ("d", 6, 100_000)):
+        for g in range(groups):
+            for _ in range(int(rng.integers(1, 30))):
+                x = float(rng.integers(levels)) / 8 + (g == 1) * 1000 * (by == "b")
+                rows.append((by, g, x, bool(rng.random() < 0.2 + 0.5 * x / (levels / 8))))
+    df = spark.createDataFrame(rows, "by string, g int, x double, y boolean")
+    sizes = []
+    kept = diagnose.materialised
+    monkeypatch.setattr(diagnose, "materialised", lambda df, name: (out := kept(df, name), sizes.append(out.count()))[0])
+    got = {(r["by"], r.g): (r.low, r.high) for r in diagnose._best_of_the_others(df, "x", "y", "g", ["by"], True).collect()}
+    assert max(sizes) <= len(rows)
+    for by, g in {r[:2] for r in rows}:
+        others = [(x, y) for b, o, x, y in rows if b == by and o != g]
+        scores = sorted({x for x, _ in others})
+        positive = sum(y for _, y in others)
+        f1 = lambda t: 2 * sum(y for x, y in others if x > t) / (sum(x > t for x, _ in others) + positive)
+        best = max(range(len(scores) - 1), key=lambda i: (f1(scores[i]), -i), default=None)
+        assert got[by, g] == ((scores[0], None) if best is None else (scores[best], scores[best + 1])), (by, g)
+    cut = {(r["by"], r.g): r["cut"] for r in diagnose.left_out_threshold(df, "x", "y", "g", ("by",)).collect()}
+    for by, g in {r[:2] for r in rows}:
+        others = [(x, y) for b, o, x, y in rows if b == by and o != g]
+        f1 = lambda t: 2 * sum(y for x, y in others if x >= t) / (sum(x >= t for x, _ in others) + sum(y for _, y in others))
+        assert cut[by, g] == min({x for x, _ in others}, key=lambda t: (-f1(t), t)), (by, g)
+
+
 def test_thresholds_of_the_others(spark):
     rows = ranked_rows(300)
     df = spark.createDataFrame(rows, "g string, s double, y boolean")
