@@ -95,17 +95,19 @@ def credited(detections: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def type_groups(detections: DataFrame) -> DataFrame:
     """Detections of one type in a scene: scene, type_id, detections, shots, most in one frame, the best one's columns."""
-    w = Window.partitionBy("scene", "type_id", "shot")
-    rows = detections.withColumn("in_frame", F.count(F.lit(1)).over(w)).withColumn("area", area())
-    best = F.max_by(F.struct("det", "score", "base", "x1", "y1", "x2", "y2"), F.struct("score", "area", -F.col("det"))).alias("best")
-    rows = rows.groupBy("scene", "type_id").agg(F.count(F.lit(1)).alias("detections"), F.countDistinct("shot").alias("seen"), F.max("in_frame").alias("max_instances"), best)
-    return rows.select("scene", "type_id", "detections", "seen", "max_instances", "best.*")
+    entry, key = F.struct("det", "score", "base", "x1", "y1", "x2", "y2"), F.struct("score", "area", -F.col("det"))
+    rows = detections.withColumn("area", area()).groupBy("scene", "type_id", "shot")
+    rows = rows.agg(F.count(F.lit(1)).alias("in_frame"), F.max(F.struct(key.alias("key"), entry.alias("best"))).alias("b"))
+    # A null shot is a frame, but not one of the shots that are seen.
+    rows = rows.groupBy("scene", "type_id").agg(F.sum("in_frame").alias("detections"), F.count("shot").alias("seen"), F.max("in_frame").alias("max_instances"), F.max("b").alias("b"))
+    return rows.select("scene", "type_id", "detections", "seen", "max_instances", "b.best.*")
 
 
 def candidates(detections: DataFrame, tiers: DataFrame, floor: float, least: float) -> DataFrame:
     """Ranked candidates of each scene: shown ones first, then by relevance times confidence: adds relevance,
     hidden_reason, displayed, place. ``tiers``: type_id, tier."""
-    rows = with_relevance(type_groups(detections), "seen").join(tiers, "type_id", "left")
+    few = tiers.limit(MOST_PROMPTS + 1).count() <= MOST_PROMPTS
+    rows = with_relevance(type_groups(detections), "seen").join(F.broadcast(tiers) if few else tiers, "type_id", "left")
     rows = rows.withColumn("hidden_reason", hidden_reason(F.col("score"), F.col("relevance"), F.col("tier"), floor, least))
     rows = rows.withColumn("displayed", F.col("hidden_reason").isNull())
     # As it is told: by the confidence to 4 places.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import boxes, context, review
-from ..sources.adapters import document_reviews, embedding_shots, order_detections, table
+from ..sources.adapters import by_scene, document_reviews, embedding_shots, line_parts, order_detections, table
 from .registry import query
 from .segmentation import EMB
 
@@ -147,10 +147,11 @@ def _credit(spark, sf_dir, detections: DataFrame | None = None) -> DataFrame:
     """A unit is seen where its lines lie; what its first line shows counts for all of them."""
     detections = (detections or order_detections(spark, sf_dir)).withColumn("unit", F.col("shot").cast("string"))
     lines = table(spark, sf_dir, "lineitem")
-    occ = lines.select(F.col("l_orderkey").alias("scene"), F.pmod("l_suppkey", F.lit(5)).cast("string").alias("unit"), F.col("l_linenumber").cast("long").alias("shot")).distinct()
+    occ = lines.select(F.col("l_orderkey").alias("scene"), F.pmod("l_suppkey", F.lit(5)).cast("string").alias("unit"), F.col("l_linenumber").cast("long").alias("shot"))
+    occ = by_scene(occ, "scene", line_parts(lines)).distinct()
     occ = occ.withColumn("start", F.col("shot") * 4.0).withColumn("end", F.col("shot") * 4.0 + 4)
     rep = occ.groupBy("scene", "unit").agg(F.min("shot").alias("rep_shot"))
-    return boxes.credited(detections.join(rep, ["scene", "unit"]), occ)
+    return boxes.credited(detections.select("scene", "unit", "type_id").distinct().join(rep, ["scene", "unit"]), occ)
 
 
 @query(f"WITH {DET}, {CREDIT} SELECT scene, type_id, shot, shot * 4.0::DOUBLE AS start, unit, detected FROM c")
@@ -190,14 +191,17 @@ def commercial_documents(spark, sf_dir):
     """The nested document of each scene, its parts told in lines."""
     from ..sources.tables import materialised
 
-    detections = materialised(order_detections(spark, sf_dir), "detections")
+    lines = table(spark, sf_dir, "lineitem")
+    parts = line_parts(lines)
+    detections = by_scene(materialised(order_detections(spark, sf_dir), "detections"), "scene", parts)
     rows = boxes.candidates(detections, _tiers(spark, sf_dir), 0.4, 0.45)
     key = boxes.candidate_key(F.col("type_id"), F.col("det").cast("string"), [F.col(c) for c in ("x1", "y1", "x2", "y2")])
     rows = rows.withColumns({"key": key, "color": F.lit("red"), "label": F.col("type_id"), "category": F.split_part("type_id", F.lit(" "), F.lit(1))})
-    scenes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scene")).agg(F.countDistinct(F.pmod("l_suppkey", F.lit(5))).alias("unique_shots"))
+    units = lines.select(F.col("l_orderkey").alias("scene"), F.pmod("l_suppkey", F.lit(5)).alias("unit"))
+    scenes = by_scene(units, "scene", parts).groupBy("scene").agg(F.countDistinct("unit").alias("unique_shots"))
     venue = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
     contexts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene"), venue.alias("venue"), F.when(venue.isNotNull(), "VENUE").alias("venue_category"), F.lit(0.9).alias("venue_confidence"), F.lit("indoors").alias("environment"))
-    docs = boxes.documents(rows, _credit(spark, sf_dir, detections), detections, scenes, contexts, 0.4)
+    docs = boxes.documents(rows, _credit(spark, sf_dir, detections), detections, scenes, by_scene(contexts, "scene", parts), 0.4)
     occ = lambda c: F.array_join(F.transform(c["occurrences"], lambda o: F.concat_ws(":", o["shot"], o["unit"], F.when(o["detected"], "y").otherwise("n"))), ",")
     line = lambda c: F.concat_ws(
         "|", c["place"], c["type_id"], F.when(c["displayed"], "shown").otherwise(c["hidden_reason"]), F.round(c["relevance"] * 10000).cast("long"), c["seen_count"], c["best"]["det"], c["best"]["shot"],

@@ -371,3 +371,18 @@ def test_moved_and_placeholder_files(spark):
         ("e", "/gone/e.mp4", "missing"), ("f", "/up/f.mp4", "moved"), ("f", "/up/f.mp4", "moved"),
     ]
     assert [(r.path, r.status) for r in got if r.video == "n"] == [(None, "missing")]
+
+
+def test_lines_of_a_scene_are_brought_together_once(spark, monkeypatch):
+    """By the scene alone and in partitions that grow with the lines, however many types or shots a step tells apart."""
+    from shotweave.plans import commerce
+    from shotweave.sources import adapters
+
+    monkeypatch.setattr(adapters, "PART_LINES", 1000)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    here = "/root/testdata/sf0.001"
+    lines = adapters.table(spark, here, "lineitem")
+    assert adapters.line_parts(lines) == -(-lines.count() // 1000)
+    for query, exchanges in ((commerce.type_groups, 1), (commerce.type_occurrences, 3)):
+        text = plan(query(spark, here))
+        assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == exchanges
