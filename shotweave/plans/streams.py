@@ -60,6 +60,8 @@ def batch_segmenter(spark, sf_dir):
 
 
 FRAME_MS, DELAY_HOURS, IDLE_MS, LEAST_FRAMES = 600_000, 1, 86_400_000, 3
+#: Events of a group of videos, about.
+GROUP_EVENTS = 20_000
 
 
 # The same frames as the stream's: those that end before its last watermark; a run ends at a lower frame, or with its video.
@@ -78,8 +80,9 @@ def stream_segmenter(spark, sf_dir):
     """Cuts of a stream of events, in whatever order its files come; a frame is ten minutes."""
     ts = F.col("ts").cast("timestamp")
     rows = segmenter.read_stream(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.floor(F.unix_micros(ts) / (FRAME_MS * 1000)).alias("frame"), F.col("value").alias("prob"), ts.alias("ts"))
+    groups = max(64, table(spark, sf_dir, "events").count() // GROUP_EVENTS)
     with _with_rocks(spark):
-        return _finished(spark, segmenter.streamed_cuts(rows, EVENT_THRESHOLD, LEAST_FRAMES, FRAME_MS, f"{DELAY_HOURS} hours", IDLE_MS), "video long, cut long")
+        return _finished(spark, segmenter.streamed_cuts(rows, EVENT_THRESHOLD, LEAST_FRAMES, FRAME_MS, f"{DELAY_HOURS} hours", IDLE_MS, groups), "video long, cut long")
 
 
 @query(correction_replay_sql)

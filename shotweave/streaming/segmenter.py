@@ -7,87 +7,75 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.tables import file_system
 
-FRAME = StructType([StructField("frame", LongType()), StructField("prob", DoubleType())])
-STATE = StructType([StructField("latest", LongType()), StructField("run_first", LongType()), StructField("run_last", LongType()), StructField("kept", LongType())])
+#: Of the videos of a group: each one's latest judged frame, open run (-1: none) and last cut that was kept; and the frames that wait for the watermark, with their signals.
+STATE = "video array<long>, latest array<long>, run_first array<long>, run_last array<long>, kept array<long>, of array<long>, frame array<long>, prob array<double>"
 
 
-class CutState(StatefulProcessor):
-    """Per video: frames that wait for the watermark to pass them, and of those before it the latest one, the open run and the last cut that was kept.
+def kept_cuts(threshold: float, least: int, step: int, idle: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The step of a group of videos. Per video: frames that wait for the watermark to pass them, and of those before it the latest one, the open run and the last cut that was kept.
 
-    Frames come in any order; each is judged once the watermark has passed its end, so that none before it can still come. A timer at the end of the first waiting frame sees to
+    Frames come in any order; each is judged once the watermark has passed its end, so that none before it can still come. A timeout at the end of the group's first waiting frame sees to
     that, also where a video gets no more frames; one that has had none for ``idle`` milliseconds has ended, and so has its open run.
     Of several rows of a frame the highest signal counts."""
 
-    def __init__(self, threshold: float, least: int, step: int, idle: int):
-        self.threshold, self.least, self.step, self.idle = threshold, least, step, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state, self.waiting = handle.getValueState("cut", STATE), handle.getListState("waiting", FRAME)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def step_of(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *known, of, frames, probs = map(list, state.get) if state.exists else [[] for _ in range(8)]
         for batch in rows:
-            self.waiting.appendList(list(batch[["frame", "prob"]].itertuples(index=False, name=None)))
-        yield from self._judged(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._judged(key, timerValues.getCurrentWatermarkInMs())
-
-    def _judged(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        latest, first, last, kept = self.state.get() if self.state.exists() else (-1, -1, -1, 0)
-        held = list(self.waiting.get())
-        now: dict[int, float] = {}
-        for frame, prob in held:
-            if (frame + 1) * self.step <= watermark:
-                now[frame] = max(prob, now.get(frame, prob))
-        later = [(frame, prob) for frame, prob in held if (frame + 1) * self.step > watermark]
-        out = []
-
-        def ended() -> None:
-            nonlocal first, last, kept
+            of += batch["video"].tolist()
+            frames += batch["frame"].tolist()
+            probs += batch["prob"].tolist()
+        waiting: dict[tuple[int, int], float] = {}
+        for at, prob in zip(zip(of, frames), probs):
+            waiting[at] = max(prob, waiting.get(at, prob))
+        videos = {video: numbers for video, *numbers in zip(*known)}
+        for video, _ in waiting:
+            videos.setdefault(video, [-1, -1, -1, 0])
+        watermark, out = state.getCurrentWatermarkMs(), []
+
+        def ended(video: int) -> None:
+            latest, first, last, kept = videos[video]
             if first >= 0:
                 cut = (first + last + 2) // 2
-                if cut > 0 and cut - kept >= self.least:
+                if cut > 0 and cut - kept >= least:
                     kept = cut
-                    out.append((key[0], cut))
-            first = last = -1
-
-        for frame in sorted(now):
-            latest = max(latest, frame)
-            if now[frame] > self.threshold:
-                first, last = frame if first < 0 else first, frame
+                    out.append((video, cut))
+            videos[video] = [latest, -1, -1, kept]
+
+        for video, frame in sorted(at for at in waiting if (at[1] + 1) * step <= watermark):
+            mine = videos[video]
+            mine[0] = max(mine[0], frame)
+            if waiting.pop((video, frame)) > threshold:
+                mine[1:3] = frame if mine[1] < 0 else mine[1], frame
             else:
-                ended()
-        close = (latest + 1) * self.step + self.idle
-        if not later and latest >= 0 and close <= watermark:
-            ended()
-        if len(later) < len(held):
-            self.waiting.clear()
-            if later:
-                self.waiting.appendList(later)
-        self.state.update((latest, first, last, kept))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = (min(frame for frame, _ in later) + 1) * self.step if later else close if first >= 0 else None
-        if due is not None:
-            self.handle.registerTimer(due)
+                ended(video)
+        due = [(frame + 1) * step for _, frame in waiting]
+        for video in videos.keys() - {video for video, _ in waiting}:
+            close = (videos[video][0] + 1) * step + idle
+            if close <= watermark:
+                ended(video)
+            elif videos[video][1] >= 0:
+                due.append(close)
+        known = zip(*((video, *numbers) for video, numbers in videos.items()))
+        state.update((*map(list, known), *map(list, zip(*waiting) if waiting else ([], [])), list(waiting.values())))
+        if due:
+            state.setTimeoutTimestamp(max(1, min(due) - 1))  # it comes once the watermark is beyond it
         if out:
             yield pd.DataFrame(out, columns=["video", "cut"])
 
-    def close(self) -> None:
-        pass
+    return step_of
 
 
-def streamed_cuts(frames: DataFrame, threshold: float, least: int, step: int, delay: str, idle: int) -> DataFrame:
+def streamed_cuts(frames: DataFrame, threshold: float, least: int, step: int, delay: str, idle: int, groups: int = 1024) -> DataFrame:
     """Kept cuts of a stream of video, frame, prob, ts, in whatever order frames come within ``delay``: video, cut. ``step`` and ``idle``: milliseconds of a frame, and without one
-    after which a video has ended. Frames later than the delay are the stream's own late rows (it counts them). Needs the RocksDB state store."""
-    rows = frames.withWatermark("ts", delay).groupBy("video")
-    return rows.transformWithStateInPandas(CutState(threshold, least, step, idle), outputStructType="video long, cut long", outputMode="Append", timeMode="EventTime")
+    after which a video has ended. Frames later than the delay are the stream's own late rows (it counts them); rows without a video belong to none. Videos are dealt in
+    ``groups`` by a hash, as a call and a state for each video cost far more than its frames; a group's state is read and written whole, so take one for every few hundred videos."""
+    group = F.pmod(F.xxhash64("video"), F.lit(groups))
+    rows = frames.where(F.col("video").isNotNull()).withColumn("group", group).withWatermark("ts", delay).groupBy("group")
+    return rows.applyInPandasWithState(kept_cuts(threshold, least, step, idle), "video long, cut long", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:

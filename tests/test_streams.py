@@ -70,6 +70,30 @@ def test_runs_end_with_their_video(spark, tmp_path):
     assert got == [(1, 12)]  # the run of 2 may go on
 
 
+def test_videos_share_calls_and_states(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(v, f, rng.choice([0.1, 0.9])) for v in range(300) for f in range(1, 12)]
+    calls, plain = spark.sparkContext.accumulator(0), segmenter.kept_cuts
+
+    def counted(*numbers):
+        step_of = plain(*numbers)
+
+        def run(key, frames, state):
+            calls.add(1)
+            return step_of(key, frames, state)
+
+        return run
+
+    monkeypatch.setattr(segmenter, "kept_cuts", counted)
+    spark.createDataFrame([*[(v, f, p, f) for v, f, p in rows], (None, 5, 0.9, 5)], "video long, frame long, prob double, s long").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("video long, frame long, prob double, s long, ts timestamp").parquet(str(tmp_path / "in"))
+    with _with_rocks(spark):
+        segmenter.run_to_end(segmenter.streamed_cuts(stream, 0.5, 2, 1000, "3 seconds", 1000, groups=5), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = sorted(tuple(r) for r in spark.read.schema("video long, cut long").parquet(str(tmp_path / "out")).collect())
+    assert got == plain_cuts(rows, 8000, 0.5, 2, 1000, 1000) and got
+    assert 5 <= calls.value <= 10  # a batch of rows and one of timeouts, not a call for each video
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_a_log_in_parts_leaves_what_the_whole_log_does(spark, tmp_path, shuffled):
     rng = random.Random(3)
