@@ -17,6 +17,9 @@ NAME = r"([\p{Ll}\p{N},;] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 UNIT = "\x01 *(" + "|".join(UNITS) + r")\b"
 #: Placeholders of numbers, names and units.
 SLOTS = {"number": "\x01", "name": "\x02", "unit": "\x03"}
+#: The same for Spark's regular expressions: a repeated group that gives nothing back is matched in a loop. One that may give back is matched
+#: by recursion, so that a run of some 2,000 names would overflow the stack and end the executor.
+LOOPED_NUMBER, LOOPED_NAME = f"{NUMBER}+", f"{NAME.removesuffix(')')}+)"
 BREAK = r"[^\p{L}\p{N}\x01-\x03]+"
 
 WINDOW = 5
@@ -33,13 +36,13 @@ MOST_BROADCAST = 1_000_000
 
 
 def _numbered(text: Column) -> Column:
-    return F.regexp_replace(text, NUMBER, " \x01 ")
+    return F.regexp_replace(text, LOOPED_NUMBER, " \x01 ")
 
 
 def template(text: Column) -> Column:
     """The text's words in lower case, with typed placeholders for numbers, names and units after numbers."""
     text = F.regexp_replace(_numbered(text), UNIT, "\x01 \x03 ")
-    text = F.regexp_replace(text, NAME, "$1\x02 ")
+    text = F.regexp_replace(text, LOOPED_NAME, "$1\x02 ")
     return F.array_remove(F.split(F.lower(text), BREAK), "")
 
 
@@ -51,8 +54,8 @@ def literal_tokens(text: Column) -> Column:
 def slot_values(text: Column) -> dict[str, Column]:
     """The values that the k-th placeholder of each kind stands for, in order."""
     return {
-        "number": F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1),
-        "name": F.regexp_extract_all(F.regexp_replace(_numbered(text), UNIT, "\x01 \x03 "), F.lit(NAME), 2),
+        "number": F.regexp_extract_all(text, F.lit(f"({LOOPED_NUMBER})"), 1),
+        "name": F.regexp_extract_all(F.regexp_replace(_numbered(text), UNIT, "\x01 \x03 "), F.lit(LOOPED_NAME), 2),
         "unit": F.regexp_extract_all(_numbered(text), F.lit(UNIT), 1),
     }
 

@@ -124,6 +124,13 @@ def test_a_variant_does_not_hide_the_item(spark):
     assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    item = BENCH[1][1]
+    rows = [(i, f"so {run}. Then {item}") for i, run in enumerate((" ".join(["Word"] * 20_000), ".".join(["12"] * 20_000), "A" + "b" * 20_000))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == [(0, 2), (1, 2), (2, 2)]
+
+
 SHORT = [(1, "What is 2 + 2?"), (2, "12 kg, 13 kg, 14 kg, 15 kg, 16 kg."), (3, "答案是什么样的东西呢"), (4, "Paris"), (5, "It is Anna Smith Jones"), (6, "a b c d e f g h i j k l m n o p q r s t")]
 
 
