@@ -48,8 +48,8 @@ def _ranged(values: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
     return values.withColumn("range", F.col("_coarse") + passed(F.slice("marks", F.col("_coarse") + 1, step))).drop("marks", "_coarse")
 
 
-def _placed(values: DataFrame, by: list[str]) -> DataFrame:
-    """Of counts (by, _score, c, p, range; each score once) what :func:`running` gives, with range and k, the number of the score from 0."""
+def _placed(values: DataFrame, by: list[str], number: str = "k") -> DataFrame:
+    """Of counts (by, _score, c, p, range; each score once) what :func:`running` gives, with range and ``number``, that of the score from 0."""
     score = "_score"
     ranges = values.groupBy(*by, "range").agg(F.sum("c").alias("rc"), F.sum("p").alias("rp"), F.count(F.lit(1)).alias("rk"), F.min(score).alias("least"))
     up, all_ = Window.partitionBy(*by).orderBy("range"), Window.partitionBy(*by)
@@ -59,12 +59,12 @@ def _placed(values: DataFrame, by: list[str]) -> DataFrame:
     before = lambda x: F.sum(x).over(own) - F.col(x) + F.col(f"{x}_below")
     rows = values.join(F.broadcast(ranges), [*by, "range"])
     told = [before("c").alias("c_before"), before("p").alias("p_before"), "c_all", "p_all", F.coalesce(F.lead(score).over(own), "after").alias("next")]
-    return rows.select(*by, score, "c", "p", *told, "range", (F.row_number().over(own) - 1 + F.col("k_below")).alias("k"))
+    return rows.select(*by, score, "c", "p", *told, "range", (F.row_number().over(own) - 1 + F.col("k_below")).alias(number))
 
 
 def _sums(values: DataFrame, by: list[str]) -> DataFrame:
     """What :func:`running` gives, of counts: by, _score, c, p, each score once."""
-    return _placed(_ranged(values, _marks(values, by), by), by).drop("range", "k")
+    return _placed(_ranged(values, _marks(values, by), by), by, "_k").drop("range", "_k")  # groups may be by a k
 
 
 def _auc(sums: DataFrame, by: list[str]) -> DataFrame:
